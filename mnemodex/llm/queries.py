@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemodex.llm.common import table
 from mnemodex.llm.near_vectors import near_vectors
+from mnemodex.llm.packing import pack_documents
+from mnemodex.llm.simhash import near_duplicates
 from mnemodex.llm.top_k import top_k
 from mnemodex.llm.url_filter import filter_urls
 
@@ -14,12 +16,29 @@ from mnemodex.llm.url_filter import filter_urls
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components (3 bits) of all ``documents``."""
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=3)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict under ``URL_RULES``; urls without a rule are allowed."""
     rules = spark.createDataFrame([(*r, True) for r in URL_RULES], "host string, path string, verdict string, named boolean")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of at most 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components at cosine 0.95 over all of ``embeddings``."""
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
@@ -32,7 +51,9 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
 }
