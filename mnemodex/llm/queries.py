@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemodex.llm.common import table
+from mnemodex.llm import language, quality, toxicity
+from mnemodex.llm.common import id_remainder, table
 from mnemodex.llm.near_vectors import near_vectors
 from mnemodex.llm.packing import pack_documents
 from mnemodex.llm.simhash import near_duplicates
@@ -34,6 +35,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the labels of ids whose CRC-32 leaves 0 or 2 when divided by 3."""
+    docs, fold = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 3)
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", fold != 1)
+    return _judged(quality.score(docs, weights), fold == 1)
+
+
+def _judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
@@ -44,18 +56,35 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those whose id's CRC-32 doesn't leave 2 when divided by 4."""
+    docs, fold = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4)
+    found = language.identify(docs, language.train(docs, fold != 2))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of each row whose vec_id is divisible by 50, against all rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels of ids whose CRC-32 isn't divisible by 5."""
+    docs, fold = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 5)
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", fold != 0)
+    return _judged(toxicity.score(docs, grammar), fold == 0)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_language_id": op7_language_id,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
