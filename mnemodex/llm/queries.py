@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemodex.llm import language, quality, toxicity
+from mnemodex.llm import language, quality, sentencepiece_unigram, toxicity
 from mnemodex.llm.common import id_remainder, table
 from mnemodex.llm.near_vectors import near_vectors
 from mnemodex.llm.packing import pack_documents
@@ -63,6 +63,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids under the pieces of the 32k vocabulary, as number and hash, and whether they decode to its text."""
+    model = sentencepiece_unigram.Model.load(vocabulary("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_unigram.encode_documents(docs, model)
+    return coded.select("doc_id", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").alias("n_chars"), F.xxhash64("decoded").alias("decoded_hash"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of each row whose vec_id is divisible by 50, against all rows."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -83,6 +91,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
 }
