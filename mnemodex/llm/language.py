@@ -136,14 +136,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     whose letters tell nothing gets the language with most rows and score 0.
     """
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    name = text_col if text_col in keep else "_text"
+    rows = docs.select(*keep, *([] if name in keep else [F.col(text_col).cast("string").alias(name)]))
     schema = rows.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         for batch in batches:
-            found = [decide(t.as_py(), m) for t in batch.column("_text")]
+            found = [decide(t.as_py(), m) for t in batch.column(name)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)

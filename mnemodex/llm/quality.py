@@ -93,13 +93,14 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     """
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    name = text_col if text_col in keep else "_text"
+    rows = docs.select(*keep, *([] if name in keep else [F.col(text_col).cast("string").alias(name)]))
     schema = rows.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
         w = held.value
         for batch in batches:
-            out, texts = np.empty(batch.num_rows), batch.column("_text")
+            out, texts = np.empty(batch.num_rows), batch.column(name)
             for i in range(batch.num_rows):
                 index, value = features(texts[i].as_py())
                 out[i] = w[index] @ value + w[DIM]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mnemodex.llm import language, quality, sentencepiece_unigram, toxicity
-from mnemodex.llm.common import id_remainder, table
+from mnemodex.llm.common import id_remainder, table, vocabulary
 from mnemodex.llm.near_vectors import near_vectors
 from mnemodex.llm.packing import pack_documents
+from mnemodex.llm.passages import repeated_passages
 from mnemodex.llm.simhash import near_duplicates
 from mnemodex.llm.top_k import top_k
 from mnemodex.llm.url_filter import filter_urls
@@ -17,13 +19,6 @@ from mnemodex.llm.url_filter import filter_urls
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def vocabulary(name: str) -> str:
-    """The place of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components (3 bits) of all ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3)
@@ -46,6 +41,11 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more, at similarity 0.8, that a document of a smaller id has too."""
+    return repeated_passages(table(spark, sf_dir, "documents"), least=50, similar=0.8)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
@@ -88,12 +88,14 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

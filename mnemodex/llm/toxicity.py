@@ -145,14 +145,15 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     Null and empty texts, and those without a matched clause, get the bias alone.
     """
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    name = text_col if text_col in keep else "_text"
+    rows = docs.select(*keep, *([] if name in keep else [F.col(text_col).cast("string").alias(name)]))
     schema = rows.select(*keep).withColumn("score", F.lit(0.0)).schema
     held = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches):
         g = held.value
         for batch in batches:
-            x = np.array([evidence(t.as_py(), g.arcs) for t in batch.column("_text")]).reshape(-1, FEATURES)
+            x = np.array([evidence(t.as_py(), g.arcs) for t in batch.column(name)]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(_probability(x @ g.weights[:-1] + g.weights[-1]))], names=[*keep, "score"])
 
     return rows.mapInArrow(run, schema)
