@@ -2,6 +2,610 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mnemodex.functions import scores, text
+from mnemodex.operators import durable, graph, relational, search, sectioning
+from mnemodex.sources import model
+from mnemodex.sources.files import skip_reason
+from mnemodex.sources.model import NOW, table
+from mnemodex.streaming import events as stream
+
+QUERY = "fix the idiot thonor in onnd and for stupid trash"
+TERMS = search.query_terms(QUERY)
 QUERIES: dict = {}
 ORACLES: dict = {}
+FLAGSHIP = "search_results"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir), and the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# SQL pieces -------------------------------------------------------------------------------------
+
+_DAY = "TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST({0} % 40 AS INTEGER))"
+_MODEL = f"""
+marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+sections AS (
+  SELECT d.doc_id AS id, 'section' AS target_type,
+         CASE d.doc_id % 5 WHEN 0 THEN 'src/' || source || '/f' || d.doc_id || '.ts'
+                           WHEN 1 THEN 'src/' || source || '/f' || d.doc_id || '.test.ts'
+                           WHEN 2 THEN 'docs/' || source || '/f' || d.doc_id || '.md'
+                           WHEN 3 THEN '.agents/' || source || '/f' || d.doc_id || '.json'
+                           ELSE 'lib/generated/' || source || '/f' || d.doc_id || '.ts' END AS path,
+         CASE d.doc_id % 5 WHEN 0 THEN 'app_code' WHEN 1 THEN 'test_code' WHEN 2 THEN 'product_doc'
+                           WHEN 3 THEN 'agent_config' ELSE 'generated' END AS source_role,
+         text, sha256(text) AS content_hash, {_DAY.format("d.doc_id")} AS updated_at,
+         coalesce(m.quality = 0, false) AS deleted, coalesce(m.toxic = 1, false) AS suppressed
+  FROM documents d LEFT JOIN marks m ON m.doc_id = d.doc_id),
+observations AS (
+  SELECT item_id AS id, ['fact','constraint','decision','preference','insight','procedure','issue'][CAST(item_id % 7 AS INTEGER) + 1] AS kind,
+         text, (item_id % 5 + 1) / 5.0 AS confidence, {_DAY.format("item_id")} AS created_at, item_id % 11 = 0 AS deleted
+  FROM benchmark),
+diaries AS (
+  SELECT conv_id AS id, array_to_string(list(coalesce(text, '') ORDER BY turn, role, text), chr(10)) AS text,
+         {_DAY.format("conv_id")} AS created_at, conv_id % 13 = 0 AS deleted
+  FROM conversations GROUP BY conv_id),
+retrieval AS (
+  SELECT target_type, id, path, source_role, text, updated_at, deleted OR suppressed AS inactive FROM sections
+  UNION ALL SELECT 'memory', id, NULL, NULL, text, created_at, deleted FROM observations
+  UNION ALL SELECT 'diary', id, NULL, NULL, text, created_at, deleted FROM diaries)"""
+_SPACE = r"[ \t\n\x0B\f\r]+"
+_WORDS = "list_filter(string_split_regex({0}, '" + _SPACE + "'), lambda w: w <> '')"
+_TERMS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9_./-]+'), lambda t: length(t) >= 2)"
+_TOKEN_ROWS = (
+    "WITH l AS (SELECT doc_id, " + _TERMS.format("text") + " AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS i FROM l), "
+    "f AS (SELECT doc_id, term, min(i) AS i FROM t GROUP BY doc_id, term), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)"
+)
+_SQUEEZE = "regexp_replace(regexp_replace({0}, '" + _SPACE + "', ' ', 'g'), '^ | $', '', 'g')"
+_EXCERPT = "CASE WHEN len(" + _WORDS + ") > 90 THEN array_to_string(" + _WORDS + "[1:90], ' ') || '...' ELSE {0} END"
+_TOKENS = "CAST(ceil(len(" + _WORDS + ") * CAST(1.33 AS DOUBLE)) AS BIGINT)"
+_RECENCY = f"greatest(0, {{1}} - CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us({{0}})) / 86400000000.0) AS BIGINT))"
+
+
+def _hits(column: str, wanted: list[str]) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains(lower({column}), '{t}') THEN 1 ELSE 0 END" for t in wanted) + ")"
+
+
+def _bm25(wanted: list[str], source: str) -> str:
+    """CTEs counted, stats and ranked over a relation with target_type, id, text and more."""
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(wanted))
+    df = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS d{i}" for i in range(len(wanted)))
+    rank = " + ".join(f"greatest(1e-6, ln((s.n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * c.len / s.mean))" for i in range(len(wanted)))
+    found = " OR ".join(f"f{i} > 0" for i in range(len(wanted)))
+    return rf"""
+tokens AS (SELECT *, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM {source}),
+counted AS (SELECT * EXCLUDE (t), len(t) AS len, {tf} FROM tokens),
+stats AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM counted),
+ranked AS (SELECT c.*, {rank} AS rank FROM counted c, stats s WHERE {found})"""
+
+
+_INDEX = search.index_terms(QUERY)
+_VISIBLE = "visible AS (SELECT * FROM retrieval WHERE NOT inactive)"
+_SCORE = (
+    "CAST(floor(" + _hits("coalesce(path, '') || chr(10) || text", TERMS) + " * 100 + {vector} * 60 + 20 + " + _RECENCY.format("updated_at", "20")
+    + " - ceil(" + _TOKENS.format("(" + _EXCERPT.format("text") + ")") + " / 120.0) + 0.5) AS BIGINT)"
+)
+_DELTA = "CASE WHEN source_role IN ('agent_reference','generated','agent_config') THEN -60 WHEN source_role IN ('app_code','test_code','package_config') THEN 15 WHEN source_role = 'product_doc' THEN -10 ELSE 0 END + CASE WHEN starts_with(coalesce(path,''),'src/') THEN 25 ELSE 0 END + CASE WHEN coalesce(path,'') LIKE '%.test.ts' THEN 10 ELSE 0 END"
+_ORDER = "score DESC, updated_at DESC, target_type, id"
+
+
+def visible_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.retrieval_documents(spark, sf_dir).filter(~F.col("inactive")).drop("inactive")
+
+
+# Text -------------------------------------------------------------------------------------------
+
+
+@query("tokenize_terms", f"""{_TOKEN_ROWS}, x AS (SELECT doc_id, array_to_string(list(term ORDER BY n), ' ') AS terms, count(*) FILTER (n <= 8) AS n8 FROM r WHERE n <= 12 GROUP BY doc_id) SELECT d.doc_id, coalesce(x.terms, '') AS terms, coalesce(x.n8, 0) AS n8 FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id""")
+def tokenize_terms(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.terms(F.col("text")), " ").alias("terms"), F.size(text.terms(F.col("text"), 8)).cast("long").alias("n8"))
+
+
+@query("fts_terms", f"""{_TOKEN_ROWS}, x AS (SELECT doc_id, array_to_string(list(regexp_replace(term, '[^a-z0-9_]', '', 'g') ORDER BY n) FILTER (regexp_replace(term, '[^a-z0-9_]', '', 'g') <> ''), ' OR ') AS e FROM r WHERE n <= 12 GROUP BY doc_id) SELECT d.doc_id, coalesce(x.e, '') AS expression FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id""")
+def fts_terms(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.match_terms(F.col("text")), " OR ").alias("expression"))
+
+
+@query("lexical_score", f"""SELECT doc_id, CAST({_hits('text', TERMS)} AS INTEGER) AS hits FROM documents""")
+def lexical_score(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.term_hits(F.col("text"), TERMS).alias("hits"))
+
+
+@query("excerpt_trim", f"""SELECT doc_id, {_EXCERPT.format('text')} AS excerpt FROM documents""")
+def excerpt_trim(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("token_estimate", f"""SELECT doc_id, {_TOKENS.format('text')} AS word_tokens, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS char_tokens FROM documents""")
+def token_estimate(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.word_tokens(F.col("text")).alias("word_tokens"), text.char_tokens(F.col("text")).alias("char_tokens"))
+
+
+@query("summary_text", f"""WITH x AS (SELECT doc_id, {_SQUEEZE.format('text')} AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 240 THEN rtrim(substr(s, 1, 237)) || '...' ELSE s END AS summary FROM x""")
+def summary_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.summary(F.col("text")).alias("summary"))
+
+
+_ALIAS = _SQUEEZE.format(r"regexp_replace(lower(regexp_replace(regexp_replace(replace({0}, '\', '/'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[_-]+', ' ', 'g')")
+
+
+@query("alias_normalize", f"""SELECT p_partkey, {_ALIAS.format("p_name || 'HTTPServer_' || p_brand")} AS alias, replace({_ALIAS.format("p_name || 'HTTPServer_' || p_brand")}, ' ', '-') AS dashed FROM part""")
+def alias_normalize(spark, sf_dir):
+    name = F.concat("p_name", F.lit("HTTPServer_"), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias_form(name).alias("alias"), F.replace(text.alias_form(name), F.lit(" "), F.lit("-")).alias("dashed"))
+
+
+@query("slug", f"""SELECT doc_id, regexp_replace(regexp_replace(lower({_SQUEEZE.format('substr(text, 1, 80)')}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+def slug(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.slug(F.substring("text", 1, 80)).alias("slug"))
+
+
+_SPLIT = r"list_filter(list_transform(string_split_regex(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: w <> '')"
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query("topics_top12", rf"""WITH {_MODEL},
+w AS (SELECT id, unnest(list_concat({_SPLIT.format(r"regexp_replace(path, '\.[^.]+$', '')")}, {_SPLIT.format('substr(text, 1, 2000)')})) AS word FROM sections),
+c AS (SELECT id, word, count(*) AS n FROM w WHERE length(word) >= 3 AND word NOT IN ({_STOP}) GROUP BY id, word),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS k FROM c)
+SELECT id, array_to_string(list(word ORDER BY k), ',') AS topics FROM r WHERE k <= 12 GROUP BY id""")
+def topics_top12(spark, sf_dir):
+    return sectioning.topics(model.sections(spark, sf_dir).select("id", "path", "text"))
+
+
+_SECRET_SQL = text.SECRET.replace("'", "''")
+
+
+@query("note_quality", f"""SELECT doc_id, regexp_matches(text, '{_SECRET_SQL}') AS secret, len({_WORDS.format('text')}) >= 4 AS long_enough FROM documents""")
+def note_quality(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.has_secret(F.col("text")).alias("secret"), (F.size(text.words(F.col("text"))) >= 4).alias("long_enough"))
+
+
+def _redact_sql(x: str) -> str:
+    for pattern, by in text.REDACTIONS:
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return f"substr({x}, 1, 8000)"
+
+
+@query("redact", f"""SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents""")
+def redact(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.redacted(F.col("text")).alias("redacted"))
+
+
+@query("content_hash_ids", f"""WITH {_MODEL} SELECT id, content_hash, 'source_' || substr(sha256(path), 1, 32) AS source_id, 'section_' || substr(sha256(path || ':0:file:' || content_hash), 1, 32) AS section_id, sha256('model-a:' || text) AS embedding_hash FROM sections""")
+def content_hash_ids(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    return s.select("id", "content_hash", text.identifier("source", F.col("path")).alias("source_id"), text.identifier("section", F.col("path"), F.lit(0), F.lit("file"), F.col("content_hash")).alias("section_id"), F.sha2(F.concat(F.lit("model-a:"), "text"), 256).alias("embedding_hash"))
+
+
+@query("source_role", f"""WITH {_MODEL} SELECT id, source_role, CASE id % 5 WHEN 2 THEN 'markdown' WHEN 3 THEN 'json' ELSE 'typescript' END AS language, split_part(path, '/', 1) AS module FROM sections""")
+def source_role(spark, sf_dir):
+    return model.sections(spark, sf_dir).select("id", "source_role", text.language(F.col("path")).alias("language"), text.top_module(F.col("path")).alias("module"))
+
+
+@query("recency", f"""WITH {_MODEL} SELECT id, {_RECENCY.format('updated_at', '20')} AS search_boost, {_RECENCY.format('updated_at', '10')} AS warm_boost FROM sections""")
+def recency(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    return s.select("id", scores.recency(F.col("updated_at"), NOW, 20).alias("search_boost"), scores.recency(F.col("updated_at"), NOW, 10).alias("warm_boost"))
+
+
+@query("retrieval_text", f"""WITH {_MODEL} SELECT id, 'role: ' || source_role || chr(10) || 'path: ' || path || chr(10) || 'topics: a, b' || chr(10) || chr(10) || text AS body FROM sections""")
+def retrieval_text(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    return s.select("id", text.retrieval_text(F.col("source_role"), F.col("path"), F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("b")), F.col("text")).alias("body"))
+
+
+@query("path_evidence", f"""WITH {_MODEL}, n AS (SELECT id, 'see `' || path || '` and (' || path || ') or "notes.md#x"' AS note FROM sections)
+SELECT id, array_to_string(regexp_extract_all(note, '`([^`]{{2,120}})`', 1), '|') AS quoted, array_to_string(regexp_extract_all(note, '{text.PATH_LIKE.replace(chr(39), chr(39) * 2)}', 1), '|') AS paths FROM n""")
+def path_evidence(spark, sf_dir):
+    note = F.concat(F.lit("see `"), "path", F.lit("` and ("), "path", F.lit(') or "notes.md#x"'))
+    s = model.sections(spark, sf_dir).select("id", note.alias("note"))
+    return s.select("id", F.array_join(text.quoted_values(F.col("note")), "|").alias("quoted"), F.array_join(text.path_values(F.col("note")), "|").alias("paths"))
+
+
+@query("skip_reasons", r"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'hard_directory' WHEN page_id % 4 = 1 THEN 'secret' WHEN page_id % 4 = 2 THEN 'binary' WHEN page_id % 8 = 3 THEN 'vcs_ignore' END AS reason FROM pages""")
+def skip_reasons(spark, sf_dir):
+    k = F.col("page_id")
+    path = F.when(k % 4 == 0, F.concat(F.lit("a/node_modules/"), k.cast("string"))).when(k % 4 == 1, F.lit("conf/.env.local")).when(k % 4 == 2, F.concat(F.lit("img/"), k.cast("string"), F.lit(".png"))).when(k % 8 == 3, F.lit("logs/run.log")).otherwise(F.lit("logs/keep.log"))
+    return table(spark, sf_dir, "pages").select("page_id", skip_reason(path, ["*.log", "!keep.log"]).alias("reason"))
+
+
+@query("intent_flags", f"""SELECT doc_id, regexp_matches(lower(text), '{text.bounded(text.INTENTS['implementation'])}') AS implementation, regexp_matches(lower(text), '{text.bounded(text.INTENTS['needs_history'])}') AS history FROM documents""")
+def intent_flags(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.intent(F.col("text"), "implementation").alias("implementation"), text.intent(F.col("text"), "needs_history").alias("history"))
+
+
+# Relational -------------------------------------------------------------------------------------
+
+
+@query("active_filter", f"WITH {_MODEL} SELECT id, path FROM sections WHERE NOT deleted AND NOT suppressed")
+def active_filter(spark, sf_dir):
+    return relational.active(model.sections(spark, sf_dir), "deleted", "suppressed").select("id", "path")
+
+
+@query("like_any", f"WITH {_MODEL} SELECT id FROM observations WHERE NOT deleted AND (lower(text) LIKE '%the%' OR lower(text) LIKE '%keit%')")
+def like_any(spark, sf_dir):
+    return relational.like_any(relational.active(model.observations(spark, sf_dir), "deleted"), "text", ["the", "keit"]).select("id")
+
+
+@query("visibility_antijoin", f"WITH {_MODEL} SELECT target_type, id FROM retrieval r WHERE NOT EXISTS (SELECT 1 FROM sections s WHERE s.id = r.id AND r.target_type = 'section' AND (s.deleted OR s.suppressed)) AND NOT EXISTS (SELECT 1 FROM observations o WHERE o.id = r.id AND r.target_type = 'memory' AND o.deleted)")
+def visibility_antijoin(spark, sf_dir):
+    s, o = model.sections(spark, sf_dir), model.observations(spark, sf_dir)
+    gone = s.filter(F.col("deleted") | F.col("suppressed")).select("target_type", "id").unionByName(o.filter("deleted").select(F.lit("memory").alias("target_type"), "id"))
+    return relational.visible(model.retrieval_documents(spark, sf_dir), gone, ["target_type", "id"]).select("target_type", "id")
+
+
+@query("module_rollup", f"WITH {_MODEL} SELECT split_part(path, '/', 1) AS module_path, source_role, count(DISTINCT path) AS file_count, count(*) AS section_count FROM sections WHERE NOT deleted AND NOT suppressed GROUP BY 1, 2")
+def module_rollup(spark, sf_dir):
+    return relational.module_rollup(relational.active(model.sections(spark, sf_dir), "deleted", "suppressed"))
+
+
+@query("warmup_modules", f"WITH {_MODEL}, m AS (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS module_path, count(DISTINCT path) AS file_count, count(*) AS section_count FROM sections GROUP BY 1) SELECT * FROM m ORDER BY section_count DESC, file_count DESC, module_path LIMIT 12")
+def warmup_modules(spark, sf_dir):
+    m = model.sections(spark, sf_dir).groupBy(F.substring_index("path", "/", 2).alias("module_path")).agg(F.countDistinct("path").alias("file_count"), F.count(F.lit(1)).alias("section_count"))
+    return m.orderBy(F.desc("section_count"), F.desc("file_count"), "module_path").limit(12)
+
+
+@query("memory_stats", f"WITH {_MODEL} SELECT 'sections' AS name, count(*) AS n FROM sections WHERE NOT deleted UNION ALL SELECT 'memories', count(*) FROM observations WHERE NOT deleted UNION ALL SELECT 'diaries', count(*) FROM diaries WHERE NOT deleted UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'events', count(*) FROM events")
+def memory_stats(spark, sf_dir):
+    live = lambda df: relational.active(df, "deleted")
+    return relational.counts(sections=live(model.sections(spark, sf_dir)), memories=live(model.observations(spark, sf_dir)), diaries=live(model.diaries(spark, sf_dir)), embeddings=table(spark, sf_dir, "embeddings"), events=table(spark, sf_dir, "events"))
+
+
+@query("metadata_files", f"WITH {_MODEL} SELECT DISTINCT path, source_role FROM sections WHERE source_role IN ('product_doc', 'package_config', 'agent_config')")
+def metadata_files(spark, sf_dir):
+    return model.sections(spark, sf_dir).filter(F.col("source_role").isin("product_doc", "package_config", "agent_config")).select("path", "source_role").distinct()
+
+
+@query("json_explode", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_explode(spark, sf_dir):
+    props = F.from_json("props", "map<string,int>")
+    return table(spark, sf_dir, "events").select("event_id", F.explode(props).alias("key", "k")).filter("key = 'k' and k is not null").select("event_id", "k")
+
+
+@query("backfill_antijoin", "SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL")
+def backfill_antijoin(spark, sf_dir):
+    return docs(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_anti").select("doc_id")
+
+
+@query("two_key_targets", f"WITH {_MODEL} SELECT target_type, id, updated_at FROM retrieval WHERE (target_type = 'section' AND id = 3) OR (target_type = 'memory' AND id = 5) OR (target_type = 'diary' AND id = 7)")
+def two_key_targets(spark, sf_dir):
+    wanted = spark.createDataFrame([("section", 3), ("memory", 5), ("diary", 7)], "target_type string, id long")
+    return model.retrieval_documents(spark, sf_dir).join(F.broadcast(wanted), ["target_type", "id"]).select("target_type", "id", "updated_at")
+
+
+_SNAPSHOTS = "a AS (SELECT path, content_hash FROM sections WHERE id % 10 <> 1), b AS (SELECT path, CASE WHEN id % 10 = 2 THEN sha256(text || 'x') ELSE content_hash END AS content_hash FROM sections WHERE id % 10 <> 3)"
+_DIFF = f"WITH {_MODEL}, {_SNAPSHOTS}, diff AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.content_hash = b.content_hash THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.path = b.path) "
+
+
+def _diff(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    after = s.filter(F.col("id") % 10 != 3).withColumn("content_hash", F.when(F.col("id") % 10 == 2, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("content_hash")))
+    return relational.snapshot_diff(s.filter(F.col("id") % 10 != 1), after)
+
+
+@query("snapshot_diff", _DIFF + "SELECT * FROM diff")
+def snapshot_diff(spark, sf_dir):
+    return _diff(spark, sf_dir)
+
+
+@query("freshness", _DIFF + "SELECT count(*) FILTER (change <> 'unchanged') AS changed, CASE WHEN count(*) FILTER (change <> 'unchanged') > 0 THEN 'stale' ELSE 'fresh' END AS state FROM diff")
+def freshness(spark, sf_dir):
+    changed = F.sum((F.col("change") != "unchanged").cast("long"))
+    return _diff(spark, sf_dir).agg(changed.alias("changed"), F.when(changed > 0, "stale").otherwise("fresh").alias("state"))
+
+
+@query("dedupe_batch", f"WITH {_MODEL}, f AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY id) AS n FROM sections WHERE id % 2 = 0) SELECT id FROM f WHERE n = 1 AND content_hash NOT IN (SELECT content_hash FROM sections WHERE id % 2 = 1 AND NOT deleted)")
+def dedupe_batch(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    return relational.dedupe_batch(s.filter("id % 2 = 0"), relational.active(s.filter("id % 2 = 1"), "deleted"), "content_hash", "id").select("id")
+
+
+@query("latest_wins", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
+def latest_wins(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    changes = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("changed").alias("c_mktsegment"), F.lit(-1.0).alias("c_acctbal"))
+    return relational.latest_wins(c, changes, ["c_custkey"], keep=["c_acctbal"])
+
+
+@query("soft_delete", f"WITH {_MODEL} SELECT id, deleted OR id % 6 = 0 AS deleted, CASE WHEN id % 6 = 0 AND NOT deleted THEN 'outdated' END AS forget_reason FROM observations")
+def soft_delete(spark, sf_dir):
+    return relational.mark(model.observations(spark, sf_dir), F.col("id") % 6 == 0, "deleted", "outdated").select("id", "deleted", "forget_reason")
+
+
+@query("forget_by_query", f"WITH {_MODEL}, hit AS (SELECT id FROM observations WHERE NOT deleted AND lower(text) LIKE '%the%' ORDER BY created_at DESC, id LIMIT 10) SELECT o.id, o.deleted OR h.id IS NOT NULL AS deleted FROM observations o LEFT JOIN hit h ON h.id = o.id")
+def forget_by_query(spark, sf_dir):
+    return durable.forget(model.observations(spark, sf_dir), ["the"]).select("id", "deleted")
+
+
+@query("save_outcomes", f"""WITH {_MODEL}, b AS (SELECT id, text, CASE WHEN regexp_matches(text, '{_SECRET_SQL}') THEN 'secret' WHEN len({_WORDS.format('text')}) < 4 THEN 'short' END AS bad FROM sections WHERE id % 3 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY text, bad IS NULL ORDER BY id) AS n FROM b)
+SELECT id, CASE WHEN bad IS NOT NULL THEN bad WHEN n > 1 OR text IN (SELECT text FROM sections WHERE id % 3 = 0 AND NOT deleted) THEN 'duplicate' ELSE 'saved' END AS outcome FROM r""")
+def save_outcomes(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    return durable.judge_notes(s.filter("id % 3 <> 0").select("id", "text"), s.filter("id % 3 = 0").select("id", "text", "deleted"))
+
+
+@query("semi_join_paths", f"WITH {_MODEL} SELECT DISTINCT path FROM sections WHERE id IN (SELECT doc_id FROM labels)")
+def semi_join_paths(spark, sf_dir):
+    return model.sections(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").select("path").distinct()
+
+
+@query("union_fallback", f"WITH {_MODEL}, o AS (SELECT 'memory' AS target_type, id FROM observations WHERE NOT deleted AND lower(text) LIKE '%and%' ORDER BY created_at DESC, id LIMIT 20), d AS (SELECT 'diary' AS target_type, id FROM diaries WHERE NOT deleted AND lower(text) LIKE '%and%' ORDER BY created_at DESC, id LIMIT 20) SELECT * FROM o UNION ALL SELECT * FROM d")
+def union_fallback(spark, sf_dir):
+    def part(df, kind):
+        return relational.like_any(relational.active(df, "deleted"), "text", ["and"]).orderBy(F.desc("created_at"), "id").limit(20).select(F.lit(kind).alias("target_type"), "id")
+
+    return part(model.observations(spark, sf_dir), "memory").unionByName(part(model.diaries(spark, sf_dir), "diary"))
+
+
+@query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return stream.windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("latest_event", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_event(spark, sf_dir):
+    return stream.latest_by_user(table(spark, sf_dir, "events"))
+
+
+# Search -----------------------------------------------------------------------------------------
+
+
+@query("bm25_topk", f"WITH {_MODEL}, {_VISIBLE}, {_bm25(_INDEX, 'visible')} SELECT target_type, id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, target_type, id LIMIT 40")
+def bm25_topk(spark, sf_dir):
+    found = search.bm25(visible_documents(spark, sf_dir), _INDEX)
+    return found.orderBy(F.desc("rank"), "target_type", "id").limit(40).select("target_type", "id", F.round("rank", 6).alias("rank"))
+
+
+def _search_sql(per_type: int, limit: int, recall: bool) -> str:
+    gate = "WHERE target_type <> 'diary'" if recall else ""
+    delta = f"score + ({_DELTA})" if recall else "score"
+    return f"""WITH {_MODEL}, {_VISIBLE}, {_bm25(_INDEX, 'visible')},
+found AS (SELECT * FROM ranked ORDER BY rank DESC, target_type, id LIMIT {4 * limit}),
+scored AS (SELECT *, {_hits("coalesce(path, '') || chr(10) || text", TERMS)} AS lexical, {_SCORE.format(vector="0")} AS score FROM found),
+typed AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY {_ORDER}) AS r FROM scored),
+pruned AS (SELECT * FROM typed WHERE r <= {per_type} ORDER BY {_ORDER} LIMIT {2 * limit}),
+judged AS (SELECT * REPLACE ({delta} AS score) FROM pruned {gate})
+SELECT target_type, id, path, CAST(lexical AS INTEGER) AS lexical, CAST(score AS BIGINT) AS score FROM judged ORDER BY {_ORDER} LIMIT {limit}"""
+
+
+@query("search_results", _search_sql(6, 10, False))
+def search_results(spark, sf_dir):
+    """The flagship: ranked search over sections, notes and diaries."""
+    return search.search(visible_documents(spark, sf_dir), QUERY, 10, NOW)
+
+
+@query("recall_results", _search_sql(4, 20, True))
+def recall_results(spark, sf_dir):
+    return search.search(visible_documents(spark, sf_dir), QUERY, 20, NOW, mode="recall")
+
+
+@query("prune_per_type", f"WITH {_MODEL}, s AS (SELECT target_type, id, updated_at, CAST(length(text) AS BIGINT) AS score FROM retrieval), t AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY {_ORDER}) AS r FROM s) SELECT target_type, id, score FROM t WHERE r <= 4 ORDER BY {_ORDER} LIMIT 20")
+def prune_per_type(spark, sf_dir):
+    rows = model.retrieval_documents(spark, sf_dir).select("target_type", "id", "updated_at", F.length("text").cast("long").alias("score"))
+    return search.prune(rows, 4, 10).select("target_type", "id", "score")
+
+
+_VECTOR = [((i * 37) % 19 - 9) / 10.0 for i in range(64)]
+_VECTOR_SQL = "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in _VECTOR) + "]"
+_NEAR = f"near AS (SELECT vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VECTOR_SQL}) AS distance FROM embeddings)"
+
+
+@query("knn_exact", f"WITH {_NEAR} SELECT vec_id, round(distance, 6) AS distance FROM near ORDER BY near.distance, vec_id LIMIT 20")
+def knn_exact(spark, sf_dir):
+    return search.nearest(table(spark, sf_dir, "embeddings"), _VECTOR, 20).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("hybrid_search", f"""WITH {_MODEL}, {_VISIBLE}, {_bm25(_INDEX, 'visible')}, {_NEAR},
+lexical AS (SELECT target_type, id, path, source_role, text, updated_at FROM ranked ORDER BY rank DESC, target_type, id LIMIT 40),
+n AS (SELECT vec_id, greatest(0, least(1, 1 - distance / 2)) AS vector FROM near ORDER BY near.distance, vec_id LIMIT 40),
+extra AS (SELECT v.target_type, v.id, v.path, v.source_role, v.text, v.updated_at FROM visible v JOIN n ON n.vec_id = v.id AND v.target_type = 'section' WHERE NOT EXISTS (SELECT 1 FROM lexical l WHERE l.target_type = v.target_type AND l.id = v.id)),
+every AS (SELECT e.*, n.vector FROM (SELECT * FROM lexical UNION ALL SELECT * FROM extra) e LEFT JOIN n ON n.vec_id = e.id AND e.target_type = 'section'),
+scored AS (SELECT *, {_hits("coalesce(path, '') || chr(10) || text", TERMS)} AS lexical, {_SCORE.format(vector="coalesce(vector, 0)")} AS score FROM every),
+typed AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY {_ORDER}) AS r FROM scored)
+SELECT target_type, id, CAST(lexical AS INTEGER) AS lexical, round(vector, 6) AS vector, score FROM (SELECT * FROM typed WHERE r <= 6 ORDER BY {_ORDER} LIMIT 20) ORDER BY {_ORDER} LIMIT 10""")
+def hybrid_search(spark, sf_dir):
+    return search.hybrid(visible_documents(spark, sf_dir), table(spark, sf_dir, "embeddings"), QUERY, _VECTOR, 10, NOW)
+
+
+@query("fallback_tiers", f"WITH {_MODEL} SELECT 'memory' AS target_type, id, 2 AS tier FROM observations WHERE NOT deleted AND lower(text) LIKE '%the%'")
+def fallback_tiers(spark, sf_dir):
+    none = model.observations(spark, sf_dir).filter("text = 'no such text'").select(F.lit("section").alias("target_type"), "id")
+    notes = relational.like_any(relational.active(model.observations(spark, sf_dir), "deleted"), "text", ["the"]).select(F.lit("memory").alias("target_type"), "id")
+    last = model.diaries(spark, sf_dir).select(F.lit("diary").alias("target_type"), "id")
+    return search.tiers(none, notes, last)
+
+
+@query("vector_freshness", f"WITH {_MODEL} SELECT s.id, CASE WHEN e.vec_id IS NULL THEN 'needs_embedding' WHEN s.id % 4 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM sections s LEFT JOIN embeddings e ON e.vec_id = s.id")
+def vector_freshness(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")).join(s.select("id", F.sha2(F.concat(F.when(F.col("id") % 4 == 0, "old:").otherwise("model-a:"), "text"), 256).alias("hash")), "id")
+    now = F.sha2(F.concat(F.lit("model-a:"), "text"), 256)
+    return s.join(stored, "id", "left").select("id", F.when(F.col("hash").isNull(), "needs_embedding").when(F.col("hash") != now, "stale").otherwise("fresh").alias("state"))
+
+
+# Graph ------------------------------------------------------------------------------------------
+
+_GRAPH = """
+entities AS (
+  SELECT 'region:' || r_regionkey AS id, 'region' AS type, r_name AS name, 'region of nations' AS summary FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name, 'nation of customers' FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, c_mktsegment FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 'supplier' FROM supplier),
+keys AS (
+  SELECT 'rn/' || n_nationkey AS id, 'region:' || n_regionkey AS subject_id, 'nation:' || n_nationkey AS object_id, n_nationkey AS k FROM nation
+  UNION ALL SELECT 'nc/' || c_custkey, 'nation:' || c_nationkey, 'customer:' || c_custkey, c_custkey FROM customer
+  UNION ALL SELECT 'ns/' || s_suppkey, 'nation:' || s_nationkey, 'supplier:' || s_suppkey, s_suppkey FROM supplier),
+relations AS (SELECT id, subject_id, object_id, CASE k % 10 WHEN 7 THEN 'superseded' WHEN 8 THEN 'invalidated' ELSE 'active' END AS status FROM keys)"""
+_ALIASES = "aliases AS (SELECT DISTINCT id AS entity_id, unnest([" + ", ".join([_ALIAS.format("name"), f"replace({_ALIAS.format('name')}, ' ', '-')", f"replace({_ALIAS.format('name')}, ' ', '_')"]) + "]) AS value FROM entities)"
+
+
+@query("entity_search", f"WITH {_GRAPH}, {_ALIASES}, s AS (SELECT e.id, e.name, CASE WHEN lower(name) IN ('asia', 'building') THEN 4 ELSE 0 END + CASE WHEN contains(lower(name), 'asia') OR contains(lower(name), 'building') THEN 3 ELSE 0 END + CASE WHEN contains(lower(summary), 'asia') OR contains(lower(summary), 'building') THEN 1 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM aliases a WHERE a.entity_id = e.id AND (contains(value, 'asia') OR contains(value, 'building'))) THEN 3 ELSE 0 END AS score FROM entities e) SELECT id, name, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 5")
+def entity_search(spark, sf_dir):
+    e = model.entities(spark, sf_dir)
+    return graph.search_entities(e, graph.aliases(e), ["asia", "building"], 5)
+
+
+@query("alias_match", f"WITH {_GRAPH}, {_ALIASES} SELECT DISTINCT v.value, a.entity_id FROM (SELECT c_name AS value FROM customer WHERE c_custkey % 5 = 0) v JOIN aliases a ON a.value = {_ALIAS.format('v.value')}")
+def alias_match(spark, sf_dir):
+    e = model.entities(spark, sf_dir)
+    return graph.match_aliases(table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(F.col("c_name").alias("value")), graph.aliases(e))
+
+
+@query("neighbors_depth2", f"""WITH RECURSIVE {_GRAPH},
+edges AS (SELECT subject_id AS src, object_id AS dst, id AS rel FROM relations WHERE status = 'active' UNION ALL SELECT object_id, subject_id, id FROM relations WHERE status = 'active'),
+walk(origin_id, entity_id, depth, rel, seen) AS (
+  SELECT e.id, e.id, 0, '', [e.id] FROM entities e WHERE e.type = 'region'
+  UNION ALL SELECT w.origin_id, x.dst, w.depth + 1, x.rel, list_append(w.seen, x.dst) FROM walk w JOIN edges x ON x.src = w.entity_id WHERE w.depth < 2 AND NOT list_contains(w.seen, x.dst)),
+named AS (SELECT w.*, row_number() OVER (PARTITION BY origin_id ORDER BY depth, e.name, w.rel, w.entity_id) AS n FROM walk w JOIN entities e ON e.id = w.entity_id WHERE depth > 0)
+SELECT origin_id, entity_id, depth, rel AS relation_id, CAST(n AS INTEGER) AS n FROM named WHERE n <= 8""")
+def neighbors_depth2(spark, sf_dir):
+    e = model.entities(spark, sf_dir)
+    return graph.walk(e.filter("type = 'region'").select(F.col("id").alias("origin_id")), model.relations(spark, sf_dir), e, 2, 8)
+
+
+@query("history_ranked", f"WITH {_GRAPH}, o AS (SELECT id AS origin_id FROM entities WHERE type = 'nation'), h AS (SELECT o.origin_id, r.id, r.status FROM o JOIN relations r ON r.subject_id = o.origin_id WHERE r.status <> 'active' UNION SELECT o.origin_id, r.id, r.status FROM o JOIN relations r ON r.object_id = o.origin_id WHERE r.status <> 'active'), k AS (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY id) AS n FROM h) SELECT origin_id, id AS relation_id, status, CAST(n AS INTEGER) AS n FROM k WHERE n <= 10")
+def history_ranked(spark, sf_dir):
+    origins = model.entities(spark, sf_dir).filter("type = 'nation'").select(F.col("id").alias("origin_id"))
+    return graph.history(origins, model.relations(spark, sf_dir), 10)
+
+
+@query("supersede", f"WITH {_GRAPH} SELECT id, CASE WHEN status = 'active' AND subject_id IN ('nation:1', 'nation:2') THEN 'superseded' ELSE status END AS status, CASE WHEN status = 'active' AND subject_id IN ('nation:1', 'nation:2') THEN TIMESTAMP '{NOW}' END AS valid_to, CASE WHEN status = 'active' AND subject_id IN ('nation:1', 'nation:2') THEN 'decision:9' END AS superseded_by FROM relations")
+def supersede(spark, sf_dir):
+    by = spark.createDataFrame([("nation:1", "decision:9"), ("nation:2", "decision:9")], "subject_id string, decision_id string")
+    return graph.supersede(model.relations(spark, sf_dir), F.broadcast(by), NOW).select("id", "status", "valid_to", "superseded_by")
+
+
+@query("graph_delete", f"WITH {_GRAPH} SELECT id FROM relations WHERE subject_id NOT IN ('nation:3') AND object_id NOT IN ('nation:3')")
+def graph_delete(spark, sf_dir):
+    gone = model.entities(spark, sf_dir).filter("id = 'nation:3'")
+    return graph.delete_entities(model.relations(spark, sf_dir), gone).select("id")
+
+
+@query("graph_boost", "WITH r AS (SELECT o_custkey % 50 AS result_id, 'customer:' || o_custkey AS entity_id FROM orders), g AS (SELECT DISTINCT 'customer:' || c_custkey AS entity_id FROM customer WHERE c_nationkey < 3) SELECT result_id, count(DISTINCT r.entity_id) AS related, CAST(least(45, 15 * count(DISTINCT r.entity_id)) AS BIGINT) AS boost FROM r JOIN g ON g.entity_id = r.entity_id GROUP BY result_id")
+def graph_boost(spark, sf_dir):
+    customer = F.concat(F.lit("customer:"), F.col("o_custkey").cast("string"))
+    results = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("result_id"), customer.alias("entity_id"))
+    known = table(spark, sf_dir, "customer").filter("c_nationkey < 3").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    return graph.boosts(results, known)
+
+
+@query("evidence_projection", f"WITH {_GRAPH}, {_ALIASES}, c AS (SELECT o_orderkey AS note_id, 'source' AS field, c_name AS value, 1.0 AS confidence FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT o_orderkey, 'tag', n_name, 0.8 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), m AS (SELECT c.note_id, a.entity_id, c.confidence, c.field, a.value AS form FROM c JOIN aliases a ON a.value = {_ALIAS.format('c.value')}) SELECT note_id, entity_id, CAST(max(confidence) AS DOUBLE) AS confidence, array_to_string(list_sort(list(DISTINCT field)), ',') AS fields, array_to_string(list_sort(list(DISTINCT form)), ',') AS evidence FROM m GROUP BY note_id, entity_id")
+def evidence_projection(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    bought = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    pick = lambda field, value, c: bought.filter(F.col(value).isNotNull()).select(F.col("o_orderkey").alias("note_id"), F.lit(field).alias("field"), F.col(value).alias("value"), F.lit(c).alias("confidence"))
+    return graph.strongest_evidence(pick("source", "c_name", 1.0).unionByName(pick("tag", "n_name", 0.8)), graph.aliases(model.entities(spark, sf_dir)))
+
+
+# Composites -------------------------------------------------------------------------------------
+
+
+@query("warmup_guidance", None)
+def warmup_guidance(spark, sf_dir):
+    return durable.guidance(relational.active(model.observations(spark, sf_dir), "deleted"))
+
+
+def _points(words: str, points: int) -> str:
+    return f"CASE WHEN regexp_matches(lower(text), '{text.bounded(words)}') THEN {points} ELSE 0 END"
+
+
+ORACLES["warmup_guidance"] = f"""WITH {_MODEL}, n AS (SELECT * FROM observations WHERE NOT deleted ORDER BY created_at DESC, id LIMIT 120),
+g AS (SELECT id, CASE kind WHEN 'constraint' THEN 'constraint' WHEN 'decision' THEN 'decision' WHEN 'preference' THEN 'convention' END AS kind, text FROM n WHERE text IS NOT NULL),
+s AS (SELECT *, CASE kind WHEN 'constraint' THEN 90 WHEN 'convention' THEN 70 ELSE 60 END + {_points(scores.GUIDANCE_STRONG, 18)} + {_points(scores.GUIDANCE_TOPIC, 8)} + CASE WHEN length(text) <= 180 THEN 8 WHEN length(text) > 280 THEN -12 ELSE 0 END + {_points(scores.GUIDANCE_PLAN, -20)} + CASE WHEN regexp_matches(lower(text), '^({scores.GUIDANCE_LOG_START})([^a-z0-9_]|$)') OR regexp_matches(lower(text), '{text.bounded(scores.GUIDANCE_LOG)}') THEN -80 ELSE 0 END AS score FROM g WHERE kind IS NOT NULL)
+SELECT id, kind, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY score DESC, CASE kind WHEN 'constraint' THEN 0 WHEN 'convention' THEN 1 ELSE 2 END, length(text), id LIMIT 8"""
+
+
+@query("warmup_highlights", f"""WITH {_MODEL}, {_VISIBLE}, o AS (SELECT *, CASE target_type WHEN 'module' THEN 0 WHEN 'section' THEN 1 ELSE 2 END AS a, CASE source_role WHEN 'app_code' THEN 0 WHEN 'package_config' THEN 1 WHEN 'test_code' THEN 2 WHEN 'product_doc' THEN 3 ELSE 4 END AS b FROM visible),
+f AS (SELECT * FROM o ORDER BY a, b, updated_at DESC, target_type, id LIMIT 40),
+s AS (SELECT *, CASE target_type WHEN 'module' THEN 80 WHEN 'section' THEN 60 ELSE 40 END + CASE source_role WHEN 'app_code' THEN 35 WHEN 'package_config' THEN 30 WHEN 'test_code' THEN 25 WHEN 'product_doc' THEN 15 ELSE 5 END + {_RECENCY.format('updated_at', '10')} - ceil({_TOKENS.format('text')} / 160.0) AS score FROM f)
+SELECT target_type, id, CAST(score AS BIGINT) AS score FROM s ORDER BY s.score DESC, a, b, updated_at DESC, target_type, id LIMIT 12""")
+def warmup_highlights(spark, sf_dir):
+    return durable.highlights(visible_documents(spark, sf_dir), NOW)
+
+
+@query("token_budget", f"""WITH RECURSIVE {_MODEL}, s AS (SELECT id, CAST(length(text) // 40 + 1 AS BIGINT) AS cost, row_number() OVER (ORDER BY confidence DESC, id) AS n FROM observations),
+f(n, id, used, kept) AS (SELECT n, id, cost, true FROM s WHERE n = 1 UNION ALL SELECT s.n, s.id, CASE WHEN f.used + s.cost <= 100 THEN f.used + s.cost ELSE f.used END, f.used + s.cost <= 100 FROM f JOIN s ON s.n = f.n + 1)
+SELECT f.id, s.cost FROM f JOIN s ON s.n = f.n WHERE kept""")
+def token_budget(spark, sf_dir):
+    rows = model.observations(spark, sf_dir).select("id", (F.floor(F.length("text") / 40) + 1).cast("long").alias("cost"), "confidence")
+    return search.within_budget(rows, "cost", [F.desc("confidence"), F.col("id")], 100).select("id", "cost")
+
+
+@query("prefix_budget", f"WITH {_MODEL}, s AS (SELECT id, CAST(length(text) // 40 + 1 AS BIGINT) AS cost FROM observations), r AS (SELECT *, sum(cost) OVER (ORDER BY id) AS t FROM s) SELECT id, cost FROM r WHERE t <= 100")
+def prefix_budget(spark, sf_dir):
+    rows = model.observations(spark, sf_dir).select("id", (F.floor(F.length("text") / 40) + 1).cast("long").alias("cost"))
+    return durable.prefix_budget(rows, "cost", [F.col("id")], 100)
+
+
+@query("recall_quality", None)
+def recall_quality(spark, sf_dir):
+    return search.quality(recall_results(spark, sf_dir))
+
+
+ORACLES["recall_quality"] = f"SELECT CASE WHEN max(score) >= 200 AND count(DISTINCT coalesce(path, CAST(id AS VARCHAR))) >= 2 THEN 'strong' WHEN max(score) >= 80 THEN 'partial' ELSE 'weak' END AS quality, count(DISTINCT coalesce(path, CAST(id AS VARCHAR))) AS targets FROM ({_search_sql(4, 20, True)})"
+
+
+def _marked(spark, sf_dir, head: str):
+    """Files whose lines are their documents' lines, every third of them marked."""
+    lines = F.split("text", "\n")
+    marked = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 1, F.concat(F.lit(head), x)).otherwise(x)), "\n")
+    return docs(spark, sf_dir).select(F.concat(F.lit("docs/f"), F.col("doc_id").cast("string")).alias("path"), marked.alias("text"))
+
+
+@query("markdown_sections", rf"""WITH l AS (SELECT 'docs/f' || doc_id AS path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+m AS (SELECT path, i, CASE WHEN i % 3 = 1 THEN '## ' || x ELSE x END AS x, sum(CASE WHEN regexp_matches(CASE WHEN i % 3 = 1 THEN '## ' || x ELSE x END, '^#{{1,6}}[ \t]+') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS part FROM l),
+s AS (SELECT path, part, array_to_string(list(x ORDER BY i), chr(10)) AS content, first(x ORDER BY i) AS head FROM m GROUP BY path, part),
+k AS (SELECT path, content, head, part FROM s WHERE {_SQUEEZE.format('content')} <> '')
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY part) - 1 AS INTEGER) AS index, CASE WHEN regexp_extract(head, '^#{{1,6}}[ \t]+([^\n]*)', 1) <> '' THEN regexp_replace(regexp_replace(lower({_SQUEEZE.format("regexp_extract(head, '^#{{1,6}}[ ]+([^' || chr(10) || ']*)', 1)").replace('{{', '{').replace('}}', '}')}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') ELSE 'file' END AS anchor, len({_WORDS.format('content')}) AS n_words FROM k""")
+def markdown_sections(spark, sf_dir):
+    return sectioning.markdown(_marked(spark, sf_dir, "## ")).select("path", "index", "anchor", F.size(text.words(F.col("content"))).cast("long").alias("n_words"))
+
+
+@query("code_sections", None)
+def code_sections(spark, sf_dir):
+    return sectioning.code(_marked(spark, sf_dir, "export function f")).select("path", "index", "anchor", "start_line", "end_line")
+
+
+ORACLES["code_sections"] = rf"""WITH l AS (SELECT 'docs/f' || doc_id AS path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+m AS (SELECT path, i, CASE WHEN i % 3 = 1 THEN 'export function f' || x ELSE x END AS x FROM l),
+s AS (SELECT *, regexp_extract(x, '{sectioning.DECLARATION}', 2) AS symbol FROM m),
+p AS (SELECT *, sum(CASE WHEN symbol <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS part FROM s),
+g AS (SELECT path, part, coalesce(max(nullif(symbol, '')), 'file') AS anchor, min(i) + 1 AS start_line, max(i) + 1 AS end_line, array_to_string(list(x ORDER BY i), chr(10)) AS content FROM p GROUP BY path, part)
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY part) - 1 AS INTEGER) AS index, anchor, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM g WHERE {_SQUEEZE.format('content')} <> ''"""
+
+
+@query("json_sections", None)
+def json_sections(spark, sf_dir):
+    files = table(spark, sf_dir, "events").select(F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("text"))
+    return sectioning.json_keys(files)
+
+
+ORACLES["json_sections"] = "SELECT 'e/' || event_id || '.json' AS path, 0 AS index, 'k' AS anchor, json_extract_string(props, '$.k') AS content FROM events"
+
+
+@query("recall_package", None)
+def recall_package(spark, sf_dir):
+    """The recalled rows that fit the budget, with excerpts, each target once."""
+    found = recall_results(spark, sf_dir)
+    texts = visible_documents(spark, sf_dir).select("target_type", "id", "text")
+    rows = texts.join(F.broadcast(found), ["target_type", "id"]).withColumn("excerpt", text.excerpt(F.col("text"))).drop("text")
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("target_type", "path", F.substring("excerpt", 1, 120)).orderBy(F.desc("score"), "id"))).filter("_n = 1").drop("_n")
+    costed = once.withColumn("cost", F.ceil(F.length("excerpt") / 4).cast("long"))
+    return search.within_budget(costed, "cost", [F.desc("score"), F.col("target_type"), F.col("id")], 2000)
