@@ -198,7 +198,8 @@ def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col:
     group and stay.
     """
     kept = near_duplicates(docs, radius, id_col, text_col).select(F.col("component_id").alias("_kept")).filter("_kept is not null").distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    named = docs.filter(F.col(id_col).isNotNull())
+    named = named.join(kept, named[id_col].cast("long") == kept["_kept"], "left_semi")
     columns = named.columns
-    first = named.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*columns), F.struct(F.coalesce(F.col(text_col), F.lit("")))).alias("_row"))
-    return first.select(*[F.col("_row").getField(c).alias(c) for c in columns]).unionByName(docs.filter(F.col(id_col).isNull()))
+    first = named.groupBy(F.col(id_col)).agg(F.min_by(F.struct(*columns), F.coalesce(F.col(text_col), F.lit("")))).toDF("id", "row")
+    return first.select(*[F.col("row").getField(c).alias(c) for c in columns]).unionByName(docs.filter(F.col(id_col).isNull()))
