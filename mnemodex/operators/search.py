@@ -37,12 +37,11 @@ def bm25(docs: DataFrame, wanted: list[str], column: str = "text") -> DataFrame:
     Terms are counted in the row, so the postings of all other words are never made: one scan gives the
     statistics (a single row) and one the ranks, and neither shuffles texts.
     """
-    tokens = index_tokens(F.col(column))
-    counted = docs.withColumn("_t", tokens).withColumn("_n", F.size("_t"))
-    times = lambda term: F.size(F.filter("_t", lambda t: t == F.lit(term)))
-    for i, term in enumerate(wanted):
-        counted = counted.withColumn(f"_f{i}", times(term))
-    counted = counted.drop("_t")
+    # The lambda and the generator see to it that a text is cut once, and not again for every term and filter.
+    once = F.transform(F.array(index_tokens(F.col(column))), lambda t: F.struct(F.size(t).alias("_n"), F.filter(t, lambda x: x.isin(wanted)).alias("_hits")))
+    counted = docs.select("*", F.inline(once))
+    times = lambda term: F.size(F.filter("_hits", lambda t: t == F.lit(term)))
+    counted = counted.select("*", *[times(term).alias(f"_f{i}") for i, term in enumerate(wanted)]).drop("_hits")
     found = [F.sum((F.col(f"_f{i}") > 0).cast("long")) for i in range(len(wanted))]
     total, mean, *df = counted.agg(F.count(F.lit(1)), F.avg("_n"), *found).first()
     if not total:
