@@ -18,7 +18,9 @@ from mnemodex.llm.common import cut
 from mnemodex.llm.components import connected_components
 from mnemodex.llm.vectors import matrix, usable
 
-CELL, BLOCK, MOST_PIVOTS = 8192, 4096, 256
+CELL, MOST_PIVOTS = 8192, 256
+#: Bytes of the vectors that a task compares a block of a cell's own vectors with; that block has a quarter of them.
+BLOCK_BYTES = 16_000_000
 TILE = 1024
 #: Distances are taken a little larger than they are, so that rounding never hides a partner.
 SLACK = 1e-6
@@ -113,14 +115,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         cells = cells.join(same.select("class", "copies"), "class")
         placed = cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("members"))
         cells = cells.join(F.broadcast(placed), "cell")  # at most MOST_PIVOTS rows
-        spread = lambda total: F.ceil(F.col(total) / BLOCK).cast("int")
-        i = F.when(F.col("home"), F.pmod(F.xxhash64("class"), spread("homes")).cast("int"))
-        j = F.pmod(F.xxhash64("class", F.lit(5)), spread("members")).cast("int")
+        block = max(4, BLOCK_BYTES // (8 * dim))
+        homes, members = F.ceil(F.col("homes") / (block // 4)).cast("int"), F.ceil(F.col("members") / block).cast("int")
+        i = F.when(F.col("home"), F.pmod(F.xxhash64("class"), homes).cast("int"))
+        j = F.pmod(F.xxhash64("class", F.lit(5)), members).cast("int")
         cells = cells.withColumn("i", i).withColumn("j", j)
         # A home row meets every block of members, and every member meets each block of home rows.
         pairs = F.array_union(
-            F.when(F.col("home"), F.transform(F.sequence(F.lit(0), spread("members") - 1), lambda y: F.struct(F.col("i").alias("x"), y.alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>")),
-            F.when(F.col("homes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(spread("homes") - 1, F.lit(0))), lambda x: F.struct(x.alias("x"), F.col("j").alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>")),
+            F.when(F.col("home"), F.transform(F.sequence(F.lit(0), members - 1), lambda y: F.struct(F.col("i").alias("x"), y.alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>")),
+            F.when(F.col("homes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(homes - 1, F.lit(0))), lambda x: F.struct(x.alias("x"), F.col("j").alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>")),
         )
         dealt = cells.withColumn("p", F.explode(pairs)).select("cell", F.col("p.x").alias("bx"), F.col("p.y").alias("by"), "class", "v", "copies", (F.col("home") & (F.col("i") == F.col("p.x"))).alias("left"), (F.col("j") == F.col("p.y")).alias("right"))
         dealt = dealt.groupBy("cell", "bx", "by").applyInArrow(_join(cosine), "class long, root long, links long")

@@ -182,7 +182,7 @@ def test_vectors_over_several_cells_and_blocks(spark, monkeypatch):
     import mnemodex.llm.near_vectors as module
 
     monkeypatch.setattr(module, "CELL", 20)
-    monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(module, "BLOCK_BYTES", 32 * 64)
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(size=8) + np.zeros((25, 8)) for _ in range(8)]) + rng.normal(size=(200, 8)) * 0.15
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
