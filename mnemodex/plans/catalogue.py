@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemodex.functions import scores, text
-from mnemodex.operators import durable, graph, relational, search, sectioning
+from mnemodex.operators import durable, graph, projection, relational, search, sectioning
 from mnemodex.sources import model
 from mnemodex.sources.files import skip_reason
 from mnemodex.sources.model import NOW, table
@@ -609,3 +609,106 @@ def recall_package(spark, sf_dir):
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("target_type", "path", F.substring("excerpt", 1, 120)).orderBy(F.desc("score"), "id"))).filter("_n = 1").drop("_n")
     costed = once.withColumn("cost", F.ceil(F.length("excerpt") / 4).cast("long"))
     return search.within_budget(costed, "cost", [F.desc("score"), F.col("target_type"), F.col("id")], 2000)
+
+
+# Extraction -------------------------------------------------------------------------------------
+
+
+@query("count_by_type", f"WITH {_MODEL} SELECT target_type, count(*) AS n, count(*) FILTER (NOT inactive) AS active FROM retrieval GROUP BY target_type")
+def count_by_type(spark, sf_dir):
+    rows = model.retrieval_documents(spark, sf_dir)
+    return rows.groupBy("target_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("inactive")).alias("active"))
+
+
+@query("section_lines", rf"""WITH {_MODEL} SELECT id, 'text section from ' || path || '#a: ' || substr(trim(string_split(regexp_replace(text, '^\s+', ''), chr(10))[1], ' '), 1, 120) AS line FROM sections""")
+def section_lines(spark, sf_dir):
+    return model.sections(spark, sf_dir).select("id", projection.section_line(F.lit("text"), F.col("path"), F.lit("a"), F.col("text")).alias("line"))
+
+
+@query("module_topics", f"WITH {_MODEL} SELECT id, array_to_string(list_filter(string_split_regex(lower(path), '[/._-]+'), lambda w: length(w) > 2)[1:8], ',') AS topics FROM sections")
+def module_topics(spark, sf_dir):
+    return model.sections(spark, sf_dir).select("id", F.array_join(projection.module_topics(F.col("path")), ",").alias("topics"))
+
+
+@query("taxonomy", rf"""WITH {_MODEL}, p AS (SELECT string_split(path, '/') AS parts FROM sections), n AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS depth FROM p),
+d AS (SELECT DISTINCT array_to_string(parts[1:depth], '/') AS node, depth FROM n) SELECT node, CASE WHEN depth > 1 THEN regexp_replace(node, '/[^/]*$', '') END AS parent, string_split(node, '/')[-1] AS name, CAST(depth AS INTEGER) AS depth FROM d""")
+def taxonomy(spark, sf_dir):
+    return projection.taxonomy(model.sections(spark, sf_dir))
+
+
+@query("taxonomy_siblings", "SELECT a.n_nationkey AS id, b.n_nationkey AS sibling FROM nation a JOIN nation b ON a.n_regionkey IS NOT DISTINCT FROM b.n_regionkey AND a.n_nationkey <> b.n_nationkey AND lower(substr(a.n_name, 1, 1)) = lower(substr(b.n_name, 1, 1))")
+def taxonomy_siblings(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lower(F.substring("n_name", 1, 1)).alias("name"))
+    a, b = n.select(F.col("n_nationkey").alias("id"), "n_regionkey", "name"), n.select(F.col("n_nationkey").alias("sibling"), F.col("n_regionkey").alias("parent"), F.col("name").alias("other"))
+    return a.join(b, F.col("n_regionkey").eqNullSafe(F.col("parent")) & (F.col("name") == F.col("other")) & (F.col("id") != F.col("sibling"))).select("id", "sibling")
+
+
+@query("suppressed_ingest", f"WITH {_MODEL}, gone AS (SELECT path, content_hash FROM sections WHERE suppressed OR deleted) SELECT id FROM sections s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.path = s.path AND g.content_hash = s.content_hash)")
+def suppressed_ingest(spark, sf_dir):
+    s = model.sections(spark, sf_dir)
+    return relational.without(s, s.filter("suppressed or deleted"), ["path", "content_hash"]).select("id")
+
+
+@query("run_actions", _DIFF + "SELECT path, CASE change WHEN 'deleted' THEN 'clear' WHEN 'unchanged' THEN 'keep' ELSE 'read' END AS changed_mode, CASE change WHEN 'deleted' THEN 'clear' ELSE 'read' END AS full_mode, CASE change WHEN 'deleted' THEN 'clear' WHEN 'added' THEN 'read' ELSE 'keep' END AS resume_mode FROM diff")
+def run_actions(spark, sf_dir):
+    diff = _diff(spark, sf_dir)
+    parts = [projection.plan_run(diff, m).withColumnRenamed("action", f"{m}_mode") for m in ("changed", "full", "resume")]
+    return parts[0].join(parts[1], "path").join(parts[2], "path")
+
+
+@query("affected_modules", _DIFF + "SELECT DISTINCT split_part(path, '/', 1) AS module_path FROM diff WHERE change <> 'unchanged'")
+def affected_modules(spark, sf_dir):
+    return projection.affected_modules(_diff(spark, sf_dir))
+
+
+_FILE_ID = "'ent_' || substr(sha256('file:' || " + _ALIAS.format("path") + "), 1, 32)"
+_SYMBOL_ID = "'ent_' || substr(sha256('symbol:' || " + _ALIAS.format("(path || '#' || anchor)") + "), 1, 32)"
+_SYMBOLS = "marked AS (SELECT path, 'sym' || id % 7 AS anchor, CASE WHEN id % 2 = 0 THEN 'symbol' ELSE 'file' END AS anchor_type FROM sections)"
+
+
+def _symbols(spark, sf_dir):
+    return model.sections(spark, sf_dir).select("path", F.concat(F.lit("sym"), (F.col("id") % 7).cast("string")).alias("anchor"), F.when(F.col("id") % 2 == 0, "symbol").otherwise("file").alias("anchor_type"))
+
+
+@query("file_graph_nodes", f"WITH {_MODEL}, {_SYMBOLS} SELECT {_FILE_ID} AS id, 'file' AS type, path AS name, path FROM (SELECT DISTINCT path FROM marked) UNION ALL SELECT {_SYMBOL_ID}, 'symbol', anchor, path FROM (SELECT DISTINCT path, anchor FROM marked WHERE anchor_type = 'symbol')")
+def file_graph_nodes(spark, sf_dir):
+    return projection.file_graph(_symbols(spark, sf_dir))[0]
+
+
+@query("file_graph_edges", f"WITH {_MODEL}, {_SYMBOLS}, e AS (SELECT DISTINCT {_FILE_ID} AS subject_id, 'defines' AS predicate, {_SYMBOL_ID} AS object_id FROM marked WHERE anchor_type = 'symbol') SELECT 'rel_' || substr(sha256(subject_id || ':' || predicate || ':' || object_id), 1, 32) AS id, * FROM e")
+def file_graph_edges(spark, sf_dir):
+    return projection.file_graph(_symbols(spark, sf_dir))[1]
+
+
+@query("vector_parity", "SELECT len(embedding) AS dimensions, count(*) AS vectors, count(DISTINCT vec_id) AS targets FROM embeddings GROUP BY 1")
+def vector_parity(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").cast("long").alias("dimensions")).agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("vec_id").alias("targets"))
+
+
+@query("stale_sources", f"WITH {_MODEL} SELECT id, epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at) > 240 * 3600000000 AS stale FROM sections")
+def stale_sources(spark, sf_dir):
+    return model.sections(spark, sf_dir).select("id", projection.stale(F.col("updated_at"), NOW, 240).alias("stale"))
+
+
+@query("json_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS n FROM events")
+def json_lists(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, F.lit('["a", "b"]')).when(F.col("event_id") % 3 == 1, F.lit("[broken")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.size(projection.string_list(raw)).alias("n"))
+
+
+@query("export_rows", f"WITH {_MODEL} SELECT id, kind, sha256(text) AS content_hash, CAST(confidence AS DOUBLE) AS confidence FROM observations WHERE NOT deleted")
+def export_rows(spark, sf_dir):
+    return relational.active(model.observations(spark, sf_dir), "deleted").select("id", "kind", F.sha2("text", 256).alias("content_hash"), F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("result_entities", f"WITH {_GRAPH}, {_ALIASES}, r AS (SELECT o_orderkey AS result_id, c_name AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 20 = 0) SELECT DISTINCT r.result_id, a.entity_id FROM r JOIN aliases a ON a.value = {_ALIAS.format('r.value')}")
+def result_entities(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    results = t("orders").filter("o_orderkey % 20 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("result_id"), F.col("c_name").alias("value"))
+    met = graph.match_aliases(results.select("value").distinct(), graph.aliases(model.entities(spark, sf_dir)))
+    return results.join(met, "value").select("result_id", "entity_id").distinct()
+
+
+@query("embedded_texts", None)
+def embedded_texts(spark, sf_dir):
+    return projection.embed(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "vector")

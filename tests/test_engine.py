@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemodex.functions import text
-from mnemodex.operators import durable, graph, relational, search, sectioning
+from mnemodex.operators import durable, graph, projection, relational, search, sectioning
 from mnemodex.sources import files
 from mnemodex.streaming import events
 
@@ -133,3 +134,29 @@ def test_stream_gives_the_batch_counts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, events.windowed_counts(df).collect()))
+
+
+def test_projection(spark):
+    df = spark.createDataFrame([("src/a.ts", "alpha", "symbol"), ("src/a.ts", "alpha", "symbol"), ("b.md", "intro", "heading")], "path string, anchor string, anchor_type string")
+    nodes, edges = projection.file_graph(df)
+    assert sorted((r.type, r.name) for r in nodes.collect()) == [("file", "b.md"), ("file", "src/a.ts"), ("symbol", "alpha")]
+    edge = edges.first()
+    ids = {r.name: r.id for r in nodes.collect()}
+    assert (edge.subject_id, edge.predicate, edge.object_id) == (ids["src/a.ts"], "defines", ids["alpha"])
+    assert sorted((r.node, r.parent, r.depth) for r in projection.taxonomy(df).collect()) == [("b.md", None, 1), ("src", None, 1), ("src/a.ts", "src", 2)]
+
+
+def test_embeddings_are_reused_by_hash(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three"), (3, None)], "id int, text string")
+    vectors = {r.id: r.vector for r in projection.embed(docs).collect()}
+    assert sum(x * x for x in vectors[1]) == pytest.approx(1) or not any(vectors[1])
+    assert vectors[3] == [0.0] * 8 and projection.hash_embedding("one two") == vectors[1]
+    stored = docs.filter("id < 3").select("id", F.sha2(F.concat(F.lit("m:"), "text"), 256).alias("hash"))
+    changed = docs.filter("id < 3").withColumn("text", F.when(F.col("id") == 2, "new").otherwise(F.col("text"))).unionByName(docs.filter("id = 3"))
+    assert {r.id: r.state for r in projection.embedding_work(changed, stored, "m").collect()} == {1: "fresh", 2: "stale", 3: "needs_embedding"}
+
+
+def test_runs(spark):
+    diff = spark.createDataFrame([("a", "added"), ("b", "changed"), ("c", "unchanged"), ("d", "deleted")], "path string, change string")
+    got = {m: [r.action for r in projection.plan_run(diff, m).orderBy("path").collect()] for m in ("full", "changed", "resume")}
+    assert got == {"full": ["read", "read", "read", "clear"], "changed": ["read", "read", "keep", "clear"], "resume": ["read", "keep", "keep", "clear"]}
