@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Words that are never topics.
 STOP_WORDS = ["and", "are", "const", "export", "for", "from", "function", "import", "into", "return", "that", "the", "this", "type", "with"]
 
+#: Words of an excerpt: 120 tokens at 1.33 a word.
+EXCERPT_WORDS = 90
+
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -43,9 +46,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def excerpt(text: Column, budget: int = 120) -> Column:
-    """The text if it fits ``budget`` tokens (1.33 a word), else its first words and dots."""
-    most = int(budget / 1.33)
+def excerpt(text: Column, most: int = EXCERPT_WORDS) -> Column:
+    """The text if it has at most ``most`` words, else the first of them and dots."""
     return F.when(F.size(words(text)) > most, F.concat(F.array_join(F.slice(words(text), 1, most), " "), F.lit("..."))).otherwise(text)
 
 

@@ -64,10 +64,14 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
 def scored(candidates: DataFrame, wanted: list[str], now: str, vector: Column | None = None) -> DataFrame:
     """``candidates`` with lexical (share of the terms found), score, excerpt."""
     place = F.concat(F.coalesce("path", F.lit("")), F.lit("\n"), "text")
-    lexical = text.term_hits(place, wanted)
-    out = candidates.withColumn("lexical", lexical).withColumn("tokens", text.word_tokens(text.excerpt(F.col("text"))))
-    out = out.withColumn("score", scores.result_score(F.col("lexical"), vector if vector is not None else F.lit(0.0), F.lit(1.0), scores.recency(F.col("updated_at"), now), F.col("tokens")))
-    return out.withColumn("excerpt", text.excerpt(F.col("text")))
+    # A text's words are found once: the excerpt and its token count follow from their number and the first of them.
+    most = text.EXCERPT_WORDS
+    once = F.transform(F.array(text.words(F.col("text"))), lambda w: F.struct(F.size(w).alias("_n"), F.array_join(F.slice(w, 1, most), " ").alias("_head")))
+    out = candidates.select("*", F.inline(once), text.term_hits(place, wanted).alias("lexical"))
+    tokens = F.ceil(F.least(F.col("_n"), F.lit(most)) * F.lit(1.33).cast("double"))
+    score = scores.result_score(F.col("lexical"), vector if vector is not None else F.lit(0.0), F.lit(1.0), scores.recency(F.col("updated_at"), now), tokens)
+    excerpt = F.when(F.col("_n") > most, F.concat("_head", F.lit("..."))).otherwise(F.col("text"))
+    return out.withColumns({"score": score, "excerpt": excerpt}).drop("_n", "_head")
 
 
 def prune(results: DataFrame, per_type: int, limit: int) -> DataFrame:
