@@ -99,7 +99,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     can be reached. ``component_id`` is the smallest id that can be reached, itself included.
     """
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Single precision travels as it is; a task turns it into double precision, exactly.
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     rows = rows.withColumn("v", F.when(usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.col("v")))
     # A class: equal vectors. Its number is a hash of the vector and what tells equal hashes apart.
     rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
@@ -111,7 +113,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         same = classes.filter(F.col("dim") == dim)
         k = max(1, min(MOST_PIVOTS, n // CELL))
         pivots = _unit(np.array([r[0] for r in same.orderBy(F.xxhash64("h"), "class").limit(k).select("v").collect()]))
-        cells = same.select("class", "v").mapInArrow(_cells(pivots, radius), "class long, v array<double>, cell int, home boolean")
+        cells = same.select("class", "v").mapInArrow(_cells(pivots, radius), f"class long, v {kind}, cell int, home boolean")
         cells = cells.join(same.select("class", "copies"), "class")
         placed = cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("members"))
         cells = cells.join(F.broadcast(placed), "cell")  # at most MOST_PIVOTS rows
