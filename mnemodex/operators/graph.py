@@ -96,3 +96,11 @@ def strongest_evidence(candidates: DataFrame, known: DataFrame) -> DataFrame:
     form = candidates.withColumn("_form", text.alias_form(F.col("value")))
     met = form.join(known.withColumnRenamed("value", "_form"), "_form")
     return met.groupBy("note_id", "entity_id").agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"), F.array_join(F.array_sort(F.collect_set("_form")), ",").alias("evidence"))
+
+
+def context(origins: DataFrame, relations: DataFrame, names: DataFrame, depth: int = 2, limit: int = 8) -> DataFrame:
+    """(relation_id, origin_id, entity_id, depth, score): what surrounds the origins, each relation once, nearer ones first and scored higher."""
+    found = walk(origins, relations, names, depth, limit)
+    first = Window.partitionBy("relation_id").orderBy("depth", "origin_id", "n")
+    once = found.withColumn("_k", F.row_number().over(first)).filter("_k = 1")
+    return once.select("relation_id", "origin_id", "entity_id", "depth", F.greatest(F.lit(1), 10 - 2 * F.col("depth")).alias("score"))

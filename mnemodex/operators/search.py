@@ -139,3 +139,9 @@ def quality(results: DataFrame) -> DataFrame:
     top = results.agg(F.max("score").alias("top"), F.countDistinct(F.coalesce("path", F.col("id").cast("string"))).alias("targets"))
     label = F.when((F.col("top") >= 200) & (F.col("targets") >= 2), "strong").when(F.col("top") >= 80, "partial").otherwise("weak")
     return top.select(label.alias("quality"), "targets")
+
+
+def primary_targets(results: DataFrame, most: int = 5) -> DataFrame:
+    """(target, score): the best different paths (ids, where there is no path) of a result list."""
+    target = F.coalesce("path", F.concat_ws(":", "target_type", F.col("id").cast("string")))
+    return results.groupBy(target.alias("target")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "target").limit(most)

@@ -712,3 +712,36 @@ def result_entities(spark, sf_dir):
 @query("embedded_texts", None)
 def embedded_texts(spark, sf_dir):
     return projection.embed(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "vector")
+
+
+# Packages ---------------------------------------------------------------------------------------
+
+
+@query("primary_targets", f"SELECT coalesce(path, target_type || ':' || id) AS target, max(score) AS score FROM ({_search_sql(4, 20, True)}) GROUP BY 1 ORDER BY score DESC, target LIMIT 5")
+def primary_targets(spark, sf_dir):
+    return search.primary_targets(recall_results(spark, sf_dir))
+
+
+@query("evidence_counts", f"SELECT target_type, count(*) AS n FROM ({_search_sql(6, 10, False)}) GROUP BY 1")
+def evidence_counts(spark, sf_dir):
+    return search_results(spark, sf_dir).groupBy("target_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("graph_context", f"""WITH RECURSIVE {_GRAPH},
+edges AS (SELECT subject_id AS src, object_id AS dst, id AS rel FROM relations WHERE status = 'active' UNION ALL SELECT object_id, subject_id, id FROM relations WHERE status = 'active'),
+walk(origin_id, entity_id, depth, rel, seen) AS (
+  SELECT e.id, e.id, 0, '', [e.id] FROM entities e WHERE e.type = 'nation' AND e.id < 'nation:2'
+  UNION ALL SELECT w.origin_id, x.dst, w.depth + 1, x.rel, list_append(w.seen, x.dst) FROM walk w JOIN edges x ON x.src = w.entity_id WHERE w.depth < 2 AND NOT list_contains(w.seen, x.dst)),
+named AS (SELECT w.*, row_number() OVER (PARTITION BY origin_id ORDER BY depth, e.name, w.rel, w.entity_id) AS n FROM walk w JOIN entities e ON e.id = w.entity_id WHERE depth > 0),
+once AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY depth, origin_id, n) AS k FROM named WHERE n <= 8)
+SELECT rel AS relation_id, origin_id, entity_id, depth, greatest(1, 10 - 2 * depth) AS score FROM once WHERE k = 1""")
+def graph_context(spark, sf_dir):
+    e = model.entities(spark, sf_dir)
+    return graph.context(e.filter("type = 'nation' and id < 'nation:2'").select(F.col("id").alias("origin_id")), model.relations(spark, sf_dir), e)
+
+
+@query("project_status", _DIFF + ", c AS (SELECT count(*) FILTER (change <> 'unchanged') AS changed FROM diff) SELECT (SELECT count(*) FROM sections WHERE NOT deleted AND NOT suppressed) AS sections, (SELECT count(DISTINCT path) FROM sections WHERE NOT deleted AND NOT suppressed) AS files, c.changed, CASE WHEN c.changed > 0 THEN 'stale' ELSE 'fresh' END AS state FROM c")
+def project_status(spark, sf_dir):
+    live = relational.active(model.sections(spark, sf_dir), "deleted", "suppressed").agg(F.count(F.lit(1)).alias("sections"), F.countDistinct("path").alias("files"))
+    # One row each: joined on a constant key.
+    return live.withColumn("k", F.lit(1)).join(freshness(spark, sf_dir).withColumn("k", F.lit(1)), "k").drop("k")
