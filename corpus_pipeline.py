@@ -16,6 +16,7 @@ from mnemodex.llm.common import cut, id_remainder, table, vocabulary
 from mnemodex.llm.packing import pack_documents
 from mnemodex.llm.passages import remove_passages, repeated_passages
 from mnemodex.llm.simhash import keep_one
+from mnemodex.session import ship
 
 #: A document is rejected if no language accounts for so large a share of its n-grams.
 LEAST_LANGUAGE = 0.2
@@ -76,6 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``. Each stage's documents are written to the shared folder and read again."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemodex-pipeline-")
