@@ -191,3 +191,16 @@ def test_vectors_over_several_cells_and_blocks(spark, monkeypatch):
     np.fill_diagonal(g, False)
     label = components(range(200), list(zip(*np.nonzero(g))))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, 0.95).collect()) == [(i, int(g[i].sum()), int(label[i])) for i in range(200)]
+
+
+def test_passages_put_together_from_frequent_lines(spark):
+    rng = random.Random(21)
+    lines = [words(rng, 12) for _ in range(6)]
+    rows = []
+    for _ in range(15):  # all neighbouring lines, in many earlier documents
+        rows += [(len(rows) + i, " ".join(words(rng, 40) + a + b + words(rng, 40))) for i, (a, b) in enumerate(zip(lines, lines[1:]))]
+    shared = sum(lines, [])
+    rows += [(200 + i, " ".join(words(rng, 30 + i) + shared + words(rng, 30))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)  # a chunk each
+    got = {(r.doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(df).collect() if r.similarity == 1}
+    assert got == {(200 + i, 30 + i, 72) for i in range(1, 12)}
