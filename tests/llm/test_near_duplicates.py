@@ -204,3 +204,24 @@ def test_passages_put_together_from_frequent_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)  # a chunk each
     got = {(r.doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(df).collect() if r.similarity == 1}
     assert got == {(200 + i, 30 + i, 72) for i in range(1, 12)}
+
+
+def test_fuzzy_passages_of_little_more_than_fifty_words_have_two_shared_seeds():
+    rng = random.Random(31)
+    for changed in (8, 10):
+        for _ in range(100):
+            shared = words(rng, 55)
+            fuzzy = list(shared)
+            for i in rng.sample(range(55), changed):
+                fuzzy[i] = f"zz{i}"
+            seed, owner, place = passages._seeds([" ".join(words(rng, 30) + x + words(rng, 30)) for x in (shared, fuzzy)], passages.WINDOW)
+            first = dict(zip(seed[owner == 0].tolist(), place[owner == 0].tolist()))
+            assert sum(s in first for s in seed[owner == 1].tolist()) >= 2
+
+
+def test_two_seeds_reach_the_alignment():
+    import pyarrow as pa
+
+    anchors = pa.RecordBatch.from_arrays([pa.array([9, 9], pa.int64()), pa.array([4, 4], pa.int64()), pa.array([40, 52], pa.int32()), pa.array([10, 22], pa.int32())], names=["doc", "adoc", "pos", "apos"])
+    found = [r for batch in passages._chains()([anchors]) for r in batch.to_pylist()]
+    assert [(r["doc"], len(r["chains"])) for r in found] == [(9, 1)]
