@@ -225,3 +225,30 @@ def test_two_seeds_reach_the_alignment():
     anchors = pa.RecordBatch.from_arrays([pa.array([9, 9], pa.int64()), pa.array([4, 4], pa.int64()), pa.array([40, 52], pa.int32()), pa.array([10, 22], pa.int32())], names=["doc", "adoc", "pos", "apos"])
     found = [r for batch in passages._chains()([anchors]) for r in batch.to_pylist()]
     assert [(r["doc"], len(r["chains"])) for r in found] == [(9, 1)]
+
+
+def test_alignment_extends_short_stretches():
+    rng = np.random.default_rng(8)
+    least, similar = 50, 0.8
+
+    def found(equal):
+        """What is reported of a passage between other words, with a chain over its longest equal run."""
+        x, y = np.arange(200), np.arange(200) + 1000
+        y[60 : 60 + len(equal)] = np.where(equal, x[60 : 60 + len(equal)], 5000)
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(int), [0]])))
+        s, e = max(zip(runs[::2], runs[1::2]), key=lambda r: r[1] - r[0])
+        return passages.align(x, 0, y, [60 + int(s)], [60 + int(s)], [int(e - s)], least, similar)
+
+    one = np.ones(51, bool)
+    one[3] = False
+    assert [(s, n) for s, n, _, _ in found(one)] == [(60, 51)]
+    assert [(s, n) for s, n, _, _ in found(np.append(np.ones(45, bool), [False, True] * 5))] == [(60, 55)]
+    assert found(np.ones(49, bool)) == [] and found(np.append(np.ones(39, bool), np.append(np.zeros(12, bool), True))) == []
+    for _ in range(200):
+        equal = rng.random(int(rng.integers(50, 64))) < 0.86
+        equal[[0, -1]] = True
+        got = found(equal)
+        n = len(equal)
+        sums = np.append(0, np.cumsum(equal))
+        there = any(equal[s] and equal[e - 1] and sums[e] - sums[s] >= similar * (e - s) for s in range(n) for e in range(s + least, n + 1))
+        assert bool(got) == there and all(m >= least and share >= similar for _, m, _, share in got)
