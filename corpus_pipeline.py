@@ -46,16 +46,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that a document of a smaller id has too; ``n_chars`` follows the text."""
-    cleaned = remove_passages(docs, cut(repeated_passages(docs, least=50, similar=0.8)))
+    """Documents without the passages that a document of a smaller id has too; ``n_chars`` follows the text.
+
+    A document of which nothing is left goes. One that was empty or null before stays.
+    """
+    empty = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
+    marked = docs.withColumn(empty, F.coalesce(F.length("text") == 0, F.lit(True)))
+    cleaned = remove_passages(marked, cut(repeated_passages(docs, least=50, similar=0.8))).filter(F.col(empty) | (F.length("text") > 0))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with the sequences that hold them; documents of which no text is left are not packed."""
-    return pack_documents(docs.filter(F.length("text") > 0), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    """The pieces of all documents with the sequences that hold them; an empty or null text is the end id alone."""
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str]:

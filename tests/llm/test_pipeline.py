@@ -53,3 +53,12 @@ def test_sql(spark, name):
     names = [d[0] for d in found.description]
     want = sorted((tuple(dict(zip(names, r))[c] for c in columns) for r in found.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
+
+
+def test_empty_texts_are_packed_and_emptied_documents_go(spark):
+    repeated = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"before it {repeated}", 3), (2, repeated, 3), (3, "", 0), (4, None, 0)], "doc_id long, text string, n_chars int")
+    left = corpus_pipeline.drop_repeated_passages(spark, docs, SF)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 3, 4}
+    packed = corpus_pipeline.pack(spark, left, SF).collect()
+    assert {r.doc_id for r in packed} == {1, 3, 4} and {r.length for r in packed if r.doc_id > 1} == {1}
