@@ -120,7 +120,7 @@ def tiers(*found: DataFrame) -> DataFrame:
     for i, df in enumerate(found):
         df = df.withColumn("tier", F.lit(i + 1))
         every = df if every is None else every.unionByName(df)
-    return every.withColumn("_first", F.min("tier").over(Window.partitionBy(F.lit(1)))).filter("tier = _first").drop("_first")
+    return every.join(F.broadcast(every.agg(F.min("tier").alias("tier"))), "tier", "left_semi").select(*every.columns)  # one row
 
 
 def within_budget(rows: DataFrame, cost: str, order: list[Column], budget: int) -> DataFrame:

@@ -160,3 +160,13 @@ def test_runs(spark):
     diff = spark.createDataFrame([("a", "added"), ("b", "changed"), ("c", "unchanged"), ("d", "deleted")], "path string, change string")
     got = {m: [r.action for r in projection.plan_run(diff, m).orderBy("path").collect()] for m in ("full", "changed", "resume")}
     assert got == {"full": ["read", "read", "read", "clear"], "changed": ["read", "read", "keep", "clear"], "resume": ["read", "keep", "keep", "clear"]}
+
+
+def test_tiers_need_no_window_over_all_rows(spark):
+    from mnemodex.operators.search import tiers
+
+    none, some, more = (spark.range(a, b).withColumn("x", F.lit(a)) for a, b in ((0, 0), (5, 8), (9, 12)))
+    found = tiers(none, some, more)
+    assert found.columns == ["id", "x", "tier"] and {(r.id, r.tier) for r in found.collect()} == {(5, 2), (6, 2), (7, 2)}
+    assert tiers(none, none).count() == 0
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
