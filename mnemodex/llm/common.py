@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set
-    only where the session names none (as in tests on one machine).
+    Where the session names none, a temporary folder is made for a session on one machine; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="mnemodex-checkpoint-")
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnemodex-checkpoint-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a checkpoint and go on from the written rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a compressed table, parted by some columns, and go on from the written rows."""
+    place = f"{shared_folder(df.sparkSession).rstrip('/')}/mnemodex-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """``crc32(doc_id as text) mod divisor``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

@@ -11,6 +11,7 @@ from xxhash import xxh64_intdigest
 from mnemodex.llm import passages, simhash
 from mnemodex.llm.components import connected_components
 from mnemodex.llm.near_vectors import near_vectors
+from mnemodex.llm.words import hashed_words
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
@@ -132,13 +133,148 @@ def test_passages(spark):
     assert passages.remove_passages(df, found).columns == df.columns and passages.remove_passages(df, found).count() == len(rows)
 
 
-def test_an_exact_run_has_a_shared_seed():
+def seeds(*texts):
+    """The seeds of each text with their places."""
+    import pyarrow as pa
+
+    _, h, sizes = next(hashed_words(pa.array(texts)))
+    seed, owner, place, _, _ = passages._marks(h, sizes)
+    return [dict(zip(seed[owner == i].tolist(), place[owner == i].tolist())) for i in range(len(texts))]
+
+
+def test_words_of_a_block_are_those_of_the_texts(monkeypatch):
+    import pyarrow as pa
+
+    import mnemodex.llm.words as module
+
+    rng = random.Random(12)
+    parts = ["a", "B", "Word", "WORD", " ", "  ", "\n", "é", "\x0b", "\x1c", "\xa0", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(500)] + ["", None, "x" * 50]
+    for block in (module.BLOCK, 16):
+        monkeypatch.setattr(module, "BLOCK", block)
+        seen, n = {}, 0
+        for first, h, sizes in hashed_words(pa.array(texts).slice(2)):
+            for size, text in zip(sizes.tolist(), texts[2 + first :]):
+                split = (text or "").encode().lower().split()
+                assert len(split) == size
+                assert all(seen.setdefault(w, x) == x for w, x in zip(split, h.tolist()))
+                h, n = h[size:], n + 1
+        assert n == len(texts) - 2 and len(set(seen.values())) == len(seen)
+
+
+def test_shared_runs_have_a_shared_seed():
     rng = random.Random(11)
-    shared = words(rng, passages.K + passages.WINDOW - 1)
+    shared = words(rng, passages.SPAN + passages.WINDOW - 1)
     for _ in range(50):
-        a, b = (" ".join(words(rng, rng.randrange(0, 40)) + shared + words(rng, rng.randrange(0, 40))) for _ in range(2))
-        seed, owner, _ = passages._seeds([a, b], passages.WINDOW)
-        assert set(seed[owner == 0]) & set(seed[owner == 1])
+        a, b = seeds(*(" ".join(words(rng, rng.randrange(0, 40)) + shared + words(rng, rng.randrange(0, 40))) for _ in range(2)))
+        assert set(a) & set(b)
+    for r in range(5):  # every fifth word differs
+        a, b = seeds(*(" ".join(f"other{k}{i}" if i % 5 == r else f"w{i}" for i in range(60)) for k in range(2)))
+        assert len(set(a) & set(b)) >= 2
+
+
+def test_seeds_follow_their_words():
+    """What is said of a seed depends on its own text alone, up to its end."""
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    texts = [" ".join(words(rng, rng.randrange(0, 90))) for _ in range(60)]
+    _, h, sizes = next(hashed_words(pa.array(texts)))
+    together = list(zip(*(c.tolist() for c in passages._marks(h, sizes))))
+    apart = []
+    for i, text in enumerate(texts):
+        for _, h, sizes in hashed_words(pa.array([text])):
+            apart += [(s, i, p, near, whole) for s, _, p, near, whole in zip(*(c.tolist() for c in passages._marks(h, sizes)))]
+    assert sorted(together) == sorted(apart)
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(14)
+    for n in (1, 7, 3000):
+        columns = [rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(-(2**63), 2**63 - 1, n), rng.integers(-5, 300, n), np.zeros(n, np.uint64)]
+        back = passages._unblob(passages._blob(*columns), ["u8", "i8", "i8", "u8"])
+        assert all((a == b).all() for a, b in zip(columns, back))
+
+
+def test_long_gaps_are_aligned_without_a_table(monkeypatch):
+    rng = np.random.default_rng(15)
+    for _ in range(30):
+        x, y = rng.integers(0, 6, rng.integers(0, 40)), rng.integers(0, 6, rng.integers(0, 40))
+        monkeypatch.setattr(passages, "TABLE", 1 << 20)
+        whole = passages._common(x, y)
+        monkeypatch.setattr(passages, "TABLE", 8)
+        assert passages._common(x, y).sum() == whole.sum()
+
+
+def brute_force(rows, least, similar):
+    """Pairs (doc, source) that share words in order at one distance, ``least`` of them at ``similar``: all pairs of documents, all distances."""
+    split, out = {i: t.split() for i, t in rows}, set()
+    for i, x in split.items():
+        for j, y in split.items():
+            if j >= i:
+                continue
+            at = {}
+            for p, w in enumerate(x):
+                at.setdefault(w, []).append(p)
+            distances = {}
+            for q, w in enumerate(y):
+                for p in at.get(w, ()):
+                    distances.setdefault(p - q, []).append(p)
+            for places in distances.values():
+                places.sort()
+                for s in range(len(places)):
+                    e = s + int(similar * least) - 1
+                    while e < len(places) and (i, j) not in out:
+                        size = places[e] - places[s] + 1
+                        if size >= least and e - s + 1 >= similar * size:
+                            out.add((i, j))
+                        e += 1
+    return out
+
+
+@pytest.mark.parametrize("low, high", [(0.8, 0.85), (0.85, 0.9), (0.9, 0.99), (1.0, 1.0)])
+def test_passages_against_brute_force(spark, low, high):
+    rng = random.Random(int(low * 100))
+    rows = []
+    for k in range(60):
+        n = rng.randrange(55, 75)
+        shared = words(rng, n)
+        fuzzy = list(shared)
+        for i in rng.sample(range(1, n - 1), int(round(n * (1 - rng.uniform(low, high))))):
+            fuzzy[i] = f"zz{k}-{i}"
+        rows += [(2 * k, " ".join(words(rng, 40) + shared + words(rng, 30))), (2 * k + 1, " ".join(words(rng, 25) + fuzzy + words(rng, 45)))]
+    want = brute_force(rows, 50, 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.source_id) for r in passages.repeated_passages(df).collect()}
+    assert len(want) >= 30 and got <= want and len(got) >= (1 if low == 1 else 0.95) * len(want)
+
+
+def test_what_is_found_does_not_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(17)
+    lines, rows = [words(rng, 12) for _ in range(8)], []
+    for i in range(150):
+        rows.append((i, " ".join(words(rng, 20) + sum(rng.sample(lines, rng.randrange(7)), []) + words(rng, 20))))
+    halves = words(rng, 90)
+    rows += [(300, " ".join(halves[:45] + words(rng, 30))), (301, " ".join(words(rng, 30) + halves[45:])), (302, " ".join(words(rng, 9) + halves)), (303, " ".join(halves + words(rng, 9)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(passages.repeated_passages(df.repartition(1)).collect())
+    assert {(r.source_id, r.n_words) for r in want if r.doc_id == 303} == {(302, 90)}
+    monkeypatch.setattr(passages, "CHUNK", 900)
+    monkeypatch.setattr(passages, "HEAVY", 8)
+    assert sorted(passages.repeated_passages(df.repartition(7)).collect()) == want
+    monkeypatch.setattr(passages, "HEAVY", 0)  # every seed is a heavy key
+    assert sorted(passages.repeated_passages(df.repartition(3, "doc_id")).collect()) == want
+
+
+def test_rows_of_one_id_keep_their_own_passages(spark):
+    rng = random.Random(18)
+    p, q = words(rng, 70), words(rng, 90)
+    rows = [(1, " ".join(p)), (2, " ".join(q)), (5, " ".join(["begin", *p])), (5, " ".join([*words(rng, 40), *q])), (5, " ".join(["begin", *p])), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    assert {(r.doc_id, r.start_word, r.n_words, r.source_id) for r in found.collect()} == {(5, 1, 70, 1), (5, 40, 90, 2)} and found.count() == 2
+    left = sorted((r.text for r in passages.remove_passages(df, found).filter("doc_id = 5").collect()), key=len)
+    assert left[:3] == ["short", "begin ", "begin "] and len(left[3].split()) == 40
 
 
 def test_chains_are_the_best_in_order():
@@ -214,17 +350,13 @@ def test_fuzzy_passages_of_little_more_than_fifty_words_have_two_shared_seeds():
             fuzzy = list(shared)
             for i in rng.sample(range(55), changed):
                 fuzzy[i] = f"zz{i}"
-            seed, owner, place = passages._seeds([" ".join(words(rng, 30) + x + words(rng, 30)) for x in (shared, fuzzy)], passages.WINDOW)
-            first = dict(zip(seed[owner == 0].tolist(), place[owner == 0].tolist()))
-            assert sum(s in first for s in seed[owner == 1].tolist()) >= 2
+            a, b = seeds(*(" ".join(words(rng, 30) + x + words(rng, 30)) for x in (shared, fuzzy)))
+            assert len(set(a) & set(b)) >= 2
 
 
 def test_two_seeds_reach_the_alignment():
-    import pyarrow as pa
-
-    anchors = pa.RecordBatch.from_arrays([pa.array([9, 9], pa.int64()), pa.array([4, 4], pa.int64()), pa.array([40, 52], pa.int32()), pa.array([10, 22], pa.int32())], names=["doc", "adoc", "pos", "apos"])
-    found = [r for batch in passages._chains()([anchors]) for r in batch.to_pylist()]
-    assert [(r["doc"], len(r["chains"])) for r in found] == [(9, 1)]
+    found = passages._candidates(*(np.array(c) for c in ([9, 9], [4, 4], [40, 52], [10, 22]))).to_pylist()
+    assert [(r["doc"], r["source"], r["x_from"], r["y_from"]) for r in found] == [(9, 4, 0, 0)]
 
 
 def test_alignment_extends_short_stretches():
@@ -237,7 +369,7 @@ def test_alignment_extends_short_stretches():
         y[60 : 60 + len(equal)] = np.where(equal, x[60 : 60 + len(equal)], 5000)
         runs = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(int), [0]])))
         s, e = max(zip(runs[::2], runs[1::2]), key=lambda r: r[1] - r[0])
-        return passages.align(x, 0, y, [60 + int(s)], [60 + int(s)], [int(e - s)], least, similar)
+        return passages.align(x, y, [60 + int(s)], [60 + int(s)], [int(e - s)], least, similar)
 
     one = np.ones(51, bool)
     one[3] = False
