@@ -61,6 +61,13 @@ def bounded_share(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_003)) < int(1_000_003 * most / n))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many ``_`` before it as tell it from ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,7 +1,7 @@
 """Language identification: bit-sliced Bloom filters over character n-grams.
 
 The filters of all languages lie side by side: row r of the filter is a bitmask with
-one bit for each language, and the conjunction of an n-gram's rows has the bit of each
+one bit for each language (in as many 64-bit words as there are languages for), and the conjunction of an n-gram's rows has the bit of each
 language that holds it. A text's language is the one most of its n-grams are in, after
 subtracting what the filter's false positives are expected to add.
 """
@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemodex.llm.common import bounded_share, cut
+from mnemodex.llm.common import bounded_share, cut, fresh
 
 #: Rows of the filter (a power of two), probes for each n-gram, and bytes of an n-gram.
 ROWS, PROBES, GRAM = 1 << 20, 3, 4
@@ -25,11 +26,15 @@ MOST_DOCS, LEAST_SEEN, LEAST_SHARE = 40_000, 4, 0.2
 UNKNOWN = "und"
 
 _SPACED = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+_OTHER = regex.compile(r"[^\x00-\x7F\p{L}\p{M}]+")
 
 
 def grams(text: str) -> np.ndarray:
-    """Keys of the ``GRAM``-byte windows of the lower-cased text, with all but letters as spaces; no window has a space inside."""
-    raw = np.frombuffer(b" " + text.lower().encode().translate(_SPACED) + b" ", np.uint8)
+    """Keys of the ``GRAM``-byte windows of the lower-cased text, with all but letters and their marks as spaces; no window has a space inside."""
+    text = text.lower()
+    if not text.isascii():
+        text = _OTHER.sub(" ", text)
+    raw = np.frombuffer(b" " + text.encode().translate(_SPACED) + b" ", np.uint8)
     if len(raw) < GRAM:
         return np.empty(0, np.uint32)
     x = raw.astype(np.uint32)
@@ -53,7 +58,7 @@ def _rows(keys: np.ndarray):
 @dataclass
 class Model:
     languages: list[str]
-    #: One bitmask of languages for each row.
+    #: One bitmask of languages for each row: ``ROWS`` times as many words as it takes.
     filter: np.ndarray
     #: Of each language: the chance that an n-gram it lacks passes its filter.
     false_positive: np.ndarray
@@ -79,7 +84,8 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
     """The filter learned from the texts of known language for which ``learn`` holds.
 
     About ``most`` documents are used, chosen by a hash of the id where there are more. The filter has ``ROWS``
-    words whatever the corpus. Its counts are summed by Spark; only row numbers and masks reach the driver, at most ``ROWS`` of them.
+    rows whatever the corpus. Its counts are summed by Spark; only row numbers and masks reach the driver, at most ``ROWS`` for every 64 languages.
+    Rows whose id, text or language is null are passed over; repeated rows count as often as they occur.
     """
     rows = docs.filter(learn).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("doc_id is not null and text is not null and lang is not null")
@@ -88,9 +94,7 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     languages = sorted(totals)
     if not languages:
-        return Model([], np.zeros(ROWS, np.uint64), np.zeros(0), 0)
-    if len(languages) > 64:
-        raise ValueError("a row of the filter has 64 bits, one for each language")
+        return Model([], np.zeros((ROWS, 1), np.uint64), np.zeros(0), 0)
     spark = docs.sparkSession
     known = spark.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(languages)], "lang string, bit int, total double")
     shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total"))
@@ -101,31 +105,30 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
         for batch in batches:
             key, bit = batch.column("key").to_numpy().astype(np.uint32), batch.column("bit").to_numpy()
             row = np.concatenate([r.astype(np.int64) for r in _rows(key)]) if len(key) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.tile(np.int64(1) << bit.astype(np.int64), PROBES))], names=["row", "mask"])
-
-    placed = member.select("key", "bit").mapInArrow(place, "row long, mask long").groupBy("row").agg(F.bit_or("mask").alias("mask"))
-    filled = np.zeros(ROWS, np.uint64)
-    for row, mask in placed.collect():
-        filled[row] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
-    density = np.array([((filled >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+            mask = np.int64(1) << (bit % 64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.tile(bit // 64, PROBES)), pa.array(np.tile(mask, PROBES))], names=["row", "word", "mask"])
+
+    placed = member.select("key", "bit").mapInArrow(place, "row long, word int, mask long").groupBy("row", "word").agg(F.bit_or("mask").alias("mask"))
+    filled = np.zeros((ROWS, -(-len(languages) // 64)), np.uint64)
+    for row, word, mask in placed.collect():
+        filled[row, word] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+    density = np.array([((filled[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, filled, density**PROBES, languages.index(max(languages, key=totals.get)))
 
 
 def decide(text: str | None, model: Model) -> tuple[str, float]:
     """The language of a text and the corrected share of its n-grams that are in it."""
-    if not text or not model.languages:
+    if not text or not model.languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     keys = grams(text)
     if not len(keys):
-        return (model.languages[model.usual], 0.0) if any(map(str.isalpha, text)) else (UNKNOWN, 0.0)
+        return model.languages[model.usual], 0.0
     mask = None
     for row in _rows(keys):
         mask = model.filter[row] if mask is None else mask & model.filter[row]
-    hits = np.array([np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(model.languages))])
+    hits = np.array([np.count_nonzero(mask[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(model.languages))])
     share = np.clip((hits / len(keys) - model.false_positive) / (1 - model.false_positive), 0, 1)
     best = int(share.argmax()) if share.any() else model.usual
-    if share[best] < 0.02 and not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0
     return model.languages[best], float(share[best])
 
 
@@ -133,11 +136,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """``keep`` columns of ``docs`` (its id by default), ``lang_pred`` and ``score`` (0 to 1): one row for each row.
 
     ``lang_pred`` is a learned language, or ``und`` if the text is null or has no letter; the score is then 0. A text
-    whose letters tell nothing gets the language with most rows and score 0.
+    whose letters tell nothing gets the language with most rows and score 0, and of equal shares the first language in order wins. Columns
+    of the results' names in ``keep`` are replaced.
     """
-    keep = [id_col] if keep is None else keep
-    name = text_col if text_col in keep else "_text"
-    rows = docs.select(*keep, *([] if name in keep else [F.col(text_col).cast("string").alias(name)]))
+    out = ["lang_pred", "score"]
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in out]
+    name = fresh("text", [*keep, *out])
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(name))
     schema = rows.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     held = docs.sparkSession.sparkContext.broadcast(model)
 
