@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from mnemodex.llm.common import LOWER, bounded_share, cut
+from mnemodex.llm.common import LOWER, bounded_share, cut, fresh
 
 #: Hash buckets (a power of two), and the seeds of the two views' n-grams.
 DIM = 1 << 18
@@ -59,42 +59,54 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -
     return -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2) * (np.abs(z) > L1)
 
 
+def _features(batches):
+    for batch in batches:
+        found = [features(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("label"), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))],
+            names=["doc_id", "label", "index", "value"],
+        )
+
+
 def _learn(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by([("doc_id", "ascending")])
-    order = np.random.default_rng(7).permutation(rows.num_rows)
-    texts, labels = rows["text"], rows["label"].to_pylist()
-    w = ftrl([(*features(texts[int(i)].as_py()), labels[i]) for i in order])
-    used = np.nonzero(w)[0]
+    order = np.random.default_rng(7).permutation(rows.num_rows).tolist()
+    index, value, labels = rows["index"], rows["value"], rows["label"].to_pylist()
+    w = ftrl([(index[i].values.to_numpy(), value[i].values.to_numpy(), labels[i]) for i in order])
+    used = np.union1d(np.nonzero(w)[0], [DIM])  # the bias is always listed, so that learners can be counted
     return pa.table({"index": used, "weight": w[used]})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_ROWS) -> np.ndarray:
     """Weights (DIM + 1 numbers, so the model's size is fixed) from the labelled rows for which ``learn`` holds.
 
-    About ``most`` labelled rows are used (chosen by a hash of the id where there are more), in ``SHARDS`` groups that learn
-    side by side; their weights are averaged. Null labels and ids are passed over. Without any row all weights are zero.
+    About ``most`` labelled ids are used (chosen by a hash of the id where there are more), in ``SHARDS`` groups that learn
+    side by side; the weights of the groups that have rows are averaged. Null labels and ids are passed over; of rows that share an id the
+    largest label and the smallest text count. Without any row all weights are zero.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     marked = bounded_share(marked.filter(learn), F.col("doc_id"), most).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # The marked rows are bounded by ``most``, so they are sent to the texts and not the texts to them.
-    rows = texts.join(F.broadcast(marked), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS)))
-    learned = rows.groupBy("shard").applyInArrow(_learn, "index long, weight double")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # The marked ids are bounded by ``most``, so they are sent to the texts and not the texts to them.
+    rows = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = rows.mapInArrow(_features, "doc_id long, label int, index array<long>, value array<double>")
+    learned = cut(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS))).groupBy("shard").applyInArrow(_learn, "index long, weight double"))
+    learners = learned.filter(F.col("index") == DIM).count()
     weights = np.zeros(DIM + 1)
-    for index, weight in cut(learned).groupBy("index").agg((F.sum("weight") / SHARDS).alias("w")).collect():
-        weights[index] = weight
+    for index, weight in learned.groupBy("index").agg(F.sum("weight")).collect():
+        weights[index] = weight / learners
     return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (its id by default) and ``score``: one row for each row, scored over its whole text.
 
-    A null text is an empty one; that gets the bias alone.
+    A null text is an empty one; that gets the bias alone. Repeated rows and null ids are scored like any other. A column ``score`` in ``keep`` is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    keep = [id_col] if keep is None else keep
-    name = text_col if text_col in keep else "_text"
-    rows = docs.select(*keep, *([] if name in keep else [F.col(text_col).cast("string").alias(name)]))
+    keep = [c for c in ([id_col] if keep is None else keep) if c != "score"]
+    name = fresh("text", [*keep, "score"])
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(name))
     schema = rows.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
