@@ -58,14 +58,100 @@ def test_toxicity(spark, tables, odd):
     assert all(r.score < 0.5 for r in toxicity.score(odd, nothing).collect())
 
 
+def grammar(strengths):
+    return toxicity.Grammar.of(strengths, np.zeros(toxicity.FEATURES + 1))
+
+
 def test_clauses_weigh_context():
-    arcs = {"idiot": 4.0}
-    plain = toxicity.clause_weight(["idiot"], arcs)
-    assert toxicity.clause_weight(["you", "idiot"], arcs) > plain
-    assert toxicity.clause_weight(["not", "an", "idiot"], arcs) < plain
-    assert toxicity.clause_weight(["he", "said", "idiot"], arcs) < toxicity.clause_weight(["he", "idiot"], arcs)
-    assert toxicity.clause_weight(["not", "a", "b", "c", "d", "e", "idiot"], arcs) == plain
-    assert not toxicity.evidence("nothing here. at all", arcs).any()
+    g = grammar({"idiot": 5.0, "piece of trash": 7.0})
+
+    def weight(clause):
+        return toxicity.clause_weight(clause.split(), g)
+
+    plain = weight("idiot")
+    assert weight("you idiot") == weight("idiot are you") == plain * toxicity.WITH_TARGET
+    assert weight("not an idiot") == weight("no idiot") == plain * toxicity.NEGATED
+    assert weight("he said idiot") < weight("he idiot") and weight("i say idiot") == plain == weight("not a b c d e idiot") == weight("not here but an idiot")
+    assert weight("piece of trash") == 7.0 and weight("piece of it trash") == 0 and weight("a trash of piece") == 0
+    assert weight("i will kill you") == weight("you i will kill") > weight("we kill time") > 0 and weight("kill a b c d you") == weight("kill")
+    assert weight("i will not kill you") < weight("i will kill you")
+    assert not toxicity.evidence("nothing here. at all", g).any() and not toxicity.evidence(None, g).any()
+    assert toxicity.evidence("well, \u00abidiot\u00bb", g).any() and toxicity.evidence("an 'idiot'\u2026", g).any() and toxicity.evidence("\u00a1Idiot!", g).any()
+
+
+def test_the_automaton_is_what_its_parts_do_in_turn():
+    rng = random.Random(19)
+    parts = toxicity.transducers()
+    after, weight = toxicity.automaton()
+    g = grammar({"idiot": 5.0, "moron": 2.0})
+    names = ["idiot", "moron", "kill", "beat", "up", "you", "not", "said", "i", "but", "word", "other"]
+    for _ in range(2000):
+        numbers = g.symbols([rng.choice(names) for _ in range(rng.randrange(14))])
+        clause, total = [toxicity.WORD_SYMBOLS[n] for n in numbers], 0.0
+        for part in parts:
+            clause, more = part.run(clause)
+            total += more
+        state, got = 0, 0.0
+        for n in numbers:
+            got, state = got + weight[state][n], after[state][n]
+        assert got == pytest.approx(total)
+
+
+def test_scores_are_those_of_each_text_alone(spark, tables):
+    """Brute force: every row scored by itself on the driver."""
+    docs, rows = tables["documents"].limit(150), tables["documents"].limit(150).collect()
+    w = quality.train(tables["documents"], tables["labels"], "quality", F.lit(True))
+    plain = {}
+    for r in rows:
+        index, value = quality.features(r.text)
+        plain[r.doc_id] = 1 / (1 + np.exp(-np.clip(sum(float(np.float32(w[i])) * v for i, v in zip(index, value)) + float(np.float32(w[-1])), -30, 30)))
+    assert all(r.score == pytest.approx(plain[r.doc_id], abs=1e-5) for r in quality.score(docs, w).collect())
+    g = toxicity.train(tables["documents"], tables["labels"], "toxic", F.lit(True))
+    for r in toxicity.score(docs, g).collect():
+        x = toxicity.evidence(next(t.text for t in rows if t.doc_id == r.doc_id), g)
+        assert r.score == pytest.approx(float(toxicity._probability(x @ g.weights[:-1] + g.weights[-1])))
+    m = language.train(tables["documents"], F.lit(True))
+    sets = [{int(k) for k in np.nonzero((m.filter[:, 0] >> np.uint64(i)) & np.uint64(1))[0]} for i in range(len(m.languages))]
+    for r in language.identify(tables["documents"].limit(20), m).collect():
+        text = next(t.text for t in rows if t.doc_id == r.doc_id)
+        keys = language.grams(text)
+        probes = list(zip(*(p.tolist() for p in language._rows(keys))))
+        share = [np.clip((np.mean([all(p in s for p in ps) for ps in probes]) - f) / (1 - f), 0, 1) for s, f in zip(sets, m.false_positive)]
+        assert (r.lang_pred, r.score) == (m.languages[int(np.argmax(share))], pytest.approx(max(share)))
+
+
+def test_follow_the_regularised_leader_step_by_step():
+    """The updates, written out for one weight at a time."""
+    rng = np.random.default_rng(20)
+    rows = [(np.unique(rng.integers(0, 30, 6)), None, int(rng.integers(0, 2))) for _ in range(40)]
+    rows = [(i, rng.random(len(i)), y) for i, _, y in rows]
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= quality.L1 else -(zi - np.sign(zi) * quality.L1) / ((quality.BETA + np.sqrt(ni)) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for index, value, label in rows:
+            x = {**dict(zip(index.tolist(), value.tolist())), quality.DIM: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] = z.get(i, 0.0) + g - (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.ftrl(rows, epochs=2)
+    assert all(got[i] == pytest.approx(weight(i)) for i in z)
+
+
+def test_rows_of_one_id_are_learned_from_once(spark, tables):
+    docs, labels = tables["documents"].limit(120), tables["labels"]
+    ids = [r.doc_id for r in docs.join(labels, "doc_id").limit(3).collect()]
+    again = docs.unionByName(docs.filter(F.col("doc_id").isin(ids)))
+    more = labels.unionByName(labels)
+    assert (quality.train(docs, labels, "quality", F.lit(True)) == quality.train(again, more, "quality", F.lit(True))).all()
+    a, b = (toxicity.train(d, x, "toxic", F.lit(True)) for d, x in ((docs, labels), (again, more)))
+    assert a.lexicon == b.lexicon and np.allclose(a.weights, b.weights)
 
 
 def test_language(spark, tables, odd):
@@ -80,14 +166,32 @@ def test_language(spark, tables, odd):
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_texts_without_letters_have_no_language(spark, tables):
+    m = language.train(tables["documents"].limit(300), F.lit(True))
+    m.filter[:] = ~np.uint64(0)  # all n-grams are in all languages
+    for text in ("12 \u2014 34", "1 \u2026 2", "\u20ac\u20ac\u20ac\u20ac \u00bd\u00bd\u00bd\u00bd", "\u00ab\u00bb\u00ab\u00bb", "\u0661\u0662\u0663\u0664", "\U0001f600" * 5):
+        assert language.decide(text, m) == ("und", 0.0) and not len(language.grams(text))
+    assert language.decide("12 \u2014 abcd", m)[0] in m.languages
+
+
+def test_a_hundred_languages(spark):
+    rng = random.Random(23)
+    alphabets = ["".join(chr(0x4E00 + 40 * i + k) for k in range(12)) for i in range(100)]
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(300)), f"l{n:02}") for n, a in enumerate(alphabets) for i in range(2 * n, 2 * n + 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language.train(docs, F.lit(True))
+    assert len(m.languages) == 100 and m.filter.shape[1] == 2
+    assert all(r.lang == r.lang_pred for r in language.identify(docs, m, keep=["doc_id", "lang"]).collect())
+
+
 def test_the_filter_holds_what_was_put_in():
     rng = random.Random(1)
     keys = np.array([rng.getrandbits(32) for _ in range(500)], np.uint32)
-    filled = np.zeros(language.ROWS, np.uint64)
+    filled = np.zeros((language.ROWS, 1), np.uint64)
     for r in language._rows(keys):
         filled[r] |= np.uint64(2)
     m = language.Model(["a", "b"], filled, np.zeros(2), 0)
-    mask = np.full(500, ~np.uint64(0))
+    mask = np.full((500, 1), ~np.uint64(0))
     for r in language._rows(keys):
         mask &= m.filter[r]
     assert ((mask & np.uint64(2)) > 0).all()
