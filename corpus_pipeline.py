@@ -5,14 +5,13 @@ Each stage takes the documents that the one before it kept. All but the last ret
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemodex.llm import language, quality
-from mnemodex.llm.common import cut, id_remainder, table, vocabulary
+from mnemodex.llm.common import cut, id_remainder, shared_folder, table, vocabulary
 from mnemodex.llm.packing import pack_documents
 from mnemodex.llm.passages import remove_passages, repeated_passages
 from mnemodex.llm.simhash import keep_one
@@ -41,8 +40,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near duplicates."""
-    return keep_one(docs, radius=3).select(*docs.columns)
+    """One document (the smallest id) of each group of near duplicates: texts whose five-word shingles have a similarity of 0.8 or more."""
+    return keep_one(docs, similarity=0.8, size=5).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: No stage but the last could be written in SQL; tests compare the stages with brute force.
+#: Learned models, alignment, packing and tokenizers can't be written in SQL; tests/llm compares the operators and the stages with brute force.
 ORACLE_SQL = None
 
 
@@ -84,8 +83,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``. Each stage's documents are written to the shared folder and read again."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemodex-pipeline-")
+    sc, folder = spark.sparkContext, shared_folder(spark)
     for at, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:

@@ -61,6 +61,17 @@ def bounded_share(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_003)) < int(1_000_003 * most / n))
 
 
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, text_hash) of the rows that have both; rows with the same id and text are one."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    again = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():  # the usual case; texts need no shuffle
+        return rows
+    again = cut(again)
+    return rows.join(again, "doc_id", "left_anti").unionByName(rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with as many ``_`` before it as tell it from ``columns``."""
     while name.lower() in {c.lower() for c in columns}:

@@ -6,9 +6,11 @@ every fingerprint the distances to the whole block are counted together by a
 carry-save bitwise counter, plane after plane, until each distance of the
 block has passed the radius.
 
-Which blocks there are follows from the pigeonhole principle: the 64 bits are cut into
+For links by distance alone, which blocks there are follows from the pigeonhole principle: the 64 bits are cut into
 bands, and two fingerprints at distance r or less agree in all but r of them. Rows
-are dealt by the bands that agree, so a block holds rows of neighbouring buckets.
+are dealt by the bands that agree, so a block holds rows of neighbouring buckets. For links by the similarity of
+shingle sets, whose fingerprints can be far apart, rows are dealt by minima of their shingles' hashes, and the pairs
+that the comparison leaves are checked exactly.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from mnemodex.llm.common import cut, partitions
+from mnemodex.llm.common import cut, distinct_texts, fresh, partitions
 from mnemodex.llm.components import connected_components
+from mnemodex.llm.words import hashed_words, mixed
 
 SHINGLE, SEED = 3, 42
 #: Fingerprints compared with each other at once, and the rows of a bucket from which it is cut into parts.
@@ -63,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of the fingerprints in one block that differ in at most ``radius`` (up to 3) bits."""
+    """Positions (i, j), i < j, of the fingerprints in one block that differ in at most ``radius`` (0 to 63) bits."""
     n = len(fps)
     words = -(-n // 64)
     bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
@@ -72,30 +75,34 @@ def links_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     planes = np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little").view(np.uint64)  # plane j: bit j of every fingerprint
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     asked = np.arange(n)
-    one = two = over = np.zeros((n, words), np.uint64)
-    found_i, found_j = [], []
+    over = np.zeros((n, words), np.uint64)
+    counter = [np.zeros((n, words), np.uint64) for _ in range(radius.bit_length())]  # digit k of all distances
+
+    def past() -> np.ndarray:
+        """Bits of the distances that exceed the radius."""
+        more, equal = over, ~over
+        for k in reversed(range(len(counter))):
+            if radius >> k & 1:
+                equal = equal & counter[k]
+            else:
+                more, equal = more | (equal & counter[k]), equal & ~counter[k]
+        return more
+
     for j in range(64):
-        differ = planes[j][None, :] ^ (np.where(bits[asked, j], full, np.uint64(0)))[:, None]
-        carry = one & differ
-        one = one ^ differ
-        over = over | (two & carry)  # four or more
-        two = two ^ carry
-        if j >= 12 and j % 4 == 0:  # rows whose whole block is out of reach are abandoned
-            past = over if radius == 3 else over | two if radius < 2 else over | (two & one)
-            live = (past != full).any(axis=1)
+        carry = planes[j][None, :] ^ (np.where(bits[asked, j], full, np.uint64(0)))[:, None]
+        for k, digit in enumerate(counter):
+            counter[k], carry = digit ^ carry, digit & carry
+        over = over | carry
+        if j >= 4 * radius and j % 4 == 0:  # rows whose whole block is out of reach are abandoned
+            live = (past() != full).any(axis=1)
             if not live.all():
-                asked, one, two, over = asked[live], one[live], two[live], over[live]
+                asked, over, counter = asked[live], over[live], [c[live] for c in counter]
                 if not len(asked):
-                    break
-    if len(asked):
-        past = {3: over, 2: over | (two & one), 1: over | two, 0: over | two | one}[radius]
-        near = np.unpackbits(np.ascontiguousarray(~past).view(np.uint8), axis=1, bitorder="little")[:, :n]
-        i, j = np.nonzero(near)
-        i = asked[i]
-        keep = i < j
-        found_i.append(i[keep])
-        found_j.append(j[keep])
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    return np.empty(0, np.int64), np.empty(0, np.int64)
+    near = np.unpackbits(np.ascontiguousarray(~past()).view(np.uint8), axis=1, bitorder="little")[:, :n]
+    i, j = np.nonzero(near)
+    i = asked[i]
+    return i[i < j], j[i < j]
 
 
 def _forest(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +169,20 @@ def fingerprint_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
         mask -= (1 << 64) * (mask >> 63)
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))))
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    # A bucket that holds very many fingerprints is compared part by part: each pair of parts is a bucket of its own.
+    return _dealt(rows, "fp").mapInArrow(_compare(radius), "a long, b long")
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the rows of a ``bucket`` together. A bucket that holds very many is compared part by part: each pair of parts is a bucket of its own."""
     hot = rows.groupBy("bucket").count().filter(F.col("count") > HOT_BUCKET)
     if not hot.isEmpty():
+        columns = rows.columns
         parts = F.ceil(F.coalesce("count", F.lit(1)) / (HOT_BUCKET // 2)).cast("int")
-        rows = rows.join(hot, "bucket", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(11)), F.col("parts")).cast("int"))
+        rows = rows.join(cut(hot), "bucket", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(by, F.lit(11)), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("fp", F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))).alias("bucket"))
-    dealt = rows.repartition(partitions(fps.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_compare(radius), "a long, b long")
+        pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+        rows = rows.withColumn("bucket", F.when(F.col("parts") == 1, F.col("bucket")).otherwise(pair)).select(*columns)
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,20 +198,188 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     fps = cut(fingerprints(docs, id_col, text_col))
     components = connected_components(fingerprint_edges(fps, radius))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    least = least.join(components, least["fp"] == components["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    named = _named(least.withColumnRenamed("fp", "node"), components).withColumnRenamed("node", "fp")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each group of near duplicates: that of the smallest id.
+def _named(least: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, component_id): of all nodes of (node, least), the smallest ``least`` of their component. A component may hold any share of the nodes."""
+    joined = cut(least.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
+    return cut(joined.join(cut(joined.groupBy("component").agg(F.min("least").alias("component_id"))), "component").select("node", "component_id"))
+
+
+# Links by similarity.
+
+#: Keys of a document, each made of so many minima: at a similarity of 0.8 a pair shares a key in 99.8 of 100 cases.
+BANDS, MINIMA = 16, 5
+#: Pairs whose fingerprints differ in more bits are not checked further: at a similarity of 0.8 they differ in 10, with a deviation of 3.
+FAR = 20
+
+_FACTORS = np.random.default_rng(41).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _shingles(h: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number for each text) of the ``size``-word shingles of texts whose words' hashes are ``h``; a shorter text is one shingle, one without words has none."""
+    n, ends = len(h), np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = ends[owner] - np.arange(n)  # words from here to the text's end
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        word = np.append(h[i:], np.zeros(min(i, n), np.uint64))
+        out = np.where(left > i, (out ^ (out >> np.uint64(29)) ^ word) * np.uint64(0xBF58476D1CE4E5B9), out)
+    begins = (left >= size) | ((sizes[owner] < size) & (left == sizes[owner]))
+    return mixed(out[begins]), np.where(sizes >= size, sizes - size + 1, np.minimum(sizes, 1))
+
+
+def _sketches(size: int):
+    names = ["doc_id", "h", "g", "fp", *(f"k{i}" for i in range(BANDS))]
+
+    def run(batches):
+        for batch in batches:
+            for first, h, sizes in hashed_words(batch.column("text")):
+                x, counts = _shingles(h, sizes, size)
+                ids, full = batch.column("doc_id").slice(first, len(sizes)), counts > 0
+                # What the words are, in order: two hashes of each text.
+                place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                starts, at = (np.cumsum(sizes) - sizes)[full], (np.cumsum(counts) - counts)[full]
+                out = np.zeros((3 + BANDS, len(sizes)), np.uint64)
+                if len(at):
+                    for row, factor in ((0, 0x9E3779B97F4A7C15), (1, 0xD6E8FEB86659FD93)):
+                        out[row, full] = np.add.reduceat(mixed(h ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(factor)), starts)
+                    bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+                    out[2, full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+                    for band in range(BANDS):
+                        key = np.full(len(at), np.uint64(band))
+                        for factor in _FACTORS[band * MINIMA : (band + 1) * MINIMA]:
+                            key = mixed(key ^ np.minimum.reduceat(x * factor, at))
+                        out[3 + band, full] = key
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c.view(np.int64)) for c in out)], names=names)
+
+    return run, ", ".join(f"{c} long" for c in names)
+
+
+def _sets(size: int):
+    """(doc_id, h, shingles): the different shingles of a text."""
+
+    def run(batches):
+        for batch in batches:
+            for first, h, sizes in hashed_words(batch.column("text")):
+                x, counts = _shingles(h, sizes, size)
+                owner = np.repeat(np.arange(len(sizes)), counts)
+                x = x.view(np.int64)
+                by = np.lexsort((x, owner))
+                x, owner = x[by], owner[by]
+                new = np.append(True, (x[1:] != x[:-1]) | (owner[1:] != owner[:-1]))[: len(x)]
+                offsets = np.append(0, np.cumsum(np.bincount(owner[new], minlength=len(sizes)))).astype(np.int32)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                named, full = np.zeros(len(sizes), np.uint64), sizes > 0
+                if full.any():
+                    named[full] = np.add.reduceat(mixed(h ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), (np.cumsum(sizes) - sizes)[full])
+                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[new]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sizes)), pa.array(named.view(np.int64)), shingles], names=["doc_id", "h", "shingles"])
+
+    return run
+
+
+def _near_pairs(radius: int):
+    """Rows sorted by bucket become pairs of texts within ``radius`` bits of each other that have different labels."""
+
+    def block(fp: np.ndarray, h: np.ndarray, label: np.ndarray):
+        by = np.argsort(h)
+        by = by[np.append(True, h[by][1:] != h[by][:-1])]
+        fp, h, label = fp[by], h[by], label[by]
+        out = [(np.empty(0, np.int64),) * 2]
+        for a in range(0, len(fp), BLOCK):
+            for b in range(a, len(fp), BLOCK):
+                rows = np.arange(a, min(a + BLOCK, len(fp)))
+                if a != b:
+                    rows = np.append(rows, np.arange(b, min(b + BLOCK, len(fp))))
+                i, j = links_within(fp[rows], radius)
+                i, j = rows[i], rows[j]
+                fine = label[i] != label[j]
+                out.append((h[i[fine]], h[j[fine]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("bucket", "fp", "h", "label")]
+            bucket = columns[0]
+            starts = np.append(0, np.nonzero(bucket[1:] != bucket[:-1])[0] + 1) if len(bucket) else []
+            for s, e in zip(starts, np.append(starts[1:], len(bucket))):
+                if held and bucket[s] != last:
+                    yield block(*(np.concatenate(c) for c in zip(*held)))
+                    held = []
+                held.append([c[s:e] for c in columns[1:]])
+                last = bucket[s]
+        if held:
+            yield block(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component_id): one row for each different row of ``docs`` with an id and a text.
+
+    Texts link if the Jaccard similarity of their ``size``-word shingles is at least ``similarity`` (0.8 or more; words as for
+    fingerprints, a shorter text is one shingle); those without words link with each other. Every link that is used has been checked exactly. Which pairs are checked:
+    those that share a key of ``MINIMA`` minima and whose fingerprints differ in at most ``FAR`` bits, but for pairs that are connected already.
+    ``component_id`` is the smallest id reached, the row's own included. ``text_hash`` (xxhash64 of the text) tells rows of one id apart.
+    Rows with a null id or text are not listed; repeated rows count once.
+    """
+    texts = distinct_texts(docs, id_col, text_col)
+    run, schema = _sketches(size)
+    sketches = cut(texts.select("doc_id", "text").mapInArrow(run, schema))
+    keys = [f"k{i}" for i in range(BANDS)]
+    # Equal texts are one node, named by the first hash; the second tells by chance equal ones apart.
+    nodes = cut(sketches.groupBy("h", "g").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", *keys))))
+    rows = nodes.select("h", "fp", "least", F.explode(F.array(*keys)).alias("bucket"))
+    heads = cut(rows.groupBy("bucket").agg(F.min(F.struct("h", "least")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut(rows.join(heads.select("bucket", "head"), "bucket"))
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, h long, shingles array<long>")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The (a, b) of (a, a_id, b, b_id) that are similar enough."""
+        left = sets.select(F.col("doc_id").alias("a_id"), F.col("h").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("doc_id").alias("b_id"), F.col("h").alias("b"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return cut(pairs.join(left, ["a_id", "a"]).join(right, ["b_id", "b"]).filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
+
+    star = shared.filter(F.col("h") != F.col("head.h")).select(F.col("h").alias("a"), F.col("least").alias("a_id"), F.col("head.h").alias("b"), F.col("head.least").alias("b_id")).distinct()
+    links = checked(star)
+    components = connected_components(links)
+    # What is left: buckets that hold several components.
+    label = F.coalesce("component", "h")
+    labelled = cut(shared.join(components.withColumnRenamed("node", "h"), "h", "left").select("bucket", "fp", "h", label.alias("label")))
+    mixed_ = cut(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"))
+    if not mixed_.isEmpty():
+        pairs = _dealt(labelled.join(mixed_, "bucket", "left_semi"), "h").mapInArrow(_near_pairs(FAR), "a long, b long").distinct()
+        ids = nodes.select("h", "least")
+        pairs = pairs.join(ids.toDF("a", "a_id"), "a").join(ids.toDF("b", "b_id"), "b")
+        more = checked(pairs)
+        if not more.isEmpty():
+            components = connected_components(links.unionByName(more))
+    named = _named(nodes.select(F.col("h").alias("node"), "least"), components)
+    hashed = texts.select("doc_id", "text_hash")
+    known = sketches.select("doc_id", "h").join(named, F.col("h") == F.col("node")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return hashed.join(known, "doc_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row for each group of ``similar_documents``: that of the smallest id.
 
     Of rows that share that id, one stays (the first by text). Rows whose id is null cannot be named in a
-    group and stay.
+    group and stay, and so does one row of each id whose text is null. Only ids are compared here; texts are shuffled once, to the ids that stay.
     """
-    kept = near_duplicates(docs, radius, id_col, text_col).select(F.col("component_id").alias("_kept")).filter("_kept is not null").distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    named = named.join(kept, named[id_col].cast("long") == kept["_kept"], "left_semi")
-    columns = named.columns
-    first = named.groupBy(F.col(id_col)).agg(F.min_by(F.struct(*columns), F.coalesce(F.col(text_col), F.lit("")))).toDF("id", "row")
-    return first.select(*[F.col("row").getField(c).alias(c) for c in columns]).unionByName(docs.filter(F.col(id_col).isNull()))
+    groups = similar_documents(docs, similarity, size, id_col, text_col)
+    gone = cut(groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).filter("component_id <> doc_id").select(F.col("doc_id").alias(fresh("gone", docs.columns))))
+    ident = F.col(id_col).cast("long")
+    kept = docs.join(gone, ident == gone[gone.columns[0]], "left_anti")
+    twice = cut(kept.filter(F.col(id_col).isNotNull()).groupBy(ident.alias(fresh("twice", docs.columns))).count().filter("count > 1").drop("count"))
+    if twice.isEmpty():
+        return kept
+    again = ident == twice[twice.columns[0]]
+    rows = kept.join(twice, again, "left_semi")
+    first = rows.groupBy(ident.alias("id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row"))
+    return kept.join(twice, again, "left_anti").unionByName(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

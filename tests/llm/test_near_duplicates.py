@@ -96,14 +96,87 @@ def test_a_bucket_in_parts_loses_no_link(spark, monkeypatch):
     assert got == {n: c for n, c in want.items() if n != c}
 
 
+def jaccard_links(rows, size=5, similarity=0.8):
+    sets = []
+    for _, text in rows:
+        w = text.encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    return [(a, b) for a in range(len(rows)) for b in range(a) if (not sets[a] and not sets[b]) or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))]
+
+
+@pytest.fixture(scope="module")
+def similar_rows():
+    rng = random.Random(41)
+    rows = []
+    for k in range(70):
+        base = words(rng, rng.randrange(40, 300))
+        rows.append(base)
+        for _ in range(rng.randrange(4)):
+            near = list(base)
+            for i in rng.sample(range(len(base)), max(1, int(len(base) * rng.choice([0.005, 0.01, 0.02, 0.03, 0.05])))):
+                near[i] = rng.choice(VOCABULARY)
+            rows.append(near)
+    chain = words(rng, 200)
+    for i in range(12):  # neighbours are similar, ends are not
+        rows.append(chain[4 * i :] + [f"c{j}" for j in range(4 * i)])
+    texts = [" ".join(r) for r in rows] + ["", " ", "One two", "one TWO", "x " * 3000, "x " * 2999]
+    return [(i, t) for i, t in enumerate(texts)] + [(500 + i, t) for i, t in enumerate(texts[:5])]
+
+
+def test_similar_documents_against_brute_force(spark, similar_rows, monkeypatch):
+    df = spark.createDataFrame(similar_rows, "doc_id long, text string").withColumns({"h": F.lit("clash"), "bucket": F.lit(1)})
+    links = jaccard_links(similar_rows)
+    label = components(range(len(similar_rows)), links)
+    want = {similar_rows[n][0]: similar_rows[c][0] for n, c in label.items()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert got == want
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 4)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df.repartition(5)).collect()} == want
+
+
+def test_recall_of_similar_pairs(spark):
+    """Pairs from 0.8 on, each by itself: nearly all are found, and none below."""
+    rng, rows = random.Random(43), []
+    for k in range(400):
+        base = words(rng, 200)
+        near = list(base)
+        for i in rng.sample(range(200), rng.randrange(1, 8)):
+            near[i] = rng.choice(VOCABULARY)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    want = {a for a, b in jaccard_links(rows)}
+    got = {r.doc_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.component_id != r.doc_id}
+    assert got <= want and len(got) >= 0.98 * len(want) and 200 < len(want) < 395
+
+
+def test_distances_at_any_radius():
+    rng = np.random.default_rng(44)
+    f = rng.integers(-(2**63), 2**63 - 1, 130)
+    f = np.concatenate([f, f[:60] ^ rng.integers(0, 2**18, 60), [0, -1]])
+    for radius in (5, 8, 20, 31, 63):
+        i, j = simhash.links_within(f, radius)
+        want = {(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if bin((int(f[a]) ^ int(f[b])) & (2**64 - 1)).count("1") <= radius}
+        assert set(zip(i.tolist(), j.tolist())) == want
+
+
 def test_keep_one(spark, texts):
-    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("_kept", F.lit(True))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"gone": F.lit(True), "twice": F.lit(1)})
     kept = simhash.keep_one(df).collect()
     named = [r.doc_id for r in kept if r.doc_id is not None]
-    want = {r.component_id for r in simhash.near_duplicates(df).collect() if r.component_id is not None}
+    want = {r.component_id for r in simhash.similar_documents(df).collect()} | {900}
     assert sorted(named) == sorted(want) and sum(r.doc_id is None for r in kept) == 1
 
 
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    import mnemodex.llm.components as module
+
+    monkeypatch.setattr(module, "HUB_ROWS", 5)
+    monkeypatch.setattr(module, "HUB_SHARE", 40)
+    rng = random.Random(45)
+    edges = [(0, i) for i in range(1, 60)] + [(70, i) for i in range(71, 120)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(40)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: c for n, c in components({x for e in edges for x in e}, edges).items() if n != c}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0

@@ -1,11 +1,19 @@
 """The pipeline's stages against their operators, its odd rows, and DuckDB for the queries with SQL."""
 
+import os
+import random
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mnemodex.llm import queries
+from mnemodex.llm import language, quality, queries
+from mnemodex.llm.common import id_remainder
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from test_near_duplicates import components, jaccard_links  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +34,41 @@ def test_stages(spark):
         before = after
         before = spark.createDataFrame(before.collect(), before.schema)
     packed = corpus_pipeline.pack(spark, before, SF)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.filter("length(text) > 0").collect()}
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_stages_against_brute_force(spark):
+    """Every stage's decisions, made anew on the driver, a document or a pair at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = language.train(docs, id_remainder(F.col("doc_id"), 4) != 2)
+    said = {i: language.decide(r.text, model) for i, r in rows.items()}
+    want = {i for i, (lang, score) in said.items() if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE}
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: rows[i].text for i in want} and want
+
+    weights = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), "quality", id_remainder(F.col("doc_id"), 3) != 1).astype("float32")
+    scores = {}
+    for i, r in rows.items():
+        index, value = quality.features(r.text)
+        scores[i] = float(weights[index] @ value + weights[-1])
+    kept = corpus_pipeline.classify_quality(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= 0}
+
+    order = sorted(rows)
+    links = jaccard_links([(i, rows[i].text) for i in order])
+    groups = components(range(len(order)), links)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == {order[c] for c in groups.values()}
+
+    rng = random.Random(51)
+    words = [f"w{i}" for i in range(2000)]
+    shared = rng.sample(words, 60)
+    texts = [" ".join(rng.sample(words, 30) + shared * (i % 2) + rng.sample(words, 30)) for i in range(12)]
+    made = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    for r in corpus_pipeline.drop_repeated_passages(spark, made, SF).collect():
+        w = texts[r.doc_id].split()
+        assert r.text.split() == (w[:30] + w[90:] if r.doc_id % 2 and r.doc_id > 1 else w) and r.n_chars == len(r.text)
 
 
 def test_stages_on_an_empty_table(spark):
