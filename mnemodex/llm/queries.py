@@ -26,7 +26,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict under ``URL_RULES``; urls without a rule are allowed."""
-    rules = spark.createDataFrame([(*r, True) for r in URL_RULES], "host string, path string, verdict string, named boolean")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

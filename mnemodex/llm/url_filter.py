@@ -1,9 +1,10 @@
-"""Host and path rules for urls: a blocked Bloom filter, then an exact hash join.
+"""Host and path rules and listed urls: a blocked Bloom filter, then an exact hash join.
 
-Everything here is DataFrame code. A url is turned into the keys that a rule or
-a listed url could have (each suffix of its host, each prefix of its path that
-is as long as some rule's path); the Bloom filter lets only possible hits
-through, and an equi-join with the list itself removes false positives.
+Everything here is DataFrame code. A url is turned into the keys that a rule or a
+listed url could have: each suffix of its host with each prefix of its path that
+is as long as some rule's path, and its canonical form. The Bloom filter is kept as a few
+long arrays, so that a probe reads one word of one of them where the row is; only keys that may be listed are joined with the
+list itself, which removes false positives.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a filter block: one 64-bit word, so a probe reads a single word.
-BLOCK_BITS = 64
-BITS_PER_KEY = 16
+from mnemodex.llm.common import cut
+
+#: Bits of a filter block: one 64-bit word, so a probe reads a single word. Words of a segment, a row of the filter.
+BLOCK_BITS, SEGMENT = 64, 1 << 16
+#: The filter has so many segments at most (32 MB). Beyond ``BITS_PER_KEY`` for each key it gets denser, and
+#: with fewer than ``LEAST_BITS`` it would let too much through: then keys go to the join as they are.
+MOST_SEGMENTS, BITS_PER_KEY, LEAST_BITS = 64, 16, 4
 PROBES = 6
-#: A filter of at most so many words (8 bytes each) is broadcast; a larger one is joined by its word number.
-BROADCAST_WORDS = 4_000_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -26,11 +30,40 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     """
     at = F.coalesce(F.instr(url, "://"), F.lit(0))
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), _UPPER, _LOWER)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return host, path
 
 
+def _escapes(text: Column) -> Column:
+    """Percent escapes in one form: letters, digits and ``-._~`` as themselves, the others with upper-case digits."""
+
+    def one(piece: Column) -> Column:
+        code = F.upper(F.substring(piece, 1, 2))
+        plain = F.char(F.conv(code, 16, 10).cast("int"))
+        piece_rest = F.substring(piece, F.lit(3), F.length(piece))
+        known = F.when(plain.rlike(r"^[A-Za-z0-9._~-]$"), F.concat(plain, piece_rest)).otherwise(F.concat(F.lit("%"), code, piece_rest))
+        return F.when(piece.rlike(r"(?s)^[0-9A-Fa-f]{2}"), known).otherwise(F.concat(F.lit("%"), piece))
+
+    pieces = F.split(text, "%")
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), one), ""))
+
+
+def canonical(url: Column) -> Column:
+    """What tells urls apart: host, port, path and query, in one form; null if there is no ``://``.
+
+    Scheme, user info, fragment, the ports 80 and 443 and dots at the host's end go, A-Z in the host is lower-cased, an
+    empty path is ``/``, and percent escapes have one form.
+    """
+    at = F.coalesce(F.instr(url, "://"), F.lit(0))
+    rest = F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"(?s)^([^#]*)", 1)
+    host = F.translate(F.regexp_extract(rest, r"(?s)^(?:[^/?]*@)?([^/?]*)", 1), _UPPER, _LOWER)
+    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)?$", ""), r"\.+(:[0-9]+)?$", "$1")
+    tail = F.regexp_extract(rest, r"(?s)^[^/?]*(.*)$", 1)
+    tail = F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))
+    return F.when(at > 0, F.concat(host, _escapes(tail)))
+
+
 def _suffixes(host: Column) -> Column:
     parts = F.split(host, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
@@ -48,46 +81,73 @@ def _bits(key: Column) -> Column:
     return mask
 
 
-def blocked_bloom(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
-    """(word, bits) rows of a filter with ``BITS_PER_KEY`` bits a key, and its number of words."""
-    words = max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
-    return keys.select(_word(F.col(key), words).alias("word"), _bits(F.col(key)).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), words
+def blocked_bloom(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame | None, int]:
+    """(segment, words) rows of a filter, at most ``MOST_SEGMENTS`` of them, and the number of its words; None if it would be too dense."""
+    words = max(1, min(-(-n_keys * BITS_PER_KEY // BLOCK_BITS), MOST_SEGMENTS * SEGMENT))
+    if words * BLOCK_BITS < LEAST_BITS * n_keys:
+        return None, words
+    filled = keys.select(_word(F.col(key), words).alias("word"), _bits(F.col(key)).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    filled = filled.groupBy(F.shiftright("word", 16).cast("int").alias("segment")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(SEGMENT - 1).cast("int"), "bits"))).alias("at"))
+    place = F.sequence(F.lit(0), F.lit(min(words, SEGMENT) - 1))
+    return filled.select("segment", F.transform(place, lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0).cast("long"))).alias("words")), words
+
+
+def possible_hits(probes: DataFrame, listed: DataFrame, key: str, listed_key: str, n_listed: int) -> DataFrame:
+    """The rows of ``probes`` whose ``key`` may be among ``listed_key``: all that are, and a few others."""
+    bloom, words = blocked_bloom(listed, listed_key, n_listed)
+    if bloom is None:
+        return probes
+    word = _word(F.col(key), words)
+    placed = probes.withColumn("_segment", F.shiftright(word, 16).cast("int"))
+    joined = placed.join(F.broadcast(bloom.toDF("_at", "_words")), F.col("_segment") == F.col("_at"))  # at most MOST_SEGMENTS rows of 512 KB
+    found = F.element_at("_words", word.bitwiseAND(F.lit(SEGMENT - 1)).cast("int") + 1)
+    return joined.filter(found.bitwiseAND(_bits(F.col(key))) == _bits(F.col(key))).select(*probes.columns)
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to ``pages``.
 
-    ``rules`` has the columns host, path, verdict and named (whether the rule is
-    to be reported; listed urls are rules that are not). A rule fits its host and all subdomains
-    if the url's path starts with the rule's path. A named rule goes before a listed
-    url, then the longest host and path win, then the longer host. Urls that no
-    rule fits get ``default``; so do null and malformed ones. Columns of ``pages`` with
-    these four names are replaced, all others stay; no row is lost or repeated.
+    ``rules`` has the columns host, path and verdict. A rule fits its host and all subdomains
+    if the url's path starts with the rule's path; it is reported as host and path together. ``listed`` has the columns
+    url and verdict; a listed url is hit by all urls of the same ``canonical`` form. A rule goes before a listed
+    url, the longest host and path win, then the longer host. Of equal rules or listed urls the largest verdict counts; those with nulls are
+    passed over. Urls that nothing fits get ``default``; so do null and malformed ones. Columns of ``pages`` with
+    these four names are replaced, all others stay, whatever their names; no row is lost or repeated.
     """
-    rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"), F.col("named").alias("r_named"))
-    rules = rules.filter("r_host is not null and r_path is not null").groupBy("r_host", "r_path").agg(F.max_by(F.struct("r_verdict", "r_named"), F.struct("r_named", "r_verdict")).alias("r")).select("r_host", "r_path", "r.*")
-    rules = rules.withColumn("r_key", F.concat("r_host", F.lit("\n"), "r_path"))
-    counted = rules.agg(F.count(F.lit(1)), F.collect_set(F.length("r_path"))).first()
-    n_rules, lengths = counted[0], sorted(counted[1])
     out = ["host", "path", "rule", "verdict"]
-    base = pages.drop(*[c for c in out if c != url])
-    host, path = host_and_path(F.col(url))
-    if n_rules == 0:
-        return base.select("*", host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    bloom, words = blocked_bloom(rules, "r_key", n_rules)
-    if words <= BROADCAST_WORDS:
-        bloom = F.broadcast(bloom)
+    names = [c for c in pages.columns if c not in out or c == url]
+    base = pages.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    at = f"c{names.index(url)}"
+    host, path = host_and_path(F.col(at))
+    given = rules.select(F.concat("host", F.lit("\n"), "path").alias("key"), F.col("verdict"), F.concat("host", "path").alias("rule"), F.length("host").alias("size"), F.length("path").alias("reach"))
+    if listed is not None:
+        form = canonical(F.col("url"))
+        given = given.unionByName(listed.select(form.alias("key"), "verdict", F.lit(None).cast("string").alias("rule"), F.lit(0).alias("size"), F.lit(-1).alias("reach")))
+    given = cut(given.filter("key is not null and verdict is not null").groupBy("key", "rule", "size", "reach").agg(F.max("verdict").alias("verdict")))
+    counted = given.agg(F.count(F.lit(1)), F.collect_set("reach")).first()
+    n_given, reaches = counted[0], sorted(counted[1])
+    judged = base.select(*base.columns, host.alias("host"), path.alias("path"))
+
+    def named(df: DataFrame, rule: Column, verdict: Column) -> DataFrame:
+        kept = [F.col(c).alias(n) for c, n in zip(base.columns, names) if n not in out]
+        again = [F.col(at).alias(url)] if url in out else []
+        return df.select(*kept, *again, *[F.col(c) for c in ("host", "path") if c != url], rule.alias("rule"), verdict.alias("verdict"))
+
+    if not n_given:
+        return named(judged, F.lit(None).cast("string"), F.lit(default))
     # Each different url is judged once, so a url that repeats a million times costs one row.
-    seen = base.select(F.col(url).alias("_url")).filter("_url is not null").distinct()
-    host, path = host_and_path(F.col("_url"))
-    seen = seen.select("_url", host.alias("_host"), path.alias("_path"))
-    starts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_path"))
-    keys = F.flatten(F.transform(_suffixes(F.col("_host")), lambda h: F.transform(starts, lambda n: F.concat(h, F.lit("\n"), F.substring(F.col("_path"), F.lit(1), n)))))
-    probes = seen.select("_url", F.explode(keys).alias("_key")).withColumn("word", _word(F.col("_key"), words))
-    possible = probes.join(bloom, "word").filter(F.col("bits").bitwiseAND(_bits(F.col("_key"))) == _bits(F.col("_key"))).select("_url", "_key")
-    fits = possible.join(rules, possible["_key"] == rules["r_key"])
-    order = F.struct("r_named", F.length("r_key").alias("n"), F.length("r_host").alias("m"), "r_key")
-    best = fits.groupBy("_url").agg(F.max_by(F.struct(F.when(F.col("r_named"), F.concat("r_host", "r_path")).alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("_best"))
-    host, path = host_and_path(F.col(url))
-    joined = base.join(best, base[url] == best["_url"], "left")
-    return joined.select(*[base[c] for c in base.columns], host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    seen = base.select(F.col(at).alias("u")).filter("u is not null").distinct()
+    host, path = host_and_path(F.col("u"))
+    seen = seen.select("u", host.alias("h"), path.alias("p"))
+    starts = F.filter(F.array(*[F.lit(n) for n in reaches if n >= 0]).cast("array<int>"), lambda n: n <= F.length("p"))
+    keys = F.flatten(F.transform(_suffixes(F.col("h")), lambda h: F.transform(starts, lambda n: F.concat(h, F.lit("\n"), F.substring(F.col("p"), F.lit(1), n)))))
+    if -1 in reaches:
+        keys = F.array_compact(F.concat(keys, F.array(canonical(F.col("u")))))
+    probes = seen.select("u", F.explode(keys).alias("k"))
+    hits = possible_hits(probes, given, "k", "key", n_given).join(given, F.col("k") == F.col("key"))
+    order = F.struct(F.col("rule").isNotNull().alias("r"), F.length("rule").alias("n"), "size", "key")
+    best = cut(hits.groupBy("u").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best")))
+    # Rows with a null url need no join; ``best`` is a written table, so Spark can split a url that very many rows have.
+    joined = judged.filter(F.col(at).isNotNull()).join(best, F.col(at) == F.col("u"), "left")
+    none = judged.filter(F.col(at).isNull())
+    return named(joined, F.col("best.rule"), F.coalesce("best.verdict", F.lit(default))).unionByName(named(none, F.lit(None).cast("string"), F.lit(default)))

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mnemodex.llm import language, packing, quality, toxicity
+from mnemodex.llm import language, packing, quality, toxicity, url_filter
 from mnemodex.llm import sentencepiece_unigram as sp
 from mnemodex.llm.common import id_remainder
 from mnemodex.llm.tokens import TokenBytes
@@ -215,15 +215,61 @@ def test_urls(spark):
         return (host, path, *max(fit)[2:]) if fit else (host, path, None, "allow")
 
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(4, urls[4], "x"), (None, urls[4], "y")], "page_id long, url string, host string").withColumn("word", F.lit(1))
-    listed = spark.createDataFrame([(*r, True) for r in rules], "host string, path string, verdict string, named boolean")
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
     got = filter_urls(pages, listed).collect()
     assert len(got) == len(urls) + 2
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == slow(r.url), r.url
     assert filter_urls(pages, listed.limit(0)).filter("verdict = 'allow'").count() == len(got)
     assert filter_urls(pages.limit(0), listed).count() == 0
-    hidden = spark.createDataFrame([("x.net:80", "/a", "block", False)], "host string, path string, verdict string, named boolean")
-    assert [(r.rule, r.verdict) for r in filter_urls(pages, hidden).filter("page_id = 20").collect()] == [(None, "block")]
+    ruled = spark.createDataFrame([("http://X.org/fr/a", "block"), ("http://b/q", "block")], "url string, verdict string")
+    assert {(r.page_id, r.rule, r.verdict) for r in filter_urls(pages, listed, ruled).filter("page_id = 12").collect()} == {(12, "org/fr/", "allow")}
+
+
+def test_canonical_urls(spark):
+    same = [
+        ["http://a.b/x", "HTTPS://u:p@A.B.:443/x#f", "http://a.b:80/%78", "http://a.b/x"], ["http://a.b", "http://a.b/", "http://a.b./#"], ["http://a.b?q", "http://a.b/?q"],
+        ["http://a.b/%c3%a9%2f", "http://a.b/%C3%A9%2F"], ["http://a.b:8080/x", "http://A.b.:8080/x"], ["http://a.b/100%", "http://a.b/100%#"], ["http://a.b/%zz%7E", "http://a.b/%zz~"], ["http://a.b/X"], ["http://a.b/x@y"],
+    ]
+    rows = [(g, u) for g, urls in enumerate(same) for u in urls]
+    df = spark.createDataFrame(rows, "g int, url string").withColumn("c", url_filter.canonical(F.col("url")))
+    forms = {}
+    for r in df.collect():
+        forms.setdefault(r.g, set()).add(r.c)
+    assert all(len(f) == 1 for f in forms.values()) and len(set.union(*forms.values())) == len(same)
+    assert spark.createDataFrame([(None,), ("x",)], "url string").select(url_filter.canonical(F.col("url"))).distinct().first()[0] is None
+
+
+@pytest.mark.parametrize("segments", [64, 1, 0])
+def test_listed_urls(spark, monkeypatch, segments):
+    """With a filter of several segments, with a dense one, and with none."""
+    monkeypatch.setattr(url_filter, "MOST_SEGMENTS", segments)
+    monkeypatch.setattr(url_filter, "SEGMENT", 1 << 16)
+    rng = random.Random(61)
+    hosts = [f"h{i}.example" for i in range(300)]
+    listed = [(f"http://{rng.choice(hosts)}/{rng.randrange(200)}", rng.choice(["block", "allow"])) for _ in range(3000)] + [(None, "block"), ("http://x/", None)]
+    urls = [f"https://{rng.choice(hosts).upper()}:443/{rng.randrange(400)}#f" for _ in range(2000)] + [None] * 50 + ["http://h1.example/1"] * 300
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, u string, `a.b` string")
+    verdicts = {}
+    for u, v in listed:
+        if u and v:
+            verdicts[u] = max(v, verdicts.get(u, ""))
+    rules = spark.createDataFrame([("h2.example:443", "/1", "block")], "host string, path string, verdict string")
+    got = filter_urls(pages, rules, spark.createDataFrame(listed, "url string, verdict string"))
+    assert got.columns == ["page_id", "url", "u", "a.b", "host", "path", "rule", "verdict"]
+    for r in got.collect():
+        plain = r.url and "http://" + r.url.split("://")[1].lower().replace(":443", "").replace("#f", "")
+        ruled = plain is not None and plain.startswith("http://h2.example/1")
+        assert (r.rule, r.verdict) == (("h2.example:443/1", "block") if ruled else (None, verdicts.get(plain, "allow")))
+    assert got.count() == len(urls)
+
+
+def test_only_possible_hits_reach_the_join(spark):
+    listed = spark.range(20_000).select(F.concat(F.lit("listed"), "id").alias("key"))
+    probes = spark.range(50_000).select(F.concat(F.lit("other"), "id").alias("k")).unionByName(listed.limit(500).toDF("k"))
+    passed = url_filter.possible_hits(probes, listed, "k", "key", 20_000)
+    n = passed.count()
+    assert 500 <= n <= 500 + 50_000 * 0.01 and passed.join(listed, passed["k"] == listed["key"], "left_semi").count() == 500
 
 
 def test_token_bytes_are_the_tokenizers():
