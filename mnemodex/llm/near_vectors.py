@@ -4,7 +4,12 @@ A cosine of at least c means a distance of at most sqrt(2 - 2c) between the unit
 vectors. Pivots cut the vectors into cells (nearest pivot). The triangle inequality
 tells which vectors may have a partner in another cell; those are copied there,
 and every cell is then joined on its own. Cells that hold many vectors are
-joined block by block, so that no task depends on how crowded a cell is.
+joined block by block, so that no task depends on how crowded a cell is, and tiles of a block whose distances
+to a point differ by more than the radius are passed over.
+
+Pivots are taken farthest-first from a sample, each far from those before it. How many are used is chosen on the
+sample, from the copies they would make and the comparisons they would leave: where vectors lie in groups, many; where
+all are about equally far from each other, so that no bound excludes anything, one.
 """
 
 from __future__ import annotations
@@ -18,7 +23,9 @@ from mnemodex.llm.common import cut
 from mnemodex.llm.components import connected_components
 from mnemodex.llm.vectors import matrix, usable
 
-CELL, MOST_PIVOTS = 8192, 256
+CELL, MOST_PIVOTS = 64, 1024
+#: Vectors of the sample that pivots are taken from, and its most bytes; comparisons that cost as much as a copy.
+SAMPLE, SAMPLE_BYTES, COPY = 4096, 32_000_000, 4096
 #: Bytes of the vectors that a task compares a block of a cell's own vectors with; that block has a quarter of them.
 BLOCK_BYTES = 16_000_000
 TILE = 1024
@@ -32,21 +39,51 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _reach(cosine: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of vectors with these cosines to the pivots: the home cell, and the cells in which a partner may live."""
+    home = cosine.argmax(axis=1)
+    every = np.arange(len(cosine))
+    own = cosine[every, home]
+    far, near = np.sqrt(np.maximum(0, 2 - 2 * cosine)), np.sqrt(np.maximum(0, 2 - 2 * own))
+    # Triangle inequality, and the distance to the plane between the two pivots.
+    go = far - near[:, None] <= 2 * radius + SLACK
+    go &= own[:, None] - cosine <= (radius + SLACK) * apart[home] + SLACK
+    go[every, home] = True
+    return home, go
+
+
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+
+
+def choose_pivots(sample: np.ndarray, n: int, radius: float) -> np.ndarray:
+    """Pivots from ``sample`` (unit vectors) for a table of ``n`` vectors, a row each.
+
+    The first ones of the farthest-first order are the pivots; their number is the power of two at which a vector's copies and
+    its comparisons, both estimated on the sample, cost least.
+    """
+    order, far = [0], 1 - sample @ sample[0]
+    while len(order) < min(MOST_PIVOTS, -(-len(sample) // 4), max(1, n // CELL)):
+        order.append(int(far.argmax()))
+        far = np.minimum(far, 1 - sample @ sample[order[-1]])
+    cosine = sample @ sample[order].T
+    costs, k = {}, 1
+    while k <= len(order):
+        home, go = _reach(cosine[:, :k], _apart(sample[order[:k]]), radius)
+        compared = (np.bincount(home, minlength=k) / len(sample)) @ (go.sum(axis=0) / len(sample))
+        costs[k] = n * compared + COPY * go.sum() / len(sample)
+        k *= 2
+    best = min(costs, key=costs.get)
+    return sample[order[: best if costs[best] < 0.7 * costs[1] else 1]]  # cells that exclude next to nothing are not worth their copies
+
+
 def _cells(pivots: np.ndarray, radius: float):
     """Arrow batches (class, v) become (class, v, cell, home): the home cell, and each cell in which a partner may live."""
-    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    apart = _apart(pivots)
 
     def run(batches):
         for batch in batches:
-            x = _unit(matrix(batch.column("v")))
-            cosine = x @ pivots.T
-            home = cosine.argmax(axis=1)
-            own = cosine[np.arange(len(x)), home]
-            far, near = np.sqrt(np.maximum(0, 2 - 2 * cosine)), np.sqrt(np.maximum(0, 2 - 2 * own))
-            # Triangle inequality, and the distance to the plane between the two pivots.
-            go = far - near[:, None] <= 2 * radius + SLACK
-            go &= own[:, None] - cosine <= (radius + SLACK) * apart[home] + SLACK
-            go[np.arange(len(x)), home] = True
+            home, go = _reach(_unit(matrix(batch.column("v"))) @ pivots.T, apart, radius)
             row, cell = np.nonzero(go)
             yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(cell == home[row])], names=["class", "v", "cell", "home"])
 
@@ -61,10 +98,15 @@ def _join(cosine: float):
         x = _unit(matrix(rows["v"]))
         low = x.astype(np.float32)
         label, count = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-        a, b = np.nonzero(left)[0], np.nonzero(right)[0]
+        # By the distance to the first row: vectors within the radius of each other have distances within it.
+        away = np.sqrt(np.maximum(0, 2 - 2 * x @ x[0])) if len(x) else np.empty(0)
+        a, b = (rows[np.argsort(away[rows], kind="stable")] for rows in (np.nonzero(left)[0], np.nonzero(right)[0]))
+        reach = np.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
         for i in range(0, len(a), TILE):
             for j in range(0, len(b), TILE):
                 ra, rb = a[i : i + TILE], b[j : j + TILE]
+                if away[ra[0]] - away[rb[-1]] > reach or away[rb[0]] - away[ra[-1]] > reach:
+                    continue
                 p, q = np.nonzero(low[ra] @ low[rb].T >= cosine - 1e-4)
                 p, q = ra[p], rb[q]
                 keep = ids[p] != ids[q]
@@ -111,8 +153,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     links = None
     for dim in sizes:  # vectors of one table have one length; others are rare and joined among themselves
         same = classes.filter(F.col("dim") == dim)
-        k = max(1, min(MOST_PIVOTS, n // CELL))
-        pivots = _unit(np.array([r[0] for r in same.orderBy(F.xxhash64("h"), "class").limit(k).select("v").collect()]))
+        size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        sample = np.array([r[0] for r in same.orderBy(F.xxhash64("h"), "class").limit(size).select("v").collect()])
+        pivots = choose_pivots(_unit(sample), n, radius)
         cells = same.select("class", "v").mapInArrow(_cells(pivots, radius), f"class long, v {kind}, cell int, home boolean")
         cells = cells.join(same.select("class", "copies"), "class")
         placed = cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("members"))
