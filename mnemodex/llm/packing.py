@@ -196,7 +196,8 @@ def _pack(capacity: int):
 def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """``pieces`` with sequence_id and offset: no sequence is longer than ``capacity``, offsets are gapless from 0.
 
-    Pieces are told apart by their row, so repeated ids do no harm. An empty table gives an empty one.
+    Pieces are told apart by their row, so repeated ids and rows do no harm, nor do null ids. Of equal lengths any order may come out.
+    An empty table gives an empty one.
     """
     schema = "part long, " + _PIECES + ", bin long, offset long, done boolean"
     left, result = pieces, None
@@ -205,8 +206,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         if not n:
             break
         groups = max(1, -(-n // GROUP))
-        # Each round deals anew, so that documents of partitions with gaps meet others.
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups))
+        # Each round deals anew, so that documents of partitions with gaps meet others. Rows are numbered, so that repeated ones part.
+        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups))
         packed = cut(left.withColumn("part", key).groupBy("part").applyInArrow(_pack(capacity), schema))
         last = groups == 1 or turn == ROUNDS - 1
         done = packed if last else packed.filter("done")
