@@ -64,11 +64,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids under the pieces of the 32k vocabulary, as number and hash, and whether they decode to its text."""
+    """Every document's ids under the pieces of the 32k vocabulary, their number and hash, and length and hash of what they decode to."""
     model = sentencepiece_unigram.Model.load(vocabulary("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentencepiece_unigram.encode_documents(docs, model)
-    return coded.select("doc_id", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").alias("n_chars"), F.xxhash64("decoded").alias("decoded_hash"))
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").alias("n_chars"), F.xxhash64("decoded").alias("decoded_hash"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: SentencePiece's penalty below the lowest score, for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
-#: Parts of a text that a worker remembers, parts that are searched together, and bytes up to which they are.
-CACHED, TOGETHER, SHORT = 500_000, 20_000, 32
+#: Parts of a text that a worker remembers, parts that are searched together, and bytes up to which they are; bytes beyond which a part is searched alone.
+CACHED, TOGETHER, SHORT, LONG = 500_000, 20_000, 32, 2000
 _PART = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _WHOLE = re.compile(r"(?s).+")
 
@@ -182,6 +182,45 @@ def viterbi(parts: list[bytes], model: Model) -> list[bytes]:
     return out
 
 
+def viterbi_long(part: bytes, model: Model) -> bytes:
+    """The same for one part of any length: all its bytes walk through the trie at once, then the pieces found are joined byte by byte."""
+    n, trie = len(part), model.trie
+    text = np.frombuffer(part, np.uint8).astype(np.int64)
+    starts = np.nonzero((text & 0xC0) != 0x80)[0]
+    alive, state, depth = starts, np.zeros(len(starts), np.int64), 0
+    found = []
+    while len(alive):
+        inside = alive + depth < n
+        alive, state = alive[inside], state[inside]
+        state = trie.step(state, text[alive + depth])
+        alive, state, depth = alive[state >= 0], state[state >= 0], depth + 1
+        value = trie.value[state]
+        ends = value >= 0
+        found.append((alive[ends], np.full(int(ends.sum()), depth), value[ends]))
+    lead = text[starts]
+    char = np.minimum(1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), n - starts)
+    start, size, value = (np.concatenate(c) for c in zip(*found, (starts, char, np.full(len(starts), -1))))
+    by = np.lexsort((value < 0, size, start))
+    start, size, value = start[by], size[by], value[by]
+    new = np.append(True, (start[1:] != start[:-1]) | (size[1:] != size[:-1]))  # a piece goes before the unknown character of its place
+    least = model.scores[model.kinds == 1].min() if (model.kinds == 1).any() else np.float32(0)
+    score = np.where(value < 0, np.float32(least - np.float32(UNKNOWN_PENALTY)), model.scores[model.ids[value]] if len(model.ids) else np.float32(0)).astype(np.float32)
+    what = np.where(value < 0, model.unknown, model.ids[value] if len(model.ids) else 0)
+    best, origin, piece = [None] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    best[0] = np.float32(0)
+    for s, e, w, p in zip(start[new].tolist(), (start + size)[new].tolist(), score[new], what[new].tolist()):
+        if best[s] is not None:
+            total = best[s] + w
+            if best[e] is None or total > best[e]:
+                best[e], origin[e], piece[e] = total, s, p
+    spelled, out, end = (model.byte_ids >= 0).all(), [], n
+    while end > 0:
+        s, p = origin[end], piece[end]
+        out += [int(model.byte_ids[b]) for b in reversed(part[s:end])] if p == model.unknown and spelled else [p]
+        end = s
+    return np.array(out[::-1], "<i4").tobytes()
+
+
 class Encoder:
     """``encode_batch(texts)``: each text's ids as little-endian 32-bit numbers."""
 
@@ -192,7 +231,8 @@ class Encoder:
         if len(self.cache) > CACHED:
             self.cache.clear()
         coded = [p.encode() for p in parts]
-        order = sorted(range(len(parts)), key=lambda i: len(coded[i]))
+        self.cache.update((p, viterbi_long(c, self.model)) for p, c in zip(parts, coded) if len(c) > LONG)
+        order = sorted((i for i in range(len(parts)) if len(coded[i]) <= LONG), key=lambda i: len(coded[i]))
         at = 0
         while at < len(order):
             longest = max(SHORT // 2, len(coded[order[at]])) * 5 // 4
@@ -264,3 +304,18 @@ def encode_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def decode_documents(rows: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text): what each row's ids decode to. One row for each row; null ids give a null text, ids that are null or unknown to the model no text."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    known = F.filter(F.col(ids_col).cast("array<int>"), lambda i: i.between(0, len(model.pieces) - 1))
+    coded = rows.select(F.col(id_col).cast("long").alias("doc_id"), known.alias("ids"))
+
+    def run(batches):
+        back = Decoder(held.value)
+        for batch in batches:
+            texts = [None if not ids.is_valid else back(ids.values.to_numpy().astype("<i4").tobytes()) for ids in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return coded.mapInArrow(run, "doc_id long, text string")
