@@ -311,8 +311,21 @@ def test_packing(spark, tables, odd):
         assert at <= 1024
     assert len(by_sequence) <= 1.02 * packing.lower_bound(np.array([r.length for r in got]), 1024) + 1
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
-    twice = packing.pack_documents(docs.limit(1).union(docs.limit(1)), public_tokenizers.path("byte_bpe_50k.json"))
-    assert twice.count() % 2 == 0
+    once = packing.pack_documents(docs.limit(1), public_tokenizers.path("byte_bpe_50k.json")).count()
+    assert packing.pack_documents(docs.limit(1).union(docs.limit(1)), public_tokenizers.path("byte_bpe_50k.json")).count() == 2 * once
+
+
+def test_repeated_rows_are_packed_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    rows = [(7, 0, 0, 300, 1)] * 400 + [(None, 0, 0, 1, 2)] * 300
+    got = packing.pack_pieces(spark.createDataFrame(rows, packing._PIECES)).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == sorted((r[0] or 0, r[3]) for r in rows)
+    held, first = {}, {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        first.setdefault(r.sequence_id >> 24, []).append(r)
+    assert all(sorted(o for o, _ in rows) == np.append(0, np.cumsum([n for _, n in sorted(rows)])[:-1]).tolist() and sum(n for _, n in rows) <= 1024 for rows in held.values())
+    assert max(map(len, first.values())) < 200 and len(held) <= 1.05 * 134
 
 
 def test_packers_against_bounds():
@@ -398,6 +411,28 @@ def test_viterbi_is_the_best_path():
         assert at == len(raw) and got == pytest.approx(slow(text), abs=1e-3)
 
 
+def test_long_parts_are_searched_alike(pieces, spark):
+    rng = random.Random(29)
+    kinds = [("<unk>", 0.0, 2), ("<s>", 0.0, 3)]
+    texts = sorted({"".join(rng.choice("abcé▁") for _ in range(rng.randrange(1, 4))) for _ in range(40)})
+    small = sp.Model.of(kinds + [(t, -rng.randrange(1, 30) / 2, 1) for t in texts if "▁" not in t.lstrip("▁")])
+    for model, alphabet in ((small, "abcdé▁"), (pieces, "etaoin shrdlu,é日\U0001f600")):
+        for _ in range(60):
+            part = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))).replace(" ", "▁").encode()
+            assert sp.viterbi_long(part, model) == sp.viterbi([part], model)[0]
+    text = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    got = sp.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), pieces).first()
+    assert got.decoded == text
+
+
+def test_ids_decode_by_themselves(spark, tables, pieces):
+    docs = tables["documents"].select("doc_id", "text").limit(50)
+    coded = sp.encode_documents(docs, pieces).select("doc_id", "ids")
+    odd = spark.createDataFrame([(-1, None), (-2, []), (-3, [10**9, -5, None])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in sp.decode_documents(coded.unionByName(odd), pieces).collect()}
+    assert got == {r.doc_id: r.text for r in docs.collect()} | {-1: None, -2: "", -3: ""}
+
+
 def test_round_trip(spark, tables, pieces, odd):
     docs = tables["documents"].select("doc_id", "text").limit(200).unionByName(odd.select("doc_id", "text"))
     got = sp.encode_documents(docs, pieces).collect()
@@ -428,7 +463,7 @@ def test_top_k_over_shards(spark, monkeypatch):
     import mnemodex.llm.top_k as module
 
     monkeypatch.setattr(module, "SHARD", 64)
-    monkeypatch.setattr(module, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(module, "QUERY_BYTES", 8 * 32 * 8)
     monkeypatch.setattr(module, "CHUNK", 32)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 32)) * np.linspace(2, 0.1, 32)

@@ -402,6 +402,25 @@ def test_vectors_over_several_cells_and_blocks(spark, monkeypatch):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, 0.95).collect()) == [(i, int(g[i].sum()), int(label[i])) for i in range(200)]
 
 
+def test_pivots_fit_the_vectors(monkeypatch):
+    """Grouped vectors are copied little, however many there are; where no bound excludes anything there is one cell."""
+    import mnemodex.llm.near_vectors as module
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(300, 32))
+    radius = float(np.sqrt(0.1))
+
+    def copies(x, n):
+        x = module._unit(x)
+        pivots = module.choose_pivots(x[:4096], n, radius)
+        return len(pivots), module._reach(x @ pivots.T, module._apart(pivots), radius)[1].sum() / len(x)
+
+    for size in (50_000, 200_000, 800_000):
+        k, n = copies(centres[rng.integers(0, 300, 6000)] + rng.normal(size=(6000, 32)) * 0.15, size)
+        assert k > 8 and n < 2.5
+    assert copies(rng.normal(size=(6000, 64)), 800_000) == (1, 1.0)
+
+
 def test_passages_put_together_from_frequent_lines(spark):
     rng = random.Random(21)
     lines = [words(rng, 12) for _ in range(6)]
