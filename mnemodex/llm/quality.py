@@ -60,12 +60,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -
 
 
 def _features(batches):
-    for batch in batches:
-        found = [features(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))],
-            names=["doc_id", "label", "index", "value"],
-        )
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            found = [features(t.as_py()) for t in batch.column("text")]
+            sizes = pa.array(np.append(0, np.cumsum([len(x[0]) for x in found])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([x[i] for x in found]).astype(kind))) for i, kind in ((0, np.int32), (1, np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "index", "value"])
 
 
 def _learn(rows: pa.Table) -> pa.Table:
@@ -89,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The marked ids are bounded by ``most``, so they are sent to the texts and not the texts to them.
     rows = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    rows = rows.mapInArrow(_features, "doc_id long, label int, index array<long>, value array<double>")
+    rows = rows.mapInArrow(_features, "doc_id long, label int, index array<int>, value array<float>")
     learned = cut(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS))).groupBy("shard").applyInArrow(_learn, "index long, weight double"))
     learners = learned.filter(F.col("index") == DIM).count()
     weights = np.zeros(DIM + 1)
