@@ -25,6 +25,7 @@ from xxhash import xxh64_intdigest
 
 from mnemodex.llm.common import cut, distinct_texts, fresh, partitions
 from mnemodex.llm.components import connected_components
+from mnemodex.llm.url_filter import possible_hits
 from mnemodex.llm.words import hashed_words, mixed
 
 SHINGLE, SEED = 3, 42
@@ -247,7 +248,7 @@ def _sketches(size: int):
                     for row, factor in ((0, 0x9E3779B97F4A7C15), (1, 0xD6E8FEB86659FD93)):
                         out[row, full] = np.add.reduceat(mixed(h ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(factor)), starts)
                     bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+                    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
                     out[2, full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
                     for band in range(BANDS):
                         key = np.full(len(at), np.uint64(band))
@@ -260,14 +261,14 @@ def _sketches(size: int):
 
 
 def _sets(size: int):
-    """(doc_id, h, shingles): the different shingles of a text."""
+    """(doc_id, h, shingles): the different shingles of a text, as 32-bit hashes."""
 
     def run(batches):
         for batch in batches:
             for first, h, sizes in hashed_words(batch.column("text")):
                 x, counts = _shingles(h, sizes, size)
                 owner = np.repeat(np.arange(len(sizes)), counts)
-                x = x.view(np.int64)
+                x = x.astype(np.uint32).view(np.int32)
                 by = np.lexsort((x, owner))
                 x, owner = x[by], owner[by]
                 new = np.append(True, (x[1:] != x[:-1]) | (owner[1:] != owner[:-1]))[: len(x)]
@@ -282,14 +283,30 @@ def _sets(size: int):
     return run
 
 
-def _near_pairs(radius: int):
-    """Rows sorted by bucket become pairs of texts within ``radius`` bits of each other that have different labels."""
+def _similar(i: int, others: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``others`` have a set that is similar enough to that of ``i``; sets are sorted."""
+    own, sizes = sets[i], np.array([len(sets[j]) for j in others])
+    flat = np.concatenate([sets[j] for j in others])
+    at = np.minimum(np.searchsorted(own, flat), max(0, len(own) - 1))
+    hit = own[at] == flat if len(own) else np.zeros(len(flat), bool)
+    both = np.diff(np.append(0, np.cumsum(hit))[np.append(0, np.cumsum(sizes))])
+    return others[both >= similarity * (len(own) + sizes - both)]
 
-    def block(fp: np.ndarray, h: np.ndarray, label: np.ndarray):
+
+def _near_labels(radius: int, similarity: float):
+    """Rows sorted by bucket become edges between the labels of texts that are within ``radius`` bits of each other and similar enough.
+
+    Pairs are checked where they are met, against their sets, and only while their labels are not connected yet; so a
+    bucket yields fewer edges than it has labels.
+    """
+
+    def block(fp: list[np.ndarray], h: list[np.ndarray], label: list[np.ndarray], sets: list[list[np.ndarray]]):
+        fp, h, label, sets = np.concatenate(fp), np.concatenate(h), np.concatenate(label), [x for part in sets for x in part]
         by = np.argsort(h)
         by = by[np.append(True, h[by][1:] != h[by][:-1])]
-        fp, h, label = fp[by], h[by], label[by]
-        out = [(np.empty(0, np.int64),) * 2]
+        fp, label, sets = fp[by], label[by], [sets[i] for i in by.tolist()]
+        known, group = np.unique(label, return_inverse=True)
+        edges: list[tuple[int, int]] = []
         for a in range(0, len(fp), BLOCK):
             for b in range(a, len(fp), BLOCK):
                 rows = np.arange(a, min(a + BLOCK, len(fp)))
@@ -297,24 +314,35 @@ def _near_pairs(radius: int):
                     rows = np.append(rows, np.arange(b, min(b + BLOCK, len(fp))))
                 i, j = links_within(fp[rows], radius)
                 i, j = rows[i], rows[j]
-                fine = label[i] != label[j]
-                out.append((h[i[fine]], h[j[fine]]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                starts = np.append(0, np.nonzero(i[1:] != i[:-1])[0] + 1) if len(i) else []
+                for s, e in zip(starts, np.append(starts[1:], len(i)).astype(int) if len(i) else []):
+                    one, others = int(i[s]), j[s:e]
+                    others = others[group[others] != group[one]]
+                    if not len(others):
+                        continue
+                    for other in _similar(one, others, sets, similarity).tolist():
+                        x, y = int(group[one]), int(group[other])
+                        if x != y:
+                            edges.append((int(known[x]), int(known[y])))
+                            group[group == max(x, y)] = min(x, y)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         held, last = [], None
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("bucket", "fp", "h", "label")]
-            bucket = columns[0]
+            bucket, fp, h, label = (batch.column(c).to_numpy() for c in ("bucket", "fp", "h", "label"))
+            sets = [x.values.to_numpy() for x in batch.column("shingles")]
             starts = np.append(0, np.nonzero(bucket[1:] != bucket[:-1])[0] + 1) if len(bucket) else []
             for s, e in zip(starts, np.append(starts[1:], len(bucket))):
                 if held and bucket[s] != last:
-                    yield block(*(np.concatenate(c) for c in zip(*held)))
+                    yield block(*zip(*held))
                     held = []
-                held.append([c[s:e] for c in columns[1:]])
+                held.append((fp[s:e], h[s:e], label[s:e], sets[s:e]))
                 last = bucket[s]
         if held:
-            yield block(*(np.concatenate(c) for c in zip(*held)))
+            yield block(*zip(*held))
 
     return run
 
@@ -337,27 +365,29 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, i
     rows = nodes.select("h", "fp", "least", F.explode(F.array(*keys)).alias("bucket"))
     heads = cut(rows.groupBy("bucket").agg(F.min(F.struct("h", "least")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = cut(rows.join(heads.select("bucket", "head"), "bucket"))
-    sets = texts.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, h long, shingles array<long>")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The (a, b) of (a, a_id, b, b_id) that are similar enough."""
-        left = sets.select(F.col("doc_id").alias("a_id"), F.col("h").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("doc_id").alias("b_id"), F.col("h").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return cut(pairs.join(left, ["a_id", "a"]).join(right, ["b_id", "b"]).filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(doc_id, h, shingles) of the texts that ``ids`` (key) may name; others are not shuffled."""
+        asked = possible_hits(texts.select("doc_id", "text"), ids, "doc_id", "key", ids.count())
+        return asked.mapInArrow(_sets(size), "doc_id long, h long, shingles array<int>")
 
     star = shared.filter(F.col("h") != F.col("head.h")).select(F.col("h").alias("a"), F.col("least").alias("a_id"), F.col("head.h").alias("b"), F.col("head.least").alias("b_id")).distinct()
-    links = checked(star)
+    star = cut(star)
+    sets = sets_of(cut(star.select(F.col("a_id").alias("key")).unionByName(star.select(F.col("b_id").alias("key"))).distinct()))
+    left = star.join(sets, (F.col("a_id") == F.col("doc_id")) & (F.col("a") == F.col("h"))).withColumnRenamed("shingles", "x").drop("doc_id", "h")
+    known = left.join(sets, (F.col("b_id") == F.col("doc_id")) & (F.col("b") == F.col("h")))
+    both = F.size(F.array_intersect("x", "shingles"))
+    links = cut(known.filter(both >= F.lit(similarity) * (F.size("x") + F.size("shingles") - both)).select("a", "b"))
     components = connected_components(links)
-    # What is left: buckets that hold several components.
+    # What is left: buckets that hold several components. Their pairs are compared and checked in the bucket.
     label = F.coalesce("component", "h")
-    labelled = cut(shared.join(components.withColumnRenamed("node", "h"), "h", "left").select("bucket", "fp", "h", label.alias("label")))
-    mixed_ = cut(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"))
-    if not mixed_.isEmpty():
-        pairs = _dealt(labelled.join(mixed_, "bucket", "left_semi"), "h").mapInArrow(_near_pairs(FAR), "a long, b long").distinct()
-        ids = nodes.select("h", "least")
-        pairs = pairs.join(ids.toDF("a", "a_id"), "a").join(ids.toDF("b", "b_id"), "b")
-        more = checked(pairs)
+    labelled = cut(shared.join(components.withColumnRenamed("node", "h"), "h", "left").select("bucket", "fp", "h", "least", label.alias("label")))
+    several = cut(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"))
+    if not several.isEmpty():
+        rows = cut(labelled.join(several, "bucket", "left_semi"))
+        sets = sets_of(cut(rows.select(F.col("least").alias("key")).distinct())).withColumnRenamed("h", "hash")
+        rows = rows.join(sets, (F.col("least") == F.col("doc_id")) & (F.col("h") == F.col("hash"))).select("bucket", "fp", "h", "label", "shingles")
+        more = cut(_dealt(rows, "h").mapInArrow(_near_labels(FAR, similarity), "a long, b long").distinct())
         if not more.isEmpty():
             components = connected_components(links.unionByName(more))
     named = _named(nodes.select(F.col("h").alias("node"), "least"), components)
