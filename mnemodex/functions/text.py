@@ -77,6 +77,27 @@ def alias_variants(value: Column) -> Column:
     return F.array_distinct(F.array(plain, F.replace(plain, F.lit(" "), F.lit("-")), F.replace(plain, F.lit(" "), F.lit("_"))))
 
 
+def path_aliases(path: Column) -> Column:
+    """The names of a path: itself, its file name, and that without its ending."""
+    name = F.substring_index(path, "/", -1)
+    return F.array_distinct(F.array_compact(F.array(path, name, F.regexp_replace(name, r"(.)\.[^.]+$", "$1"))))
+
+
+def symbol_aliases(path: Column, symbol: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.array(symbol, F.concat(path, F.lit("#"), symbol))))
+
+
+def target_label(path: Column, ident: Column, anchor: Column) -> Column:
+    """The path, or else the id, and the anchor where there is one."""
+    place = F.coalesce(path, ident.cast("string"))
+    return F.when(F.coalesce(anchor, F.lit("")) != "", F.concat(place, F.lit("#"), anchor)).otherwise(place)
+
+
+def json_object(column: Column) -> Column:
+    """A map of a JSON object's top-level values as text; what is malformed, a list or null is null."""
+    return F.when(F.trim(column).startswith("{") & F.json_object_keys(column).isNotNull(), F.from_json(column, "map<string,string>"))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(squeeze(text)), "[^a-z0-9]+", "-"), "^-|-$", "")
 

@@ -31,17 +31,82 @@ def forget(notes: DataFrame, query_terms: list[str], most: int = 10, reason: str
     return relational.mark(marked, F.col("_hit"), "deleted", reason).drop("_hit")
 
 
-def export_notes(notes: DataFrame, path: str, include_inactive: bool = False) -> None:
-    """Notes as JSON lines, one file set, oldest first within each file."""
-    rows = notes if include_inactive else relational.active(notes, "deleted")
-    rows.sortWithinPartitions("created_at", "id").write.mode("overwrite").json(path)
+#: What a forget does: a flag and the event it is told by; hard takes the row.
+MODES = {"soft": "deleted", "suppress": "suppressed", "hard": None}
+
+
+def forget_targets(targets: DataFrame, chosen: DataFrame, mode: str, reason: str | None = None) -> DataFrame:
+    """``targets`` (target_type, id, deleted, suppressed, ...) after a forget of those that ``chosen`` (target_type, id) lists."""
+    if mode == "hard":
+        return relational.without(targets, chosen, ["target_type", "id"]).select(*targets.columns)
+    hit = targets.join(chosen.select("target_type", "id", F.lit(True).alias("_hit")).distinct(), ["target_type", "id"], "left")
+    marked = relational.mark(hit, F.col("_hit"), MODES[mode], reason).drop("_hit")
+    return marked.select(*targets.columns, *[c for c in marked.columns if c not in targets.columns])
+
+
+def resolve(notes: DataFrame, terms: list[str] = (), ids: list[str] = (), most: int = 10) -> DataFrame:
+    """(target_type, id) of what a forget is about: the given ids, or of notes, then diaries, the newest active ones that hold a term, ``most`` in all."""
+    if ids:
+        return notes.filter(F.col("id").cast("string").isin(list(ids))).select("target_type", "id")
+    live = relational.like_any(relational.active(notes, "deleted", "suppressed"), "text", list(terms))
+    order = [F.when(F.col("target_type") == "memory", 0).otherwise(1), F.desc("created_at"), F.col("id")]
+    return live.orderBy(*order).limit(most).select("target_type", "id")
+
+
+def diary_entry(rows: DataFrame, now: str) -> DataFrame:
+    """Diary entries (id, subject, summary, tags, text, content_hash, created_at, accepted) of (id, subject, summary, tags, added, changed).
+
+    The summary gets a line of the first 8 added and one of the first 8 changed paths; the text that is searched is subject, summary and tags. Entries of under
+    four words are not accepted.
+    """
+    line = lambda name, paths: F.when(F.size(paths) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(paths, 1, 8), ", ")))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    summary = F.concat_ws("\n", "summary", line("Added", listed(F.col("added"))), line("Changed", listed(F.col("changed"))))
+    out = rows.withColumn("summary", summary)
+    body = F.concat_ws("\n", F.nullif("subject", F.lit("")), F.nullif("summary", F.lit("")), F.nullif(F.array_join(listed(F.col("tags")), ", "), F.lit("")))
+    out = out.withColumn("text", body).withColumn("accepted", F.size(text.words(F.col("summary"))) >= 4)
+    return out.select("id", "subject", "summary", "tags", "text", F.sha2("text", 256).alias("content_hash"), F.lit(now).cast("timestamp_ntz").alias("created_at"), "accepted")
+
+
+#: The tag of an export's format.
+FORMAT = "durable-memory.v1"
+EXPORT = "format string, kind string, id string, payload string, content_hash string, created_at timestamp"
+
+
+def export_rows(notes: DataFrame, diaries: DataFrame, include_inactive: bool = False) -> DataFrame:
+    """Notes and diaries as rows of one export: (format, kind, id, payload, content_hash, created_at), kind being memory or diary, payload the row as JSON."""
+    def part(rows: DataFrame, kind: str) -> DataFrame:
+        rows = rows if include_inactive else relational.active(rows, *[c for c in ("deleted", "suppressed") if c in rows.columns])
+        digest = F.col("content_hash") if "content_hash" in rows.columns else F.sha2("text", 256)
+        return rows.select(F.lit(FORMAT).alias("format"), F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.to_json(F.struct(*rows.columns)).alias("payload"), digest.alias("content_hash"), F.col("created_at").cast("timestamp").alias("created_at"))
+
+    return part(notes, "memory").unionByName(part(diaries, "diary"))
+
+
+def export_notes(notes: DataFrame, diaries: DataFrame, path: str, include_inactive: bool = False) -> None:
+    """An export as JSON lines, oldest first."""
+    export_rows(notes, diaries, include_inactive).orderBy("created_at", "kind", "id").write.mode("overwrite").json(path)
 
 
 def import_notes(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """The notes of an export whose text no known note has, active or not. The schema is given, never inferred."""
-    rows = spark.read.schema(NOTE).json(path)
-    rows = rows.withColumn("content_hash", F.coalesce("content_hash", F.sha2("text", 256)))
-    return relational.dedupe_batch(rows, known.select(F.sha2("text", 256).alias("content_hash")), "content_hash", "id")
+    """(kind, id, payload, content_hash, created_at, outcome): the rows of an export; ``saved`` for those whose hash no known row of the kind has, active or not, else ``duplicate``.
+
+    ``known`` has (kind, content_hash). The schema is given, never inferred. Rows of another format or without kind and payload raise a ValueError;
+    nothing is written, so a dry run is a count of the outcomes.
+    """
+    rows = spark.read.schema(EXPORT).json(path)
+    wrong = rows.filter(~F.col("format").eqNullSafe(FORMAT) | ~F.coalesce(F.col("kind").isin("memory", "diary"), F.lit(False)) | F.col("payload").isNull())
+    if not wrong.isEmpty():
+        raise ValueError(f"this is no export of format {FORMAT}")
+    return judge_import(rows, known)
+
+
+def judge_import(rows: DataFrame, known: DataFrame) -> DataFrame:
+    seen = known.select("kind", "content_hash", F.lit(True).alias("_known")).distinct()
+    first = F.row_number().over(Window.partitionBy("kind", "content_hash").orderBy("id"))
+    joined = rows.withColumn("_n", first).join(seen, ["kind", "content_hash"], "left")
+    outcome = F.when(F.coalesce("_known", F.lit(False)) | (F.col("_n") > 1), "duplicate").otherwise("saved")
+    return joined.select("kind", "id", "payload", "content_hash", "created_at", outcome.alias("outcome"))
 
 
 def guidance(notes: DataFrame, newest: int = 120, most: int = 8) -> DataFrame:
@@ -63,6 +128,6 @@ def highlights(docs: DataFrame, now: str, first: int = 40, most: int = 12) -> Da
 
 
 def prefix_budget(rows: DataFrame, cost: str, order: list, budget: int) -> DataFrame:
-    """Rows in order up to the first that would pass the budget; that one and all after it go."""
+    """Rows in order up to the first that would pass the budget; that one and all after it go. Costs are 1 at least, so only the first ``budget`` rows are looked at."""
     running = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(cost).over(running)).filter(F.col("_sum") <= budget).drop("_sum")
+    return rows.orderBy(*order).limit(budget).withColumn("_sum", F.sum(cost).over(running)).filter(F.col("_sum") <= budget).drop("_sum")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemodex.functions import text
+from mnemodex.operators.relational import without
 
 
 def both_ways(relations: DataFrame) -> DataFrame:
@@ -19,34 +20,42 @@ def both_ways(relations: DataFrame) -> DataFrame:
 
 
 def walk(origins: DataFrame, relations: DataFrame, names: DataFrame, depth: int = 2, limit: int = 8) -> DataFrame:
-    """(origin_id, entity_id, depth, relation_id): each simple path from an origin, the first ``limit`` of an origin by depth and name.
+    """(origin_id, entity_id, depth, relation_id, n): each simple path from an origin, the first ``limit`` of an origin by depth and name.
 
     ``origins`` has one column, origin_id. The depth is held between 1 and 5. A step is one equi-join of the paths so
-    far with the edges; a path never meets an entity twice.
+    far with the edges; a path never meets an entity twice. Nearer entities go first, so an origin that has its ``limit``
+    takes no further step: what a hub has around it is looked at once and never multiplied.
     """
-    edges = both_ways(relations)
-    front = origins.select("origin_id", F.col("origin_id").alias("entity_id"), F.array("origin_id").alias("seen"))
-    found = None
-    for step in range(1, max(1, min(int(depth), 5)) + 1):
-        front = front.join(edges, front["entity_id"] == edges["src"]).filter(~F.array_contains("seen", F.col("dst"))).select("origin_id", F.col("dst").alias("entity_id"), F.array_append("seen", F.col("dst")).alias("seen"), "relation_id")
-        rows = front.select("origin_id", "entity_id", F.lit(step).alias("depth"), "relation_id")
+    edges, named = both_ways(relations), names.select(F.col("id").alias("dst"), "name")
+    front = origins.select("origin_id", F.col("origin_id").alias("entity_id"), F.array("origin_id").alias("seen"), F.lit(0).cast("long").alias("have"))
+    found, steps = None, max(1, min(int(depth), 5))
+    for step in range(1, steps + 1):
+        taken = front.join(edges, front["entity_id"] == edges["src"]).filter(~F.array_contains("seen", F.col("dst")))
+        paths = taken.join(named, "dst", "left").select("origin_id", F.col("dst").alias("entity_id"), F.array_append("seen", F.col("dst")).alias("seen"), "have", "relation_id", "name")
+        rows = paths.filter("name is not null").select("origin_id", "entity_id", F.lit(step).alias("depth"), "relation_id", "name")
         found = rows if found is None else found.unionByName(rows)
-        front = front.drop("relation_id")
-    named = found.join(names.select(F.col("id").alias("entity_id"), "name"), "entity_id")
+        if step < steps:
+            counted = paths.groupBy("origin_id").agg((F.max("have") + F.count("name")).alias("have")).filter(F.col("have") < limit)
+            front = paths.drop("have", "relation_id", "name").join(counted, "origin_id")
     order = Window.partitionBy("origin_id").orderBy("depth", "name", "relation_id", "entity_id")
-    return named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select("origin_id", "entity_id", "depth", "relation_id", "n")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select("origin_id", "entity_id", "depth", "relation_id", "n")
 
 
-def history(origins: DataFrame, relations: DataFrame, limit: int = 10) -> DataFrame:
-    """Superseded and invalidated relations that touch an origin, as subject or object; each once, ``limit`` an origin.
+def history(origins: DataFrame, relations: DataFrame, names: DataFrame, limit: int = 10) -> DataFrame:
+    """Superseded and invalidated relations that touch an origin, as subject or object, with both ends' names.
 
-    The alternative of two ends is a union of two equi-joins, not a nested loop.
+    (origin_id, relation_id, predicate, status, valid_from, valid_to, subject_name, object_name, n): the ``limit`` last updated ones of an origin;
+    n is their order, the last to lose validity first. The alternative of two ends is a union of two equi-joins, not a nested loop.
     """
     old = relations.filter(F.col("status").isin("superseded", "invalidated"))
     ends = [old.join(origins, old[c] == origins["origin_id"]) for c in ("subject_id", "object_id")]
     both = ends[0].unionByName(ends[1]).dropDuplicates(["origin_id", "id"])
-    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("origin_id").orderBy(F.desc("valid_from"), "id")))
-    return ranked.filter(F.col("n") <= limit).select("origin_id", F.col("id").alias("relation_id"), "status", "n")
+    for end in ("subject", "object"):
+        both = both.join(names.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id")
+    of = Window.partitionBy("origin_id")
+    last = both.withColumn("_k", F.row_number().over(of.orderBy(F.desc("updated_at"), "id"))).filter(F.col("_k") <= limit)
+    ranked = last.withColumn("n", F.row_number().over(of.orderBy(F.desc("valid_to"), F.desc("valid_from"), "id")))
+    return ranked.select("origin_id", F.col("id").alias("relation_id"), "predicate", "status", "valid_from", "valid_to", "subject_name", "object_name", "n")
 
 
 def aliases(entities: DataFrame) -> DataFrame:
@@ -71,11 +80,40 @@ def match_aliases(values: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.join(known.withColumnRenamed("value", "_form"), "_form").select("value", "entity_id").distinct()
 
 
-def supersede(relations: DataFrame, by: DataFrame, now: str) -> DataFrame:
-    """``relations`` in which the active ones going out of ``by.subject_id`` are superseded by ``by.decision_id``, as of ``now``."""
-    hit = relations.join(by.dropDuplicates(["subject_id"]), "subject_id", "left")
-    change = (F.col("status") == "active") & F.col("decision_id").isNotNull()
-    return hit.select(*[c for c in relations.columns if c != "status"], F.when(change, "superseded").otherwise(F.col("status")).alias("status"), F.when(change, F.lit(now).cast("timestamp_ntz")).alias("valid_to"), F.when(change, F.col("decision_id")).alias("superseded_by"))
+def supersede(relations: DataFrame, by: DataFrame, now: str, alone: bool = False) -> DataFrame:
+    """``relations`` in which the active ones going out of ``by.subject_id`` are superseded by ``by.decision_id``, as of ``now``.
+
+    Each pair of ``by`` also becomes a relation ``supersedes`` from the decision to the subject, which the superseded ones name as
+    ``superseded_by``; without these (``alone``) they name the decision. Earlier ends of validity stay. A decision never supersedes itself.
+    """
+    pairs = by.filter("subject_id <> decision_id").groupBy("subject_id").agg(F.min("decision_id").alias("decision_id"))
+    edge = relation_id(F.col("decision_id"), F.lit("supersedes"), F.col("subject_id"))
+    had = set(relations.columns)
+    for name, kind in (("valid_to", "timestamp_ntz"), ("superseded_by", "string")):
+        if name not in had:
+            relations = relations.withColumn(name, F.lit(None).cast(kind))
+    columns, kinds = relations.columns, dict(relations.dtypes)
+    hit = relations.join(pairs.withColumnRenamed("decision_id", "_by"), "subject_id", "left").withColumn("decision_id", F.col("_by"))
+    change = (F.col("status") == "active") & F.col("_by").isNotNull()
+    new = {"status": F.lit("superseded"), "valid_to": F.lit(now).cast(kinds["valid_to"]), "superseded_by": F.col("_by") if alone else edge}
+    after = hit.select(*[F.when(change, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns])
+    if alone:
+        return after
+    made = {"id": edge, "subject_id": F.col("decision_id"), "predicate": F.lit("supersedes"), "object_id": F.col("subject_id"), "status": F.lit("active"), "confidence": F.lit(1.0), "valid_from": F.lit(now), "updated_at": F.lit(now), "created_at": F.lit(now)}
+    rows = pairs.select(*[made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+    return without(after, rows, ["id"]).select(*columns).unionByName(rows)
+
+
+def relation_id(subject: Column, predicate: Column, target: Column) -> Column:
+    return text.identifier("rel", subject, predicate, target)
+
+
+def invalidate(relations: DataFrame, gone: DataFrame, now: str) -> DataFrame:
+    """``relations`` in which those that ``gone`` (id) lists are invalid as of ``now``; superseded ones too, earlier ends of validity stay."""
+    hit = relations.join(gone.select("id", F.lit(True).alias("_gone")).distinct(), "id", "left")
+    change = F.coalesce("_gone", F.lit(False)) & (F.col("status") != "invalidated")
+    new = {"status": F.when(change, "invalidated").otherwise(F.col("status")), "valid_to": F.when(change, F.coalesce("valid_to", F.lit(now).cast(relations.schema["valid_to"].dataType))).otherwise(F.col("valid_to"))}
+    return hit.select(*[new.get(c, F.col(c)).alias(c) for c in relations.columns])
 
 
 def delete_entities(relations: DataFrame, gone: DataFrame) -> DataFrame:
@@ -104,3 +142,72 @@ def context(origins: DataFrame, relations: DataFrame, names: DataFrame, depth: i
     first = Window.partitionBy("relation_id").orderBy("depth", "origin_id", "n")
     once = found.withColumn("_k", F.row_number().over(first)).filter("_k = 1")
     return once.select("relation_id", "origin_id", "entity_id", "depth", F.greatest(F.lit(1), 10 - 2 * F.col("depth")).alias("score"))
+
+
+#: Types of entities that a durable note can be attached to, and what its evidence is worth.
+EVIDENCE = {"source": 1.0, "tag": 0.8, "subject": 0.8, "content": 0.7, "summary": 0.7}
+
+
+def note_evidence(notes: DataFrame) -> DataFrame:
+    """(note_id, field, value, confidence) of (id, source, subject, tags, content, summary), any of which may be null: what a note says it is about.
+
+    The source and its last parts, tags of two letters or more, and what is in back quotes or looks like a path in the others. Of values with one
+    form the strongest stays.
+    """
+    one = lambda field, values: F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), F.trim(v).alias("value"), F.lit(EVIDENCE[field]).alias("confidence")))
+    said = lambda field: one(field, F.coalesce(F.concat(text.quoted_values(F.col(field)), text.path_values(F.col(field))), F.array().cast("array<string>")))
+    source = F.filter(text.path_aliases(F.col("source")), lambda v: v.isNotNull())
+    tags = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda v: F.length(F.trim(v)) >= 2)
+    every = F.concat(one("source", F.coalesce(source, F.array().cast("array<string>"))), one("tag", tags), said("subject"), said("content"), said("summary"))
+    rows = notes.select(F.col("id").alias("note_id"), F.explode(every).alias("e")).select("note_id", "e.*").withColumn("_form", text.alias_form(F.col("value"))).filter("_form <> ''")
+    best = rows.groupBy("note_id", "_form").agg(F.max_by(F.struct("field", "value", "confidence"), F.struct("confidence", F.col("field").alias("f"), F.col("value").alias("v"))).alias("e"))
+    return best.select("note_id", "e.*")
+
+
+def project_notes(notes: DataFrame, known: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of durable notes (id, kind, source, subject, tags, content, summary): a node each, and an edge to every entity it names.
+
+    ``known`` are aliases (entity_id, value). Constraints apply to what they name, all others concern it.
+    """
+    node = F.when(F.col("kind") == "diary", text.identifier("ent", F.lit("diary"), F.col("id"))).otherwise(text.identifier("ent", F.lit("memory"), F.col("id")))
+    nodes = notes.select(node.alias("id"), F.when(F.col("kind") == "diary", "diary").otherwise("memory").alias("type"), F.col("id").alias("name"), "kind", F.coalesce("summary", text.summary(F.col("content"))).alias("summary"))
+    met = strongest_evidence(note_evidence(notes), known)
+    ends = met.join(notes.select(F.col("id").alias("note_id"), node.alias("subject_id"), F.when(F.col("kind") == "constraint", "applies_to").otherwise("concerns").alias("predicate")), "note_id").filter("subject_id <> entity_id")
+    at = F.lit(now).cast("timestamp_ntz")
+    edges = ends.select(relation_id(F.col("subject_id"), F.col("predicate"), F.col("entity_id")).alias("id"), "subject_id", "predicate", F.col("entity_id").alias("object_id"), F.lit("active").alias("status"), "confidence", at.alias("valid_from"), at.alias("updated_at"), "fields", "evidence")
+    return nodes, edges
+
+
+def delete_notes(entities: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both without the nodes of the notes (id, type) that ``gone`` lists."""
+    nodes = gone.select(text.identifier("ent", F.col("type"), F.col("id")).alias("id"))
+    return without(entities, nodes, ["id"]), delete_entities(relations, nodes)
+
+
+def result_aliases(results: DataFrame) -> DataFrame:
+    """(target_type, id, position, value): the forms under which results (target_type, id, path, anchor, position) are looked up among aliases."""
+    ident = F.col("id").cast("string")
+    forms = F.array(ident, F.concat("target_type", F.lit("#"), ident), F.col("path"), F.col("anchor"), F.concat("path", F.lit("#"), F.col("anchor")))
+    return results.select("target_type", "id", "position", F.explode(F.array_distinct(F.array_compact(F.transform(forms, text.alias_form)))).alias("value")).filter("value <> ''")
+
+
+def map_results(results: DataFrame, known: DataFrame, listed: DataFrame | None = None, first: int = 12) -> DataFrame:
+    """(target_type, id, position, entity_id): entities of the ``first`` results: those ``listed`` for them (target_type, id, entity_id), and those with one of their aliases."""
+    top = results.filter(F.col("position") <= first)
+    met = result_aliases(top).join(known, "value").select("target_type", "id", "position", "entity_id")
+    if listed is not None:
+        met = met.unionByName(top.join(listed, ["target_type", "id"]).select("target_type", "id", "position", "entity_id"))
+    return met.distinct()
+
+
+def context_of(direct: DataFrame, mapped: DataFrame, relations: DataFrame, names: DataFrame, depth: int = 2, limit: int = 8) -> DataFrame:
+    """(relation_id, origin_id, entity_id, depth, score): what surrounds the entities of a request, ``direct`` (entity_id, position), and of its results, ``mapped``.
+
+    Direct entities go before mapped ones; each relation is listed once, for the first origin that reaches it.
+    """
+    ranked = direct.select("entity_id", F.lit(0).alias("of"), "position").unionByName(mapped.select("entity_id", F.lit(1).alias("of"), "position"))
+    origins = ranked.groupBy(F.col("entity_id").alias("origin_id")).agg(F.min(F.struct("of", "position")).alias("at"))
+    found = walk(origins.select("origin_id"), relations, names, depth, limit).join(origins, "origin_id")
+    first = Window.partitionBy("relation_id").orderBy("at", "origin_id", "n")
+    once = found.withColumn("_k", F.row_number().over(first)).filter("_k = 1")
+    return once.select("relation_id", "origin_id", "entity_id", "depth", F.greatest(F.lit(1), 10 - 2 * F.col("depth")).alias("score"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemodex.functions import text
@@ -37,6 +40,23 @@ def taxonomy(paths: DataFrame) -> DataFrame:
     return nodes.select("node", parent.alias("parent"), F.substring_index("node", "/", -1).alias("name"), "depth")
 
 
+def siblings(nodes: DataFrame) -> DataFrame:
+    """(id, sibling): nodes (id, parent, name) of one parent, or of none, whose names are equal but for case."""
+    a = nodes.select("id", "parent", F.lower("name").alias("name"))
+    b = nodes.select(F.col("id").alias("sibling"), F.col("parent").alias("_parent"), F.lower("name").alias("_name"))
+    return a.join(b, F.col("parent").eqNullSafe(F.col("_parent")) & (F.col("name") == F.col("_name")) & (F.col("id") != F.col("sibling"))).select("id", "sibling")
+
+
+def links(paths: DataFrame) -> DataFrame:
+    """(node, path): every file and the folders above it, once."""
+    return taxonomy_of(paths).select("node", "path").distinct()
+
+
+def taxonomy_of(paths: DataFrame) -> DataFrame:
+    parts = F.split("path", "/")
+    return paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("node"))
+
+
 def plan_run(diff: DataFrame, mode: str) -> DataFrame:
     """(path, action): what a run does with each path of a snapshot diff: read, clear or keep.
 
@@ -72,14 +92,31 @@ def string_list(column: Column) -> Column:
     return F.coalesce(F.when(F.trim(column).startswith("["), F.from_json(column, "array<string>")), F.array().cast("array<string>"))
 
 
-def hash_embedding(value: str, size: int = 8) -> list[float]:
-    """A stand-in for a model: words are hashed (FNV-1a, 32 bits) into ``size`` signed buckets, the vector has length 1."""
+DIMENSIONS = 64
+
+
+def _bucket(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 2), 16, 10).cast("int")
+
+
+def hash_vectors(rows: DataFrame) -> DataFrame:
+    """(id, bucket, value) of (id, text): a stand-in for a model. Words are hashed into ``DIMENSIONS`` signed buckets, a vector has length 1; only what is not 0 is listed.
+
+    Counts are summed by (id, bucket), mostly before the shuffle.
+    """
+    d = rows.select("id", F.explode(F.transform(text.words(F.lower(F.coalesce("text", F.lit("")))), _bucket)).alias("d"))
+    counted = d.groupBy("id", (F.col("d") % DIMENSIONS).alias("bucket")).agg(F.sum(F.when(F.col("d") >= 128, 1).otherwise(-1)).alias("n"))
+    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")).cast("double"))
+    return counted.select("id", "bucket", F.when(size > 0, F.col("n") / size).alias("value")).filter("value <> 0")
+
+
+def hash_embedding(value: str, size: int = DIMENSIONS) -> list[float]:
+    """The same vector of one text, for ``embed``."""
     out = np.zeros(size)
-    for word in value.lower().split():
-        h = 2166136261
-        for byte in word.encode():
-            h = ((h ^ byte) * 16777619) & 0xFFFFFFFF
-        out[h % size] += 1.0 if h & 0x80000000 else -1.0
+    for word in re.split(r"[ \t\n\x0b\f\r]+", value.lower()):
+        if word:
+            d = int(hashlib.md5(word.encode()).hexdigest()[:2], 16)
+            out[d % size] += 1.0 if d >= 128 else -1.0
     length = np.sqrt((out * out).sum())
     return (out / length if length else out).astype(np.float32).tolist()
 

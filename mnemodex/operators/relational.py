@@ -46,11 +46,17 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path", digest
     return b.join(a, key, "full_outer").select(key, change.alias("change"))
 
 
-def reuse_hashes(now: DataFrame, before: DataFrame, key: str = "path", digest: str = "content_hash") -> DataFrame:
-    """``now`` (key, size, mtime, content) with a digest: the one before where size and mtime are as they were."""
+def unhashed(now: DataFrame, before: DataFrame, key: str = "path", digest: str = "content_hash") -> DataFrame:
+    """``now`` (key, size, mtime) with the digest of before where size and mtime are as they were, else null: those have to be read."""
     old = before.select(F.col(key), F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col(digest).alias("_digest"))
-    same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")) & F.col("_digest").isNotNull()
-    return now.join(old, key, "left").withColumn(digest, F.when(same, F.col("_digest")).otherwise(F.sha2("content", 256))).drop("_size", "_mtime", "_digest")
+    same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime"))
+    return now.join(old, key, "left").withColumn(digest, F.when(same, F.col("_digest"))).drop("_size", "_mtime", "_digest")
+
+
+def reuse_hashes(now: DataFrame, before: DataFrame, contents: DataFrame, key: str = "path", digest: str = "content_hash") -> DataFrame:
+    """``now`` (key, size, mtime) with a digest: the one before where size and mtime are as they were, else that of ``contents`` (key, content)."""
+    hashed = contents.select(key, F.sha2("content", 256).alias("_new"))
+    return unhashed(now, before, key, digest).join(hashed, key, "left").withColumn(digest, F.coalesce(digest, "_new")).drop("_new")
 
 
 def dedupe_batch(batch: DataFrame, known: DataFrame, digest: str, order: str) -> DataFrame:
@@ -59,21 +65,28 @@ def dedupe_batch(batch: DataFrame, known: DataFrame, digest: str, order: str) ->
     return first.join(known.select(digest).distinct(), digest, "left_anti")
 
 
-def latest_wins(current: DataFrame, changes: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """Upsert: a changed row replaces the current one of its key, whose ``keep`` columns (such as created_at) stay."""
-    c = current.withColumn("_new", F.lit(0))
-    every = c.unionByName(changes.withColumn("_new", F.lit(1)))
-    by_key = Window.partitionBy(*keys)
-    for column in keep:
-        every = every.withColumn(column, F.first(column).over(by_key.orderBy("_new").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    last = F.row_number().over(by_key.orderBy(F.desc("_new"), *[F.desc(x) for x in sorted(set(changes.columns) - set(keys))]))
-    return every.withColumn("_n", last).filter("_n = 1").drop("_n", "_new").select(*current.columns)
+def latest_wins(current: DataFrame, changes: DataFrame, keys: list[str], version: str | None = None, keep: list[str] = ()) -> DataFrame:
+    """Upsert: a changed row replaces the current one of its key, whose ``keep`` columns (such as created_at) stay.
+
+    Of several changes of one key the one with the largest ``version`` wins, a column that ``changes`` has besides; without
+    it there must be one change for each key.
+    """
+    plain = [c for c in changes.columns if c != version]
+    last = changes
+    if version:
+        last = changes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in plain if c not in keys]), version).alias("_last")).select(*keys, "_last.*")
+    stay = current.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_was_{c}") for c in keep])
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
+    held = last.join(stay, same, "left")
+    new = held.select(*[F.coalesce(f"_was_{c}", c).alias(c) if c in keep else F.col(c) for c in current.columns])
+    return without(current, last, keys).select(*current.columns).unionByName(new)
 
 
-def mark(rows: DataFrame, chosen: Column, flag: str, reason: str) -> DataFrame:
-    """Soft state: ``flag`` and forget_reason of the chosen rows that don't have it yet."""
+def mark(rows: DataFrame, chosen: Column, flag: str, reason: str | None) -> DataFrame:
+    """Soft state: ``flag`` and forget_reason of the chosen rows that don't have it yet; the reasons of others stay."""
     hit = F.coalesce(chosen, F.lit(False)) & ~F.coalesce(F.col(flag), F.lit(False))
-    return rows.withColumn("forget_reason", F.when(hit, F.lit(reason))).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | hit)
+    before = F.col("forget_reason") if "forget_reason" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("forget_reason", F.when(hit, F.lit(reason)).otherwise(before)).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | hit)
 
 
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

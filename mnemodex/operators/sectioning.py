@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemodex.functions import text
@@ -11,13 +11,19 @@ from mnemodex.functions import text
 DECLARATION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class|interface|type|const|let|var|def)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 
 
+def _blank(content: Column) -> Column:
+    return F.trim(F.regexp_replace(content, text.SPACE, " ")) == ""
+
+
 def markdown(files: DataFrame) -> DataFrame:
-    """(path, index, anchor, content): cut before each heading; what stands before the first is ``file``. Blank pieces go."""
-    parts = files.select("path", F.posexplode(F.split("text", r"(?m)(?=^#{1,6}[ \t]+)")).alias("at", "content")).filter(F.trim(F.regexp_replace("content", text.SPACE, " ")) != "")
+    """(path, index, anchor, content): cut before each heading; what stands before the first is ``file``. Blank pieces go.
+
+    The pieces are numbered in the row, so nothing is shuffled.
+    """
+    pieces = F.filter(F.split("text", r"(?m)(?=^#{1,6}[ \t]+)"), lambda x: ~_blank(x))
     heading = F.regexp_extract("content", r"^#{1,6}[ \t]+([^\n]*)", 1)
-    order = Window.partitionBy("path").orderBy("at")
     anchor = F.when(heading != "", text.slug(heading)).otherwise("file")
-    return parts.select("path", (F.row_number().over(order) - 1).alias("index"), anchor.alias("anchor"), "content")
+    return files.select("path", F.posexplode(pieces).alias("index", "content")).select("path", "index", anchor.alias("anchor"), "content")
 
 
 def json_keys(files: DataFrame) -> DataFrame:
@@ -31,14 +37,22 @@ def json_keys(files: DataFrame) -> DataFrame:
 
 
 def code(files: DataFrame) -> DataFrame:
-    """(path, index, anchor, start_line, end_line, content): cut at each line that declares a symbol; the lines before the first are ``file``."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.withColumn("symbol", F.nullif(F.regexp_extract("content", DECLARATION, 2), F.lit("")))
-    running = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    part = lines.withColumn("part", F.sum(F.col("symbol").isNotNull().cast("int")).over(running))
-    grouped = part.groupBy("path", "part").agg(F.coalesce(F.max("symbol"), F.lit("file")).alias("anchor"), (F.min("line") + 1).alias("start_line"), (F.max("line") + 1).alias("end_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("content"))
-    grouped = grouped.filter(F.trim(F.regexp_replace("content", text.SPACE, " ")) != "")
-    return grouped.withColumn("index", F.row_number().over(Window.partitionBy("path").orderBy("part")) - 1).select("path", "index", "anchor", "start_line", "end_line", "content")
+    """(path, index, anchor, start_line, end_line, content): cut at each line that declares a symbol; the lines before the first are ``file``.
+
+    Lines are cut and put together in the row, so nothing is shuffled.
+    """
+    once = F.transform(F.array(F.split("text", "\n")), lambda x: F.struct(x.alias("lines"), F.transform(x, lambda l: F.regexp_extract(l, DECLARATION, 2)).alias("symbols")))
+    rows = files.select("path", F.inline(once))
+    declared = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == 1) | (F.element_at("symbols", i) != ""))
+    rows = rows.select("path", "lines", "symbols", declared.alias("starts"))
+    ends = F.concat(F.transform(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), lambda s: s - 1), F.array(F.size("lines")))
+
+    def part(start: Column, end: Column) -> Column:
+        symbol = F.nullif(F.element_at("symbols", start), F.lit(""))
+        return F.struct(F.coalesce(symbol, F.lit("file")).alias("anchor"), start.alias("start_line"), end.alias("end_line"), F.array_join(F.slice("lines", start, end - start + 1), "\n").alias("content"))
+
+    parts = F.filter(F.zip_with("starts", ends, part), lambda p: ~_blank(p["content"]))
+    return rows.select("path", F.posexplode(parts).alias("index", "p")).select("path", "index", "p.*")
 
 
 def sections(files: DataFrame) -> DataFrame:
@@ -57,7 +71,14 @@ def sections(files: DataFrame) -> DataFrame:
 
 
 def topics(files: DataFrame, most: int = 12) -> DataFrame:
-    """(id, topics) from (id, path, text): the most frequent words of path and text, by count, then alphabet."""
-    counted = files.select("id", F.explode(text.topic_words(F.col("path"), F.col("text"))).alias("word")).groupBy("id", "word").count()
-    ranked = counted.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "word"))).filter(F.col("n") <= most)
-    return ranked.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), ",").alias("topics"))
+    """(id, topics) from (id, path, text): the most frequent words of path and text, by count, then alphabet. Files without one are left out.
+
+    Words are counted in the row: sorted, they are runs of equal words.
+    """
+    words = files.select("id", F.inline(F.transform(F.array(F.array_sort(text.topic_words(F.col("path"), F.col("text")))), lambda w: F.struct(w.alias("words"))))).filter(F.size("words") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i == 1) | (F.element_at("words", i) != F.element_at("words", F.greatest(i - 1, F.lit(1)))))
+    words = words.select("id", "words", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("words") + 1))
+    counted = F.zip_with("starts", ends, lambda s, e: F.struct((s - e).alias("n"), F.element_at("words", s).alias("word")))
+    best = F.slice(F.array_sort(counted), 1, most)
+    return words.select("id", F.array_join(F.transform(best, lambda x: x["word"]), ",").alias("topics"))

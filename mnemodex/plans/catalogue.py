@@ -150,9 +150,9 @@ def alias_normalize(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.alias_form(name).alias("alias"), F.replace(text.alias_form(name), F.lit(" "), F.lit("-")).alias("dashed"))
 
 
-@query("slug", f"""SELECT doc_id, regexp_replace(regexp_replace(lower({_SQUEEZE.format('substr(text, 1, 80)')}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+@query("slug", f"""SELECT doc_id, regexp_replace(regexp_replace(lower({_SQUEEZE.format('text')}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
 def slug(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.slug(F.substring("text", 1, 80)).alias("slug"))
+    return docs(spark, sf_dir).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 _SPLIT = r"list_filter(list_transform(string_split_regex(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: w <> '')"
@@ -193,9 +193,41 @@ def content_hash_ids(spark, sf_dir):
     return s.select("id", "content_hash", text.identifier("source", F.col("path")).alias("source_id"), text.identifier("section", F.col("path"), F.lit(0), F.lit("file"), F.col("content_hash")).alias("section_id"), F.sha2(F.concat(F.lit("model-a:"), "text"), 256).alias("embedding_hash"))
 
 
-@query("source_role", f"""WITH {_MODEL} SELECT id, source_role, CASE id % 5 WHEN 2 THEN 'markdown' WHEN 3 THEN 'json' ELSE 'typescript' END AS language, split_part(path, '/', 1) AS module FROM sections""")
+#: One path for each rule and a few that two rules fit.
+SHAPES = [
+    "src/app.ts", "src/app.test.ts", "docs/Guide.md", ".agents/skills/a.md", ".agents/a.json", "lib/generated/api.ts", "package.json", "sub/Cargo.toml", "tsconfig.json", ".github/ci.yml",
+    ".specs/x.md", "notes/PLAN.md", "a.spec.js", "core/main.py", "LICENSE", "web/vendor/x.js", "x.min.js", "src/types.d.ts", "App.csproj", "deploy/Dockerfile", "q.sql", "conf/x.toml",
+]
+_SHAPES = "[" + ", ".join(f"'{s}'" for s in SHAPES) + "]"
+_SHAPED = f"shaped AS (SELECT page_id, {_SHAPES}[CAST(page_id % {len(SHAPES)} AS INTEGER) + 1] AS path FROM pages)"
+
+
+def _shaped(spark, sf_dir, shapes=SHAPES):
+    at = (F.col("page_id") % len(shapes) + 1).cast("int")
+    return table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*[F.lit(s) for s in shapes]), at).alias("path"))
+
+
+@query("source_role", rf"""
+WITH {_SHAPED}, n AS (SELECT page_id, path, lower(path) AS p, regexp_extract(lower(path), '[^/]*$') AS f FROM shaped)
+SELECT page_id,
+       CASE WHEN regexp_matches(p, '/(generated|__generated__|vendor)/|\.min\.(js|css)$') THEN 'generated'
+            WHEN regexp_matches(f, '^(package\.json|cargo\.toml)$|\.(csproj|sln)$') THEN 'package_config'
+            WHEN f = 'tsconfig.json' OR starts_with(p, '.github/') THEN 'tooling_config'
+            WHEN starts_with(p, '.agents/skills/') THEN 'agent_reference'
+            WHEN starts_with(p, '.agents/') THEN 'agent_config'
+            WHEN starts_with(p, '.specs/') OR contains(p, 'plan.md') THEN 'implementation_plan'
+            WHEN regexp_matches(p, '\.(test|spec)\.') THEN 'test_code'
+            WHEN regexp_matches(f, '\.md$') THEN 'product_doc'
+            WHEN regexp_matches(f, '\.(ts|py|js|sql)$') THEN 'app_code' ELSE 'unknown' END AS source_role,
+       CASE WHEN regexp_matches(p, '\.d\.ts$') THEN 'typescript_declaration' WHEN regexp_matches(p, '\.md$') THEN 'markdown'
+            WHEN regexp_matches(p, 'dockerfile$') THEN 'dockerfile' WHEN regexp_matches(p, '\.ts$') THEN 'typescript'
+            WHEN regexp_matches(p, '\.js$') THEN 'javascript' WHEN regexp_matches(p, '\.py$') THEN 'python'
+            WHEN regexp_matches(p, '\.sql$') THEN 'sql' WHEN regexp_matches(p, '\.json$') THEN 'json'
+            WHEN regexp_matches(p, '\.yml$') THEN 'yaml' WHEN regexp_matches(p, '\.toml$') THEN 'toml' ELSE 'unknown' END AS language,
+       CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS module
+FROM n""")
 def source_role(spark, sf_dir):
-    return model.sections(spark, sf_dir).select("id", "source_role", text.language(F.col("path")).alias("language"), text.top_module(F.col("path")).alias("module"))
+    return _shaped(spark, sf_dir).select("page_id", text.source_role(F.col("path")).alias("source_role"), text.language(F.col("path")).alias("language"), text.top_module(F.col("path")).alias("module"))
 
 
 @query("recency", f"""WITH {_MODEL} SELECT id, {_RECENCY.format('updated_at', '20')} AS search_boost, {_RECENCY.format('updated_at', '10')} AS warm_boost FROM sections""")
@@ -218,11 +250,25 @@ def path_evidence(spark, sf_dir):
     return s.select("id", F.array_join(text.quoted_values(F.col("note")), "|").alias("quoted"), F.array_join(text.path_values(F.col("note")), "|").alias("paths"))
 
 
-@query("skip_reasons", r"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'hard_directory' WHEN page_id % 4 = 1 THEN 'secret' WHEN page_id % 4 = 2 THEN 'binary' WHEN page_id % 8 = 3 THEN 'vcs_ignore' END AS reason FROM pages""")
+SKIPPED = [
+    "a/node_modules/x", "conf/.env.local", "img/a.PNG", "logs/run.log", "logs/keep.log", "src/Generated/a.ts", "x/yarn.lock", "k/server.PEM", "lib/app.min.js", "docs/readme.md", ".git/config", "deep/dist/a.log", "tmp/cache/a.ts", "my.env", "node_modules.txt",
+]
+_SKIPPED = "[" + ", ".join(f"'{s}'" for s in SKIPPED) + "]"
+
+
+@query("skip_reasons", rf"""
+WITH s AS (SELECT page_id, {_SKIPPED}[CAST(page_id % {len(SKIPPED)} AS INTEGER) + 1] AS path FROM pages)
+SELECT page_id,
+       CASE WHEN regexp_matches(lower(path), '(^|/)(node_modules|dist|\.git)(/|$)') THEN 'hard_directory'
+            WHEN regexp_matches(lower(path), '/generated/') THEN 'generated'
+            WHEN regexp_matches(lower(path), '\.min\.js$') THEN 'minified'
+            WHEN regexp_matches(lower(path), '(^|/)yarn\.lock$') THEN 'lockfile'
+            WHEN regexp_matches(lower(path), '(^|/)\.env(\.[^/]*)?$|\.pem$') THEN 'secret'
+            WHEN regexp_matches(lower(path), '\.png$') THEN 'binary'
+            WHEN regexp_matches(path, '\.log$') AND NOT regexp_matches(path, '(^|/)keep\.log$') OR starts_with(path, 'tmp/') THEN 'vcs_ignore' END AS reason
+FROM s""")
 def skip_reasons(spark, sf_dir):
-    k = F.col("page_id")
-    path = F.when(k % 4 == 0, F.concat(F.lit("a/node_modules/"), k.cast("string"))).when(k % 4 == 1, F.lit("conf/.env.local")).when(k % 4 == 2, F.concat(F.lit("img/"), k.cast("string"), F.lit(".png"))).when(k % 8 == 3, F.lit("logs/run.log")).otherwise(F.lit("logs/keep.log"))
-    return table(spark, sf_dir, "pages").select("page_id", skip_reason(path, ["*.log", "!keep.log"]).alias("reason"))
+    return _shaped(spark, sf_dir, SKIPPED).select("page_id", skip_reason(F.col("path"), ["# logs", "*.log", "!keep.log", "/tmp/"]).alias("reason"))
 
 
 @query("intent_flags", f"""SELECT doc_id, regexp_matches(lower(text), '{text.bounded(text.INTENTS['implementation'])}') AS implementation, regexp_matches(lower(text), '{text.bounded(text.INTENTS['needs_history'])}') AS history FROM documents""")
@@ -316,11 +362,14 @@ def dedupe_batch(spark, sf_dir):
     return relational.dedupe_batch(s.filter("id % 2 = 0"), relational.active(s.filter("id % 2 = 1"), "deleted"), "content_hash", "id").select("id")
 
 
-@query("latest_wins", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
+@query("latest_wins", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer UNION ALL SELECT c_custkey + 10000000, 'second', -2.0 FROM customer WHERE c_custkey % 7 = 0")
 def latest_wins(spark, sf_dir):
+    """Two changes of every third customer and of new ones: the later version wins, and what was there keeps its balance."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    changes = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("changed").alias("c_mktsegment"), F.lit(-1.0).alias("c_acctbal"))
-    return relational.latest_wins(c, changes, ["c_custkey"], keep=["c_acctbal"])
+    keys = c.filter("c_custkey % 3 = 0").select("c_custkey").unionByName(c.filter("c_custkey % 7 = 0").select(F.expr("c_custkey + 10000000").alias("c_custkey")))
+    change = lambda version, value: keys.select("c_custkey", F.lit(value).alias("c_mktsegment"), F.lit(-float(version)).alias("c_acctbal"), F.lit(version).alias("version"))
+    changes = change(1, "zz first").unionByName(change(2, "second")).withColumn("c_acctbal", F.lit(-2.0))
+    return relational.latest_wins(c, changes, ["c_custkey"], "version", keep=["c_acctbal"])
 
 
 @query("soft_delete", f"WITH {_MODEL} SELECT id, deleted OR id % 6 = 0 AS deleted, CASE WHEN id % 6 = 0 AND NOT deleted THEN 'outdated' END AS forget_reason FROM observations")
@@ -412,24 +461,47 @@ def knn_exact(spark, sf_dir):
     return search.nearest(table(spark, sf_dir, "embeddings"), _VECTOR, 20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("hybrid_search", f"""WITH {_MODEL}, {_VISIBLE}, {_bm25(_INDEX, 'visible')}, {_NEAR},
-lexical AS (SELECT target_type, id, path, source_role, text, updated_at FROM ranked ORDER BY rank DESC, target_type, id LIMIT 40),
+_FRESH = "v AS (SELECT vec_id, 'section' AS target_type, vec_id % 4 <> 0 AS fresh, distance FROM near)"
+_HYBRID = f"""
+{_NEAR}, {_FRESH},
+lexical AS (SELECT r.target_type, r.id, path, source_role, text, updated_at, CASE WHEN v.fresh THEN 1 - v.distance END AS vector
+            FROM (SELECT * FROM ranked ORDER BY rank DESC, target_type, id LIMIT 40) r LEFT JOIN v ON v.vec_id = r.id AND v.target_type = r.target_type),
 n AS (SELECT vec_id, greatest(0, least(1, 1 - distance / 2)) AS vector FROM near ORDER BY near.distance, vec_id LIMIT 40),
-extra AS (SELECT v.target_type, v.id, v.path, v.source_role, v.text, v.updated_at FROM visible v JOIN n ON n.vec_id = v.id AND v.target_type = 'section' WHERE NOT EXISTS (SELECT 1 FROM lexical l WHERE l.target_type = v.target_type AND l.id = v.id)),
-every AS (SELECT e.*, n.vector FROM (SELECT * FROM lexical UNION ALL SELECT * FROM extra) e LEFT JOIN n ON n.vec_id = e.id AND e.target_type = 'section'),
+extra AS (SELECT d.target_type, d.id, d.path, d.source_role, d.text, d.updated_at, n.vector FROM visible d JOIN n ON n.vec_id = d.id AND d.target_type = 'section'
+          WHERE NOT EXISTS (SELECT 1 FROM lexical l WHERE l.target_type = d.target_type AND l.id = d.id)),
+every AS (SELECT * FROM lexical UNION ALL SELECT * FROM extra),
 scored AS (SELECT *, {_hits("coalesce(path, '') || chr(10) || text", TERMS)} AS lexical, {_SCORE.format(vector="coalesce(vector, 0)")} AS score FROM every),
-typed AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY {_ORDER}) AS r FROM scored)
-SELECT target_type, id, CAST(lexical AS INTEGER) AS lexical, round(vector, 6) AS vector, score FROM (SELECT * FROM typed WHERE r <= 6 ORDER BY {_ORDER} LIMIT 20) ORDER BY {_ORDER} LIMIT 10""")
+typed AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY {_ORDER}) AS r FROM scored),
+pruned AS (SELECT * FROM typed WHERE r <= 6 ORDER BY {_ORDER} LIMIT 20)"""
+
+
+def section_vectors(spark, sf_dir):
+    """Vectors of sections, of model ``model-a``; every fourth is of a text that has changed since."""
+    old = F.when(F.col("id") % 4 == 0, F.lit("model-a:old")).otherwise(F.concat(F.lit("model-a:"), "text"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    s = model.sections(spark, sf_dir).select("id", F.sha2(old, 256).alias("hash"))
+    return v.join(s, "id", "left").select(F.lit("section").alias("target_type"), "id", F.lit("model-a").alias("model"), "hash", "embedding")
+
+
+@query("hybrid_search", f"""WITH {_MODEL}, {_VISIBLE}, {_bm25(_INDEX, 'visible')}, {_HYBRID}
+SELECT target_type, id, CAST(lexical AS INTEGER) AS lexical, round(vector, 6) AS vector, CAST(score AS BIGINT) AS score FROM pruned ORDER BY {_ORDER} LIMIT 10""")
 def hybrid_search(spark, sf_dir):
-    return search.hybrid(visible_documents(spark, sf_dir), table(spark, sf_dir, "embeddings"), QUERY, _VECTOR, 10, NOW)
+    found = search.retrieve(visible_documents(spark, sf_dir), QUERY, 10, NOW, vectors=section_vectors(spark, sf_dir), vector=_VECTOR, model="model-a")
+    return found.select("target_type", "id", "lexical", F.round("vector", 6).alias("vector"), "score")
 
 
-@query("fallback_tiers", f"WITH {_MODEL} SELECT 'memory' AS target_type, id, 2 AS tier FROM observations WHERE NOT deleted AND lower(text) LIKE '%the%'")
+@query("fallback_tiers", f"""
+WITH {_MODEL},
+t AS (SELECT 'section' AS target_type, id, 1 AS tier FROM sections WHERE length(text) > 40000 AND lower(text) LIKE '%the%'
+      UNION ALL SELECT 'memory', id, 2 FROM observations WHERE NOT deleted AND lower(text) LIKE '%the%'
+      UNION ALL SELECT 'diary', id, 3 FROM diaries)
+SELECT * FROM t WHERE tier = (SELECT min(tier) FROM t)""")
 def fallback_tiers(spark, sf_dir):
-    none = model.observations(spark, sf_dir).filter("text = 'no such text'").select(F.lit("section").alias("target_type"), "id")
+    """Very long sections, or else notes, or else diaries: whichever has rows first."""
+    long = relational.like_any(model.sections(spark, sf_dir).filter(F.length("text") > 40_000), "text", ["the"]).select("target_type", "id")
     notes = relational.like_any(relational.active(model.observations(spark, sf_dir), "deleted"), "text", ["the"]).select(F.lit("memory").alias("target_type"), "id")
     last = model.diaries(spark, sf_dir).select(F.lit("diary").alias("target_type"), "id")
-    return search.tiers(none, notes, last)
+    return search.tiers(long, notes, last)
 
 
 @query("vector_freshness", f"WITH {_MODEL} SELECT s.id, CASE WHEN e.vec_id IS NULL THEN 'needs_embedding' WHEN s.id % 4 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM sections s LEFT JOIN embeddings e ON e.vec_id = s.id")
@@ -452,7 +524,12 @@ keys AS (
   SELECT 'rn/' || n_nationkey AS id, 'region:' || n_regionkey AS subject_id, 'nation:' || n_nationkey AS object_id, n_nationkey AS k FROM nation
   UNION ALL SELECT 'nc/' || c_custkey, 'nation:' || c_nationkey, 'customer:' || c_custkey, c_custkey FROM customer
   UNION ALL SELECT 'ns/' || s_suppkey, 'nation:' || s_nationkey, 'supplier:' || s_suppkey, s_suppkey FROM supplier),
-relations AS (SELECT id, subject_id, object_id, CASE k % 10 WHEN 7 THEN 'superseded' WHEN 8 THEN 'invalidated' ELSE 'active' END AS status FROM keys)"""
+relations AS (
+  SELECT id, subject_id, 'contains' AS predicate, object_id, CASE k % 10 WHEN 7 THEN 'superseded' WHEN 8 THEN 'invalidated' ELSE 'active' END AS status,
+         TIMESTAMP '2024-01-01 00:00:00' AS valid_from,
+         CASE WHEN k % 10 IN (7, 8) THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(k * 7 % 40 AS INTEGER)) END AS valid_to,
+         CASE WHEN k % 10 = 7 THEN 'rel_earlier' END AS superseded_by,
+         TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(k * 3 % 40 AS INTEGER)) AS updated_at FROM keys)"""
 _ALIASES = "aliases AS (SELECT DISTINCT id AS entity_id, unnest([" + ", ".join([_ALIAS.format("name"), f"replace({_ALIAS.format('name')}, ' ', '-')", f"replace({_ALIAS.format('name')}, ' ', '_')"]) + "]) AS value FROM entities)"
 
 
@@ -462,10 +539,10 @@ def entity_search(spark, sf_dir):
     return graph.search_entities(e, graph.aliases(e), ["asia", "building"], 5)
 
 
-@query("alias_match", f"WITH {_GRAPH}, {_ALIASES} SELECT DISTINCT v.value, a.entity_id FROM (SELECT c_name AS value FROM customer WHERE c_custkey % 5 = 0) v JOIN aliases a ON a.value = {_ALIAS.format('v.value')}")
+@query("alias_match", f"WITH {_GRAPH}, {_ALIASES} SELECT DISTINCT v.value, a.entity_id FROM (SELECT c_name AS value FROM customer) v JOIN aliases a ON a.value = {_ALIAS.format('v.value')}")
 def alias_match(spark, sf_dir):
     e = model.entities(spark, sf_dir)
-    return graph.match_aliases(table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(F.col("c_name").alias("value")), graph.aliases(e))
+    return graph.match_aliases(table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")), graph.aliases(e))
 
 
 @query("neighbors_depth2", f"""WITH RECURSIVE {_GRAPH},
@@ -480,16 +557,25 @@ def neighbors_depth2(spark, sf_dir):
     return graph.walk(e.filter("type = 'region'").select(F.col("id").alias("origin_id")), model.relations(spark, sf_dir), e, 2, 8)
 
 
-@query("history_ranked", f"WITH {_GRAPH}, o AS (SELECT id AS origin_id FROM entities WHERE type = 'nation'), h AS (SELECT o.origin_id, r.id, r.status FROM o JOIN relations r ON r.subject_id = o.origin_id WHERE r.status <> 'active' UNION SELECT o.origin_id, r.id, r.status FROM o JOIN relations r ON r.object_id = o.origin_id WHERE r.status <> 'active'), k AS (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY id) AS n FROM h) SELECT origin_id, id AS relation_id, status, CAST(n AS INTEGER) AS n FROM k WHERE n <= 10")
+@query("history_ranked", f"""
+WITH {_GRAPH}, o AS (SELECT id AS origin_id FROM entities WHERE type = 'nation'),
+h AS (SELECT DISTINCT o.origin_id, r.* FROM o JOIN relations r ON (r.subject_id = o.origin_id OR r.object_id = o.origin_id) AND r.status IN ('superseded', 'invalidated')),
+k AS (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY updated_at DESC, id) AS k FROM h)
+SELECT origin_id, k.id AS relation_id, predicate, status, valid_from, valid_to, s.name AS subject_name, t.name AS object_name,
+       CAST(row_number() OVER (PARTITION BY origin_id ORDER BY valid_to DESC, valid_from DESC, k.id) AS INTEGER) AS n
+FROM k JOIN entities s ON s.id = k.subject_id JOIN entities t ON t.id = k.object_id WHERE k <= 10""")
 def history_ranked(spark, sf_dir):
-    origins = model.entities(spark, sf_dir).filter("type = 'nation'").select(F.col("id").alias("origin_id"))
-    return graph.history(origins, model.relations(spark, sf_dir), 10)
+    e = model.entities(spark, sf_dir)
+    return graph.history(e.filter("type = 'nation'").select(F.col("id").alias("origin_id")), model.relations(spark, sf_dir), e, 10)
 
 
-@query("supersede", f"WITH {_GRAPH} SELECT id, CASE WHEN status = 'active' AND subject_id IN ('nation:1', 'nation:2') THEN 'superseded' ELSE status END AS status, CASE WHEN status = 'active' AND subject_id IN ('nation:1', 'nation:2') THEN TIMESTAMP '{NOW}' END AS valid_to, CASE WHEN status = 'active' AND subject_id IN ('nation:1', 'nation:2') THEN 'decision:9' END AS superseded_by FROM relations")
+@query("supersede", f"""
+WITH {_GRAPH}, hit AS (SELECT *, status = 'active' AND subject_id IN ('nation:1', 'nation:2') AS hit FROM relations)
+SELECT id, CASE WHEN hit THEN 'superseded' ELSE status END AS status, CASE WHEN hit THEN TIMESTAMP '{NOW}' ELSE valid_to END AS valid_to,
+       CASE WHEN hit THEN 'decision:9' ELSE superseded_by END AS superseded_by FROM hit""")
 def supersede(spark, sf_dir):
     by = spark.createDataFrame([("nation:1", "decision:9"), ("nation:2", "decision:9")], "subject_id string, decision_id string")
-    return graph.supersede(model.relations(spark, sf_dir), F.broadcast(by), NOW).select("id", "status", "valid_to", "superseded_by")
+    return graph.supersede(model.relations(spark, sf_dir), by, NOW, alone=True).select("id", "status", "valid_to", "superseded_by")
 
 
 @query("graph_delete", f"WITH {_GRAPH} SELECT id FROM relations WHERE subject_id NOT IN ('nation:3') AND object_id NOT IN ('nation:3')")
@@ -510,8 +596,9 @@ def graph_boost(spark, sf_dir):
 def evidence_projection(spark, sf_dir):
     t = lambda name: table(spark, sf_dir, name)
     bought = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    pick = lambda field, value, c: bought.filter(F.col(value).isNotNull()).select(F.col("o_orderkey").alias("note_id"), F.lit(field).alias("field"), F.col(value).alias("value"), F.lit(c).alias("confidence"))
-    return graph.strongest_evidence(pick("source", "c_name", 1.0).unionByName(pick("tag", "n_name", 0.8)), graph.aliases(model.entities(spark, sf_dir)))
+    said = F.array(F.struct(F.lit("source").alias("field"), F.col("c_name").alias("value"), F.lit(1.0).alias("confidence")), F.struct(F.lit("tag").alias("field"), F.col("n_name").alias("value"), F.lit(0.8).alias("confidence")))
+    both = bought.select(F.col("o_orderkey").alias("note_id"), F.explode(said).alias("e")).select("note_id", "e.*").filter("value is not null")
+    return graph.strongest_evidence(both, graph.aliases(model.entities(spark, sf_dir)))
 
 
 # Composites -------------------------------------------------------------------------------------
@@ -591,13 +678,15 @@ g AS (SELECT path, part, coalesce(max(nullif(symbol, '')), 'file') AS anchor, mi
 SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY part) - 1 AS INTEGER) AS index, anchor, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM g WHERE {_SQUEEZE.format('content')} <> ''"""
 
 
-@query("json_sections", None)
+@query("json_sections", """
+SELECT 'e/' || event_id || '.json' AS path, x.i AS index, x.anchor, x.content
+FROM (SELECT *, unnest([{'i': 0, 'anchor': 'k', 'content': json_extract_string(props, '$.k')}, {'i': 1, 'anchor': 'type', 'content': event_type},
+                        {'i': 2, 'anchor': 'user', 'content': CAST(user_id AS VARCHAR)}]) AS x FROM events WHERE event_id % 2 = 0)
+UNION ALL SELECT 'e/' || event_id || '.json', 0, 'file', '[' || user_id || ']' FROM events WHERE event_id % 2 = 1""")
 def json_sections(spark, sf_dir):
-    files = table(spark, sf_dir, "events").select(F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("text"))
-    return sectioning.json_keys(files)
-
-
-ORACLES["json_sections"] = "SELECT 'e/' || event_id || '.json' AS path, 0 AS index, 'k' AS anchor, json_extract_string(props, '$.k') AS content FROM events"
+    whole = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "type": "'), "event_type", F.lit('", "user": '), F.col("user_id").cast("string"), F.lit("}"))
+    body = F.when(F.col("event_id") % 2 == 0, whole).otherwise(F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit("]")))
+    return sectioning.json_keys(table(spark, sf_dir, "events").select(F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), body.alias("text")))
 
 
 @query("recall_package", None)
@@ -636,11 +725,18 @@ def taxonomy(spark, sf_dir):
     return projection.taxonomy(model.sections(spark, sf_dir))
 
 
-@query("taxonomy_siblings", "SELECT a.n_nationkey AS id, b.n_nationkey AS sibling FROM nation a JOIN nation b ON a.n_regionkey IS NOT DISTINCT FROM b.n_regionkey AND a.n_nationkey <> b.n_nationkey AND lower(substr(a.n_name, 1, 1)) = lower(substr(b.n_name, 1, 1))")
+@query("taxonomy_siblings", """
+WITH n AS (SELECT n_nationkey AS id, n_regionkey AS parent, n_name AS name FROM nation
+           UNION ALL SELECT n_nationkey + 100, n_regionkey, lower(n_name) FROM nation
+           UNION ALL SELECT n_nationkey + 200, n_regionkey + 1, n_name FROM nation
+           UNION ALL SELECT r_regionkey + 300, NULL, r_name FROM region UNION ALL SELECT r_regionkey + 400, NULL, lower(r_name) FROM region)
+SELECT a.id, b.id AS sibling FROM n a JOIN n b ON a.parent IS NOT DISTINCT FROM b.parent AND lower(a.name) = lower(b.name) AND a.id <> b.id""")
 def taxonomy_siblings(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lower(F.substring("n_name", 1, 1)).alias("name"))
-    a, b = n.select(F.col("n_nationkey").alias("id"), "n_regionkey", "name"), n.select(F.col("n_nationkey").alias("sibling"), F.col("n_regionkey").alias("parent"), F.col("name").alias("other"))
-    return a.join(b, F.col("n_regionkey").eqNullSafe(F.col("parent")) & (F.col("name") == F.col("other")) & (F.col("id") != F.col("sibling"))).select("id", "sibling")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    row = lambda df, ident, parent, name: df.selectExpr(f"{ident} as id", f"{parent} as parent", f"{name} as name")
+    nodes = row(nation, "n_nationkey", "n_regionkey", "n_name").unionByName(row(nation, "n_nationkey + 100", "n_regionkey", "lower(n_name)")).unionByName(row(nation, "n_nationkey + 200", "n_regionkey + 1", "n_name"))
+    nodes = nodes.unionByName(row(region, "r_regionkey + 300", "cast(null as int)", "r_name")).unionByName(row(region, "r_regionkey + 400", "cast(null as int)", "lower(r_name)"))
+    return projection.siblings(nodes)
 
 
 @query("suppressed_ingest", f"WITH {_MODEL}, gone AS (SELECT path, content_hash FROM sections WHERE suppressed OR deleted) SELECT id FROM sections s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.path = s.path AND g.content_hash = s.content_hash)")
@@ -690,10 +786,11 @@ def stale_sources(spark, sf_dir):
     return model.sections(spark, sf_dir).select("id", projection.stale(F.col("updated_at"), NOW, 240).alias("stale"))
 
 
-@query("json_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS n FROM events")
+@query("json_lists", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '|' || user_id ELSE '' END AS items FROM events")
 def json_lists(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit('["a", "b"]')).when(F.col("event_id") % 3 == 1, F.lit("[broken")).otherwise(F.col("props"))
-    return table(spark, sf_dir, "events").select("event_id", F.size(projection.string_list(raw)).alias("n"))
+    listed = F.concat(F.lit('["'), "event_type", F.lit('", "'), F.col("user_id").cast("string"), F.lit('"]'))
+    raw = F.when(F.col("event_id") % 3 == 0, listed).when(F.col("event_id") % 3 == 1, F.concat(F.lit("[broken "), "event_type")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(projection.string_list(raw), "|").alias("items"))
 
 
 @query("export_rows", f"WITH {_MODEL} SELECT id, kind, sha256(text) AS content_hash, CAST(confidence AS DOUBLE) AS confidence FROM observations WHERE NOT deleted")
@@ -701,17 +798,25 @@ def export_rows(spark, sf_dir):
     return relational.active(model.observations(spark, sf_dir), "deleted").select("id", "kind", F.sha2("text", 256).alias("content_hash"), F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("result_entities", f"WITH {_GRAPH}, {_ALIASES}, r AS (SELECT o_orderkey AS result_id, c_name AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 20 = 0) SELECT DISTINCT r.result_id, a.entity_id FROM r JOIN aliases a ON a.value = {_ALIAS.format('r.value')}")
+@query("result_entities", f"WITH {_GRAPH}, {_ALIASES}, r AS (SELECT o_orderkey AS result_id, c_name AS value FROM orders JOIN customer ON c_custkey = o_custkey) SELECT DISTINCT r.result_id, a.entity_id FROM r JOIN aliases a ON a.value = {_ALIAS.format('r.value')}")
 def result_entities(spark, sf_dir):
     t = lambda name: table(spark, sf_dir, name)
-    results = t("orders").filter("o_orderkey % 20 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("result_id"), F.col("c_name").alias("value"))
+    results = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("result_id"), F.col("c_name").alias("value"))
     met = graph.match_aliases(results.select("value").distinct(), graph.aliases(model.entities(spark, sf_dir)))
     return results.join(met, "value").select("result_id", "entity_id").distinct()
 
 
-@query("embedded_texts", None)
+_HEX = "'0123456789abcdef'"
+
+
+@query("embedded_texts", f"""
+WITH w AS (SELECT doc_id, md5(unnest({_WORDS.format('lower(text)')})) AS m FROM documents),
+b AS (SELECT doc_id, (instr({_HEX}, substr(m, 1, 1)) - 1) * 16 + instr({_HEX}, substr(m, 2, 1)) - 1 AS d FROM w),
+v AS (SELECT doc_id, d % 64 AS bucket, sum(CASE WHEN d >= 128 THEN 1 ELSE -1 END) AS n FROM b GROUP BY ALL),
+s AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS size FROM v GROUP BY doc_id)
+SELECT v.doc_id, CAST(bucket AS INTEGER) AS bucket, round(n / size, 6) AS value FROM v JOIN s ON s.doc_id = v.doc_id WHERE n <> 0""")
 def embedded_texts(spark, sf_dir):
-    return projection.embed(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "vector")
+    return projection.hash_vectors(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "bucket", F.round("value", 6).alias("value"))
 
 
 # Packages ---------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders and files that are never read.
+#: Folders and files that are never read.
 IGNORED_FOLDERS = [".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "dist", "build", "out", "coverage", "target", "vendor", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".next", ".nuxt", ".turbo", ".cache"]
 LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "composer.lock", "poetry.lock", "uv.lock", "pipfile.lock", "cargo.lock", "gemfile.lock", "go.sum", "pubspec.lock"]
 SECRET_FILES = [".npmrc", ".pypirc", ".netrc", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials"]
@@ -48,12 +48,40 @@ def skip_reason(path: Column, patterns: list[str] = ()) -> Column:
     return F.coalesce(rule, F.when(listed, "vcs_ignore"))
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
-    """(path, size, mtime, content, reason) of all files under ``root``; reason is null for those to be read."""
+def listing(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
+    """(path, size, mtime, reason) of all files under ``root``, without their content; reason is null for those to be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     path = F.substring(at, F.lit(len(root.rstrip("/")) + 2), F.length(at))
-    return files.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content").withColumn("reason", skip_reason(F.col("path"), patterns))
+    listed = files.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    return listed.withColumn("reason", skip_reason(F.col("path"), patterns))
+
+
+def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """(path, content) of the listed ``paths`` (path) under ``root``: only these files are opened, where the paths are."""
+    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+    place = root.rstrip("/")
+    schema = StructType([StructField("path", StringType()), StructField("content", BinaryType())])
+    chosen = [r.path for r in paths.select("path").distinct().toLocalIterator()]
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load([f"{place}/{p}" for p in chosen])
+    at = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
+    return files.select(F.substring(at, F.lit(len(place) + 2), F.length(at)).alias("path"), "content")
+
+
+def ignore_patterns(root: str) -> list[str]:
+    """The lines of a project's ignore files, ``.gitignore`` and ``.mnemodexignore``; either may be missing."""
+    import os
+
+    lines: list[str] = []
+    for name in (".gitignore", ".mnemodexignore"):
+        place = os.path.join(root, name)
+        if os.path.exists(place):
+            with open(place, encoding="utf-8") as file:
+                lines += file.read().splitlines()
+    return lines
 
 
 def diagnostics(scanned: DataFrame) -> DataFrame:

@@ -80,13 +80,18 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, subject_id, predicate, object_id, status, valid_from): the foreign keys of regions, nations, suppliers and customers."""
+    """(id, subject_id, predicate, object_id, status, valid_from, valid_to, superseded_by, updated_at): the foreign keys of regions, nations, suppliers and customers."""
     t = lambda name: table(spark, sf_dir, name)
     since = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
 
     def edge(df, kind, parent, parent_key, child, child_key):
         subject, target = (F.concat(F.lit(k + ":"), F.col(c).cast("string")) for k, c in ((parent, parent_key), (child, child_key)))
-        return df.select(F.concat(F.lit(kind + "/"), F.col(child_key).cast("string")).alias("id"), subject.alias("subject_id"), F.lit("contains").alias("predicate"), target.alias("object_id"), F.when(F.col(child_key) % 10 == 7, "superseded").when(F.col(child_key) % 10 == 8, "invalidated").otherwise("active").alias("status"), since.alias("valid_from"))
+        status = F.when(F.col(child_key) % 10 == 7, "superseded").when(F.col(child_key) % 10 == 8, "invalidated").otherwise("active")
+        return df.select(
+            F.concat(F.lit(kind + "/"), F.col(child_key).cast("string")).alias("id"), subject.alias("subject_id"), F.lit("contains").alias("predicate"), target.alias("object_id"),
+            status.alias("status"), since.alias("valid_from"), F.when(status != "active", _day(F.col(child_key) * 7)).alias("valid_to"),
+            F.when(status == "superseded", F.lit("rel_earlier")).alias("superseded_by"), _day(F.col(child_key) * 3).alias("updated_at"),
+        )
 
     return (
         edge(t("nation"), "rn", "region", "n_regionkey", "nation", "n_nationkey")

@@ -1,7 +1,8 @@
-"""A project's memory as versioned tables of one database: ingest files, save and forget notes, search, recall, warm up.
+"""A project's memory as versioned tables of one database: ingest files, save and forget notes and diaries, search, recall, warm up, export.
 
 Files are immutable, so a change writes the next version of a table and readers go on with the one they have;
-the version before stays until the next change.
+the version before stays until the next change. Events are only appended. A text index (postings by term) is kept up to date with the
+documents, so a search reads no text but that of its candidates.
 """
 
 from __future__ import annotations
@@ -10,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemodex.functions import scores, text
-from mnemodex.operators import durable, projection, relational, search, sectioning
+from mnemodex.operators import durable, graph, index, modules, projection, relational, search, sectioning
 from mnemodex.sources import files
 
 SCHEMAS = {
     "files": "path string, size long, mtime long, content_hash string",
     "sections": "id string, path string, index int, anchor string, content string, content_hash string, tokens long, source_role string, updated_at timestamp",
-    "notes": durable.NOTE + ", importance int, forget_reason string",
+    "notes": durable.NOTE + ", importance int, source string, tags array<string>, suppressed boolean, forget_reason string",
+    "diaries": "id string, subject string, summary string, tags array<string>, text string, content_hash string, created_at timestamp, deleted boolean, suppressed boolean, forget_reason string",
     "events": "at timestamp, event_type string, n long",
+    "entities": "id string, type string, name string, summary string, path string",
+    "aliases": "entity_id string, value string",
+    "relations": "id string, subject_id string, predicate string, object_id string, status string, confidence double, valid_from timestamp_ntz, valid_to timestamp_ntz, updated_at timestamp_ntz, superseded_by string",
+    "postings": "bucket int, term string, target_type string, id string, tf int, size int",
+    "indexed": "target_type string, id string, text_hash string, size int",
+    "vectors": "target_type string, id string, model string, hash string, embedding array<float>",
 }
 
 
@@ -36,78 +44,223 @@ class Store:
         return self.spark.table(f"{self.database}.{name}_v{versions[-1]}") if versions else self.spark.createDataFrame([], SCHEMAS[name])
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """The next version of a table; it appears when it is complete."""
+        """The next version of a table; it appears when it is complete. Postings are parted by bucket and sorted by term."""
         versions = self._versions(name)
-        rows = rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns)
-        rows.write.saveAsTable(f"{self.database}.{name}_v{versions[-1] + 1 if versions else 1}")
+        columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
+        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in columns])
+        table = f"{self.database}.{name}_v{versions[-1] + 1 if versions else 1}"
+        if name == "postings":
+            rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").saveAsTable(table)
+        else:
+            kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], SCHEMAS[name]).schema}
+            rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]).write.saveAsTable(table)
         for old in versions[:-1]:
             self.spark.sql(f"DROP TABLE {self.database}.{name}_v{old}")
 
     def _event(self, now: str, kind: str, n: int) -> None:
-        self.write("events", self.read("events").unionByName(self.spark.createDataFrame([(kind, n)], "event_type string, n long").withColumn("at", F.lit(now).cast("timestamp"))))
+        """Events are added to their one table."""
+        row = self.spark.createDataFrame([(kind, n)], "event_type string, n long").select(F.lit(now).cast("timestamp").alias("at"), "event_type", "n")
+        row.write.mode("append").saveAsTable(f"{self.database}.events_v1")
 
     def ingest(self, root: str, now: str, mode: str = "changed", patterns: list[str] = ()) -> dict[str, int]:
-        """Bring sections up to date with the files under ``root``; returns how many paths were read, cleared and kept.
+        """Bring sections, graph and index up to date with the files under ``root``; returns how many paths were read, cleared and kept.
 
-        Hashes of files whose size and time are as before are reused. In mode ``rebuild`` all stored sections go first.
+        Hashes of files whose size and time are as before are reused, and only the other files are opened. In mode ``rebuild`` all stored sections go first.
         """
-        scanned = files.scan(self.spark, root, patterns).filter("reason is null")
+        listed = files.listing(self.spark, root, [*patterns, *files.ignore_patterns(root)]).filter("reason is null").drop("reason")
         before = self.read("files")
-        snapshot = relational.reuse_hashes(scanned, before)
-        actions = projection.plan_run(relational.snapshot_diff(before, snapshot), mode)
+        known = relational.unhashed(listed, before)
+        opened = files.contents(self.spark, root, known.filter("content_hash is null"))
+        self.write("files", relational.reuse_hashes(listed, before, opened))  # the snapshot that all that follows goes by
+        actions = projection.plan_run(relational.snapshot_diff(before, self.read("files")), mode)
         done = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
         if mode == "changed" and not done.get("read") and not done.get("clear"):
             return done
-        chosen = snapshot.join(actions.filter("action = 'read'").select("path"), "path", "left_semi").select("path", F.decode("content", "UTF-8").alias("text"))
+        chosen = files.contents(self.spark, root, actions.filter("action = 'read'")).select("path", F.decode("content", "UTF-8").alias("text"))
         new = sectioning.sections(chosen).withColumn("source_role", text.source_role(F.col("path"))).withColumn("updated_at", F.lit(now).cast("timestamp"))
         old = self.read("sections")
         kept = old.limit(0) if mode == "rebuild" else relational.without(old, actions.filter("action <> 'keep'"), ["path"])
-        self.write("sections", kept.unionByName(new))
-        self.write("files", snapshot)
+        self.write("sections", kept.select(old.columns).unionByName(new.select(old.columns)))
+        self._graph_of_files(now)
+        self._index()
         self._event(now, f"ingest_{mode}", done.get("read", 0))
         return done
 
+    def _graph_of_files(self, now: str) -> None:
+        """Modules and files as entities, in place of those of the run before; what notes have added stays."""
+        nodes, edges = modules.module_graph(self.read("sections"))
+        at = F.lit(now).cast("timestamp_ntz")
+        edges = edges.withColumns({"status": F.lit("active"), "confidence": F.lit(1.0), "valid_from": at, "updated_at": at, "valid_to": F.lit(None).cast("timestamp_ntz"), "superseded_by": F.lit(None).cast("string")})
+        entities, relations = self.read("entities"), self.read("relations")
+        mine = entities.filter("type not in ('module', 'file')").select("id", "type", "name", "summary", "path")
+        self.write("entities", mine.unionByName(nodes.withColumn("summary", F.lit(None).cast("string"))))
+        forms = F.array_distinct(F.transform(text.path_aliases(F.col("path")), text.alias_form))
+        names = nodes.select(F.col("id").alias("entity_id"), F.explode(forms).alias("value")).filter("value <> ''")
+        own = self.read("aliases").join(mine.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+        self.write("aliases", own.unionByName(names).distinct())
+        others = relations.filter("predicate <> 'contains'").select(*relations.columns)
+        self.write("relations", others.unionByName(edges.select(*relations.columns)))
+
+    def _index(self) -> None:
+        postings, known = index.refresh(self.documents(), self.read("postings"), self.read("indexed"))
+        self.write("postings", postings)
+        self.write("indexed", known)
+
+    def embed(self, embedder, model: str) -> dict[str, int]:
+        """Vectors of all documents that have none of this model and text; returns how many were embedded and reused."""
+        docs, stored = self.documents(), self.read("vectors")
+        digest = F.sha2(F.concat(F.lit(model + ":"), "text"), 256)
+        now = docs.select("target_type", "id", "text", digest.alias("hash"))
+        fine = stored.join(now.select("target_type", "id", "hash"), ["target_type", "id", "hash"], "left_semi").filter(F.col("model") == model)
+        new = projection.embed(relational.without(now, fine, ["target_type", "id"]), embedder).withColumn("model", F.lit(model)).withColumnRenamed("vector", "embedding")
+        counted = {"reused": fine.count()}
+        self.write("vectors", stored.filter(F.col("model") != model).select(stored.columns).unionByName(fine.select(stored.columns)).unionByName(new.select(stored.columns)))
+        return counted | {"embedded": self.read("vectors").filter(F.col("model") == model).count() - counted["reused"]}
+
     def save(self, batch: DataFrame, now: str) -> DataFrame:
-        """Save notes (id, kind, text, importance); returns (id, outcome): saved, duplicate, short or secret."""
+        """Save notes (id, kind, text, importance, and source, tags and supersedes, if there are such columns); returns (id, outcome): saved, duplicate, short or secret.
+
+        A saved note is searched at once, and becomes a node of the graph with edges to what it names; a decision supersedes the decisions it lists.
+        """
+        for name, kind in (("source", "string"), ("tags", "array<string>"), ("supersedes", "array<string>")):
+            if name not in batch.columns:
+                batch = batch.withColumn(name, F.lit(None).cast(kind))
         known = self.read("notes")
-        outcome = durable.judge_notes(batch, known)
-        chosen = batch.join(outcome.filter("outcome = 'saved'").select("id"), "id", "left_semi")
-        rows = chosen.select("id", "kind", "text", F.sha2("text", 256).alias("content_hash"), scores.importance(F.col("importance")).alias("confidence"), F.lit(now).cast("timestamp").alias("created_at"), F.lit(False).alias("deleted"), "importance", F.lit(None).cast("string").alias("forget_reason"))
-        result = self.spark.createDataFrame(outcome.collect(), outcome.schema)  # a batch of notes is short; judged before the table changes
-        self.write("notes", known.unionByName(rows))
-        return result
-
-    def forget(self, query: str, now: str, reason: str = "forgotten") -> int:
-        """Soft-delete the newest ten active notes that hold a term of ``query``; returns how many."""
-        before = self.read("notes")
-        marked = durable.forget(before.drop("forget_reason"), search.query_terms(query, 8), reason=reason)
-        kept = marked.join(before.select("id", F.col("forget_reason").alias("_was")), "id", "left").withColumn("forget_reason", F.coalesce("_was", "forget_reason")).drop("_was")
-        n = marked.filter("forget_reason is not null").count()
-        if n:
-            self.write("notes", kept)
-            self._event(now, "forget", n)
+        outcome = durable.judge_notes(batch, known).withColumnRenamed("outcome", "_outcome")
+        rows = batch.join(outcome, "id").withColumns({
+            "content_hash": F.sha2("text", 256), "confidence": scores.importance(F.col("importance")), "created_at": F.lit(now).cast("timestamp"),
+            "deleted": F.lit(False), "suppressed": F.lit(False), "forget_reason": F.lit(None).cast("string"),
+        })
+        # The judged batch is kept as a table: it is read again after the notes have changed.
+        table = f"{self.database}.judged"
+        rows.write.mode("overwrite").saveAsTable(table)
+        judged = self.spark.table(table)
+        saved = judged.filter("_outcome = 'saved'")
+        self.write("notes", known.unionByName(saved.select(known.columns)))
+        notes = saved.select("id", "kind", "source", F.lit(None).cast("string").alias("subject"), "tags", F.col("text").alias("content"), F.lit(None).cast("string").alias("summary"))
+        by = saved.filter("kind = 'decision'").select(text.identifier("ent", F.lit("memory"), F.col("id")).alias("decision_id"), F.explode("supersedes").alias("old"))
+        by = by.select("decision_id", text.identifier("ent", F.lit("memory"), F.col("old")).alias("subject_id"))
+        self._project(notes, now, by.join(self.read("entities").select(F.col("id").alias("subject_id")), "subject_id", "left_semi"))
+        self._event(now, "memory_saved", saved.count())
+        return judged.select("id", F.col("_outcome").alias("outcome"))
+
+    def _project(self, notes: DataFrame, now: str, superseded: DataFrame | None = None) -> None:
+        nodes, edges = graph.project_notes(notes, self.read("aliases"), now)
+        entities, relations, names = self.read("entities"), self.read("relations"), self.read("aliases")
+        forms = F.array_distinct(F.transform(F.array_compact(F.concat(F.array("id", F.concat(F.when(F.col("kind") == "diary", "diary#").otherwise("memory#"), "id"), F.col("subject"), F.col("source")), F.coalesce("tags", F.array().cast("array<string>")))), text.alias_form))
+        node = text.identifier("ent", F.when(F.col("kind") == "diary", "diary").otherwise("memory"), F.col("id"))
+        own = notes.select(node.alias("entity_id"), F.explode(forms).alias("value")).filter("value <> ''")
+        edges = edges.withColumns({"valid_to": F.lit(None).cast("timestamp_ntz"), "superseded_by": F.lit(None).cast("string")}).select(relations.columns)
+        after = relational.without(relations, edges, ["id"]).select(relations.columns).unionByName(edges)
+        if superseded is not None:
+            after = graph.supersede(after, superseded, now)
+        self.write("relations", after)
+        nodes = nodes.select("id", "type", "name", "summary", F.lit(None).cast("string").alias("path"))
+        self.write("entities", relational.without(entities, nodes, ["id"]).select(entities.columns).unionByName(nodes))
+        self.write("aliases", names.unionByName(own).distinct())
+        self._index()
+
+    def save_diary(self, rows: DataFrame, now: str) -> DataFrame:
+        """Save diary entries (id, subject, summary, tags, added, changed); returns (id, accepted)."""
+        entries = durable.diary_entry(rows, now).withColumns({"deleted": F.lit(False), "suppressed": F.lit(False), "forget_reason": F.lit(None).cast("string")})
+        table = f"{self.database}.judged_diaries"
+        entries.write.mode("overwrite").saveAsTable(table)
+        judged, known = self.spark.table(table), self.read("diaries")
+        fine = judged.filter("accepted")
+        self.write("diaries", relational.without(known, fine, ["id"]).select(known.columns).unionByName(fine.select(known.columns)))
+        self._project(fine.select("id", F.lit("diary").alias("kind"), F.lit(None).cast("string").alias("source"), "subject", "tags", F.lit(None).cast("string").alias("content"), "summary"), now)
+        self._event(now, "diary_entry_saved", fine.count())
+        return judged.select("id", "accepted")
+
+    def _targets(self) -> DataFrame:
+        part = lambda name, kind: self.read(name).select(F.lit(kind).alias("target_type"), "id", "text", "created_at", "deleted", "suppressed", "forget_reason")
+        return part("notes", "memory").unionByName(part("diaries", "diary"))
+
+    def forget(self, query: str = "", now: str = "", reason: str = "forgotten", ids: list[str] = (), mode: str = "soft") -> int:
+        """Forget notes and diaries by id, or the newest ten active ones that hold a term of ``query``: soft, suppress or hard. Returns how many.
+
+        Their nodes leave the graph, and they leave the index. Ids of relations are invalidated, whatever the mode.
+        """
+        chosen = durable.resolve(self._targets(), search.query_terms(query, 8), list(ids))
+        chosen = self.spark.createDataFrame(chosen.collect(), "target_type string, id string")  # ten rows, or the ids given
+        edges = self.read("relations").filter(F.col("id").isin(list(ids))).select("id")
+        n = chosen.count() + edges.count()
+        if not n:
+            return 0
+        for name, kind in (("notes", "memory"), ("diaries", "diary")):
+            rows = self.read(name)
+            after = durable.forget_targets(rows.withColumn("target_type", F.lit(kind)), chosen, mode, reason)
+            self.write(name, after.select(rows.columns))
+        entities, relations = graph.delete_notes(self.read("entities"), graph.invalidate(self.read("relations"), edges, now), chosen.select("id", F.col("target_type").alias("type")))
+        self.write("relations", relations)
+        self.write("entities", entities)
+        self._index()
+        self._event(now, f"memory_{mode}", n)
         return n
 
     def documents(self) -> DataFrame:
-        """What can be searched: all sections, and the notes that are not deleted."""
+        """What can be searched: all sections, and the notes and diaries that are neither deleted nor suppressed."""
         s = self.read("sections").select(F.lit("section").alias("target_type"), "id", "path", "source_role", F.col("content").alias("text"), "updated_at")
-        n = relational.active(self.read("notes"), "deleted")
-        return s.unionByName(n.select(F.lit("memory").alias("target_type"), "id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("source_role"), "text", F.col("created_at").alias("updated_at")))
+        none = F.lit(None).cast("string")
+        live = relational.active(self._targets(), "deleted", "suppressed")
+        return s.unionByName(live.select("target_type", "id", none.alias("path"), none.alias("source_role"), "text", F.col("created_at").alias("updated_at")))
+
+    def _found(self, query: str, now: str, limit: int, mode: str, vector: list[float] | None, model: str) -> DataFrame:
+        wanted = search.index_terms(query)
+        if not wanted:
+            return search.retrieve(self.documents(), query, limit, now, mode)
+        entities, relations, names = self.read("entities"), self.read("relations"), self.read("aliases")
+
+        def boosted(results: DataFrame) -> DataFrame:
+            mapped = graph.map_results(results.withColumn("anchor", F.lit(None).cast("string")), names)
+            direct = graph.search_entities(entities, names, search.query_terms(query), 4)
+            direct = direct.select(F.col("id").alias("entity_id"), (-F.col("score")).cast("int").alias("position"))
+            around = graph.context_of(direct, mapped, relations, entities)
+            met = around.select(F.col("origin_id").alias("entity_id")).unionByName(around.select("entity_id"))
+            both = mapped.select(F.struct("target_type", "id").alias("result_id"), "entity_id")
+            return graph.boosts(both, met).select("result_id.*", "boost")
 
-    def search(self, query: str, now: str, limit: int = 10) -> DataFrame:
-        return search.search(self.documents(), query, limit, now)
+        found = index.bm25(self.read("postings"), self.read("indexed"), wanted)
+        return search.retrieve(self.documents(), query, limit, now, mode, found, self.read("vectors") if vector else None, vector, model, boosted)
 
-    def recall(self, task: str, now: str, budget: int = 2000) -> DataFrame:
+    def search(self, query: str, now: str, limit: int = 10, mode: str = "search", vector: list[float] | None = None, model: str = "") -> DataFrame:
+        """(target_type, id, path, lexical, score): the retrieval tier, or, if that has nothing, the newest notes and diaries that hold a term."""
+        columns = ["target_type", "id", "path", "lexical", "score"]
+        first = self._found(query, now, limit, mode, vector, model).select(*columns)
+        live = relational.active(self._targets(), "deleted", "suppressed").select("target_type", "id", "text", F.col("created_at").alias("updated_at"), F.lit(1.0).alias("confidence"))
+        return search.tiers(first, search.by_words(live, query, limit, now, mode).select(*columns)).drop("tier")
+
+    def recall(self, task: str, now: str, budget: int = 2000, vector: list[float] | None = None, model: str = "") -> DataFrame:
         """The best rows for a task that fit the budget, with their excerpts."""
-        found = search.search(self.documents(), task, 20, now, mode="recall")
+        found = self.search(task, now, 20, "recall", vector, model)
         rows = self.documents().select("target_type", "id", "text").join(F.broadcast(found), ["target_type", "id"])
-        rows = rows.withColumn("excerpt", text.excerpt(F.col("text"))).drop("text").withColumn("cost", F.ceil(F.length("excerpt") / 4).cast("long"))
+        rows = rows.withColumn("excerpt", text.excerpt(F.col("text"))).drop("text").withColumn("cost", F.greatest(F.lit(1), F.ceil(F.length("excerpt") / 4)).cast("long"))
         return search.within_budget(rows, "cost", [F.desc("score"), F.col("target_type"), F.col("id")], budget)
 
-    def warm_up(self, now: str) -> dict[str, DataFrame]:
-        """Guidance, highlights and modules of the project."""
-        modules = relational.module_rollup(self.read("sections")).orderBy(F.desc("section_count"), F.desc("file_count"), "module_path").limit(12)
-        return {"guidance": durable.guidance(relational.active(self.read("notes"), "deleted")), "highlights": durable.highlights(self.documents(), now), "modules": modules}
+    def warm_up(self, now: str, budget: int = 2000) -> DataFrame:
+        """(part, position, ref, line, cost): guidance, highlights and modules of the project, within a budget."""
+        return modules.warm_up(self.documents(), self.read("sections"), relational.active(self.read("notes"), "deleted", "suppressed"), now, budget)
+
+    def history(self, ids: list[str], limit: int = 10) -> DataFrame:
+        origins = self.spark.createDataFrame([(i,) for i in ids], "origin_id string")
+        return graph.history(origins, self.read("relations"), self.read("entities"), limit)
+
+    def export(self, path: str, include_inactive: bool = False) -> None:
+        durable.export_notes(self.read("notes"), self.read("diaries"), path, include_inactive)
+
+    def restore(self, path: str, dry_run: bool = False) -> dict[str, int]:
+        """Take in the rows of an export that are not known; returns how many were saved and skipped, or would be."""
+        known = self.read("notes").select(F.lit("memory").alias("kind"), "content_hash").unionByName(self.read("diaries").select(F.lit("diary").alias("kind"), "content_hash"))
+        judged = durable.import_notes(self.spark, path, known)
+        counted = {r.outcome: r["count"] for r in judged.groupBy("outcome").count().collect()}
+        if not dry_run:
+            for name, kind in (("notes", "memory"), ("diaries", "diary")):
+                rows = judged.filter((F.col("outcome") == "saved") & (F.col("kind") == kind)).select(F.from_json("payload", SCHEMAS[name]).alias("p")).select("p.*")
+                before = self.read(name)
+                self.write(name, before.unionByName(rows.select(before.columns)))
+            self._index()
+        return {"saved": counted.get("saved", 0), "skipped": counted.get("duplicate", 0)}
 
     def status(self) -> DataFrame:
-        return relational.counts(sections=self.read("sections"), files=self.read("files"), notes=relational.active(self.read("notes"), "deleted"), events=self.read("events"))
+        live = lambda name: relational.active(self.read(name), "deleted", "suppressed")
+        return relational.counts(sections=self.read("sections"), files=self.read("files"), notes=live("notes"), diaries=live("diaries"), events=self.read("events"), entities=self.read("entities"), relations=self.read("relations"), vectors=self.read("vectors"))

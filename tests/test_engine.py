@@ -1,12 +1,13 @@
 """Small cases of the engine's operators."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemodex.functions import text
-from mnemodex.operators import durable, graph, projection, relational, search, sectioning
+from mnemodex.operators import durable, graph, index, projection, relational, search, sectioning
 from mnemodex.sources import files
 from mnemodex.streaming import events
 
@@ -61,7 +62,8 @@ def test_scan(spark, tmp_path):
     (tmp_path / "src" / "a.ts").write_text("const a = 1")
     for n in "bc":
         (tmp_path / "node_modules" / "x" / n).write_text("1")
-    found = files.scan(spark, str(tmp_path))
+    found = files.listing(spark, str(tmp_path))
+    assert {r.path: r.content for r in files.contents(spark, str(tmp_path), found.filter("reason is null")).collect()} == {"src/a.ts": b"const a = 1"}
     assert {r.path: r.reason for r in found.collect()} == {"src/a.ts": None, "node_modules/x/b": "hard_directory", "node_modules/x/c": "hard_directory"}
     assert {r.reason: r.entries for r in files.diagnostics(found).collect()} == {"read": 1, "hard_directory": 1}
 
@@ -87,8 +89,28 @@ def test_walk_and_history(spark):
     origin = spark.createDataFrame([("a",)], "origin_id string")
     rows = graph.walk(origin, rel, names, depth=9, limit=50).collect()
     assert {(r.entity_id, r.depth) for r in rows} == {("b", 1), ("c", 1), ("b", 2), ("c", 2)}
-    assert [r.relation_id for r in graph.history(origin, rel).collect()] == ["r4"]
-    assert graph.history(origin.limit(0), rel).count() == 0
+    dated = rel.withColumns({"valid_to": F.lit("2024-01-05").cast("timestamp_ntz"), "updated_at": F.lit("2024-01-05").cast("timestamp_ntz")})
+    assert [(r.relation_id, r.subject_name, r.object_name) for r in graph.history(origin, dated, names).collect()] == [("r4", "A", "D")]
+    assert graph.history(origin.limit(0), dated, names).count() == 0
+
+
+def test_walk_stops_where_the_limit_is_met(spark):
+    """Brute force over random graphs with a hub; no step is taken from an origin that has its rows."""
+    rng = random.Random(3)
+    nodes = [f"n{i:02}" for i in range(25)]
+    edges = [(f"r{k}", rng.choice(nodes), rng.choice(nodes), "active") for k in range(30)] + [(f"h{i}", "n00", n, "active") for i, n in enumerate(nodes[1:])]
+    rel = spark.createDataFrame(edges, "id string, subject_id string, object_id string, status string").withColumn("predicate", F.lit("p"))
+    names = spark.createDataFrame([(n, "x" + n[::-1]) for n in nodes if n != "n07"], "id string, name string")
+    ways = [(a, b, r) for r, a, b, _ in edges] + [(b, a, r) for r, a, b, _ in edges]
+    want = set()
+    for origin in nodes:
+        found, front = [], [(origin, (origin,))]
+        for depth in range(1, 4):
+            front = [(b, (*seen, b), r) for at, seen, *_ in front for a, b, r in ways if a == at and b not in seen]
+            found += [(depth, "x" + b[::-1], r, b) for b, _, r in front if b != "n07"]
+        want |= {(origin, b, depth, r) for depth, _, r, b in sorted(found)[:6]}
+    got = graph.walk(spark.createDataFrame([(n,) for n in nodes], "origin_id string"), rel, names, 3, 6).collect()
+    assert {(r.origin_id, r.entity_id, r.depth, r.relation_id) for r in got} == want
 
 
 def test_budget_skips_and_keeps_the_first(spark):
@@ -96,6 +118,16 @@ def test_budget_skips_and_keeps_the_first(spark):
     assert [r.id for r in search.within_budget(df, "cost", [F.col("id")], 2000).orderBy("id").collect()] == [1, 3]
     df = spark.createDataFrame([(1, 5000), (2, 1)], "id int, cost int")
     assert [r.id for r in search.within_budget(df, "cost", [F.col("id")], 2000).collect()] == [1]
+    rng = random.Random(2)
+    for budget in (1, 7, 60):
+        rows = [(i, rng.randrange(1, 40)) for i in range(400)]
+        want, used = [], 0
+        for i, n in rows:
+            if not want or used + n <= budget:
+                want.append(i)
+                used += n
+        df = spark.createDataFrame(rows, "id int, cost int").repartition(3)
+        assert sorted(r.id for r in search.within_budget(df, "cost", [F.col("id")], budget).collect()) == want
     assert [r.id for r in durable.prefix_budget(spark.createDataFrame([(1, 5), (2, 9), (3, 1)], "id int, cost int"), "cost", [F.col("id")], 10).collect()] == [1]
 
 
@@ -111,20 +143,63 @@ def test_notes(spark, tmp_path):
     batch = spark.createDataFrame([(1, "password: abcdefghijklmn is it"), (2, "too short"), (3, "we always use tabs here"), (4, "we always use tabs here"), (5, "known note of four words"), (6, None)], "id int, text string")
     known = spark.createDataFrame([("known note of four words", False)], "text string, deleted boolean")
     assert [r.outcome for r in durable.judge_notes(batch, known).orderBy("id").collect()] == ["secret", "short", "saved", "duplicate", "duplicate", "short"]
-    notes = spark.createDataFrame([("n1", "fact", "one note is here", None, 1.0, None, False), ("n2", "fact", "gone", None, 1.0, None, True)], durable.NOTE)
-    durable.export_notes(notes, str(tmp_path / "out"))
-    assert [r.id for r in durable.import_notes(spark, str(tmp_path / "out"), known).collect()] == ["n1"]
-    assert durable.import_notes(spark, str(tmp_path / "out"), notes).count() == 0
+    notes = spark.createDataFrame([("n1", "fact", "one note is here", "h1", 1.0, None, False), ("n2", "fact", "gone", "h2", 1.0, None, True)], durable.NOTE)
+    diaries = spark.createDataFrame([("d1", "day", "h1", None, False)], "id string, text string, content_hash string, created_at timestamp, deleted boolean")
+    durable.export_notes(notes, diaries, str(tmp_path / "out"))
+    known = lambda *rows: spark.createDataFrame(list(rows), "kind string, content_hash string")
+    judged = lambda k: {(r.kind, r.id): r.outcome for r in durable.import_notes(spark, str(tmp_path / "out"), k).collect()}
+    assert judged(known()) == {("memory", "n1"): "saved", ("diary", "d1"): "saved"}
+    assert judged(known(("memory", "h1"))) == {("memory", "n1"): "duplicate", ("diary", "d1"): "saved"}
+    notes.write.json(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        durable.import_notes(spark, str(tmp_path / "other"), known())
+
+
+def test_forgotten_reasons_stay(spark):
+    rows = spark.createDataFrame([(1, True, "old"), (2, False, None), (3, None, None)], "id int, deleted boolean, forget_reason string")
+    got = {r.id: (r.deleted, r.forget_reason) for r in relational.mark(rows, F.col("id") <= 2, "deleted", "new").collect()}
+    assert got == {1: (True, "old"), 2: (True, "new"), 3: (False, None)}
+
+
+def test_the_index_follows_the_documents(spark):
+    rows = [("section", 1, "pay retry pay"), ("section", 2, "retry"), ("memory", 1, "Pay, pay; PAY"), ("memory", 2, ""), ("memory", 3, None)]
+    docs = spark.createDataFrame(rows, "target_type string, id long, text string")
+    postings, known = index.postings(docs), index.indexed(docs)
+    assert {(r.term, r.target_type, r.id): (r.tf, r.size) for r in postings.collect()} == {("pay", "section", 1): (2, 3), ("retry", "section", 1): (1, 3), ("retry", "section", 2): (1, 1), ("pay", "memory", 1): (3, 3)}
+    ranks = {(r.target_type, r.id): r["rank"] for r in index.bm25(postings, known, ["pay", "none"]).collect()}
+    assert ranks == pytest.approx({(r.target_type, r.id): r["rank"] for r in search.bm25(docs, ["pay", "none"]).collect()})
+    changed = docs.filter("target_type <> 'memory' or id <> 1").withColumn("text", F.when(F.col("id") == 2, "new words").otherwise(F.col("text")))
+    assert {(r.target_type, r.id): r.state for r in index.outdated(changed, known).collect()} == {("section", 2): "changed", ("memory", 2): "changed", ("memory", 1): "gone"}
+    after, listed = index.refresh(changed, postings, known)
+    assert sorted(map(str, after.collect())) == sorted(map(str, index.postings(changed).collect())) and sorted(map(str, listed.collect())) == sorted(map(str, index.indexed(changed).collect()))
+    assert index.outdated(changed, listed).count() == 0
+
+
+def test_vectors_of_words_count_while_they_are_fresh(spark):
+    docs = spark.createDataFrame([("section", i, f"src/{i}.ts", "app_code", t) for i, t in ((1, "payment"), (2, "payment"), (3, "other"))], "target_type string, id long, path string, source_role string, text string")
+    docs = docs.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    v = spark.createDataFrame([("section", 1, [0.0, 1.0]), ("section", 2, [0.0, 1.0]), ("section", 3, [1.0, 0.0])], "target_type string, id long, embedding array<double>")
+    text_of = F.when(F.col("id") == 1, "m:old").when(F.col("id") == 2, "m:payment").otherwise("m:other")
+    v = v.withColumn("model", F.lit("m")).withColumn("hash", F.sha2(text_of, 256))
+    got = {r.id: (r.lexical, r.vector, r.boost) for r in search.retrieve(docs, "payment", 10, "2024-01-02", vectors=v, vector=[0.0, 1.0], model="m").collect()}
+    assert got == {1: (1, None, 0), 2: (1, 1.0, 0), 3: (0, 0.5, 0)}
+    assert {r.id for r in search.retrieve(docs, "payment", 10, "2024-01-02", vectors=v, vector=[0.0, 1.0], model="x").collect()} == {1, 2}
+    boost = lambda results: results.filter("id = 1").select("target_type", "id", F.lit(45).alias("boost"))
+    assert [(r.id, r.boost) for r in search.retrieve(docs, "payment", 10, "2024-01-02", graph_of=boost).collect()] == [(1, 45), (2, 0)]
+    assert search.retrieve(docs, "!!", 10, "2024-01-02").count() == 0
 
 
 def test_hash_reuse_and_upsert(spark):
-    now = spark.createDataFrame([("a", 1, 5, b"x"), ("b", 1, 6, b"y")], "path string, size long, mtime long, content binary")
+    now = spark.createDataFrame([("a", 1, 5), ("b", 1, 6)], "path string, size long, mtime long")
+    read = spark.createDataFrame([("b", b"y")], "path string, content binary")
     old = spark.createDataFrame([("a", 1, 5, "kept"), ("b", 1, 5, "old")], "path string, size long, mtime long, content_hash string")
-    got = {r.path: r.content_hash for r in relational.reuse_hashes(now, old).collect()}
+    got = {r.path: r.content_hash for r in relational.reuse_hashes(now, old, read).collect()}
     assert got["a"] == "kept" and len(got["b"]) == 64
     current = spark.createDataFrame([(1, "x", 1), (2, "y", 1)], "k int, v string, made int")
     changes = spark.createDataFrame([(2, "z", 9), (3, "w", 9)], "k int, v string, made int")
-    assert sorted(map(tuple, relational.latest_wins(current, changes, ["k"], ["made"]).collect())) == [(1, "x", 1), (2, "z", 1), (3, "w", 9)]
+    assert sorted(map(tuple, relational.latest_wins(current, changes, ["k"], keep=["made"]).collect())) == [(1, "x", 1), (2, "z", 1), (3, "w", 9)]
+    versions = spark.createDataFrame([(2, "zz", 9, 1), (2, "a", 8, 2), (3, "w", 9, 5)], "k int, v string, made int, version int")
+    assert sorted(map(tuple, relational.latest_wins(current, versions, ["k"], "version").collect())) == [(1, "x", 1), (2, "a", 8), (3, "w", 9)]
 
 
 def test_stream_gives_the_batch_counts(spark, tmp_path):
@@ -150,7 +225,9 @@ def test_embeddings_are_reused_by_hash(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "three"), (3, None)], "id int, text string")
     vectors = {r.id: r.vector for r in projection.embed(docs).collect()}
     assert sum(x * x for x in vectors[1]) == pytest.approx(1) or not any(vectors[1])
-    assert vectors[3] == [0.0] * 8 and projection.hash_embedding("one two") == vectors[1]
+    assert vectors[3] == [0.0] * projection.DIMENSIONS and projection.hash_embedding("one two") == vectors[1]
+    listed = {(r.id, r.bucket): r.value for r in projection.hash_vectors(docs).collect()}
+    assert listed == {(i, b): pytest.approx(x, abs=1e-6) for i, v in vectors.items() for b, x in enumerate(v) if x}
     stored = docs.filter("id < 3").select("id", F.sha2(F.concat(F.lit("m:"), "text"), 256).alias("hash"))
     changed = docs.filter("id < 3").withColumn("text", F.when(F.col("id") == 2, "new").otherwise(F.col("text"))).unionByName(docs.filter("id = 3"))
     assert {r.id: r.state for r in projection.embedding_work(changed, stored, "m").collect()} == {1: "fresh", 2: "stale", 3: "needs_embedding"}
