@@ -207,7 +207,9 @@ def context_of(direct: DataFrame, mapped: DataFrame, relations: DataFrame, names
     """
     ranked = direct.select("entity_id", F.lit(0).alias("of"), "position").unionByName(mapped.select("entity_id", F.lit(1).alias("of"), "position"))
     origins = ranked.groupBy(F.col("entity_id").alias("origin_id")).agg(F.min(F.struct("of", "position")).alias("at"))
-    found = walk(origins.select("origin_id"), relations, names, depth, limit).join(origins, "origin_id")
+    # At most the 4 direct entities and those of 12 results: computed once, and sent to the edges.
+    origins = origins.sparkSession.createDataFrame(origins.collect(), origins.schema)
+    found = walk(origins.select("origin_id"), relations, names, depth, limit).join(F.broadcast(origins), "origin_id")
     first = Window.partitionBy("relation_id").orderBy("at", "origin_id", "n")
     once = found.withColumn("_k", F.row_number().over(first)).filter("_k = 1")
     return once.select("relation_id", "origin_id", "entity_id", "depth", F.greatest(F.lit(1), 10 - 2 * F.col("depth")).alias("score"))

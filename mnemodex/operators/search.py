@@ -120,6 +120,11 @@ def fresh_vectors(docs: DataFrame, vectors: DataFrame, query: list[float], model
     return joined.select(*KEY, F.when(same, scores.cosine(F.col("embedding"), q)).alias("vector"))
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """A list of a few times ``limit`` rows, computed once; what follows uses it several times."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def retrieve(docs: DataFrame, query: str, limit: int, now: str, mode: str = "search", found: DataFrame | None = None, vectors: DataFrame | None = None, vector: list[float] | None = None, model: str = "", graph_of=None) -> DataFrame:
     """(target_type, id, path, lexical, vector, boost, score): the retrieval tier as a whole.
 
@@ -132,14 +137,14 @@ def retrieve(docs: DataFrame, query: str, limit: int, now: str, mode: str = "sea
     if not wanted:
         return docs.limit(0).select(*KEY, "path", F.lit(0).alias("lexical"), F.lit(0.0).alias("vector"), F.lit(0).cast("long").alias("boost"), F.lit(0).cast("long").alias("score"))
     ranked = bm25(docs, wanted) if found is None else docs.join(F.broadcast(found.orderBy(F.desc("rank"), *KEY).limit(4 * limit)), KEY)
-    lexical = ranked.orderBy(F.desc("rank"), *KEY).limit(4 * limit).select(*ROW)
+    lexical = _held(ranked.orderBy(F.desc("rank"), *KEY).limit(4 * limit).select(*ROW))
     every = lexical.withColumn("vector", F.lit(None).cast("double"))
     if vectors is not None and vector is not None:
         # At most 4 * limit rows on either side.
         every = lexical.join(F.broadcast(fresh_vectors(F.broadcast(lexical), vectors, vector, model)), KEY)
         of_model = vectors.filter((F.col("model") == model) & (F.size("embedding") == len(vector)))
         q = F.array(*[F.lit(float(x)) for x in vector])
-        near = of_model.select(*KEY, (1 - scores.cosine(F.col("embedding"), q)).alias("distance")).orderBy("distance", *KEY).limit(4 * limit)
+        near = _held(of_model.select(*KEY, (1 - scores.cosine(F.col("embedding"), q)).alias("distance")).orderBy("distance", *KEY).limit(4 * limit))
         near = near.select(*KEY, scores.distance_score(F.col("distance")).alias("vector"))
         extra = docs.select(*ROW).join(F.broadcast(near), KEY).join(F.broadcast(lexical.select(*KEY)), KEY, "left_anti")
         every = every.unionByName(extra)
@@ -148,7 +153,7 @@ def retrieve(docs: DataFrame, query: str, limit: int, now: str, mode: str = "sea
     kept = kept.withColumn("boost", F.lit(0).cast("long"))
     if graph_of is not None:
         # A result list has at most 2 * limit rows; numbering it takes one task.
-        listed = kept.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+        listed = _held(kept.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))))
         boosted = graph_of(listed)
         kept = listed.drop("boost", "position").join(F.broadcast(boosted), KEY, "left").withColumn("boost", F.coalesce("boost", F.lit(0)).cast("long")).withColumn("score", F.col("score") + F.col("boost"))
     return kept.orderBy(*order).limit(limit).select(*KEY, "path", "lexical", "vector", "boost", "score")
