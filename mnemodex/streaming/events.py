@@ -18,3 +18,20 @@ def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days"
 def latest_by_user(events: DataFrame) -> DataFrame:
     """(user_id, event_id, event_type): each user's last event, by time, then id."""
     return events.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e")).select("user_id", "e.*")
+
+
+def keep_latest(events: DataFrame, folder: str, checkpoint: str):
+    """Start a stream that keeps each user's last event as a table under ``folder``: an upsert of each micro-batch. Returns the stream's query.
+
+    A batch writes the next version, ``v<batch>``, from the one before; a batch that is done again writes the same one.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        columns = ["user_id", "ts", "event_id", "event_type"]
+        rows = batch.select(*columns)
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{folder}/v{number - 1}").select(*columns))
+        last = rows.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type"), F.struct("ts", "event_id")).alias("e"))
+        last.select("user_id", "e.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
+
+    return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -211,6 +211,15 @@ def test_stream_gives_the_batch_counts(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, events.windowed_counts(df).collect()))
 
 
+def test_stream_keeps_the_latest(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    events.keep_latest(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    last = spark.read.parquet(str(tmp_path / "state" / "v2")).select("user_id", "event_id", "event_type")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, events.latest_by_user(df).collect()))
+
+
 def test_projection(spark):
     df = spark.createDataFrame([("src/a.ts", "alpha", "symbol"), ("src/a.ts", "alpha", "symbol"), ("b.md", "intro", "heading")], "path string, anchor string, anchor_type string")
     nodes, edges = projection.file_graph(df)
