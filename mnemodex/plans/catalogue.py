@@ -251,7 +251,7 @@ def path_evidence(spark, sf_dir):
 
 
 SKIPPED = [
-    "a/node_modules/x", "conf/.env.local", "img/a.PNG", "logs/run.log", "logs/keep.log", "src/Generated/a.ts", "x/yarn.lock", "k/server.PEM", "lib/app.min.js", "docs/readme.md", ".git/config", "deep/dist/a.log", "tmp/cache/a.ts", "my.env", "node_modules.txt",
+    "a/node_modules/x", "conf/.env.local", "img/a.PNG", "logs/run.log", "logs/keep.log", "src/Generated/a.ts", "x/yarn.lock", "k/server.PEM", "lib/app.min.js", "docs/readme.md", ".git/config", "deep/dist/a.log", "tmp/cache/a.ts", "my.env", "node_modules.txt", "a/gen/x.ts", "gen/x.ts", "x/app.js.map", ".npmrc", "coverage.xml", "own/a.ts", "!own/b.ts", "api.pb.go", "p/a.min.mjs", "c/cert.crt",
 ]
 _SKIPPED = "[" + ", ".join(f"'{s}'" for s in SKIPPED) + "]"
 
@@ -260,15 +260,18 @@ _SKIPPED = "[" + ", ".join(f"'{s}'" for s in SKIPPED) + "]"
 WITH s AS (SELECT page_id, {_SKIPPED}[CAST(page_id % {len(SKIPPED)} AS INTEGER) + 1] AS path FROM pages)
 SELECT page_id,
        CASE WHEN regexp_matches(lower(path), '(^|/)(node_modules|dist|\.git)(/|$)') THEN 'hard_directory'
-            WHEN regexp_matches(lower(path), '/generated/') THEN 'generated'
-            WHEN regexp_matches(lower(path), '\.min\.js$') THEN 'minified'
+            WHEN regexp_matches(lower(path), '/(generated|gen)/|\.map$|\.pb\.go$') THEN 'generated'
+            WHEN regexp_matches(lower(path), '\.min\.m?js$') THEN 'minified'
             WHEN regexp_matches(lower(path), '(^|/)yarn\.lock$') THEN 'lockfile'
-            WHEN regexp_matches(lower(path), '(^|/)\.env(\.[^/]*)?$|\.pem$') THEN 'secret'
-            WHEN regexp_matches(lower(path), '\.png$') THEN 'binary'
-            WHEN regexp_matches(path, '\.log$') AND NOT regexp_matches(path, '(^|/)keep\.log$') OR starts_with(path, 'tmp/') THEN 'vcs_ignore' END AS reason
+            WHEN regexp_matches(lower(path), '(^|/)(\.env(\.[^/]*)?|\.npmrc)$') THEN 'secret'
+            WHEN regexp_matches(lower(path), '(^|/)coverage\.xml$') THEN 'ignored_file'
+            WHEN regexp_matches(lower(path), '\.pem$') THEN 'secret'
+            WHEN regexp_matches(lower(path), '\.(png|crt)$') THEN 'binary'
+            WHEN regexp_matches(path, '\.log$') AND NOT regexp_matches(path, '(^|/)keep\.log$') OR starts_with(path, 'tmp/') THEN 'vcs_ignore'
+            WHEN starts_with(path, 'own/') OR starts_with(path, '!own/') THEN 'project_ignore' END AS reason
 FROM s""")
 def skip_reasons(spark, sf_dir):
-    return _shaped(spark, sf_dir, SKIPPED).select("page_id", skip_reason(F.col("path"), ["# logs", "*.log", "!keep.log", "/tmp/"]).alias("reason"))
+    return _shaped(spark, sf_dir, SKIPPED).select("page_id", skip_reason(F.col("path"), ["# logs", "*.log", "!keep.log", "/tmp/"], ["/own/", "!own/"]).alias("reason"))
 
 
 @query("intent_flags", f"""SELECT doc_id, regexp_matches(lower(text), '{text.bounded(text.INTENTS['implementation'])}') AS implementation, regexp_matches(lower(text), '{text.bounded(text.INTENTS['needs_history'])}') AS history FROM documents""")

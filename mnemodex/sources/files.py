@@ -3,58 +3,89 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import tomllib
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders and files that are never read.
-IGNORED_FOLDERS = [".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "dist", "build", "out", "coverage", "target", "vendor", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".next", ".nuxt", ".turbo", ".cache"]
-LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "composer.lock", "poetry.lock", "uv.lock", "pipfile.lock", "cargo.lock", "gemfile.lock", "go.sum", "pubspec.lock"]
-SECRET_FILES = [".npmrc", ".pypirc", ".netrc", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials"]
-SECRET_ENDINGS = ["pem", "key", "p12", "pfx", "jks", "keystore"]
-BINARY_ENDINGS = ["png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "tar", "7z", "rar", "woff", "woff2", "ttf", "otf", "eot", "mp3", "mp4", "mov", "avi", "exe", "dll", "so", "dylib", "class", "jar", "wasm", "bin", "db", "sqlite"]
-
-
-def skip_reason(path: Column, patterns: list[str] = ()) -> Column:
-    """Why a path is not read, or null; the first rule that fits. ``patterns`` are lines of an ignore file, the last that fits wins."""
+#: Folders and files that are never read.
+IGNORED_FOLDERS = """
+.angular .astro .build .bundle .cache .cmake .dart_tool .eggs .expo .git .gradle .hg .hypothesis .idea .ipynb_checkpoints .mvn .mypy_cache .next .nox .npm .nuxt
+.parcel-cache .pnpm-store .pytest_cache .rollup.cache .ruff_cache .serverless .svelte-kit .svn .swiftpm .tox .turbo .venv .vercel .vite .vs .yarn .zig-cache
+__pycache__ bower_components build cmake-build-debug cmake-build-release cmakefiles coverage deriveddata dist eggs htmlcov jspm_packages node_modules obj out
+pip-wheel-metadata site-packages storybook-static target testresults vendor venv zig-cache zig-out
+""".split()
+IGNORED_FILES = ".coverage .ds_store .env coverage.xml memory.sqlite npm-debug.log pnpm-debug.log project.assets.json yarn-debug.log yarn-error.log".split()
+GENERATED_FRAGMENTS = ["/__generated__/", "/build/generated/", "/gen/", "/generated-sources/", "/generated/", "/target/generated-sources/", "/vendor/"]
+GENERATED_ENDINGS = [".freezed.dart", ".g.dart", ".grpc.pb.cc", ".grpc.pb.go", ".map", ".pb.cc", ".pb.go", ".pb.h", ".pb.swift"]
+MINIFIED_ENDINGS = [".min.cjs", ".min.css", ".min.js", ".min.mjs"]
+LOCK_FILES = """
+bun.lock bun.lockb cargo.lock composer.lock gemfile.lock go.sum gradle.lockfile npm-shrinkwrap.json package-lock.json package.resolved packages.lock.json pipfile.lock
+pnpm-lock.yaml poetry.lock pubspec.lock uv.lock yarn.lock
+""".split()
+SECRET_FILES = [".envrc", ".netrc", ".npmrc", ".pypirc", ".sentryclirc", ".yarnrc", ".yarnrc.yml"]
+SECRET_ENDINGS = ["der", "key", "p12", "pem", "pfx"]
+BINARY_ENDINGS = """
+7z a avif bin bmp bz2 cer class crt d db db-shm db-wal der dll doc docx dsym dylib ear exe flac gif gz heic heif ico jar jpeg jpg key la lib lo m4a mkv mov mp3 mp4 nupkg o obj otf
+pdb pdf pem pfx png ppt pptx pyc pyo rar rlib so sqlite sqlite3 tar test tgz tif tiff ttf war wasm wav webp woff woff2 xls xlsx xz zip zst
+""".split()
+
+
+def _listed(path: Column, lines: list[str], negation: bool) -> Column:
+    """Whether the lines of an ignore file list a path; the last line that fits wins."""
+    out, parts = F.lit(False), F.split(path, "/")
+    for line in (x.strip() for x in lines):
+        if not line or line.startswith("#"):
+            continue
+        negated = negation and line.startswith("!")
+        raw = line[1:] if negated else line
+        pattern, rooted = raw.strip("/"), raw.startswith("/") or "/" in raw.strip("/")
+        if not pattern:
+            continue
+        if "*" in pattern and not raw.endswith("/"):
+            body = "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in pattern) + "$"
+            fits = path.rlike(body) if rooted else F.exists(parts, lambda p: p.rlike(body))  # noqa: B023
+        elif rooted:
+            fits = (path == pattern) | path.startswith(pattern + "/")
+        else:
+            fits = F.array_contains(parts, pattern)
+        out = F.when(fits, F.lit(not negated)).otherwise(out)
+    return out
+
+
+def skip_reason(path: Column, patterns: list[str] = (), own: list[str] = ()) -> Column:
+    """Why a path is not read, or null; the first rule that fits. ``patterns`` are lines of the repository's ignore file, ``own`` of the project's, without negation."""
     low = F.lower(path)
-    parts, name = F.split(low, "/"), F.substring_index(low, "/", -1)
+    name = F.substring_index(low, "/", -1)
     ending = F.regexp_extract(name, r".\.([^.]+)$", 1)
+    ends = lambda endings: reduce(or_, [name.endswith(x) for x in endings])
     rule = (
-        F.when(F.arrays_overlap(parts, F.array(*[F.lit(x) for x in IGNORED_FOLDERS])), "hard_directory")
-        .when(F.contains(low, F.lit("/generated/")) | F.contains(low, F.lit("/__generated__/")), "generated")
-        .when(name.endswith(".min.js") | name.endswith(".min.css"), "minified")
+        F.when(F.arrays_overlap(F.split(low, "/"), F.array(*[F.lit(x) for x in IGNORED_FOLDERS])), "hard_directory")
+        .when(reduce(or_, [F.contains(low, F.lit(x)) for x in GENERATED_FRAGMENTS]) | ends(GENERATED_ENDINGS), "generated")
+        .when(ends(MINIFIED_ENDINGS), "minified")
         .when(name.isin(LOCK_FILES), "lockfile")
         .when((name == ".env") | name.startswith(".env.") | name.isin(SECRET_FILES), "secret")
+        .when(name.isin(IGNORED_FILES), "ignored_file")
         .when(ending.isin(SECRET_ENDINGS), "secret")
         .when(ending.isin(BINARY_ENDINGS), "binary")
+        .when(_listed(path, list(patterns), True), "vcs_ignore")
+        .when(_listed(path, list(own), False), "project_ignore")
     )
-    listed = F.lit(False)
-    for line in patterns:
-        line = line.strip()
-        if line and not line.startswith("#"):
-            negated, line = line.startswith("!"), line.lstrip("!").rstrip("/")
-            if "*" in line:
-                body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in re.sub(r"\*+", "*", line.lstrip("/")))
-                fits = path.rlike(f"^{body}$" if "/" in line.strip("/") else f"(^|/){body}(/|$)")
-            elif line.startswith("/") or "/" in line:
-                fits = (path == line.strip("/")) | path.startswith(line.strip("/") + "/")
-            else:
-                fits = F.array_contains(F.split(path, "/"), line)
-            listed = F.when(fits, F.lit(not negated)).otherwise(listed)
-    return F.coalesce(rule, F.when(listed, "vcs_ignore"))
-
-
-def listing(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
+    return rule
+
+
+def listing(spark: SparkSession, root: str, patterns: list[str] = (), own: list[str] = ()) -> DataFrame:
     """(path, size, mtime, reason) of all files under ``root``, without their content; reason is null for those to be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     path = F.substring(at, F.lit(len(root.rstrip("/")) + 2), F.length(at))
     listed = files.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
-    return listed.withColumn("reason", skip_reason(F.col("path"), patterns))
+    return listed.withColumn("reason", skip_reason(F.col("path"), patterns, own))
 
 
 def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
@@ -71,17 +102,16 @@ def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     return files.select(F.substring(at, F.lit(len(place) + 2), F.length(at)).alias("path"), "content")
 
 
-def ignore_patterns(root: str) -> list[str]:
+def ignore_patterns(root: str) -> tuple[list[str], list[str]]:
     """The lines of a project's ignore files, ``.gitignore`` and ``.mnemodexignore``; either may be missing."""
-    import os
-
-    lines: list[str] = []
-    for name in (".gitignore", ".mnemodexignore"):
+    def lines(name: str) -> list[str]:
         place = os.path.join(root, name)
-        if os.path.exists(place):
-            with open(place, encoding="utf-8") as file:
-                lines += file.read().splitlines()
-    return lines
+        if not os.path.exists(place):
+            return []
+        with open(place, encoding="utf-8") as file:
+            return file.read().splitlines()
+
+    return lines(".gitignore"), lines(".mnemodexignore")
 
 
 def diagnostics(scanned: DataFrame) -> DataFrame:

@@ -67,7 +67,8 @@ class Store:
 
         Hashes of files whose size and time are as before are reused, and only the other files are opened. In mode ``rebuild`` all stored sections go first.
         """
-        listed = files.listing(self.spark, root, [*patterns, *files.ignore_patterns(root)]).filter("reason is null").drop("reason")
+        repository, own = files.ignore_patterns(root)
+        listed = files.listing(self.spark, root, [*repository, *patterns], own).filter("reason is null").drop("reason")
         before = self.read("files")
         known = relational.unhashed(listed, before)
         opened = files.contents(self.spark, root, known.filter("content_hash is null"))
