@@ -24,6 +24,8 @@ ROWS, PROBES, GRAM = 1 << 20, 3, 4
 #: and its share of that language's n-grams is at least so much of its largest share in any language.
 MOST_DOCS, LEAST_SEEN, LEAST_SHARE = 40_000, 4, 0.2
 UNKNOWN = "und"
+#: Texts whose n-grams are counted at once.
+COUNTED = 1000
 
 _SPACED = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _OTHER = regex.compile(r"[^\x00-\x7F\p{L}\p{M}]+")
@@ -67,7 +69,7 @@ class Model:
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in (whole.slice(at, COUNTED) for whole in batches for at in range(0, whole.num_rows, COUNTED)):
         keys: dict[int, list[np.ndarray]] = {}
         for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
             keys.setdefault(lang, []).append(grams(text.as_py()))
