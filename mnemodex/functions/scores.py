@@ -42,6 +42,9 @@ def distance_score(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / 2))
 
 
+# The points in ``role_delta``, ``highlight_score`` and ``guidance_score``.
+
+
 def role_delta(role: Column, path: Column, implementation: bool, prefers_agent: bool) -> Column:
     """What a source's role adds to its score when a task is recalled."""
     out = F.when(role.isin("agent_reference", "generated", "agent_config"), 20 if prefers_agent else -60)

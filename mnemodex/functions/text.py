@@ -166,6 +166,9 @@ TOOLING_FILES = ["tsconfig.json", "biome.json", "eslint.config.js", "vite.config
 CODE_ENDINGS = ["ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "rb", "php", "swift", "kt", "cs", "c", "cpp", "scala", "sql"]
 
 
+# The endings and their languages in ``language``, and the folders, names and endings in ``source_role``.
+
+
 def language(path: Column) -> Column:
     """The language that a path's ending names, in order of precedence."""
     low = F.lower(path)
