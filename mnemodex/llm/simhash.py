@@ -215,6 +215,8 @@ def _named(least: DataFrame, components: DataFrame) -> DataFrame:
 BANDS, MINIMA = 16, 5
 #: Pairs whose fingerprints differ in more bits are not checked further: at a similarity of 0.8 they differ in 10, with a deviation of 3.
 FAR = 20
+#: Texts whose pairs are checked against each other at once; nearly all of them may be pairs.
+CHECKED = 256
 
 _FACTORS = np.random.default_rng(41).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -307,11 +309,11 @@ def _near_labels(radius: int, similarity: float):
         fp, label, sets = fp[by], label[by], [sets[i] for i in by.tolist()]
         known, group = np.unique(label, return_inverse=True)
         edges: list[tuple[int, int]] = []
-        for a in range(0, len(fp), BLOCK):
-            for b in range(a, len(fp), BLOCK):
-                rows = np.arange(a, min(a + BLOCK, len(fp)))
+        for a in range(0, len(fp), CHECKED):
+            for b in range(a, len(fp), CHECKED):
+                rows = np.arange(a, min(a + CHECKED, len(fp)))
                 if a != b:
-                    rows = np.append(rows, np.arange(b, min(b + BLOCK, len(fp))))
+                    rows = np.append(rows, np.arange(b, min(b + CHECKED, len(fp))))
                 i, j = links_within(fp[rows], radius)
                 i, j = rows[i], rows[j]
                 order = np.argsort(i, kind="stable")
