@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mnemodex.llm import language, quality, sentencepiece_unigram, toxicity
+from mnemodex.llm import bpe, language, quality, sentencepiece_unigram, toxicity
 from mnemodex.llm.common import id_remainder, table, vocabulary
 from mnemodex.llm.near_vectors import near_vectors
 from mnemodex.llm.packing import pack_documents
@@ -84,6 +84,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, grammar), fold == 0)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids under the 50k byte-level vocabulary, and the hashes of its ids and of what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -95,6 +103,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
+    "op11_bpe": op11_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
