@@ -11,6 +11,7 @@ from mnemodex.llm.common import id_remainder, table, vocabulary
 from mnemodex.llm.near_vectors import near_vectors
 from mnemodex.llm.packing import pack_documents
 from mnemodex.llm.passages import repeated_passages
+from mnemodex.llm.ranked import ranked
 from mnemodex.llm.simhash import near_duplicates
 from mnemodex.llm.top_k import top_k
 from mnemodex.llm.url_filter import filter_urls
@@ -92,6 +93,11 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all ``documents`` for each ``benchmark`` item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -104,6 +110,7 @@ QUERIES = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
     "op11_bpe": op11_bpe,
+    "op12_ranked_search": op12_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -150,4 +157,27 @@ scored AS (
 ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op12_ranked_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM lengths),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark),
+times AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, total WHERE term IN (SELECT term FROM times) GROUP BY term),
+scored AS (
+  SELECT item_id, tf.doc_id,
+         CAST(sum(times * w * (CAST(1000000000 * tf AS BIGINT) // CAST(1000 * tf + 12 * (75 + CAST(25 * n * n_docs AS BIGINT) // CAST(n_terms AS BIGINT)) AS BIGINT))) AS BIGINT) AS score
+  FROM times JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), total
+  GROUP BY item_id, tf.doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
