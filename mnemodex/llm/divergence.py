@@ -131,18 +131,20 @@ def _narrowed(rows: DataFrame, digit: Column, rising: bool, n_groups: int) -> tu
     """One step of a radix selection: (rows that are surely among the wanted, rows that may be).
 
     ``rows`` have ``wanted``, the number of rows that their group wants of them. The histogram of ``digit`` shows the one in which the last of them lies; rows before
-    it are wanted, rows in it go on with what is left.
+    it are wanted, and so are those in it if all are; else they go on with what is left.
     """
     rows = rows.withColumn("digit", digit)
     order = Window.partitionBy("lang", "source").orderBy(F.col("digit") if rising else F.desc("digit"))
     counted = rows.groupBy("lang", "source", "digit").agg(F.count(F.lit(1)).alias("here"), F.first("wanted").alias("wanted"))
     counted = counted.withColumn("before", F.sum("here").over(order) - F.col("here"))
     last = counted.filter((F.col("before") < F.col("wanted")) & (F.col("before") + F.col("here") >= F.col("wanted")))
-    last = last.select("lang", "source", F.col("digit").alias("last"), (F.col("wanted") - F.col("before")).alias("left"))
+    left = F.col("wanted") - F.col("before")
+    last = last.select("lang", "source", F.col("digit").alias("last"), left.alias("left"), (left == F.col("here")).alias("whole"))
     met = _bound(rows, last, n_groups)
     ahead = F.col("digit") < F.col("last") if rising else F.col("digit") > F.col("last")
-    sure = met.filter(ahead).drop("digit", "last", "left", "wanted")
-    open_ = met.filter(F.col("digit") == F.col("last")).drop("digit", "last", "wanted").withColumnRenamed("left", "wanted")
+    inside = F.col("digit") == F.col("last")
+    sure = met.filter(ahead | (inside & F.col("whole"))).drop("digit", "last", "left", "whole", "wanted")
+    open_ = met.filter(inside & ~F.col("whole")).drop("digit", "last", "whole", "wanted").withColumnRenamed("left", "wanted")
     return sure, open_
 
 
