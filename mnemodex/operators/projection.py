@@ -135,3 +135,14 @@ def embedding_work(docs: DataFrame, stored: DataFrame, model: str) -> DataFrame:
     """(id, state) of (id, text): needs_embedding, stale or fresh, by the hash of model and text that is stored with a vector."""
     now = F.sha2(F.concat(F.lit(model + ":"), "text"), 256)
     return docs.join(stored.select("id", F.col("hash").alias("_hash")), "id", "left").select("id", F.when(F.col("_hash").isNull(), "needs_embedding").when(F.col("_hash") != now, "stale").otherwise("fresh").alias("state"))
+
+
+def reconcile(entries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(target_type, id, state): entries (target_type, id, hash) without a vector are missing, those whose vector is of another hash changed, vectors without an entry orphaned.
+
+    One full outer join by key over the vectors of one group; texts take no part.
+    """
+    key = ["target_type", "id"]
+    both = entries.select(*key, F.col("hash").alias("_due")).join(vectors.select(*key, F.col("hash").alias("_has")), key, "full_outer")
+    state = F.when(F.col("_has").isNull(), "missing").when(F.col("_due").isNull(), "orphaned").when(F.col("_due") != F.col("_has"), "changed")
+    return both.select(*key, state.alias("state")).filter("state is not null")

@@ -7,10 +7,11 @@ top-k before anything is joined to them.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemodex.functions import scores, text
@@ -172,6 +173,36 @@ def by_words(rows: DataFrame, query: str, limit: int, now: str, mode: str = "sea
     return pruned.orderBy(F.desc("score"), F.desc("updated_at"), *KEY).limit(limit).select(*KEY, "path", "lexical", "score")
 
 
+def index_rows(ranked: DataFrame, docs: DataFrame, notes: DataFrame, hidden: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best of the index's documents (target_type, id, rank) with what they belong to: their row of ``docs`` and the confidence of the note of that id.
+
+    An id that is deleted or suppressed anywhere (``hidden`` has id, deleted, suppressed) is out, of whatever type the row is.
+    """
+    gone = hidden.filter("coalesce(deleted, false) or coalesce(suppressed, false)").select("id").distinct()
+    best = ranked.join(gone, "id", "left_anti").orderBy(F.desc("rank"), *KEY).limit(limit)
+    rows = docs.select(*ROW).join(F.broadcast(best), KEY)  # limit rows
+    return rows.join(notes.select("id", F.col("confidence").cast("double").alias("confidence")), "id", "left").select(*ROW, F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+
+
+def by_index(rows: DataFrame, query: str, limit: int, now: str, mode: str = "search") -> DataFrame:
+    """The middle tier: rows of the index (``index_rows``), scored, pruned and gated; roles, vectors and the graph take no part."""
+    pruned = prune(scored(rows, query_terms(query), now, confidence=F.col("confidence")), 4 if mode == "recall" else 6, limit)
+    if mode == "recall" and not re.search(text.bounded(text.INTENTS["allows_diary"]), query.lower()):
+        pruned = pruned.filter("target_type <> 'diary'")
+    return pruned.orderBy(F.desc("score"), F.desc("updated_at"), *KEY).select(*KEY, "path", "lexical", "score")
+
+
+def first_with_rows(spark: SparkSession, *tiers: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of the first tier that has any; those after it are neither planned nor read. A tier gives a short list."""
+    found = None
+    for tier in tiers:
+        found = tier()
+        rows = found.collect()
+        if rows:
+            return spark.createDataFrame(rows, found.schema)
+    return found.limit(0)
+
+
 def tiers(*found: DataFrame) -> DataFrame:
     """The rows of the first of ``found`` that has any: the tier is a column, and the smallest one stays."""
     every = None
