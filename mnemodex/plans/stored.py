@@ -1,0 +1,180 @@
+"""Queries of what the store is made of: the commit log, index segments, groups of vectors, the index tier and the cascade of tiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mnemodex.operators import commits, index, projection, relational, search
+from mnemodex.plans import catalogue as c
+from mnemodex.plans.catalogue import NOW, ORACLES, query, visible_documents
+from mnemodex.plans.composed import _any, _index_before
+from mnemodex.sources import model
+from mnemodex.sources.model import table
+
+# Commits ----------------------------------------------------------------------------------------
+#
+# The events stand for a log: a user is a table, two events have one number, and an error is a commit after which the table is gone.
+
+_LOG = """
+rows AS (SELECT event_id // 2 AS number, lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, 'u' || user_id AS name,
+                CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN 'a' || event_id || ' b' || event_id ELSE 'a' || event_id END AS parts FROM events),
+one AS (SELECT number, arg_min(name, id) AS name, arg_min(coalesce(parts, ''), id) AS parts FROM rows GROUP BY number)"""
+
+
+def _log(spark, sf_dir):
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    part = lambda letter: F.concat(F.lit(letter), F.col("event_id").cast("string"))
+    parts = F.when(F.col("event_type") == "error", F.array().cast("array<string>")).when(F.col("event_type") == "signup", F.array(part("a"), part("b"))).otherwise(F.array(part("a")))
+    return table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 2).alias("number"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("kind"),
+        F.lit(1).cast("long").alias("n"), F.array(F.struct(name.alias("name"), parts.alias("parts"))).alias("tables"), F.array(part("z")).alias("dropped"),
+    )
+
+
+@query("commit_state", f"""
+WITH {_LOG},
+last AS (SELECT 'now' AS seen, name, arg_max(parts, number) AS parts, max(number) AS number FROM one GROUP BY name
+         UNION ALL SELECT 'before', name, arg_max(parts, number), max(number) FROM one WHERE number <= (SELECT max(number) // 2 FROM one) GROUP BY name)
+SELECT seen, name, parts, CAST(number AS BIGINT) AS number FROM last WHERE parts <> ''""")
+def commit_state(spark, sf_dir):
+    """The state of all tables at the last commit and at the one half-way, from the log alone."""
+    log = _log(spark, sf_dir)
+    half = log.agg(F.floor(F.max("number") / 2)).first()[0] or 0
+    seen = lambda name, upto: commits.state(log, upto).select(F.lit(name).alias("seen"), "name", F.array_join("parts", " ").alias("parts"), "number")
+    return seen("now", None).unionByName(seen("before", half))
+
+
+@query("commit_droppable", """
+SELECT DISTINCT 'z' || event_id AS part FROM events WHERE event_id // 2 <= (SELECT max(event_id // 2) FROM events) - 7""")
+def commit_droppable(spark, sf_dir):
+    """The parts that none of the last eight commits' states has."""
+    return commits.droppable(_log(spark, sf_dir), 8)
+
+
+# The index in segments --------------------------------------------------------------------------
+
+
+@query("index_segments", f"""
+WITH top AS ({ORACLES['bm25_topk']})
+SELECT 'segments' AS state, target_type, id, rank FROM top UNION ALL SELECT 'merged', target_type, id, rank FROM top""")
+def index_segments(spark, sf_dir):
+    """An old segment, tombstones for what has changed or gone, and a segment of what is new: ranks as of an index made anew, before and after the two are merged."""
+    docs, before = visible_documents(spark, sf_dir), _index_before(spark, sf_dir)
+    named = lambda rows, name: rows.withColumn("segment", F.lit(name))
+    first = named(index.indexed(before), "a")
+    work = index.outdated(docs, first)
+    gone = index.tombstones(first, first.limit(0), work)
+    new = docs.join(work.filter("state <> 'gone'"), index.KEY, "left_semi")
+    listed = first.unionByName(named(index.indexed(new), "b"))
+    postings = named(index.postings(before), "a").unionByName(named(index.postings(new), "b"))
+    sizes = index.statistics(listed, gone).collect()  # a row for each segment
+    total, words = sum(r.docs for r in sizes), sum(r["size"] for r in sizes)
+
+    def top(state, rows, tombstones):
+        ranked = index.bm25_segments(rows, tombstones, total, words, c._INDEX)
+        return ranked.orderBy(F.desc("rank"), "target_type", "id").limit(40).select(F.lit(state).alias("state"), "target_type", "id", F.round("rank", 6).alias("rank"))
+
+    return top("segments", postings, gone).unionByName(top("merged", index.merged(postings, gone, ["a", "b"], "c"), gone))
+
+
+# Groups of vectors ------------------------------------------------------------------------------
+
+
+@query("vector_reconcile", f"""
+WITH {c._MODEL},
+entries AS (SELECT target_type, id, sha256('m:' || text) AS hash FROM sections WHERE NOT deleted AND NOT suppressed),
+vectors AS (SELECT 'section' AS target_type, vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN sha256('m:' || text) ELSE sha256('m:other') END AS hash
+            FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 7 <> 1),
+matched AS (SELECT coalesce(e.target_type, v.target_type) AS target_type, coalesce(e.id, v.id) AS id, e.hash AS due, v.hash AS has
+         FROM entries e FULL JOIN vectors v ON v.target_type = e.target_type AND v.id = e.id)
+SELECT target_type, id, CASE WHEN has IS NULL THEN 'missing' WHEN due IS NULL THEN 'orphaned' ELSE 'changed' END AS state
+FROM matched WHERE has IS NULL OR due IS NULL OR has <> due""")
+def vector_reconcile(spark, sf_dir):
+    """Which vectors of one model are missing, orphaned or of another text."""
+    s = relational.active(model.sections(spark, sf_dir), "deleted", "suppressed")
+    digest = lambda text: F.sha2(F.concat(F.lit("m:"), text), 256)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("section").alias("target_type"), F.col("vec_id").alias("id")).filter("id % 7 <> 1").join(texts, "id", "left")
+    vectors = vectors.select("target_type", "id", F.when(F.col("id") % 3 == 0, digest(F.col("text"))).otherwise(digest(F.lit("other"))).alias("hash"))
+    return projection.reconcile(s.select("target_type", "id", digest(F.col("text")).alias("hash")), vectors.filter("hash is not null"))
+
+
+# Tiers ------------------------------------------------------------------------------------------
+
+_HIDDEN = """hidden AS (SELECT id FROM sections WHERE deleted OR suppressed UNION SELECT id FROM observations WHERE deleted UNION SELECT id FROM diaries WHERE deleted)"""
+_PLACE = "coalesce(path, '') || chr(10) || text"
+
+
+def _by_index_sql(wanted: list[str], terms: list[str]) -> str:
+    """CTEs up to ``middle``: the index tier over all documents."""
+    return f"""{_HIDDEN}, {c._bm25(wanted, 'retrieval')},
+best AS (SELECT * FROM ranked WHERE id NOT IN (SELECT id FROM hidden) ORDER BY rank DESC, target_type, id LIMIT 20),
+rows AS (SELECT b.*, coalesce(o.confidence, 1.0) AS sure FROM best b LEFT JOIN observations o ON o.id = b.id),
+scored AS (SELECT *, CAST(floor({c._hits(_PLACE, terms)} * 100 + sure * 20 + {c._RECENCY.format('updated_at', '20')}
+             - ceil({c._TOKENS.format('(' + c._EXCERPT.format('text') + ')')} / 120.0) + 0.5) AS BIGINT) AS score, {c._hits(_PLACE, terms)} AS lexical FROM rows),
+typed AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY {c._ORDER}) AS r FROM scored),
+middle AS (SELECT target_type, id, path, lexical, score FROM (SELECT * FROM typed WHERE r <= 6 ORDER BY {c._ORDER} LIMIT 40))"""
+
+
+def _middle(spark, sf_dir, request: str):
+    docs = model.retrieval_documents(spark, sf_dir).drop("inactive")
+    wanted = search.index_terms(request)
+    notes = model.observations(spark, sf_dir)
+    shown = lambda rows, *flags: rows.select("id", F.col("deleted"), (F.col("suppressed") if "suppressed" in rows.columns else F.lit(False)).alias("suppressed"))
+    hidden = shown(model.sections(spark, sf_dir)).unionByName(shown(notes)).unionByName(shown(model.diaries(spark, sf_dir)))
+    ranked = search.bm25(docs, wanted).select("target_type", "id", "rank")
+    return search.by_index(search.index_rows(ranked, docs, notes, hidden, 20), request, 20, NOW)
+
+
+@query("fts_tier", f"""
+WITH {c._MODEL}, {_by_index_sql(c._INDEX, c.TERMS)}
+SELECT target_type, id, path, CAST(lexical AS INTEGER) AS lexical, score FROM middle""")
+def fts_tier(spark, sf_dir):
+    """The best of the index with the confidence of their notes; what is hidden anywhere by its id is out."""
+    return _middle(spark, sf_dir, c.QUERY).select("target_type", "id", "path", F.col("lexical").cast("int").alias("lexical"), "score")
+
+
+#: Words of sections; of conversations only; and parts of words.
+REQUESTS = ["onenble thereea", "eaanre isontilyed", "onann ntio"]
+
+
+def _cascade_sql(request: str) -> str:
+    wanted, terms = search.index_terms(request), search.query_terms(request)
+    return f"""
+SELECT '{request}' AS request, * FROM (
+WITH {c._MODEL}, {c._VISIBLE}, files AS (SELECT * FROM visible WHERE target_type = 'section'),
+first AS (WITH {c._bm25(wanted, 'files')} SELECT target_type, id FROM ranked ORDER BY rank DESC, target_type, id LIMIT 40),
+second AS (WITH {_by_index_sql(wanted, terms)} SELECT target_type, id FROM middle),
+notes AS (SELECT 'memory' AS target_type, id, text, created_at AS updated_at, confidence FROM observations WHERE NOT deleted
+          UNION ALL SELECT 'diary', id, text, created_at, 1.0 FROM diaries WHERE NOT deleted),
+newest AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY updated_at DESC, id) AS k FROM notes WHERE {_any('lower(text)', terms)}),
+scored AS (SELECT *, CAST(floor({c._hits('text', terms)} * 100 + confidence * 20 + {c._RECENCY.format('updated_at', '20')}
+             - ceil({c._TOKENS.format('(' + c._EXCERPT.format('text') + ')')} / 120.0) + 0.5) AS BIGINT) AS score FROM newest WHERE k <= 20),
+typed AS (SELECT *, row_number() OVER (PARTITION BY target_type ORDER BY {c._ORDER}) AS r FROM scored),
+last AS (SELECT target_type, id FROM (SELECT * FROM typed WHERE r <= 6 ORDER BY {c._ORDER} LIMIT 20) ORDER BY {c._ORDER} LIMIT 10),
+t AS (SELECT *, 1 AS tier FROM first UNION ALL SELECT *, 2 FROM second UNION ALL SELECT *, 3 FROM last)
+SELECT * FROM t WHERE tier = (SELECT min(tier) FROM t))"""
+
+
+@query("cascade_tiers", " UNION ALL ".join(map(_cascade_sql, REQUESTS)))
+def cascade_tiers(spark, sf_dir):
+    """Three requests, each answered by the first tier that has rows: sections, the index of everything, notes and diaries by parts of words."""
+    out = None
+    for request in REQUESTS:
+        wanted = search.index_terms(request)
+
+        def sections(wanted=wanted):
+            docs = visible_documents(spark, sf_dir).filter("target_type = 'section'")
+            return search.bm25(docs, wanted).orderBy(F.desc("rank"), "target_type", "id").limit(40).select("target_type", "id", F.lit(1).alias("tier"))
+
+        def everything(request=request):
+            return _middle(spark, sf_dir, request).select("target_type", "id", F.lit(2).alias("tier"))
+
+        def words(request=request):
+            o = relational.active(model.observations(spark, sf_dir), "deleted").select(F.lit("memory").alias("target_type"), "id", "text", F.col("created_at").alias("updated_at"), F.col("confidence").cast("double").alias("confidence"))
+            d = relational.active(model.diaries(spark, sf_dir), "deleted").select(F.lit("diary").alias("target_type"), "id", "text", F.col("created_at").alias("updated_at"), F.lit(1.0).alias("confidence"))
+            return search.by_words(o.unionByName(d), request, 10, NOW).select("target_type", "id", F.lit(3).alias("tier"))
+
+        found = search.first_with_rows(spark, sections, everything, words).withColumn("request", F.lit(request))
+        out = found if out is None else out.unionByName(found)
+    return out
