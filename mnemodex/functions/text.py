@@ -160,24 +160,33 @@ def intent(query: Column, name: str) -> Column:
     return F.lower(query).rlike(bounded(INTENTS[name]))
 
 
-#: Files that configure packages and tools, and endings of code.
-PACKAGE_FILES = ["package.json", "composer.json", "pubspec.yaml", "pyproject.toml", "requirements.txt", "go.mod", "cargo.toml", "pom.xml", "build.gradle", "gemfile", "package.swift"]
-TOOLING_FILES = ["tsconfig.json", "biome.json", "eslint.config.js", "vite.config.ts", "jest.config.js", ".editorconfig", ".prettierrc"]
-CODE_ENDINGS = ["ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "rb", "php", "swift", "kt", "cs", "c", "cpp", "scala", "sql"]
+# Files that configure packages and tools, and the endings of each language.
+PACKAGE_FILES = [
+    "build.gradle", "build.gradle.kts", "bunfig.toml", "cargo.toml", "composer.json", "gemfile", "go.mod", "package.json", "package.swift", "pom.xml", "pubspec.yaml", "pyproject.toml", "settings.gradle",
+    "tsconfig.json",
+]
+TOOLING_FILES = ["analysis_options.yaml", "biome.json", "knip.json", "phpunit.xml", "turbo.json", "vite.config.ts", "vitest.config.ts", "tsup.config.ts"]
+CODE_LANGUAGES = {
+    "bash": ["sh", "bash", "zsh"], "c": ["c", "h"], "cpp": ["cc", "cpp", "cxx", "hpp", "hh", "hxx"], "csharp": ["cs"], "css": ["css"], "dart": ["dart"], "go": ["go"], "html": ["html", "htm"], "java": ["java"],
+    "javascript": ["js", "mjs", "cjs", "jsx"], "jsdoc": ["jsdoc"], "kotlin": ["kt", "kts"], "lua": ["lua"], "php": ["php", "phtml"], "python": ["py"], "ruby": ["rb"], "rust": ["rs"], "scala": ["scala", "sc"],
+    "swift": ["swift"], "tsx": ["tsx"], "typescript": ["ts", "mts", "cts"], "zig": ["zig"],
+}
+DATA_LANGUAGES = {"json": ["json", "jsonc"], "yaml": ["yaml", "yml"], "toml": ["toml"]}
 
+# The folders, names and endings in ``language`` and ``source_role``.
 
-# The endings and their languages in ``language``, and the folders, names and endings in ``source_role``.
+
+def _ending(path: Column) -> Column:
+    return F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)$", 1)
 
 
 def language(path: Column) -> Column:
     """The language that a path's ending names, in order of precedence."""
-    low = F.lower(path)
-    ending = F.regexp_extract(low, r"\.([a-z0-9]+)$", 1)
-    names = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "php": "php", "sql": "sql", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml"}
+    low, ending = F.lower(path), _ending(path)
     out = F.when(low.endswith(".d.ts"), "typescript_declaration").when(ending.isin("md", "mdx"), "markdown")
     out = out.when(low.endswith("dockerfile"), "dockerfile").when(ending == "xml", "xml")
-    for short, name in names.items():
-        out = out.when(ending == short, name)
+    for name, endings in {**CODE_LANGUAGES, **DATA_LANGUAGES}.items():
+        out = out.when(ending.isin(endings), name)
     return out.otherwise("unknown")
 
 
@@ -197,7 +206,7 @@ def source_role(path: Column) -> Column:
         .when(starts(".specs/") | within("plan.md"), "implementation_plan")
         .when(within(".test.", ".spec."), "test_code")
         .when(name.endswith(".md"), "product_doc")
-        .when(F.regexp_extract(name, r"\.([a-z0-9]+)$", 1).isin(CODE_ENDINGS), "app_code")
+        .when(_ending(path).isin([e for endings in CODE_LANGUAGES.values() for e in endings]), "app_code")
         .otherwise("unknown")
     )
 

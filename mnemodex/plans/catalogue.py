@@ -211,18 +211,18 @@ def _shaped(spark, sf_dir, shapes=SHAPES):
 WITH {_SHAPED}, n AS (SELECT page_id, path, lower(path) AS p, regexp_extract(lower(path), '[^/]*$') AS f FROM shaped)
 SELECT page_id,
        CASE WHEN regexp_matches(p, '/(generated|__generated__|vendor)/|\.min\.(js|css)$') THEN 'generated'
-            WHEN regexp_matches(f, '^(package\.json|cargo\.toml)$|\.(csproj|sln)$') THEN 'package_config'
-            WHEN f = 'tsconfig.json' OR starts_with(p, '.github/') THEN 'tooling_config'
+            WHEN regexp_matches(f, '^(package\.json|cargo\.toml|tsconfig\.json)$|\.(csproj|sln)$') THEN 'package_config'
+            WHEN starts_with(p, '.github/') THEN 'tooling_config'
             WHEN starts_with(p, '.agents/skills/') THEN 'agent_reference'
             WHEN starts_with(p, '.agents/') THEN 'agent_config'
             WHEN starts_with(p, '.specs/') OR contains(p, 'plan.md') THEN 'implementation_plan'
             WHEN regexp_matches(p, '\.(test|spec)\.') THEN 'test_code'
             WHEN regexp_matches(f, '\.md$') THEN 'product_doc'
-            WHEN regexp_matches(f, '\.(ts|py|js|sql)$') THEN 'app_code' ELSE 'unknown' END AS source_role,
+            WHEN regexp_matches(f, '\.(ts|py|js)$') THEN 'app_code' ELSE 'unknown' END AS source_role,
        CASE WHEN regexp_matches(p, '\.d\.ts$') THEN 'typescript_declaration' WHEN regexp_matches(p, '\.md$') THEN 'markdown'
             WHEN regexp_matches(p, 'dockerfile$') THEN 'dockerfile' WHEN regexp_matches(p, '\.ts$') THEN 'typescript'
             WHEN regexp_matches(p, '\.js$') THEN 'javascript' WHEN regexp_matches(p, '\.py$') THEN 'python'
-            WHEN regexp_matches(p, '\.sql$') THEN 'sql' WHEN regexp_matches(p, '\.json$') THEN 'json'
+            WHEN regexp_matches(p, '\.json$') THEN 'json'
             WHEN regexp_matches(p, '\.yml$') THEN 'yaml' WHEN regexp_matches(p, '\.toml$') THEN 'toml' ELSE 'unknown' END AS language,
        CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS module
 FROM n""")
@@ -230,6 +230,50 @@ def source_role(spark, sf_dir):
     return _shaped(spark, sf_dir).select("page_id", text.source_role(F.col("path")).alias("source_role"), text.language(F.col("path")).alias("language"), text.top_module(F.col("path")).alias("module"))
 
 
+#: Names of every kind, put below the folders of each page's url.
+NAMES = [
+    "build.gradle", "build.gradle.kts", "bunfig.toml", "Cargo.toml", "composer.json", "Gemfile", "go.mod", "package.json", "Package.swift", "pom.xml", "pubspec.yaml", "pyproject.toml", "settings.gradle",
+    "tsconfig.json", "App.sln", "App.csproj", "analysis_options.yaml", "biome.json", "knip.json", "phpunit.xml", "turbo.json", "vite.config.ts", "vitest.config.ts", "tsup.config.ts", "eslint.config.js", "requirements.txt",
+    "generated/a.ts", "__generated__/b.go", "vendor/c.php", "d.min.js", "e.min.css", "f.test.ts", "g.spec.rb", "h.md", "README.md", "plan.md", "i.mdx", "j.d.ts", "k.sh", "l.h", "m.hpp", "n.cs", "o.css", "p.dart", "q.htm",
+    "r.mjs", "s.jsx", "t.jsdoc", "u.kts", "v.lua", "w.phtml", "x.sc", "y.swift", "z.tsx", "a.cts", "b.zig", "c.jsonc", "d.yml", "e.toml", "f.xml", "Dockerfile", "g.dockerfile", "h.sql", "LICENSE", "i.TXT", "j.Java", "k.rs", "l.py",
+]
+FOLDERS = ["", ".github/", ".agents/skills/", ".agents/", ".codex/", ".cursor/", ".specs/"]
+
+
+@query("file_roles", rf"""
+WITH names AS (SELECT unnest([{", ".join(f"'{n}'" for n in NAMES)}]) AS name), folders AS (SELECT unnest([{", ".join(f"'{f}'" for f in FOLDERS)}]) AS folder),
+urls AS (SELECT DISTINCT ltrim(regexp_extract(coalesce(url, ''), '^[^:/]*://[^/?#]*(/[^?#]*/)', 1), '/') AS place FROM pages),
+paths AS (SELECT folder || place || name AS path FROM urls, folders, names),
+n AS (SELECT path, lower(path) AS p, regexp_extract(lower(path), '[^/]*$') AS f FROM paths)
+SELECT path,
+       CASE WHEN regexp_matches(p, '/(generated|__generated__|vendor)/|\.min\.(js|css)$') THEN 'generated'
+            WHEN f IN ('build.gradle','build.gradle.kts','bunfig.toml','cargo.toml','composer.json','gemfile','go.mod','package.json','package.swift','pom.xml','pubspec.yaml','pyproject.toml','settings.gradle','tsconfig.json')
+                 OR regexp_matches(f, '\.(csproj|sln)$') THEN 'package_config'
+            WHEN f IN ('analysis_options.yaml','biome.json','knip.json','phpunit.xml','turbo.json','vite.config.ts','vitest.config.ts','tsup.config.ts') OR starts_with(p, '.github/') THEN 'tooling_config'
+            WHEN starts_with(p, '.agents/skills/') THEN 'agent_reference'
+            WHEN regexp_matches(p, '^\.(agents|codex|cursor)/') THEN 'agent_config'
+            WHEN starts_with(p, '.specs/') OR contains(p, 'plan.md') THEN 'implementation_plan'
+            WHEN regexp_matches(p, '\.(test|spec)\.') THEN 'test_code'
+            WHEN regexp_matches(f, '\.md$') THEN 'product_doc'
+            WHEN regexp_matches(f, '\.(sh|bash|zsh|c|h|cc|cpp|cxx|hpp|hh|hxx|cs|css|dart|go|html|htm|java|js|mjs|cjs|jsx|jsdoc|kt|kts|lua|php|phtml|py|rb|rs|scala|sc|swift|tsx|ts|mts|cts|zig)$') THEN 'app_code'
+            ELSE 'unknown' END AS source_role,
+       CASE WHEN regexp_matches(p, '\.d\.ts$') THEN 'typescript_declaration' WHEN regexp_matches(p, '\.mdx?$') THEN 'markdown' WHEN regexp_matches(p, 'dockerfile$') THEN 'dockerfile' WHEN regexp_matches(p, '\.xml$') THEN 'xml'
+            WHEN regexp_matches(p, '\.(sh|bash|zsh)$') THEN 'bash' WHEN regexp_matches(p, '\.(c|h)$') THEN 'c' WHEN regexp_matches(p, '\.(cc|cpp|cxx|hpp|hh|hxx)$') THEN 'cpp' WHEN regexp_matches(p, '\.cs$') THEN 'csharp'
+            WHEN regexp_matches(p, '\.css$') THEN 'css' WHEN regexp_matches(p, '\.dart$') THEN 'dart' WHEN regexp_matches(p, '\.go$') THEN 'go' WHEN regexp_matches(p, '\.html?$') THEN 'html' WHEN regexp_matches(p, '\.java$') THEN 'java'
+            WHEN regexp_matches(p, '\.(js|mjs|cjs|jsx)$') THEN 'javascript' WHEN regexp_matches(p, '\.jsdoc$') THEN 'jsdoc' WHEN regexp_matches(p, '\.kts?$') THEN 'kotlin' WHEN regexp_matches(p, '\.lua$') THEN 'lua'
+            WHEN regexp_matches(p, '\.(php|phtml)$') THEN 'php' WHEN regexp_matches(p, '\.py$') THEN 'python' WHEN regexp_matches(p, '\.rb$') THEN 'ruby' WHEN regexp_matches(p, '\.rs$') THEN 'rust' WHEN regexp_matches(p, '\.(scala|sc)$') THEN 'scala'
+            WHEN regexp_matches(p, '\.swift$') THEN 'swift' WHEN regexp_matches(p, '\.tsx$') THEN 'tsx' WHEN regexp_matches(p, '\.(ts|mts|cts)$') THEN 'typescript' WHEN regexp_matches(p, '\.zig$') THEN 'zig'
+            WHEN regexp_matches(p, '\.jsonc?$') THEN 'json' WHEN regexp_matches(p, '\.ya?ml$') THEN 'yaml' WHEN regexp_matches(p, '\.toml$') THEN 'toml' ELSE 'unknown' END AS language
+FROM n""")
+def file_roles(spark, sf_dir):
+    """Role and language of a file of each name in each page's folder."""
+    place = F.ltrim(F.regexp_extract(F.coalesce("url", F.lit("")), "^[^:/]*://[^/?#]*(/[^?#]*/)", 1), F.lit("/"))
+    paths = table(spark, sf_dir, "pages").select(place.alias("place")).distinct()
+    each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    paths = paths.select("place", each(FOLDERS).alias("folder")).select("place", "folder", each(NAMES).alias("name")).select(F.concat("folder", "place", "name").alias("path"))
+    return paths.select("path", text.source_role(F.col("path")).alias("source_role"), text.language(F.col("path")).alias("language"))
+
+
 @query("recency", f"""WITH {_MODEL} SELECT id, {_RECENCY.format('updated_at', '20')} AS search_boost, {_RECENCY.format('updated_at', '10')} AS warm_boost FROM sections""")
 def recency(spark, sf_dir):
     s = model.sections(spark, sf_dir)

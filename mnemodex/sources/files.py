@@ -122,6 +122,10 @@ def diagnostics(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy(F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.countDistinct(entry).alias("entries"))
 
 
+#: Names, in lower case, that ``parse_manifest`` knows, besides those that end in .csproj.
+MANIFESTS = ["package.json", "composer.json", "pyproject.toml", "cargo.toml", "requirements.txt", "go.mod", "pubspec.yaml", "pom.xml", "build.gradle", "build.gradle.kts", "gemfile", "package.swift"]
+
+
 def parse_manifest(path: str, body: str) -> dict:
     """(name, dependencies, scripts) that a package's manifest declares; what can't be parsed declares nothing."""
     file, name, deps, scripts = path.rsplit("/", 1)[-1].lower(), None, [], []
@@ -166,12 +170,10 @@ def parse_manifest(path: str, body: str) -> dict:
 
 def manifests(files: DataFrame) -> DataFrame:
     """(path, name, dependencies, scripts) of the manifests among ``files`` (path, text)."""
-    from mnemodex.functions.text import PACKAGE_FILES
-
     @F.pandas_udf("name string, dependencies array<string>, scripts array<string>")
     def parse(path: pd.Series, body: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_manifest(p, b or "") for p, b in zip(path, body)], columns=["name", "dependencies", "scripts"])
 
     name = F.lower(F.substring_index("path", "/", -1))
-    chosen = files.filter(name.isin(PACKAGE_FILES) | name.endswith(".csproj") | (name == "build.gradle.kts"))
+    chosen = files.filter(name.isin(MANIFESTS) | name.endswith(".csproj"))
     return chosen.withColumn("m", parse("path", "text")).select("path", "m.*")
