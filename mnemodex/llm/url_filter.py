@@ -64,9 +64,8 @@ def canonical(url: Column) -> Column:
     return F.when(at > 0, F.concat(host, _escapes(tail)))
 
 
-def _suffixes(host: Column) -> Column:
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
 def _word(key: Column, words: int) -> Column:
@@ -112,20 +111,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
     url and verdict; a listed url is hit by all urls of the same ``canonical`` form. A rule goes before a listed
     url, the longest host and path win, then the longer host. Of equal rules or listed urls the largest verdict counts; those with nulls are
     passed over. Urls that nothing fits get ``default``; so do null and malformed ones. Columns of ``pages`` with
-    these four names are replaced, all others stay, whatever their names; no row is lost or repeated.
+    these four names are replaced, all others stay, whatever their names; no row is lost or repeated. Hosts may have any number of labels: work
+    per url is one key for each pair of label count and path length that rules have.
     """
     out = ["host", "path", "rule", "verdict"]
     names = [c for c in pages.columns if c not in out or c == url]
     base = pages.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     at = f"c{names.index(url)}"
     host, path = host_and_path(F.col(at))
-    given = rules.select(F.concat("host", F.lit("\n"), "path").alias("key"), F.col("verdict"), F.concat("host", "path").alias("rule"), F.length("host").alias("size"), F.length("path").alias("reach"))
+    given = rules.select(F.concat("host", F.lit("\n"), "path").alias("key"), F.col("verdict"), F.concat("host", "path").alias("rule"), F.length("host").alias("size"), F.struct(_labels(F.col("host")).alias("labels"), F.length("path").alias("start")).alias("reach"))
     if listed is not None:
         form = canonical(F.col("url"))
-        given = given.unionByName(listed.select(form.alias("key"), "verdict", F.lit(None).cast("string").alias("rule"), F.lit(0).alias("size"), F.lit(-1).alias("reach")))
+        given = given.unionByName(listed.select(form.alias("key"), "verdict", F.lit(None).cast("string").alias("rule"), F.lit(0).alias("size"), F.lit(None).cast("struct<labels:int,start:int>").alias("reach")))
     given = cut(given.filter("key is not null and verdict is not null").groupBy("key", "rule", "size", "reach").agg(F.max("verdict").alias("verdict")))
-    counted = given.agg(F.count(F.lit(1)), F.collect_set("reach")).first()
-    n_given, reaches = counted[0], sorted(counted[1])
+    # Only ends of a host with as many labels as some rule's host, and begins of a path as long as that rule's path, can be hit.
+    n_given, reaches = given.agg(F.count(F.lit(1)), F.collect_set("reach")).first()
     judged = base.select(*base.columns, host.alias("host"), path.alias("path"))
 
     def named(df: DataFrame, rule: Column, verdict: Column) -> DataFrame:
@@ -138,10 +138,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
     # Each different url is judged once, so a url that repeats a million times costs one row.
     seen = base.select(F.col(at).alias("u")).filter("u is not null").distinct()
     host, path = host_and_path(F.col("u"))
-    seen = seen.select("u", host.alias("h"), path.alias("p"))
-    starts = F.filter(F.array(*[F.lit(n) for n in reaches if n >= 0]).cast("array<int>"), lambda n: n <= F.length("p"))
-    keys = F.flatten(F.transform(_suffixes(F.col("h")), lambda h: F.transform(starts, lambda n: F.concat(h, F.lit("\n"), F.substring(F.col("p"), F.lit(1), n)))))
-    if -1 in reaches:
+    seen = seen.select("u", host.alias("h"), path.alias("p"), _labels(host).alias("n"))
+    fits = F.array(*[F.struct(F.lit(r.labels).alias("labels"), F.lit(r.start).alias("start")) for r in sorted(reaches)]) if reaches else F.array().cast("array<struct<labels:int,start:int>>")
+    fits = F.filter(fits, lambda r: (r["labels"] <= F.col("n")) & (r["start"] <= F.length("p")))
+    keys = F.transform(fits, lambda r: F.concat(F.call_function("substring_index", F.col("h"), F.lit("."), -r["labels"]), F.lit("\n"), F.substring(F.col("p"), F.lit(1), r["start"])))
+    if listed is not None:
         keys = F.array_compact(F.concat(keys, F.array(canonical(F.col("u")))))
     probes = seen.select("u", F.explode(keys).alias("k"))
     hits = possible_hits(probes, given, "k", "key", n_given).join(given, F.col("k") == F.col("key"))
