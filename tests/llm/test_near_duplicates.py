@@ -211,7 +211,7 @@ def seeds(*texts):
     import pyarrow as pa
 
     _, h, sizes = next(hashed_words(pa.array(texts)))
-    seed, owner, place, _, _ = passages._marks(h, sizes)
+    seed, owner, place, *_ = passages._marks(h, sizes)
     return [dict(zip(seed[owner == i].tolist(), place[owner == i].tolist())) for i in range(len(texts))]
 
 
@@ -257,7 +257,7 @@ def test_seeds_follow_their_words():
     apart = []
     for i, text in enumerate(texts):
         for _, h, sizes in hashed_words(pa.array([text])):
-            apart += [(s, i, p, near, whole) for s, _, p, near, whole in zip(*(c.tolist() for c in passages._marks(h, sizes)))]
+            apart += [(s, i, *rest) for s, _, *rest in zip(*(c.tolist() for c in passages._marks(h, sizes)))]
     assert sorted(together) == sorted(apart)
 
 
@@ -322,6 +322,22 @@ def test_passages_against_brute_force(spark, low, high):
     assert len(want) >= 30 and got <= want and len(got) >= (1 if low == 1 else 0.95) * len(want)
 
 
+@pytest.mark.parametrize("n", [50, 51, 52, 55, 60])
+def test_equal_passages_of_frequent_seeds(spark, n):
+    """Earlier documents hold a part of a passage each, so that all its seeds are frequent; two later ones hold all of it."""
+    rng, rows, want = random.Random(n), [], set()
+    for k in range(8):
+        shared, third = words(rng, n), n // 3
+        for i in range(27):
+            part = shared[(i % 3) * third : (i % 3) * third + third + 8]
+            rows.append((1000 * k + i, " ".join(words(rng, rng.randrange(20)) + part + words(rng, rng.randrange(5, 20)))))
+        rows += [(1000 * k + 900 + i, " ".join(words(rng, rng.randrange(9)) + shared + words(rng, rng.randrange(9)))) for i in range(2)]
+        want.add((1000 * k + 901, 1000 * k + 900))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.source_id): r for r in passages.repeated_passages(df).collect()}
+    assert want <= set(found) and all(found[pair].n_words >= n for pair in want)
+
+
 def test_what_is_found_does_not_depend_on_partitions(spark, monkeypatch):
     rng = random.Random(17)
     lines, rows = [words(rng, 12) for _ in range(8)], []
@@ -447,7 +463,7 @@ def test_fuzzy_passages_of_little_more_than_fifty_words_have_two_shared_seeds():
 
 
 def test_two_seeds_reach_the_alignment():
-    found = passages._candidates(*(np.array(c) for c in ([9, 9], [4, 4], [40, 52], [10, 22]))).to_pylist()
+    found = passages._candidates(*(np.array(c) for c in ([9, 9], [4, 4], [40, 52], [10, 22], [0, 0]))).to_pylist()
     assert [(r["doc"], r["source"], r["x_from"], r["y_from"]) for r in found] == [(9, 4, 0, 0)]
 
 
