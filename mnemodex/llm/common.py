@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,23 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def released(run):
+    """A task's function that gives memory back to the machine when it ends; Spark's Python workers live on and would keep what they once needed."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library than glibc
+                pass
+
+    return task
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """``crc32(doc_id as text) mod divisor``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from mnemodex.llm.common import cut, distinct_texts, fresh, partitions
+from mnemodex.llm.common import cut, distinct_texts, fresh, partitions, released
 from mnemodex.llm.components import connected_components
 from mnemodex.llm.url_filter import possible_hits
 from mnemodex.llm.words import hashed_words, mixed
@@ -31,6 +31,8 @@ from mnemodex.llm.words import hashed_words, mixed
 SHINGLE, SEED = 3, 42
 #: Fingerprints compared with each other at once, and the rows of a bucket from which it is cut into parts.
 BLOCK, HOT_BUCKET = 1024, 4096
+#: Shingles beyond which a bucket's texts are compared in parts.
+HOT_SIZE = 8_000_000
 #: More bands, and so longer keys, once a bucket would hold more than so many rows.
 ROWS_A_BUCKET = 256
 
@@ -173,17 +175,32 @@ def fingerprint_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
     return _dealt(rows, "fp").mapInArrow(_compare(radius), "a long, b long")
 
 
+def _parted(rows: DataFrame, by: str, size: str | None = None) -> DataFrame:
+    """``rows``, with buckets that hold very many rows, or very large ones by ``size``, replaced by one bucket for each pair of their parts.
+
+    A part has half of what a bucket may hold, so a pair of parts is as large as a bucket that is left whole (but for single rows that are larger).
+    """
+    count, load = F.count(F.lit(1)).alias("count"), (F.sum(size) if size else F.lit(0)).cast("long").alias("load")
+    hot = rows.groupBy("bucket").agg(count, load).filter((F.col("count") > HOT_BUCKET) | (F.col("load") > HOT_SIZE))
+    if hot.isEmpty():
+        return rows
+    columns = rows.columns
+    need = F.greatest(F.ceil(F.col("count") / (HOT_BUCKET // 2)), F.ceil(F.col("load") / (HOT_SIZE // 2)))
+    parts = F.least(F.coalesce(need, F.lit(1)), F.coalesce("count", F.lit(1))).cast("int")
+    rows = rows.join(cut(hot), "bucket", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(by, F.lit(11)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    return rows.withColumn("bucket", F.when(F.col("parts") == 1, F.col("bucket")).otherwise(pair)).select(*columns)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """``rows`` with the rows of a ``bucket`` together."""
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
 def _dealt(rows: DataFrame, by: str) -> DataFrame:
     """``rows`` with the rows of a ``bucket`` together. A bucket that holds very many is compared part by part: each pair of parts is a bucket of its own."""
-    hot = rows.groupBy("bucket").count().filter(F.col("count") > HOT_BUCKET)
-    if not hot.isEmpty():
-        columns = rows.columns
-        parts = F.ceil(F.coalesce("count", F.lit(1)) / (HOT_BUCKET // 2)).cast("int")
-        rows = rows.join(cut(hot), "bucket", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(by, F.lit(11)), F.col("parts")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
-        rows = rows.withColumn("bucket", F.when(F.col("parts") == 1, F.col("bucket")).otherwise(pair)).select(*columns)
-    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return _gathered(_parted(rows, by))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +252,7 @@ def _shingles(h: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _sketches(size: int):
-    names = ["doc_id", "h", "g", "fp", *(f"k{i}" for i in range(BANDS))]
+    names = ["doc_id", "h", "g", "fp", "n", *(f"k{i}" for i in range(BANDS))]
 
     def run(batches):
         for batch in batches:
@@ -245,7 +262,8 @@ def _sketches(size: int):
                 # What the words are, in order: two hashes of each text.
                 place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 starts, at = (np.cumsum(sizes) - sizes)[full], (np.cumsum(counts) - counts)[full]
-                out = np.zeros((3 + BANDS, len(sizes)), np.uint64)
+                out = np.zeros((4 + BANDS, len(sizes)), np.uint64)
+                out[3] = counts
                 if len(at):
                     for row, factor in ((0, 0x9E3779B97F4A7C15), (1, 0xD6E8FEB86659FD93)):
                         out[row, full] = np.add.reduceat(mixed(h ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(factor)), starts)
@@ -256,7 +274,7 @@ def _sketches(size: int):
                         key = np.full(len(at), np.uint64(band))
                         for factor in _FACTORS[band * MINIMA : (band + 1) * MINIMA]:
                             key = mixed(key ^ np.minimum.reduceat(x * factor, at))
-                        out[3 + band, full] = key
+                        out[4 + band, full] = key
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c.view(np.int64)) for c in out)], names=names)
 
     return run, ", ".join(f"{c} long" for c in names)
@@ -360,18 +378,18 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, i
     """
     texts = distinct_texts(docs, id_col, text_col)
     run, schema = _sketches(size)
-    sketches = cut(texts.select("doc_id", "text").mapInArrow(run, schema))
+    sketches = cut(texts.select("doc_id", "text").mapInArrow(released(run), schema))
     keys = [f"k{i}" for i in range(BANDS)]
     # Equal texts are one node, named by the first hash; the second tells by chance equal ones apart.
-    nodes = cut(sketches.groupBy("h", "g").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", *keys))))
-    rows = nodes.select("h", "fp", "least", F.explode(F.array(*keys)).alias("bucket"))
+    nodes = cut(sketches.groupBy("h", "g").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "n", *keys))))
+    rows = nodes.select("h", "fp", "n", "least", F.explode(F.array(*keys)).alias("bucket"))
     heads = cut(rows.groupBy("bucket").agg(F.min(F.struct("h", "least")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = cut(rows.join(heads.select("bucket", "head"), "bucket"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(doc_id, h, shingles) of the texts that ``ids`` (key) may name; others are not shuffled."""
         asked = possible_hits(texts.select("doc_id", "text"), ids, "doc_id", "key", ids.count())
-        return asked.mapInArrow(_sets(size), "doc_id long, h long, shingles array<int>")
+        return asked.mapInArrow(released(_sets(size)), "doc_id long, h long, shingles array<int>")
 
     star = shared.filter(F.col("h") != F.col("head.h")).select(F.col("h").alias("a"), F.col("least").alias("a_id"), F.col("head.h").alias("b"), F.col("head.least").alias("b_id")).distinct()
     star = cut(star)
@@ -383,13 +401,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, i
     components = connected_components(links)
     # What is left: buckets that hold several components. Their pairs are compared and checked in the bucket.
     label = F.coalesce("component", "h")
-    labelled = cut(shared.join(components.withColumnRenamed("node", "h"), "h", "left").select("bucket", "fp", "h", "least", label.alias("label")))
+    labelled = cut(shared.join(components.withColumnRenamed("node", "h"), "h", "left").select("bucket", "fp", "h", "n", "least", label.alias("label")))
     several = cut(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"))
     if not several.isEmpty():
-        rows = cut(labelled.join(several, "bucket", "left_semi"))
+        # Ids are dealt out first; each part of a bucket then gets its sets, of bounded size together.
+        rows = cut(_parted(labelled.join(several, "bucket", "left_semi"), "h", "n"))
         sets = sets_of(cut(rows.select(F.col("least").alias("key")).distinct())).withColumnRenamed("h", "hash")
         rows = rows.join(sets, (F.col("least") == F.col("doc_id")) & (F.col("h") == F.col("hash"))).select("bucket", "fp", "h", "label", "shingles")
-        more = cut(_dealt(rows, "h").mapInArrow(_near_labels(FAR, similarity), "a long, b long").distinct())
+        more = cut(_gathered(rows).mapInArrow(released(_near_labels(FAR, similarity)), "a long, b long").distinct())
         if not more.isEmpty():
             components = connected_components(links.unionByName(more))
     named = _named(nodes.select(F.col("h").alias("node"), "least"), components)

@@ -130,8 +130,10 @@ def test_similar_documents_against_brute_force(spark, similar_rows, monkeypatch)
     want = {similar_rows[n][0]: similar_rows[c][0] for n, c in label.items()}
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
     assert got == want
-    monkeypatch.setattr(simhash, "HOT_BUCKET", 4)
-    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df.repartition(5)).collect()} == want
+    for limit, value in (("HOT_BUCKET", 4), ("HOT_SIZE", 500)):
+        with monkeypatch.context() as small:
+            small.setattr(simhash, limit, value)
+            assert {r.doc_id: r.component_id for r in simhash.similar_documents(df.repartition(5)).collect()} == want
 
 
 def test_recall_of_similar_pairs(spark):
