@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemodex.operators import commits, index, projection, relational, search
+from mnemodex.operators import commits, index, nested, projection, relational, search
 from mnemodex.plans import catalogue as c
 from mnemodex.plans.catalogue import NOW, ORACLES, query, visible_documents
 from mnemodex.plans.composed import _any, _index_before
@@ -178,3 +178,82 @@ def cascade_tiers(spark, sf_dir):
         found = search.first_with_rows(spark, sections, everything, words).withColumn("request", F.lit(request))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+# Nested values ----------------------------------------------------------------------------------
+#
+# Each part is a package: its name and size decide what its manifest nests.
+
+_PACKAGES = """
+packages AS (
+  SELECT p_partkey AS k, 'pkg/' || p_partkey || '/package.json' AS path,
+         '{"name":"' || p_name || '"'
+         || CASE p_partkey % 3 WHEN 0 THEN ',"main":"./src/' || p_size || '.js"' WHEN 1 THEN ',"main":7' ELSE '' END
+         || CASE p_partkey % 4 WHEN 0 THEN ',"bin":"./cli.js"' WHEN 1 THEN ',"bin":{"a":"./bin/' || p_size || '.js","b":false,"c":"./bin/c.js"}' ELSE '' END
+         || CASE p_partkey % 5 WHEN 0 THEN ',"exports":"./only.js"' WHEN 1 THEN ',"exports":{".":{"import":"./i' || p_size || '.mjs","require":["./r.cjs",null,{"node":{"deep":{"er":["./n' || p_partkey || '.js",3,true]}}}]}}'
+                            WHEN 2 THEN ',"exports":[]' ELSE '' END
+         || CASE p_partkey % 6 WHEN 0 THEN ',"workspaces":["packages/*","apps/' || p_size || '",5]' WHEN 1 THEN ',"workspaces":{"packages":["libs/*"]}' WHEN 2 THEN ',"workspaces":"no"' ELSE '' END
+         || CASE WHEN p_partkey % 50 = 0 THEN '' ELSE '}' END AS text
+  FROM part)"""
+
+
+def _packages(spark, sf_dir):
+    """The same manifests, put together from columns."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    key = k.cast("string")
+    text = cat(
+        '{"name":"', F.col("p_name"), '"', F.when(k % 3 == 0, cat(',"main":"./src/', size, '.js"')).when(k % 3 == 1, ',"main":7').otherwise(""),
+        F.when(k % 4 == 0, ',"bin":"./cli.js"').when(k % 4 == 1, cat(',"bin":{"a":"./bin/', size, '.js","b":false,"c":"./bin/c.js"}')).otherwise(""),
+        F.when(k % 5 == 0, ',"exports":"./only.js"').when(k % 5 == 1, cat(',"exports":{".":{"import":"./i', size, '.mjs","require":["./r.cjs",null,{"node":{"deep":{"er":["./n', key, '.js",3,true]}}}]}}')).when(k % 5 == 2, ',"exports":[]').otherwise(""),
+        F.when(k % 6 == 0, cat(',"workspaces":["packages/*","apps/', size, '",5]')).when(k % 6 == 1, ',"workspaces":{"packages":["libs/*"]}').when(k % 6 == 2, ',"workspaces":"no"').otherwise(""),
+        F.when(k % 50 == 0, "").otherwise("}"),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("k"), cat("pkg/", key, "/package.json").alias("path"), text.alias("text"))
+
+
+@query("exports_walk", f"""
+WITH {_PACKAGES}, fine AS (SELECT path, CAST(text AS JSON) AS m FROM packages WHERE k % 50 <> 0),
+entries AS (SELECT path, json_extract_string(m, '$.main') AS entry FROM fine WHERE json_type(m, '$.main') = 'VARCHAR'
+            UNION SELECT path, json_extract_string(m, '$.bin') FROM fine WHERE json_type(m, '$.bin') = 'VARCHAR'
+            UNION SELECT f.path, json_extract_string(t.value, '$') FROM fine f, json_each(f.m, '$.bin') t WHERE json_type(f.m, '$.bin') = 'OBJECT' AND t.type = 'VARCHAR'
+            UNION SELECT f.path, json_extract_string(t.value, '$') FROM fine f, json_tree(f.m, '$.exports') t WHERE t.type = 'VARCHAR')
+SELECT DISTINCT path, regexp_replace(entry, '^[.]/', '') AS entry FROM entries WHERE regexp_replace(entry, '^[.]/', '') <> ''""")
+def exports_walk(spark, sf_dir):
+    """The files that each part's package is entered by, from values of any depth."""
+    return nested.entry_points(_packages(spark, sf_dir))
+
+
+@query("workspace_globs", f"""
+WITH {_PACKAGES}
+SELECT path, CASE k % 6 WHEN 0 THEN 'apps/' || CAST(json_extract_string(CAST(text AS JSON), '$.workspaces[1]') AS VARCHAR)[6:] || '|packages/*' WHEN 1 THEN 'libs/*' ELSE '' END AS globs
+FROM packages WHERE k % 50 <> 0""")
+def workspace_globs(spark, sf_dir):
+    found = nested.workspaces(_packages(spark, sf_dir))
+    return found.select("path", F.array_join("globs", "|").alias("globs"))
+
+
+_PROPS = """props AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{"origin":"' || event_type || '","path":"a/' || user_id || '"}' WHEN 1 THEN '{"note":"\\"origin\\":\\"click\\"","in":{"origin":"click"}}'
+                                 WHEN 2 THEN props ELSE '{"origin":"click' END AS p FROM events)"""
+
+
+@query("json_fragment_filter", f"""
+WITH {_PROPS} SELECT id FROM props WHERE id % 4 = 0 AND json_extract_string(CAST(p AS JSON), '$.origin') = 'click'""")
+def json_fragment_filter(spark, sf_dir):
+    """Events of one origin, by the property itself: neither nested nor quoted properties that look alike."""
+    k, cat = F.col("event_id") % 4, F.concat
+    p = F.when(k == 0, cat(F.lit('{"origin":"'), "event_type", F.lit('","path":"a/'), F.col("user_id").cast("string"), F.lit('"}'))).when(k == 1, F.lit('{"note":"\\"origin\\":\\"click\\"","in":{"origin":"click"}}'))
+    p = p.when(k == 2, F.col("props")).otherwise(F.lit('{"origin":"click'))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), p.alias("p")).filter(nested.has_value(F.col("p"), "origin", "click")).select("id")
+
+
+@query("target_entity_lists", """
+WITH rows AS (SELECT conv_id AS id, list(role || ':' || turn ORDER BY turn) AS names FROM conversations GROUP BY conv_id)
+SELECT id, unnest(names) AS entity, CAST(unnest(range(len(names))) AS INTEGER) AS position FROM rows WHERE id % 5 <> 3""")
+def target_entity_lists(spark, sf_dir):
+    """The entities that conversations list: names, or objects with an id, in a list of JSON; some lists are none."""
+    turn = F.struct("turn", F.concat("role", F.lit(":"), F.col("turn").cast("string")).alias("name"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    one = F.transform("t", lambda x: F.when(x["turn"] % 2 == 0, F.concat(F.lit('"'), x["name"], F.lit('"'))).otherwise(F.concat(F.lit('{"kind":1,"id":"'), x["name"], F.lit('"}'))))
+    text = F.when(F.col("conv_id") % 5 == 3, F.lit('{"id":"none"}')).otherwise(F.concat(F.lit("["), F.array_join(one, ","), F.lit("]")))
+    return nested.listed_entities(rows.select(F.col("conv_id").alias("id"), text.alias("entities")))

@@ -97,8 +97,9 @@ class Store:
 
     def _last(self) -> tuple[dict[str, list[str]], int]:
         log = self.log()
-        rows = commits.state(log).collect()  # a row for each table
-        return {r.name: list(r.parts) for r in rows}, log.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+        number = log.agg(F.lit("").alias("name"), F.array().cast("array<string>").alias("parts"), F.coalesce(F.max("number"), F.lit(0)).alias("number"))
+        rows = commits.state(log).unionByName(number).collect()  # a row for each table, and the last number
+        return {r.name: list(r.parts) for r in rows if r.name}, next(r.number for r in rows if not r.name)
 
     def _commit(self, before: dict[str, list[str]]) -> None:
         at, kind, n = self._said or (None, "change", 0)
@@ -249,10 +250,10 @@ class Store:
         Work follows these documents: other segments are read by key only, and merged when there are many of their size.
         """
         keys = added.select(*index.KEY) if left is None else added.select(*index.KEY).unionByName(left.select(*index.KEY))
-        dead = index.tombstones(self.read("indexed"), self.read("gone"), keys)
         sizes = {r.segment: [r.docs, r.size] for r in self.read("segments").collect()}
-        part = self._part("gone", dead)
-        lost = self._parts([part], "gone").groupBy("segment").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size")).collect()  # a row for each segment
+        dead = index.tombstones(self.read("indexed"), self.read("gone"), keys)
+        lost = dead.groupBy("segment").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size")).collect() if sizes else []  # a row for each segment
+        part = self._part("gone", dead) if lost else ""
         for r in lost:
             sizes[r.segment] = [sizes[r.segment][0] - r.docs, sizes[r.segment][1] - r.size]
             self._set(f"gone/{r.segment}", [*self._state.get(f"gone/{r.segment}", []), part])
