@@ -33,3 +33,30 @@ def droppable(log: DataFrame, keep: int) -> DataFrame:
     last = log.agg(F.max("number").alias("last"))
     old = log.join(F.broadcast(last)).filter(F.col("number") <= F.col("last") - keep + 1)  # one row
     return old.select(F.explode("dropped").alias("part")).distinct()
+
+
+#: What each version of a store's tables added: columns of a table, with the value that rows of before have for them (SQL over the columns of before).
+MIGRATIONS = [
+    {},
+    {"sections": {"deleted": "false", "suppressed": "false", "forget_reason": "cast(null as string)"}},
+]
+
+
+def upgraded(rows: DataFrame, table: str, schema: str) -> DataFrame:
+    """A part of any version as the latest has it: each migration's columns that it lacks are added in order, and columns that no version has are left out."""
+    for added in MIGRATIONS:
+        for column, value in added.get(table, {}).items():
+            if column not in rows.columns:
+                rows = rows.withColumn(column, F.expr(value))
+    fields = rows.sparkSession.createDataFrame([], schema).schema
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def version(columns: dict[str, list[list[str]]]) -> int:
+    """The version of a store: the last migration up to which all parts have all columns; ``columns`` are those of each table's parts."""
+    done = 0
+    for n, added in enumerate(MIGRATIONS, 1):
+        if any(set(new) - set(part) for table, new in added.items() for part in columns.get(table, [])):
+            break
+        done = n
+    return done

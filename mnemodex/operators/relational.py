@@ -89,9 +89,33 @@ def mark(rows: DataFrame, chosen: Column, flag: str, reason: str | None) -> Data
     return rows.withColumn("forget_reason", F.when(hit, F.lit(reason)).otherwise(before)).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | hit)
 
 
+#: What a suppression is told by.
+SUPPRESSED = ["path", "anchor", "content_hash"]
+
+
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def new_suppressions(sections: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(path, anchor, content_hash, reason, created_at): what of ``sections`` is deleted or suppressed and not in the ledger yet, a row for each key.
+
+    ``sections`` has path, anchor, content_hash, deleted, suppressed, forget_reason and updated_at. A null anchor is ''; sections without a path have no key. Of several
+    sections of one key the latest counts.
+    """
+    hidden = sections.filter(F.coalesce("deleted", F.lit(False)) | F.coalesce("suppressed", F.lit(False))).filter("path is not null")
+    keyed = hidden.withColumn("anchor", F.coalesce("anchor", F.lit("")))
+    latest = F.max_by(F.struct("forget_reason", "updated_at"), F.struct("updated_at", F.coalesce("forget_reason", F.lit("")))).alias("x")
+    rows = keyed.groupBy(*SUPPRESSED).agg(latest).select(*SUPPRESSED, F.col("x.forget_reason").alias("reason"), F.col("x.updated_at").alias("created_at"))
+    return without(rows, ledger, SUPPRESSED)
+
+
+def unsuppressed(sections: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``sections`` whose path, anchor and content the ledger doesn't hold. A change of the content is a new key, and so comes in."""
+    key = [F.col("path").alias("_p"), F.col("anchor").alias("_a"), F.col("content_hash").alias("_h")]
+    same = (F.col("path") == F.col("_p")) & (F.coalesce("anchor", F.lit("")) == F.col("_a")) & (F.col("content_hash") == F.col("_h"))
+    return sections.join(ledger.select(*key).distinct(), same, "left_anti")
+
+
 def first_occurrence(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -257,3 +257,33 @@ def target_entity_lists(spark, sf_dir):
     one = F.transform("t", lambda x: F.when(x["turn"] % 2 == 0, F.concat(F.lit('"'), x["name"], F.lit('"'))).otherwise(F.concat(F.lit('{"kind":1,"id":"'), x["name"], F.lit('"}'))))
     text = F.when(F.col("conv_id") % 5 == 3, F.lit('{"id":"none"}')).otherwise(F.concat(F.lit("["), F.array_join(one, ","), F.lit("]")))
     return nested.listed_entities(rows.select(F.col("conv_id").alias("id"), text.alias("entities")))
+
+
+# Suppressions -----------------------------------------------------------------------------------
+
+_LEDGER = """ledger AS (SELECT path, '' AS anchor, content_hash FROM sections WHERE id % 4 = 1),
+added AS (SELECT path, '' AS anchor, content_hash, CASE WHEN suppressed THEN 'toxic' ELSE 'poor' END AS reason, updated_at AS created_at FROM sections s
+          WHERE (deleted OR suppressed) AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.path = s.path AND l.content_hash = s.content_hash))"""
+
+
+def _suppressions(spark, sf_dir):
+    s = model.sections(spark, sf_dir).withColumns({"anchor": F.lit(None).cast("string"), "forget_reason": F.when(F.col("suppressed"), "toxic").otherwise("poor")})
+    ledger = s.filter("id % 4 = 1").select("path", F.lit("").alias("anchor"), "content_hash")
+    return s, ledger, relational.new_suppressions(s, ledger)
+
+
+@query("suppressions_from_select", f"WITH {c._MODEL}, {_LEDGER} SELECT * FROM added")
+def suppressions_from_select(spark, sf_dir):
+    """What a run has to remember of the sections that it clears, besides what the ledger knows."""
+    return _suppressions(spark, sf_dir)[2]
+
+
+@query("suppressed_again", f"""
+WITH {c._MODEL}, {_LEDGER}, every AS (SELECT path, anchor, content_hash FROM ledger UNION ALL SELECT path, anchor, content_hash FROM added),
+again AS (SELECT id, path, CASE WHEN id % 3 = 0 THEN sha256(text || '!') ELSE content_hash END AS content_hash FROM sections)
+SELECT id FROM again a WHERE NOT EXISTS (SELECT 1 FROM every e WHERE e.path = a.path AND e.content_hash = a.content_hash)""")
+def suppressed_again(spark, sf_dir):
+    """The sections that come in when all files are read again, a third of them changed."""
+    s, ledger, added = _suppressions(spark, sf_dir)
+    again = s.withColumn("content_hash", F.when(F.col("id") % 3 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.col("content_hash")))
+    return relational.unsuppressed(again, ledger.unionByName(added.select(*ledger.columns))).select("id")

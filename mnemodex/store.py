@@ -20,7 +20,8 @@ from mnemodex.sources import files
 
 SCHEMAS = {
     "files": "path string, size long, mtime long, content_hash string",
-    "sections": "id string, path string, index int, anchor string, content string, content_hash string, tokens long, source_role string, updated_at timestamp",
+    "sections": "id string, path string, index int, anchor string, content string, content_hash string, tokens long, source_role string, updated_at timestamp, deleted boolean, suppressed boolean, forget_reason string",
+    "suppressions": "path string, anchor string, content_hash string, reason string, created_at timestamp",
     "notes": durable.NOTE + ", importance int, source string, tags array<string>, suppressed boolean, forget_reason string",
     "diaries": "id string, subject string, summary string, tags array<string>, text string, content_hash string, created_at timestamp, deleted boolean, suppressed boolean, forget_reason string",
     "entities": "id string, type string, name string, summary string, path string",
@@ -142,8 +143,7 @@ class Store:
             del self._state[name]
 
     def _parts(self, parts: list[str], base: str) -> DataFrame:
-        columns = self.spark.createDataFrame([], SCHEMAS[base]).columns
-        rows = [self.spark.table(f"{self.database}.{p}").select(columns) for p in parts]
+        rows = [commits.upgraded(self.spark.table(f"{self.database}.{p}"), base, SCHEMAS[base]) for p in parts]
         return functools.reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], SCHEMAS[base])
 
     @_pinned
@@ -167,6 +167,24 @@ class Store:
         if len(parts) > MOST_PARTS:
             self.write(name, self.read(name))
 
+    @_pinned
+    def version(self) -> int:
+        """The version that all stored parts have (see ``commits.MIGRATIONS``). Older ones are read as the latest."""
+        columns: dict[str, list[list[str]]] = {}
+        for name, parts in self._state.items():
+            columns.setdefault(name.split("/")[0], []).extend(self.spark.table(f"{self.database}.{p}").columns for p in parts)
+        return commits.version(columns)
+
+    @_change
+    def migrate(self, now: str) -> list[str]:
+        """Write the parts that are of an older version anew; returns the names of their tables."""
+        old = [name for name, parts in self._state.items() if any(self.spark.table(f"{self.database}.{p}").columns != self._parts([], name.split("/")[0]).columns for p in parts)]
+        for name in sorted(old):
+            self.write(name, self._parts(self._state[name], name.split("/")[0]))
+        if old:
+            self._event(now, "migrated", len(old))
+        return sorted(old)
+
     def _empty(self) -> bool:
         return not any(self._state.get(name) and not self.read(name).isEmpty() for name in ("sections", "notes", "diaries"))
 
@@ -216,20 +234,24 @@ class Store:
             return done
         chosen = files.contents(self.spark, root, actions.filter("action = 'read'")).select("path", F.decode("content", "UTF-8").alias("text"))
         new = sectioning.sections(chosen).withColumn("source_role", text.source_role(F.col("path"))).withColumn("updated_at", F.lit(now).cast("timestamp"))
-        old, before = self.read("sections"), self.read("sections")
+        old, before = self.read("sections"), self._live_sections()
         kept = old.limit(0) if mode == "rebuild" else relational.without(old, actions.filter("action <> 'keep'"), ["path"])
+        # What has been suppressed or deleted is remembered before its rows go, and stays out if it comes again.
+        self.append("suppressions", relational.new_suppressions(relational.without(old, kept, ["id"]), self.read("suppressions")))
+        new = relational.unsuppressed(new, self.read("suppressions")).withColumns({"deleted": F.lit(False), "suppressed": F.lit(False), "forget_reason": F.lit(None).cast("string")})
         self.write("sections", kept.select(old.columns).unionByName(new.select(old.columns)))
         self._graph_of_files(now)
-        key = [F.lit("section").alias("target_type"), "id"]
-        left = relational.without(before.select(*key, F.sha2("content", 256).alias("h")), self.read("sections").select(*key, F.sha2("content", 256).alias("h")), ["target_type", "id", "h"])
-        added = relational.without(self.read("sections").select(*key, "content", F.sha2("content", 256).alias("h")), before.select(*key, F.sha2("content", 256).alias("h")), ["target_type", "id", "h"])
-        self._index(added.select("target_type", "id", F.col("content").alias("text")), left)
+        told = ["target_type", "id", F.sha2("text", 256).alias("h")]
+        now_live, key = self._live_sections(), ["target_type", "id", "h"]
+        left = relational.without(before.select(*told), now_live.select(*told), key)
+        added = relational.without(now_live.select(*told, "text"), before.select(*told), key)
+        self._index(added.select("target_type", "id", "text"), left)
         self._event(now, f"ingest_{mode}", done.get("read", 0))
         return done
 
     def _graph_of_files(self, now: str) -> None:
         """Modules and files as entities, in place of those of the run before; what notes have added stays."""
-        nodes, edges = modules.module_graph(self.read("sections"))
+        nodes, edges = modules.module_graph(relational.active(self.read("sections"), "deleted", "suppressed"))
         at = F.lit(now).cast("timestamp_ntz")
         edges = edges.withColumns({"status": F.lit("active"), "confidence": F.lit(1.0), "valid_from": at, "updated_at": at, "valid_to": F.lit(None).cast("timestamp_ntz"), "superseded_by": F.lit(None).cast("string")})
         entities, relations = self.read("entities"), self.read("relations")
@@ -407,11 +429,14 @@ class Store:
 
     @_change
     def forget(self, query: str = "", now: str = "", reason: str = "forgotten", ids: list[str] = (), mode: str = "soft") -> int:
-        """Forget notes and diaries by id, or the newest ten active ones that hold a term of ``query``: soft, suppress or hard. Returns how many.
+        """Forget notes, diaries and sections by id, or the newest ten active notes and diaries that hold a term of ``query``: soft, suppress or hard. Returns how many.
 
-        Their nodes leave the graph, and they leave the index. Ids of relations are invalidated, whatever the mode.
+        Their nodes leave the graph, and they leave the index. Sections that were forgotten stay out when their files are read again, as long as their content
+        is the same. Ids of relations are invalidated, whatever the mode.
         """
         chosen = durable.resolve(self._targets(), search.query_terms(query, 8), list(ids))
+        sections = self.read("sections").withColumn("target_type", F.lit("section"))
+        chosen = chosen.unionByName(sections.filter(F.col("id").isin(list(ids))).select("target_type", "id"))
         chosen = self.spark.createDataFrame(chosen.collect(), "target_type string, id string")  # ten rows, or the ids given
         edges = self.read("relations").filter(F.col("id").isin(list(ids))).select("id")
         n = chosen.count() + edges.count()
@@ -419,8 +444,15 @@ class Store:
             return 0
         for name, kind in (("notes", "memory"), ("diaries", "diary")):
             rows = self.read(name)
+            if not self._chosen(chosen, kind):
+                continue
             after = durable.forget_targets(rows.withColumn("target_type", F.lit(kind)), chosen, mode, reason)
             self.write(name, after.select(rows.columns))
+        if self._chosen(chosen, "section"):
+            if mode == "hard":  # the rows go, so they are remembered now
+                hit = durable.forget_targets(sections, chosen, "suppress", reason)
+                self.append("suppressions", relational.new_suppressions(hit.join(chosen, ["target_type", "id"], "left_semi"), self.read("suppressions")))
+            self.write("sections", durable.forget_targets(sections, chosen, mode, reason).drop("target_type"))
         entities, relations = graph.delete_notes(self.read("entities"), graph.invalidate(self.read("relations"), edges, now), chosen.select("id", F.col("target_type").alias("type")))
         self.write("relations", relations)
         self.write("entities", entities)
@@ -428,9 +460,18 @@ class Store:
         self._event(now, f"memory_{mode}", n)
         return n
 
+    @staticmethod
+    def _chosen(chosen: DataFrame, kind: str) -> bool:
+        return not chosen.filter(F.col("target_type") == kind).isEmpty()
+
+    def _live_sections(self) -> DataFrame:
+        live = relational.active(self.read("sections"), "deleted", "suppressed")
+        return live.select(F.lit("section").alias("target_type"), "id", "path", "source_role", F.col("content").alias("text"), "updated_at")
+
+    @_pinned
     def documents(self) -> DataFrame:
-        """What can be searched: all sections, and the notes and diaries that are neither deleted nor suppressed."""
-        s = self.read("sections").select(F.lit("section").alias("target_type"), "id", "path", "source_role", F.col("content").alias("text"), "updated_at")
+        """What can be searched: sections, notes and diaries that are neither deleted nor suppressed."""
+        s = self._live_sections()
         none = F.lit(None).cast("string")
         live = relational.active(self._targets(), "deleted", "suppressed")
         return s.unionByName(live.select("target_type", "id", none.alias("path"), none.alias("source_role"), "text", F.col("created_at").alias("updated_at")))

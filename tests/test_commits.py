@@ -136,3 +136,30 @@ def test_later_tiers_are_not_made(spark):
     found = search.first_with_rows(spark, lambda: tier(1, []), lambda: tier(2, [("x",)]), lambda: tier(3, [("y",)]))
     assert [r.id for r in found.collect()] == ["x"] and made == [1, 2]
     assert search.first_with_rows(spark, lambda: tier(4, [])).count() == 0
+
+
+def test_forgotten_sections_stay_out(spark, store, tmp_path):
+    src = tmp_path / "project"
+    src.mkdir()
+    (src / "README.md").write_text("# Intro\nthe payment tool\n# Usage\nrun the payment tool\n# More\nread about payment\n")
+    store.ingest(str(src), NOW)
+    ids = {r.anchor: r.id for r in store.read("sections").collect()}
+    assert store.forget(ids=[ids["intro"]], now=NOW, mode="suppress", reason="wrong") == 1 and store.forget(ids=[ids["more"]], now=NOW, mode="hard") == 1
+    assert {r.id for r in store.search("payment", NOW).collect()} == {ids["usage"]}
+    store.ingest(str(src), NOW, mode="rebuild")
+    assert [r.anchor for r in store.read("sections").collect()] == ["usage"]
+    assert {(r.anchor, r.reason) for r in store.read("suppressions").collect()} == {("intro", "wrong"), ("more", "forgotten")}
+    (src / "README.md").write_text("# Intro\nanother payment tool\n# Usage\nrun the payment tool\n# More\nread about payment\n")
+    store.ingest(str(src), NOW)
+    assert sorted(r.anchor for r in store.read("sections").collect()) == ["intro", "usage"]
+
+
+def test_old_stores_open(spark, store):
+    old = spark.createDataFrame([("s1", "a.md", "intro", "the payment tool")], "id string, path string, anchor string, content string")
+    part = f"{store.database}.sections_old"
+    old.write.saveAsTable(part)
+    log = spark.createDataFrame([(1, "x", "ingest", 1, [("sections", ["sections_old"])], [])], "number long, id string, kind string, n long, tables array<struct<name:string,parts:array<string>>>, dropped array<string>")
+    log.select("number", "id", F.lit(NOW).cast("timestamp").alias("at"), "kind", "n", "tables", "dropped").write.saveAsTable(f"{store.database}.commits")
+    assert store.version() == 1 and [(r.id, r.deleted, r.tokens) for r in store.read("sections").collect()] == [("s1", False, None)]
+    assert store.migrate(NOW) == ["sections"] and store.version() == len(commits.MIGRATIONS) and store.read("sections").count() == 1
+    assert store.repair(NOW) == {"missing": 1} and [r.id for r in store.search("payment", NOW).collect()] == ["s1"]
