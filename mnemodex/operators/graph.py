@@ -130,9 +130,12 @@ def boosts(result_entities: DataFrame, graph_entities: DataFrame) -> DataFrame:
 
 
 def strongest_evidence(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """(note_id, entity_id, confidence, fields, evidence) from (note_id, field, value, confidence): notes attached to the entities they name."""
-    form = candidates.withColumn("_form", text.alias_form(F.col("value")))
-    met = form.join(known.withColumnRenamed("value", "_form"), "_form")
+    """(note_id, entity_id, confidence, fields, evidence) from (note_id, field, value, confidence): notes attached to the entities they name.
+
+    Each different value is brought to its form once, however many notes have it.
+    """
+    named = candidates.select("value").distinct().withColumn("_form", text.alias_form(F.col("value"))).join(known.withColumnRenamed("value", "_form"), "_form")
+    met = candidates.join(named, "value")
     return met.groupBy("note_id", "entity_id").agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"), F.array_join(F.array_sort(F.collect_set("_form")), ",").alias("evidence"))
 
 
