@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemodex.functions import text
 from mnemodex.operators.relational import without
+from mnemodex.session import cut
 
 
 def both_ways(relations: DataFrame) -> DataFrame:
@@ -80,6 +81,45 @@ def match_aliases(values: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.join(known.withColumnRenamed("value", "_form"), "_form").select("value", "entity_id").distinct()
 
 
+def first_matches(values: DataFrame, entities: DataFrame, known: DataFrame) -> DataFrame:
+    """(request_id, entity_id, position, rank, n): the entities that the values (request_id, position, value) of a request name, each once, in the order of their first match.
+
+    Rank 0 is an entity's id, 1 an alias, 2 its name but for case. The first match is that of the least position, then rank; n goes by it, then by the entity's id.
+    """
+    ids = entities.select("id", F.lower("name").alias("_name"))
+    # Values repeat over requests; each different one is looked up once.
+    once = values.select("value").distinct()
+    by_id = once.join(ids, F.col("value") == F.col("id")).select("value", F.col("id").alias("entity_id"), F.lit(0).alias("rank"))
+    by_alias = match_aliases(once, known).select("value", "entity_id", F.lit(1).alias("rank"))
+    by_name = once.join(ids, F.lower("value") == F.col("_name")).select("value", F.col("id").alias("entity_id"), F.lit(2).alias("rank"))
+    found = by_id.unionByName(by_alias).unionByName(by_name).groupBy("value", "entity_id").agg(F.min("rank").alias("rank"))
+    first = values.join(found, "value").groupBy("request_id", "entity_id").agg(F.min(F.struct("position", "rank")).alias("m"))
+    order = Window.partitionBy("request_id").orderBy("m.position", "m.rank", "entity_id")
+    return first.select("request_id", "entity_id", "m.position", "m.rank", F.row_number().over(order).alias("n"))
+
+
+def standing(by: DataFrame, most: int = 20) -> DataFrame:
+    """(id, stands, steps): of every superseded decision the one that stands at the end of its chain; null if the chain goes round.
+
+    ``by`` has (old, new): a decision and the one that supersedes it (of several the largest counts). Each round doubles the way that every row looks ahead, so chains of
+    n decisions take log n joins by key; after ``most`` rounds only chains that go round are left.
+    """
+    way = by.filter("old <> new").groupBy("old").agg(F.max("new").alias("to")).withColumn("steps", F.lit(1).cast("long"))
+    reach = 1
+    for _ in range(most):
+        ahead = way.select(F.col("old").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        way = way.join(ahead, "to", "left").select("old", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0).cast("long"))).alias("steps"))
+        way = cut(way)  # a round reads the round before twice
+        reach *= 2
+        # A row that is still under way has looked exactly ``reach`` steps ahead.
+        moving = way.filter(F.col("steps") == reach)
+        if moving.join(way.select(F.col("old").alias("to")), "to", "left_semi").isEmpty():
+            return way.select(F.col("old").alias("id"), F.col("to").alias("stands"), "steps")
+    round_ = way.join(way.select(F.col("old").alias("to")), "to", "left_semi").select("old").distinct().withColumn("_round", F.lit(True))
+    marked = way.join(round_, "old", "left")
+    return marked.select(F.col("old").alias("id"), F.when(F.col("_round").isNull(), F.col("to")).alias("stands"), F.when(F.col("_round").isNull(), F.col("steps")).alias("steps"))
+
+
 def supersede(relations: DataFrame, by: DataFrame, now: str, alone: bool = False) -> DataFrame:
     """``relations`` in which the active ones going out of ``by.subject_id`` are superseded by ``by.decision_id``, as of ``now``.
 

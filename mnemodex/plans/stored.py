@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mnemodex.operators import commits, index, nested, projection, relational, search
+from mnemodex.operators import commits, graph, index, nested, projection, relational, search
 from mnemodex.plans import catalogue as c
 from mnemodex.plans.catalogue import NOW, ORACLES, query, visible_documents
 from mnemodex.plans.composed import _any, _index_before
@@ -287,3 +288,41 @@ def suppressed_again(spark, sf_dir):
     s, ledger, added = _suppressions(spark, sf_dir)
     again = s.withColumn("content_hash", F.when(F.col("id") % 3 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.col("content_hash")))
     return relational.unsuppressed(again, ledger.unionByName(added.select(*ledger.columns))).select("id")
+
+
+# Names and decisions ----------------------------------------------------------------------------
+
+
+@query("alias_first_match", f"""
+WITH {c._GRAPH}, {c._ALIASES},
+said AS (SELECT o_orderkey AS request_id, 0 AS position, upper(n_name) AS value, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+         UNION ALL SELECT o_orderkey, 1, c_name, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey
+         UNION ALL SELECT o_orderkey, 2, 'customer:' || o_custkey, o_custkey FROM orders),
+once AS (SELECT DISTINCT value FROM said),
+forms AS (SELECT value, {c._ALIAS.format('value')} AS form FROM once),
+found AS (SELECT value, id AS entity_id, 0 AS rank FROM once JOIN entities ON id = value
+          UNION ALL SELECT f.value, a.entity_id, 1 FROM forms f JOIN aliases a ON a.value = f.form
+          UNION ALL SELECT value, id, 2 FROM once JOIN entities ON lower(name) = lower(value)),
+first AS (SELECT request_id, entity_id, min(position * 10 + rank) AS m FROM said JOIN found USING (value) GROUP BY request_id, entity_id)
+SELECT request_id, entity_id, CAST(m // 10 AS INTEGER) AS position, CAST(m % 10 AS INTEGER) AS rank,
+       CAST(row_number() OVER (PARTITION BY request_id ORDER BY m, entity_id) AS INTEGER) AS n FROM first""")
+def alias_first_match(spark, sf_dir):
+    """What each order's nation, customer's name and customer's id name, in the order of the first match."""
+    t = lambda name: table(spark, sf_dir, name)
+    bought = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    said = F.array(F.upper("n_name"), F.col("c_name"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")))
+    values = bought.select(F.col("o_orderkey").alias("request_id"), F.posexplode(said).alias("position", "value")).filter("value is not null")
+    e = model.entities(spark, sf_dir)
+    return graph.first_matches(values, e, graph.aliases(e))
+
+
+@query("decision_chain", """
+WITH o AS (SELECT o_orderkey AS id, o_custkey, sum(CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS part FROM orders),
+s AS (SELECT id, max(id) OVER (PARTITION BY o_custkey, part) AS stands, count(*) OVER (PARTITION BY o_custkey, part ORDER BY id DESC) - 1 AS steps FROM o)
+SELECT id, stands, CAST(steps AS BIGINT) AS steps FROM s WHERE steps > 0""")
+def decision_chain(spark, sf_dir):
+    """Each order stands for a decision that the customer's next order supersedes, but for every sixth key: which one stands at the end."""
+    o = table(spark, sf_dir, "orders")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    by = o.select(F.col("o_orderkey").alias("old"), after.alias("new")).filter("new is not null and new % 6 <> 0")
+    return graph.standing(by)

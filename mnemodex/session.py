@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,3 +30,16 @@ def ship(spark: SparkSession) -> None:
             archive.write(beside, "corpus_pipeline.py")
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder that ``spark.checkpoint.dir`` names and go on from the written rows; a session on one machine that names none gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="mnemodex-checkpoint-")
+        sc.setCheckpointDir(named)
+    return df.checkpoint(eager=True)

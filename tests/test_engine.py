@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemodex.functions import text
-from mnemodex.operators import durable, graph, index, projection, relational, search, sectioning
+from mnemodex.operators import durable, graph, index, nested, projection, relational, search, sectioning
 from mnemodex.sources import files
 from mnemodex.streaming import events
 
@@ -256,3 +256,22 @@ def test_tiers_need_no_window_over_all_rows(spark):
     assert found.columns == ["id", "x", "tier"] and {(r.id, r.tier) for r in found.collect()} == {(5, 2), (6, 2), (7, 2)}
     assert tiers(none, none).count() == 0
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_standing_decisions(spark):
+    rows = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 52), (52, 50), (60, 50), (70, 71), (70, 72), (80, 80), (None, 3)]
+    got = {r.id: (r.stands, r.steps) for r in graph.standing(spark.createDataFrame(rows, "old long, new long")).collect() if r.id is not None}
+    assert all(got[i] == (40, 40 - i) for i in range(1, 40))
+    assert got[50] == got[51] == got[52] == got[60] == (None, None) and got[70] == (72, 1) and 80 not in got
+    assert graph.standing(spark.createDataFrame([], "old long, new long")).count() == 0
+
+
+def test_nested_json(spark):
+    deep = '{"a":' * 30 + '"./x.js"' + "}" * 30
+    rows = [("1", '{"main":"./m.js","bin":{"a":"./b.js","c":1},"exports":' + deep + "}"), ("2", "[]"), ("3", None), ("4", "no json"), ("5", '{"bin":"./","exports":null,"workspaces":{"packages":["b","a",1]}}'), ("6", '{"exports":["./e.js",["f.js"]]}')]
+    docs = spark.createDataFrame(rows, "path string, text string")
+    assert sorted(map(tuple, nested.entry_points(docs).collect())) == [("1", "b.js"), ("1", "m.js"), ("1", "x.js"), ("6", "e.js"), ("6", "f.js")]
+    assert {r.path: r.globs for r in nested.workspaces(docs).collect()} == {"1": [], "5": ["a", "b"], "6": []}
+    props = ['{"origin":"x"}', '{"origin":["x"]}', '{"in":{"origin":"x"}}', '{"origin":"x', None, '"origin"', '{"origin":1}', '{"note":"\\"origin\\":\\"x\\"","origin":"x"}']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(props)], "id int, p string")
+    assert [r.id for r in df.filter(nested.has_value(F.col("p"), "origin", "x")).orderBy("id").collect()] == [0, 7]
