@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemodex.functions import text
+from mnemodex.operators import symbols
 
 #: A line that declares something in code; the name is the second group.
 DECLARATION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class|interface|type|const|let|var|def)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
@@ -55,12 +56,20 @@ def code(files: DataFrame) -> DataFrame:
     return rows.select("path", F.posexplode(parts).alias("index", "p")).select("path", "index", "p.*")
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """(id, path, index, anchor, content, content_hash, tokens) of every file (path, text), cut as its ending says."""
+def by_symbols(files: DataFrame) -> DataFrame:
+    """(path, index, anchor, content): a section for each symbol, so methods are in their class's section and their own; a file without one is one section."""
+    found = symbols.symbols(files).select("path", "index", "anchor", "content")
+    bare = files.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(bare.select("path", F.lit(0).alias("index"), F.lit("file").alias("anchor"), F.col("text").alias("content")))
+
+
+def sections(files: DataFrame, nested: bool = False) -> DataFrame:
+    """(id, path, index, anchor, content, content_hash, tokens) of every file (path, text), cut as its ending says; code at lines that declare, or ``nested`` by its symbols."""
     files = files.filter(F.coalesce(F.trim("text"), F.lit("")) != "").withColumn("_l", text.language(F.col("path")))
     by = {"markdown": markdown, "json": json_keys}
     made = [cutter(files.filter(F.col("_l") == name)) for name, cutter in by.items()]
-    made.append(code(files.filter(text.source_role(F.col("path")).isin("app_code", "test_code") & ~F.col("_l").isin(*by))).select("path", "index", "anchor", "content"))
+    cut = by_symbols if nested else code
+    made.append(cut(files.filter(text.source_role(F.col("path")).isin("app_code", "test_code") & ~F.col("_l").isin(*by))).select("path", "index", "anchor", "content"))
     rest = files.filter(~F.col("_l").isin(*by) & ~text.source_role(F.col("path")).isin("app_code", "test_code"))
     made.append(rest.select("path", F.lit(0).alias("index"), F.lit("file").alias("anchor"), F.col("text").alias("content")))
     out = made[0]

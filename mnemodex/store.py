@@ -217,10 +217,11 @@ class Store:
     # Files --------------------------------------------------------------------------------------
 
     @_change
-    def ingest(self, root: str, now: str, mode: str = "changed", patterns: list[str] = ()) -> dict[str, int]:
+    def ingest(self, root: str, now: str, mode: str = "changed", patterns: list[str] = (), nested: bool = False) -> dict[str, int]:
         """Bring sections, graph and index up to date with the files under ``root``; returns how many paths were read, cleared and kept.
 
         Hashes of files whose size and time are as before are reused, and only the other files are opened. In mode ``rebuild`` all stored sections go first.
+        Code is cut at lines that declare or, with ``nested``, by its symbols.
         """
         repository, own = files.ignore_patterns(root)
         listed = files.listing(self.spark, root, [*repository, *patterns], own).filter("reason is null").drop("reason")
@@ -233,7 +234,7 @@ class Store:
         if mode == "changed" and not done.get("read") and not done.get("clear"):
             return done
         chosen = files.contents(self.spark, root, actions.filter("action = 'read'")).select("path", F.decode("content", "UTF-8").alias("text"))
-        new = sectioning.sections(chosen).withColumn("source_role", text.source_role(F.col("path"))).withColumn("updated_at", F.lit(now).cast("timestamp"))
+        new = sectioning.sections(chosen, nested).withColumn("source_role", text.source_role(F.col("path"))).withColumn("updated_at", F.lit(now).cast("timestamp"))
         old, before = self.read("sections"), self._live_sections()
         kept = old.limit(0) if mode == "rebuild" else relational.without(old, actions.filter("action <> 'keep'"), ["path"])
         # What has been suppressed or deleted is remembered before its rows go, and stays out if it comes again.
