@@ -6,6 +6,7 @@ import json
 import os
 import re
 import tomllib
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
@@ -34,6 +35,8 @@ BINARY_ENDINGS = """
 7z a avif bin bmp bz2 cer class crt d db db-shm db-wal der dll doc docx dsym dylib ear exe flac gif gz heic heif ico jar jpeg jpg key la lib lo m4a mkv mov mp3 mp4 nupkg o obj otf
 pdb pdf pem pfx png ppt pptx pyc pyo rar rlib so sqlite sqlite3 tar test tgz tif tiff ttf war wasm wav webp woff woff2 xls xlsx xz zip zst
 """.split()
+#: Folders that a tree is split into for its tasks, rows of a listing and bytes of contents that a task holds at a time.
+SPREAD, BATCH, HELD = 256, 10_000, 8 << 20
 
 
 def _listed(path: Column, lines: list[str], negation: bool) -> Column:
@@ -79,37 +82,93 @@ def skip_reason(path: Column, patterns: list[str] = (), own: list[str] = ()) ->
     return rule
 
 
+def _place(root: str):
+    """The file system of a folder and its path there; a path without a scheme is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+
+
+def _entries(system, folder: str) -> tuple[list, list]:
+    """The folders and the files right in a folder. Linked folders of a local tree are not followed, so a tree has no circles."""
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    local = isinstance(system, fs.LocalFileSystem)
+    folders = [e for e in found if e.type == fs.FileType.Directory and not (local and os.path.islink(e.path))]
+    return folders, [e for e in found if e.type == fs.FileType.File]
+
+
+def _ignored(folder) -> bool:
+    return folder.base_name.lower() in IGNORED_FOLDERS
+
+
 def listing(spark: SparkSession, root: str, patterns: list[str] = (), own: list[str] = ()) -> DataFrame:
-    """(path, size, mtime, reason) of all files under ``root``, without their content; reason is null for those to be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
-    path = F.substring(at, F.lit(len(root.rstrip("/")) + 2), F.length(at))
-    listed = files.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
-    return listed.withColumn("reason", skip_reason(F.col("path"), patterns, own))
+    """(path, size, mtime, reason) of all files under ``root``, without their content; reason is null for those to be read. An ignored folder is one row and isn't entered.
+
+    The driver looks at folders level by level until there are ``SPREAD``; tasks list what is below, each row as it is found. A folder that isn't there has no rows.
+    """
+    system, top = _place(root)
+    units, level = [], [top]
+    while level and len(level) < SPREAD:
+        units += [(folder, False) for folder in level]
+        level = [f.path for folder in level for f in _entries(system, folder)[0] if not _ignored(f)]
+    units += [(folder, True) for folder in level]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_system, above = _place(root)
+        rows: list[tuple] = []
+        made = lambda: pd.DataFrame(rows, columns=["path", "size", "mtime"])
+        for batch in batches:
+            for start, deep in zip(batch["folder"], batch["deep"]):
+                open_ = [start]
+                while open_:
+                    folders, found = _entries(own_system, open_.pop())
+                    open_ += [f.path for f in folders if deep and not _ignored(f)]
+                    for e in [f for f in folders if _ignored(f)] + found:
+                        rows.append((e.path[len(above.rstrip("/")) + 1 :], e.size or 0, e.mtime_ns // 1_000_000 if e.mtime_ns is not None else 0))
+                        if len(rows) == BATCH:
+                            yield made()
+                            rows.clear()
+        yield made()
+
+    found = spark.createDataFrame(units, "folder string, deep boolean").repartition(min(len(units), SPREAD)).mapInPandas(walk, "path string, size long, mtime long")
+    return found.withColumn("reason", skip_reason(F.col("path"), patterns, own))
 
 
 def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """(path, content) of the listed ``paths`` (path) under ``root``: only these files are opened, where the paths are."""
-    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
-
-    place = root.rstrip("/")
-    schema = StructType([StructField("path", StringType()), StructField("content", BinaryType())])
-    chosen = [r.path for r in paths.select("path").distinct().toLocalIterator()]
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load([f"{place}/{p}" for p in chosen])
-    at = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
-    return files.select(F.substring(at, F.lit(len(place) + 2), F.length(at)).alias("path"), "content")
+    """(path, content) of the listed ``paths`` (path) under ``root``: only these files are opened, by the tasks that have their paths. Files that are gone since have no row."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = _place(root)
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with system.open_input_stream(f"{top.rstrip('/')}/{path}") as file:
+                        body = file.read()
+                except FileNotFoundError:
+                    continue
+                rows.append((path, body))
+                held += len(body)
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return paths.select("path").distinct().mapInPandas(read, "path string, content binary")
 
 
 def ignore_patterns(root: str) -> tuple[list[str], list[str]]:
     """The lines of a project's ignore files, ``.gitignore`` and ``.mnemodexignore``; either may be missing."""
+    system, top = _place(root)
+
     def lines(name: str) -> list[str]:
-        place = os.path.join(root, name)
-        if not os.path.exists(place):
+        try:
+            with system.open_input_stream(f"{top.rstrip('/')}/{name}") as file:
+                return file.read().decode("utf-8").splitlines()
+        except FileNotFoundError:
             return []
-        with open(place, encoding="utf-8") as file:
-            return file.read().splitlines()
 
     return lines(".gitignore"), lines(".mnemodexignore")
 

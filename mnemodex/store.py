@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mnemodex.functions import scores, text
 from mnemodex.operators import commits, durable, graph, index, modules, projection, relational, search, sectioning
+from mnemodex.session import ship
 from mnemodex.sources import files
 
 SCHEMAS = {
@@ -79,8 +80,12 @@ def _change(method: Callable) -> Callable:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, database: str, location: str | None = None) -> None:
-        self.spark, self.database = spark, database
+    """With an ``embedder`` (any function from a text to a list of numbers; its ``model`` names it) whatever is read or saved gets its vector in the same commit,
+    and requests are embedded by it, too; without, vectors come from ``embed`` and with the requests."""
+
+    def __init__(self, spark: SparkSession, database: str, location: str | None = None, embedder: Callable[[str], list[float]] | None = None, model: str = "own") -> None:
+        self.spark, self.database, self.embedder, self.model = spark, database, embedder, model
+        ship(spark)
         self._state: dict[str, list[str]] | None = None
         self._changed: dict[str, list[str]] | None = None
         place = f" LOCATION '{location}'" if location else ""
@@ -232,6 +237,8 @@ class Store:
         actions = projection.plan_run(relational.snapshot_diff(before, self.read("files")), mode)
         done = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
         if mode == "changed" and not done.get("read") and not done.get("clear"):
+            if self.embedder:  # vectors that are missing or of another text are made good all the same
+                self.embed(self.embedder, self.model, now)
             return done
         chosen = files.contents(self.spark, root, actions.filter("action = 'read'")).select("path", F.decode("content", "UTF-8").alias("text"))
         new = sectioning.sections(chosen, nested).withColumn("source_role", text.source_role(F.col("path"))).withColumn("updated_at", F.lit(now).cast("timestamp"))
@@ -247,6 +254,8 @@ class Store:
         left = relational.without(before.select(*told), now_live.select(*told), key)
         added = relational.without(now_live.select(*told, "text"), before.select(*told), key)
         self._index(added.select("target_type", "id", "text"), left)
+        if self.embedder:
+            self.embed(self.embedder, self.model, now)
         self._event(now, f"ingest_{mode}", done.get("read", 0))
         return done
 
@@ -345,9 +354,7 @@ class Store:
         work = projection.reconcile(entries, stored)
         stays = relational.without(stored, work, ["target_type", "id"])
         due = entries.join(work.filter("state <> 'orphaned'").select(*index.KEY), index.KEY, "left_semi")
-        new = projection.embed(due, embedder).withColumn("model", F.lit(model)).withColumnRenamed("vector", "embedding")
-        right = F.size("embedding") == length
-        new = new.withColumn("embedding", F.when(right, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"a vector of {model} has not {length} numbers but "), F.size("embedding").cast("string")))))
+        new = self._vectors(due, embedder, model, length)
         counted = {r.state: r["count"] for r in work.groupBy("state").count().collect()}
         reused = stored.count() - counted.get("changed", 0) - counted.get("orphaned", 0)
         embedded = counted.get("missing", 0) + counted.get("changed", 0)
@@ -356,6 +363,26 @@ class Store:
             self._event(now, "embedded", embedded)
         return {"reused": reused, "embedded": embedded}
 
+    @staticmethod
+    def _vectors(due: DataFrame, embedder, model: str, length: int) -> DataFrame:
+        """``due`` (target_type, id, text, hash) with vectors; one of another length is an error."""
+        new = projection.embed(due, embedder).withColumn("model", F.lit(model)).withColumnRenamed("vector", "embedding")
+        wrong = F.raise_error(F.concat(F.lit(f"a vector of {model} has not {length} numbers but "), F.size("embedding").cast("string")))
+        return new.withColumn("embedding", F.when(F.size("embedding") == length, F.col("embedding")).otherwise(wrong))
+
+    def _embed_saved(self, saved: DataFrame) -> None:
+        """Vectors of what has been saved (target_type, id, text), if the store has an embedder. Other documents are not read, other vectors only if one is replaced."""
+        if not self.embedder:
+            return
+        length = len(self.embedder("length"))
+        group = f"vectors/{self.model}/{length}"
+        stored = self.read(group)
+        new = self._vectors(saved.withColumn("hash", F.sha2(F.concat(F.lit(self.model + ":"), "text"), 256)), self.embedder, self.model, length).select(stored.columns)
+        if stored.join(saved.select(*index.KEY), index.KEY, "left_semi").isEmpty():
+            self.append(group, new)
+        else:
+            self.write(group, relational.without(stored, saved, index.KEY).select(stored.columns).unionByName(new))
+
     # Notes --------------------------------------------------------------------------------------
 
     @_change
@@ -380,7 +407,9 @@ class Store:
         by = saved.filter("kind = 'decision'").select(text.identifier("ent", F.lit("memory"), F.col("id")).alias("decision_id"), F.explode("supersedes").alias("old"))
         by = by.select("decision_id", text.identifier("ent", F.lit("memory"), F.col("old")).alias("subject_id"))
         self._project(notes, now, by.join(self.read("entities").select(F.col("id").alias("subject_id")), "subject_id", "left_semi"))
-        self._index(saved.select(F.lit("memory").alias("target_type"), "id", "text"))
+        added = saved.select(F.lit("memory").alias("target_type"), "id", "text")
+        self._index(added)
+        self._embed_saved(added)
         self._event(now, "memory_saved", saved.count())
         return self._outcomes(judged.select("id", F.col("_outcome").alias("outcome"), F.lit(None).cast("boolean").alias("accepted"))).select("id", "outcome")
 
@@ -420,7 +449,9 @@ class Store:
         fine = judged.filter("accepted")
         self.write("diaries", relational.without(known, fine, ["id"]).select(known.columns).unionByName(fine.select(known.columns)))
         self._project(fine.select("id", F.lit("diary").alias("kind"), F.lit(None).cast("string").alias("source"), "subject", "tags", F.lit(None).cast("string").alias("content"), "summary"), now)
-        self._index(fine.select(F.lit("diary").alias("target_type"), "id", "text"))
+        added = fine.select(F.lit("diary").alias("target_type"), "id", "text")
+        self._index(added)
+        self._embed_saved(added)
         self._event(now, "diary_entry_saved", fine.count())
         return self._outcomes(judged.select("id", F.lit(None).cast("string").alias("outcome"), "accepted")).select("id", "accepted")
 
@@ -500,10 +531,12 @@ class Store:
     def search(self, query: str, now: str, limit: int = 10, mode: str = "search", vector: list[float] | None = None, model: str = "") -> DataFrame:
         """(target_type, id, path, lexical, score): the first that has any of the retrieval tier, the index with what its rows belong to, and the newest notes and diaries that hold a term.
 
-        A tier is computed only if those before it have nothing.
+        A tier is computed only if those before it have nothing. Without a ``vector`` the store's embedder, if any, makes the request's.
         """
         columns = ["target_type", "id", "path", "lexical", "score"]
         wanted = search.index_terms(query)
+        if vector is None and self.embedder and wanted:
+            vector, model = self.embedder(query), self.model
 
         def by_index() -> DataFrame:
             rows = search.index_rows(self._ranked(wanted), self.documents(), self.read("notes"), self._targets(), limit)

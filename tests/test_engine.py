@@ -62,10 +62,34 @@ def test_scan(spark, tmp_path):
     (tmp_path / "src" / "a.ts").write_text("const a = 1")
     for n in "bc":
         (tmp_path / "node_modules" / "x" / n).write_text("1")
+    (tmp_path / "src" / "__init__.py").write_text("")
+    (tmp_path / ".github").mkdir()
+    (tmp_path / ".github" / "_ci.yml").write_text("on: push")
+    (tmp_path / "src" / "circle").symlink_to(tmp_path)
     found = files.listing(spark, str(tmp_path))
-    assert {r.path: r.content for r in files.contents(spark, str(tmp_path), found.filter("reason is null")).collect()} == {"src/a.ts": b"const a = 1"}
-    assert {r.path: r.reason for r in found.collect()} == {"src/a.ts": None, "node_modules/x/b": "hard_directory", "node_modules/x/c": "hard_directory"}
-    assert {r.reason: r.entries for r in files.diagnostics(found).collect()} == {"read": 1, "hard_directory": 1}
+    assert {r.path: r.content for r in files.contents(spark, str(tmp_path), found.filter("reason is null")).collect()} == {"src/a.ts": b"const a = 1", "src/__init__.py": b"", ".github/_ci.yml": b"on: push"}
+    assert {r.path: r.reason for r in found.collect()} == {"src/a.ts": None, "src/__init__.py": None, ".github/_ci.yml": None, "node_modules": "hard_directory"}
+    assert {r.reason: r.entries for r in files.diagnostics(found).collect()} == {"read": 3, "hard_directory": 1}
+    gone = spark.createDataFrame([("src/left.ts",), ("src/a.ts",)], "path string")
+    assert [r.path for r in files.contents(spark, str(tmp_path), gone).collect()] == ["src/a.ts"]
+    assert files.listing(spark, str(tmp_path / "nowhere")).count() == 0 and files.ignore_patterns(str(tmp_path)) == ([], [])
+
+
+def test_wide_and_deep_trees_are_listed_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SPREAD", 4)
+    monkeypatch.setattr(files, "BATCH", 3)
+    want = set()
+    for i in range(3):
+        for j in range(3):
+            folder = tmp_path / f"a{i}" / f"b{j}" / "c" / "d"
+            folder.mkdir(parents=True)
+            for k in range(4):
+                for name in (f"a{i}/b{j}/c/d/{k}.ts", f"a{i}/b{j}/{k}.ts", f"a{i}/{k}.ts"):
+                    (tmp_path / name).write_text(name)
+                    want.add(name)
+    rows = files.listing(spark, str(tmp_path)).collect()
+    assert sorted(r.path for r in rows) == sorted(want) and all(r.size == len(r.path) for r in rows)
+    assert {(r.path, r.content.decode()) for r in files.contents(spark, tmp_path.as_uri(), spark.createDataFrame([(r.path,) for r in rows], "path string")).collect()} == {(n, n) for n in want}
 
 
 def test_manifests(spark):

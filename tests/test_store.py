@@ -1,5 +1,7 @@
 """A project's life: ingest, change, save, search, recall, forget, export and restore."""
 
+from pyspark.sql import functions as F
+
 from mnemodex.store import Store
 
 NOW, LATER = "2024-02-01 00:00:00", "2024-02-02 00:00:00"
@@ -72,3 +74,32 @@ def test_life_of_a_project(spark, tmp_path):
         assert counts["files"] == 1 and counts["diaries"] == 1 and counts["events"] >= 8
     finally:
         spark.sql("DROP DATABASE life_of_a_project CASCADE")
+
+
+def test_what_is_saved_has_a_vector(spark, tmp_path):
+    def count_letters(text: str) -> list[float]:
+        return [float(sum(text.lower().count(c) for c in group)) + 0.1 for group in ("pay", "xq", "mn")]
+
+    src = tmp_path / "project"
+    src.mkdir()
+    (src / "README.md").write_text("# Intro\nhello\n")
+    store = Store(spark, "own_vectors", str(tmp_path / "db"), embedder=count_letters, model="letters")
+    try:
+        store.ingest(str(src), NOW)
+        assert store.read("vectors/letters/3").count() == 1
+        rows = [("n1", "fact", "xxxx qqqq xxxx qqqq", 3, None, None, None), ("n2", "fact", "pay pay yap yap", 3, None, None, None)]
+        store.save(spark.createDataFrame(rows, NOTES), NOW)
+        diary = spark.createDataFrame([("d1", None, "nothing but mmmm and nnnn here", [], [], [])], "id string, subject string, summary string, tags array<string>, added array<string>, changed array<string>")
+        store.save_diary(diary, NOW)
+        before = {r.id: r.hash for r in store.read("vectors/letters/3").collect()}
+        assert len(before) == 4 and {r.kind for r in store.log().collect()} >= {"memory_saved", "diary_entry_saved", "ingest_changed"}
+        store.save_diary(diary.withColumn("summary", F.substring("summary", 1, 25)), LATER)
+        after = {r.id: r.hash for r in store.read("vectors/letters/3").collect()}
+        assert len(after) == 4 and {i for i in after if after[i] != before[i]} == {"d1"}
+        # No word is shared: the request's own vector finds it.
+        assert [r.id for r in store.search("xqxq", NOW, limit=1).collect()] == ["n1"]
+        # A vector that went missing comes back with the next run, though no file has changed.
+        store.write("vectors/letters/3", store.read("vectors/letters/3").filter("id <> 'n2'"))
+        assert store.ingest(str(src), NOW) == {"keep": 1} and {r.id: r.hash for r in store.read("vectors/letters/3").collect()} == after
+    finally:
+        spark.sql("DROP DATABASE own_vectors CASCADE")
