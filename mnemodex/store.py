@@ -8,14 +8,15 @@ made of segments: a change adds a segment and tombstones, and a search reads onl
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemodex.functions import scores, text
-from mnemodex.operators import commits, durable, graph, index, modules, projection, relational, search, sectioning
+from mnemodex.operators import answers, commits, durable, graph, index, modules, projection, relational, search, sectioning
 from mnemodex.session import ship
 from mnemodex.sources import files
 
@@ -517,9 +518,7 @@ class Store:
 
         def boosted(results: DataFrame) -> DataFrame:
             mapped = graph.map_results(results.withColumn("anchor", F.lit(None).cast("string")), names)
-            direct = graph.search_entities(entities, names, search.query_terms(query), 4)
-            direct = direct.select(F.col("id").alias("entity_id"), (-F.col("score")).cast("int").alias("position"))
-            around = graph.context_of(direct, mapped, relations, entities)
+            around = graph.context_of(self._direct(query), mapped, relations, entities)
             met = around.select(F.col("origin_id").alias("entity_id")).unionByName(around.select("entity_id"))
             both = mapped.select(F.struct("target_type", "id").alias("result_id"), "entity_id")
             return graph.boosts(both, met).select("result_id.*", "boost")
@@ -557,6 +556,25 @@ class Store:
         rows = rows.withColumn("excerpt", text.excerpt(F.col("text"))).drop("text").withColumn("cost", F.greatest(F.lit(1), F.ceil(F.length("excerpt") / 4)).cast("long"))
         return search.within_budget(rows, "cost", [F.desc("score"), F.col("target_type"), F.col("id")], budget)
 
+    def _direct(self, query: str) -> DataFrame:
+        """(entity_id, position): the four entities that a request names best."""
+        direct = graph.search_entities(self.read("entities"), self.read("aliases"), search.query_terms(query), 4)
+        return direct.select(F.col("id").alias("entity_id"), (-F.col("score")).cast("int").alias("position"))
+
+    @_pinned
+    def answer(self, task: str, now: str, budget: int = 2000, sources: bool = False, vector: list[float] | None = None, model: str = "") -> DataFrame:
+        """(part, position, ref, line, score): a brief, what to inspect first, what ``recall`` finds, and the relations around it; those that held only if the task asks for history."""
+        recalled = self.recall(task, now, budget, vector, model)
+        few = self.spark.createDataFrame(recalled.collect(), recalled.schema)  # they fit the budget
+        entities, relations, names, direct = self.read("entities"), self.read("relations"), self.read("aliases"), self._direct(task)
+        place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), *index.KEY))
+        mapped = graph.map_results(few.withColumn("position", place).withColumn("anchor", F.lit(None).cast("string")), names)
+        origins = direct.select(F.col("entity_id").alias("origin_id")).unionByName(mapped.select(F.col("entity_id").alias("origin_id"))).distinct()
+        past = graph.history(origins, relations, entities)
+        if not re.search(text.bounded(text.INTENTS["needs_history"]), task.lower()):
+            past = past.limit(0)
+        return answers.answer(few, graph.context_of(direct, mapped, relations, entities), past, sources)
+
     @_pinned
     def warm_up(self, now: str, budget: int = 2000) -> DataFrame:
         """(part, position, ref, line, cost): guidance, highlights and modules of the project, within a budget."""

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from mnemodex.plans import catalogue, composed, stored, streams, trees  # noqa: F401
+from mnemodex.plans import answers, catalogue, composed, stored, streams, trees  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -98,6 +98,9 @@ def test_what_is_saved_has_a_vector(spark, tmp_path):
         assert len(after) == 4 and {i for i in after if after[i] != before[i]} == {"d1"}
         # No word is shared: the request's own vector finds it.
         assert [r.id for r in store.search("xqxq", NOW, limit=1).collect()] == ["n1"]
+        said = store.answer("why was xqxq replaced, see README.md", NOW).collect()
+        assert [r.line.split(":")[0] for r in said if r.part == "brief"] == ["Quality", "Inspect first", "Evidence", "Relations"]
+        assert {r.ref for r in said if r.part == "memory"} >= {"memory:n1"} and {r.line for r in said if r.part == "graph"} and not [r for r in said if r.part == "history"]
         # A vector that went missing comes back with the next run, though no file has changed.
         store.write("vectors/letters/3", store.read("vectors/letters/3").filter("id <> 'n2'"))
         assert store.ingest(str(src), NOW) == {"keep": 1} and {r.id: r.hash for r in store.read("vectors/letters/3").collect()} == after
