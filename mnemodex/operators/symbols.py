@@ -84,4 +84,4 @@ def symbols(files: DataFrame) -> DataFrame:
     )
     texts = files.select("path", "text").filter("text is not null").repartition("path")
     content = F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return listed.join(texts.hint("shuffle_hash"), "path").select(*listed.columns, content.alias("content"))
+    return listed.join(texts.hint("merge"), "path").select(*listed.columns, content.alias("content"))
