@@ -494,3 +494,24 @@ def test_alignment_extends_short_stretches():
         sums = np.append(0, np.cumsum(equal))
         there = any(equal[s] and equal[e - 1] and sums[e] - sums[s] >= similar * (e - s) for s in range(n) for e in range(s + least, n + 1))
         assert bool(got) == there and all(m >= least and share >= similar for _, m, _, share in got)
+
+
+def test_repeats_within_documents_make_one_chain_a_pair(spark, monkeypatch):
+    """A line that documents repeat over and over: its places are linked in order, not each with the first one."""
+    rng = random.Random(41)
+    line = words(rng, 11)
+    texts = [words(rng, 20) + line * (60 + 3 * i) + words(rng, 20) for i in range(20)]
+    h = np.array([xxh64_intdigest(w) for t in texts for w in t], np.uint64)
+    seed, owner, *rest = passages._marks(h, np.array([len(t) for t in texts]))
+    assert passages._candidates(*passages._linked(seed, owner, *rest)).num_rows <= 20 * len(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(passages.repeated_passages(df).collect())
+    for i in range(1, 20):  # all that is repeated is found
+        hit = np.zeros(len(texts[i]), bool)
+        for r in found:
+            if r.doc_id == i:
+                hit[r.start_word : r.start_word + r.n_words] = True
+        assert hit[20:-20].all()
+    monkeypatch.setattr(passages, "HEAVY", 0)
+    assert sorted(passages.repeated_passages(df.repartition(3)).collect()) == found
