@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values nested deeper than this are an error, as is any recursion of Spark without an end.
-DEEPEST = 100
+#: Spark parses no JSON that is nested deeper; such text is no JSON to ``try_parse_json``.
+DEEPEST = 1000
 
 
 def has_value(json: Column, key: str, value: str) -> Column:
@@ -15,25 +15,46 @@ def has_value(json: Column, key: str, value: str) -> Column:
     return F.coalesce((F.schema_of_variant(parsed).startswith("OBJECT")) & (F.try_variant_get(parsed, f"$['{key}']", "string") == value) & (F.schema_of_variant(F.try_variant_get(parsed, f"$['{key}']", "variant")) == "STRING"), F.lit(False))
 
 
+def _below(v: Column) -> Column:
+    """The elements of a list, or the values of an object; null for anything else. (``schema_of_variant`` would go down all levels.)"""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), _members(v))
+
+
+def _members(v: Column) -> Column:
+    return F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _text(v: Column) -> Column:
+    """``v`` if it is a string, else null."""
+    return F.when(_below(v).isNull() & (F.schema_of_variant(v) == "STRING"), F.variant_get(v, "$", "string"))
+
+
+def _strings(v: Column) -> Column:
+    """All strings at or below the VARIANT ``v``, as an array: level by level within the row, so neither rows nor levels are limited."""
+    json = F.to_json(v)
+    # No value has more levels than brackets. The state is copied once for each step, so steps that can have nothing to do are left out.
+    levels = F.least(F.lit(DEEPEST), F.length(json) - F.length(F.translate(json, "{[", ""))) + 1
+    state = lambda level, found: F.struct(level.alias("level"), found.alias("found"))
+
+    def step(all: Column, _: Column) -> Column:
+        lists, texts = (F.array_compact(F.transform(all["level"], of)) for of in (_below, _text))
+        return F.when(F.size(all["level"]) == 0, all).otherwise(state(F.flatten(lists), F.concat(all["found"], texts)))
+
+    return F.aggregate(F.sequence(F.lit(1), levels), state(F.array(v), F.array().cast("array<string>")), step, lambda all: all["found"])
+
+
 def strings(rows: DataFrame) -> DataFrame:
     """(id, value): every string at or below ``v`` of (id, v), v a VARIANT; one row for each place. Keys, numbers, nulls and truth values are none."""
-    walked = """
-        WITH RECURSIVE walk(id, v) AS (
-          SELECT id, v FROM {rows}
-          UNION ALL SELECT walk.id, below.value FROM walk, LATERAL variant_explode(walk.v) AS below)
-        SELECT id, variant_get(v, '$', 'string') AS value FROM walk WHERE schema_of_variant(v) = 'STRING'"""
-    return rows.sparkSession.sql(walked, rows=rows.select("id", "v"))
+    return rows.filter("v is not null").select("id", F.explode(_strings(F.col("v"))).alias("value"))
 
 
 def entry_points(manifests: DataFrame) -> DataFrame:
     """(path, entry): the files that a package.json (path, text) is entered by: ``main``, ``bin`` (a file, or one for each command) and all files in ``exports``, however nested; without ./ before them."""
-    v = manifests.select("path", F.try_parse_json("text").alias("m")).filter(F.schema_of_variant("m").startswith("OBJECT"))
+    v = manifests.select("path", F.try_parse_json("text").alias("m")).filter(_members(F.col("m")).isNotNull())
     part = lambda key: F.try_variant_get("m", f"$.{key}", "variant")
-    text = lambda value: F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string"))
-    one = v.select("path", F.explode(F.array(text(part("main")), text(part("bin")))).alias("entry"))
-    bins = v.select("path", part("bin").alias("b")).filter(F.schema_of_variant("b").startswith("OBJECT"))
-    commands = bins.lateralJoin(bins.sparkSession.tvf.variant_explode(F.col("b").outer())).select("path", text(F.col("value")).alias("entry"))
-    nested = strings(v.select(F.col("path").alias("id"), part("exports").alias("v")).filter("v is not null")).select(F.col("id").alias("path"), F.col("value").alias("entry"))
+    one = v.select("path", F.explode(F.array(_text(part("main")), _text(part("bin")))).alias("entry"))
+    commands = v.select("path", F.explode(_members(part("bin"))).alias("value")).select("path", _text(F.col("value")).alias("entry"))
+    nested = strings(v.select(F.col("path").alias("id"), part("exports").alias("v"))).select(F.col("id").alias("path"), F.col("value").alias("entry"))
     every = one.unionByName(commands).unionByName(nested).filter("entry is not null")
     return every.select("path", F.regexp_replace("entry", r"^\./", "").alias("entry")).filter("entry <> ''").distinct()
 

@@ -299,3 +299,18 @@ def test_nested_json(spark):
     props = ['{"origin":"x"}', '{"origin":["x"]}', '{"in":{"origin":"x"}}', '{"origin":"x', None, '"origin"', '{"origin":1}', '{"note":"\\"origin\\":\\"x\\"","origin":"x"}']
     df = spark.createDataFrame([(i, p) for i, p in enumerate(props)], "id int, p string")
     assert [r.id for r in df.filter(nested.has_value(F.col("p"), "origin", "x")).orderBy("id").collect()] == [0, 7]
+
+
+def test_strings_without_a_limit_of_rows_or_levels(spark):
+    """A recursive query of Spark fails beyond 1,000,000 rows and 100 levels."""
+    lists = "[" + ",".join(["\"./a.js\""] * 50) + "]"
+    many = spark.range(25000).select(F.col("id").cast("string").alias("path"), F.lit(f'{{"exports":{{"x":{lists}}}}}').alias("text"))
+    v = many.select(F.col("path").alias("id"), F.try_variant_get(F.try_parse_json("text"), "$.exports", "variant").alias("v"))
+    assert nested.strings(v).count() == 25000 * 50
+    assert nested.entry_points(many).count() == 25000
+    values = ['{"a":' * 999 + '"deep"' + "}" * 999, "[" * 1000 + '"m"' + "]" * 1000, "[" * 1001 + '"m"' + "]" * 1001, '["[\\"{",[["z"],1e999,{}],"z"]', "null", '"x"', None]
+    rows = spark.createDataFrame(list(enumerate(values)), "id int, t string").select("id", F.try_parse_json("t").alias("v"))
+    assert sorted((r.id, r.value) for r in nested.strings(rows).collect()) == [(0, "deep"), (1, "m"), (3, '["{'), (3, "z"), (3, "z"), (5, "x")]
+    inner = '{"a":' * 800 + '"deep"' + "}" * 800
+    deep = spark.createDataFrame([("p", f'{{"main":{inner},"bin":{{"b":"./b.js"}},"exports":[{inner},"./c.js"]}}')], "path string, text string")
+    assert sorted(r.entry for r in nested.entry_points(deep).collect()) == ["b.js", "c.js", "deep"]
