@@ -452,6 +452,56 @@ def test_passages_put_together_from_frequent_lines(spark):
     assert got == {(200 + i, 30 + i, 72) for i in range(1, 12)}
 
 
+@pytest.mark.parametrize("block", [8192, 40])
+def test_fuzzy_passages_of_frequent_seeds(spark, monkeypatch, block):
+    """Lines and neighbouring lines are in many earlier documents, the whole in three later ones, each with other words changed."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng, rows, want = random.Random(77), [], set()
+    for k in range(5):
+        lines, at = [words(rng, 12) for _ in range(6)], 1000 * k
+        for n in range(75):
+            a = n % 5
+            rows.append((at + n, " ".join(words(rng, 40) + lines[a] + lines[a + 1] + words(rng, 40))))
+        for n in range(3):
+            fuzzy = sum(lines, [])
+            for i in range(6 + 2 * n, 70, 14):
+                fuzzy[i] = f"zz{k}-{n}-{i}"
+            rows.append((at + 900 + n, " ".join(words(rng, 30 + n) + fuzzy + words(rng, 30))))
+        want |= {at + 901, at + 902}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = passages.repeated_passages(df).collect()
+    assert {r.doc_id for r in found if r.source_id % 1000 >= 900 and r.n_words >= 50} == want == {r.doc_id for r in found}
+    for heavy in (3, 0):  # some seeds, or all, are heavy keys
+        monkeypatch.setattr(passages, "HEAVY", heavy)
+        assert sorted(passages.repeated_passages(df.repartition(3, "doc_id")).collect()) == sorted(found)
+
+
+def test_windows_against_all_pairs(monkeypatch):
+    """Whatever passage of 50 words or more lies around the seed of two windows: a link, or all its words within earlier passages."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(2, 255, (6, 107))
+    window = base[rng.integers(0, 6, 180)]
+    window = np.where(rng.random(window.shape) < rng.choice([0.0, 0.05, 0.15, 0.5], (180, 1)), rng.integers(2, 255, window.shape), window)
+    mixed_up = rng.integers(0, 107, 180)
+    window = np.where(np.arange(107) < mixed_up[:, None], base[rng.integers(0, 6, 180)], window)
+    window[:, 50:57] = 9
+    window[::9, :20] = window[4::9, 80:] = 0
+    window, doc = window.astype(np.uint8), np.arange(180)
+    for drive in ("small", "large"):
+        one = passages._Reach(window, doc, np.zeros(180, np.int64), 50, 0.8)
+        one.small(np.zeros(180, np.int64), np.full(180, 180)) if drive == "small" else one.large(doc, doc)
+        links = {(int(a), int(b)) for t, s in one.found for a, b in zip(t, s)}
+        assert all(a > b for a, b in links)
+        for t in range(180):
+            for s in range(t):
+                equal = (window[t] == window[s]) & (window[t] > 0)
+                sums = np.append(0, np.cumsum(np.where(window[t] == 0, 0, np.where(equal, 1, -4))))
+                low, high = 50 - sums[50::-1].argmin(), 50 + sums[50:].argmax()
+                if high - low >= 50 and (t, s) not in links:
+                    outside = np.append(equal[: one.low[t]], equal[one.high[t] :]).sum()
+                    assert one.low[t] <= low and high <= one.high[t] or outside <= 4 and one.low[t] < one.high[t]
+
+
 def test_fuzzy_passages_of_little_more_than_fifty_words_have_two_shared_seeds():
     rng = random.Random(31)
     for changed in (8, 10):
