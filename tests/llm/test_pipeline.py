@@ -104,3 +104,18 @@ def test_empty_texts_are_packed_and_emptied_documents_go(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 3, 4}
     packed = corpus_pipeline.pack(spark, left, SF).collect()
     assert {r.doc_id for r in packed} == {1, 3, 4} and {r.length for r in packed if r.doc_id > 1} == {1}
+
+
+def test_fuzzy_passages_of_frequent_lines_go(spark):
+    """Neighbouring lines are in many earlier documents, all of them in three later ones, each with other words changed."""
+    rng = random.Random(78)
+    some = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n)]
+    lines = [some(12) for _ in range(6)]
+    rows = [(n, " ".join(some(40) + lines[n % 5] + lines[n % 5 + 1] + some(40))) for n in range(75)]
+    for n in range(3):
+        fuzzy = sum(lines, [])
+        for i in range(6 + 2 * n, 70, 14):
+            fuzzy[i] = f"zz{n}-{i}"
+        rows.append((900 + n, " ".join(some(30) + fuzzy + some(30))))
+    left = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert all(left[n] == 104 for n in range(75)) and left[900] == 132 and max(left[901], left[902]) <= 82
